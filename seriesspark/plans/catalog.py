@@ -61,3 +61,110 @@ def seller_monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seller_monthly_panel_70(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same panel with a threshold that actually removes sellers (D5 test)."""
     return seller_panel(Tables(spark, sf_dir), 70)
+
+
+# ------------------------------------------------------------ helpers
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column (oracle hygiene: sums differ in the last bits)."""
+    return df.select(*[F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+                       if f.dataType.typeName() == "double" else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
+SELLER = Cols("seller_id", "month", "revenue")
+H_SELLER, M_SELLER = 3, 12
+
+
+def _seller_split(t: Tables):
+    from seriesspark.operators.split import train_test
+    panel = seller_panel(t, 8).select("seller_id", "month", "revenue")
+    return train_test(panel, H_SELLER, SELLER)
+
+
+def _seller_preds(train: DataFrame) -> dict[str, DataFrame]:
+    from seriesspark.operators.forecast import closed_form_forecast
+    out = {}
+    for model in ("Naive", "SeasonalNaive"):
+        fc = closed_form_forecast(train, H_SELLER, "MS", (model,), M_SELLER, cols=SELLER)
+        out[model] = fc.withColumnRenamed(model, "predictions")
+    return out
+
+
+# ------------------------------------------------------------ split / forecast / metrics
+
+@query
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last 3 months of every seller labelled test."""
+    from seriesspark.operators.split import label_holdout
+    panel = seller_panel(Tables(spark, sf_dir), 8).select("seller_id", "month", "revenue")
+    return label_holdout(panel, H_SELLER, SELLER)
+
+
+@query
+def first_n_per_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First two rows of every seller."""
+    from seriesspark.operators.split import head_per_series
+    panel = seller_panel(Tables(spark, sf_dir), 8).select("seller_id", "month", "revenue")
+    return head_per_series(panel, 2, SELLER)
+
+
+@query
+def seller_forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive forecast of the holdout scored with MAE/RMSE/MAPE."""
+    from seriesspark.operators.evaluation import calc_metrics
+    train, test = _seller_split(Tables(spark, sf_dir))
+    pred = _seller_preds(train)["Naive"]
+    return round_doubles(calc_metrics(test, pred, "revenue", "seller_id", "month"))
+
+
+@query
+def approach_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metrics row per approach."""
+    from seriesspark.operators.evaluation import compare_approaches
+    train, test = _seller_split(Tables(spark, sf_dir))
+    return round_doubles(compare_approaches(_seller_preds(train), test, "revenue", "seller_id", "month"))
+
+
+@query
+def cross_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual vs predicted for the first 50 sellers, both approaches."""
+    from seriesspark.operators.evaluation import cross_rows as build
+    train, test = _seller_split(Tables(spark, sf_dir))
+    sample = rel.first_ids(test, "seller_id", 50)
+    test_sample = rel.semi_join(test, sample, "seller_id")
+    return build(_seller_preds(train), test_sample, "revenue", "seller_id", "month")
+
+
+@query
+def top_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four largest sellers by training revenue, with a display label."""
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    top = rel.top_groups(train, "seller_id", "revenue", 4)
+    return round_doubles(top.withColumn(
+        "label", F.concat(F.lit("Seller "), F.substring(F.col("seller_id").cast("string"), 1, 8), F.lit("..."))))
+
+
+@query
+def naive_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point forecasts with 80 percent intervals."""
+    from seriesspark.operators.forecast import closed_form_forecast
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return round_doubles(closed_form_forecast(train, H_SELLER, "MS", ("Naive", "SeasonalNaive"),
+                                              M_SELLER, level=[80], cols=SELLER))
+
+
+@query
+def fitted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: in-sample fitted values of both closed-form models."""
+    from seriesspark.operators.forecast import fitted_values as fv
+    panel = seller_panel(Tables(spark, sf_dir), 8).select("seller_id", "month", "revenue")
+    return fv(panel, M_SELLER, cols=SELLER)
+
+
+@query
+def quantile_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quantile forecast 0.1/0.5/0.9 from empirical naive residuals."""
+    from seriesspark.operators.forecast import quantile_forecast as qf
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return round_doubles(qf(train, H_SELLER, "MS", cols=SELLER))

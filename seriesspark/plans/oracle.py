@@ -55,9 +55,9 @@ raw AS (
 """
 
 
-def seller_panel_sql(min_active: int) -> str:
-    return f"""
-WITH {ENRICHED.strip()},
+def seller_panel_ctes(min_active: int) -> str:
+    """CTE list ending in ``panel``: the gap-filled seller panel."""
+    return f"""{ENRICHED.strip()},
 {SELLER_RAW.strip()},
 active AS (SELECT * FROM raw QUALIFY count(*) OVER (PARTITION BY seller_id) >= {min_active}),
 grid AS (
@@ -66,8 +66,8 @@ grid AS (
        (SELECT unnest(generate_series((SELECT min(month) FROM enriched),
                                       (SELECT max(month) FROM enriched), INTERVAL 1 MONTH)) AS month) g),
 joined AS (SELECT g.seller_id, g.month, a.* EXCLUDE (seller_id, month)
-           FROM grid g LEFT JOIN active a USING (seller_id, month))
-SELECT seller_id, month,
+           FROM grid g LEFT JOIN active a USING (seller_id, month)),
+panel AS (SELECT seller_id, month,
   coalesce(revenue, 0) AS revenue, coalesce(order_count, 0) AS order_count,
   coalesce(item_count, 0) AS item_count,
   {', '.join(f'''coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY seller_id ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -75,8 +75,11 @@ SELECT seller_id, month,
              for c in ['avg_price', 'avg_freight', 'avg_delivery_days', 'avg_review_score'])},
   coalesce(n_unique_products, 0) AS n_unique_products,
   coalesce(n_unique_customers, 0) AS n_unique_customers
-FROM joined
-"""
+FROM joined)"""
+
+
+def seller_panel_sql(min_active: int) -> str:
+    return f"WITH {seller_panel_ctes(min_active)}\nSELECT * FROM panel"
 
 
 ORACLES["enriched_items"] = f"""
@@ -108,3 +111,109 @@ FROM enriched WHERE month IS NOT NULL GROUP BY month
 
 ORACLES["seller_monthly_panel"] = seller_panel_sql(8)
 ORACLES["seller_monthly_panel_70"] = seller_panel_sql(70)
+
+
+# ---------------------------------------------------------------- seller forecasting
+
+SELLER_SPLIT = seller_panel_ctes(8) + """,
+ranked AS (SELECT seller_id, month, revenue,
+                  row_number() OVER (PARTITION BY seller_id ORDER BY month DESC) AS rn_desc
+           FROM panel),
+train AS (SELECT seller_id, month, revenue FROM ranked WHERE rn_desc > 3),
+test AS (SELECT seller_id, month, revenue FROM ranked WHERE rn_desc <= 3),
+tr AS (SELECT seller_id, month, revenue,
+              row_number() OVER (PARTITION BY seller_id ORDER BY month DESC) AS rd,
+              count(*) OVER (PARTITION BY seller_id) AS n,
+              revenue - lag(revenue, 1) OVER (PARTITION BY seller_id ORDER BY month) AS e1,
+              revenue - lag(revenue, 12) OVER (PARTITION BY seller_id ORDER BY month) AS em
+       FROM train),
+summ AS (SELECT seller_id, max(month) AS last_ds, count(*) AS n, arg_max(revenue, month) AS last_y,
+                avg(e1 * e1) AS s2n, avg(em * em) AS s2s FROM tr GROUP BY seller_id),
+hz AS (SELECT s.*, r.k, CAST(s.last_ds + to_months(CAST(r.k AS INTEGER)) AS TIMESTAMP) AS month
+       FROM summ s, range(1, 4) r(k)),
+fc AS (SELECT hz.seller_id, hz.month, hz.k, hz.last_y AS naive,
+              CASE WHEN hz.n >= 12 THEN tr.revenue END AS snaive,
+              sqrt(hz.s2n) * sqrt(hz.k) AS sd_n,
+              sqrt(hz.s2s) * sqrt(floor((hz.k - 1) / 12) + 1) AS sd_s
+       FROM hz LEFT JOIN tr ON tr.seller_id = hz.seller_id AND tr.rd = 12 - ((hz.k - 1) % 12)),
+preds AS (SELECT seller_id, month, naive AS predictions, 'Naive' AS approach FROM fc
+          UNION ALL SELECT seller_id, month, snaive, 'SeasonalNaive' FROM fc)
+"""
+
+ORACLES["holdout_split"] = "WITH " + SELLER_SPLIT + """
+SELECT seller_id, month, revenue, CASE WHEN rn_desc <= 3 THEN 'test' ELSE 'train' END AS split FROM ranked
+"""
+
+ORACLES["first_n_per_series"] = "WITH " + seller_panel_ctes(8) + """
+SELECT seller_id, month, revenue FROM panel
+QUALIFY row_number() OVER (PARTITION BY seller_id ORDER BY month) <= 2
+"""
+
+METRIC_COLS = """
+  round(avg(abs(t.revenue - p.predictions)), 6) AS mae,
+  round(sqrt(avg((t.revenue - p.predictions) * (t.revenue - p.predictions))), 6) AS rmse,
+  round(avg(CASE WHEN t.revenue > 0 THEN abs(t.revenue - p.predictions) / t.revenue END), 6) AS mape,
+  count(DISTINCT t.seller_id) AS n_series, count(*) AS n_predictions"""
+
+ORACLES["seller_forecast_metrics"] = "WITH " + SELLER_SPLIT + f"""
+SELECT {METRIC_COLS}
+FROM test t JOIN preds p ON p.seller_id = t.seller_id AND p.month = t.month AND p.approach = 'Naive'
+"""
+
+ORACLES["approach_comparison"] = "WITH " + SELLER_SPLIT + f"""
+SELECT p.approach, {METRIC_COLS}
+FROM test t JOIN preds p ON p.seller_id = t.seller_id AND p.month = t.month
+WHERE p.predictions IS NOT NULL OR true
+GROUP BY p.approach
+"""
+
+ORACLES["cross_rows"] = "WITH " + SELLER_SPLIT + """,
+sample AS (SELECT DISTINCT seller_id FROM test ORDER BY seller_id LIMIT 50)
+SELECT t.seller_id, t.month, t.revenue, p.predictions, p.approach
+FROM test t JOIN preds p ON p.seller_id = t.seller_id AND p.month = t.month
+WHERE t.seller_id IN (SELECT seller_id FROM sample)
+"""
+
+ORACLES["top_sellers"] = "WITH " + SELLER_SPLIT + """
+SELECT seller_id, round(sum(revenue), 6) AS total,
+       'Seller ' || substr(CAST(seller_id AS VARCHAR), 1, 8) || '...' AS label
+FROM train GROUP BY seller_id ORDER BY total DESC, seller_id LIMIT 4
+"""
+
+ORACLES["naive_intervals"] = "WITH " + SELLER_SPLIT + """
+SELECT seller_id, month,
+  round(naive, 6) AS "Naive",
+  round(naive - 1.2815515655446004 * sd_n, 6) AS "Naive-lo-80",
+  round(naive + 1.2815515655446004 * sd_n, 6) AS "Naive-hi-80",
+  round(snaive, 6) AS "SeasonalNaive",
+  round(snaive - 1.2815515655446004 * sd_s, 6) AS "SeasonalNaive-lo-80",
+  round(snaive + 1.2815515655446004 * sd_s, 6) AS "SeasonalNaive-hi-80"
+FROM fc
+"""
+
+ORACLES["fitted_values"] = "WITH " + seller_panel_ctes(8) + """
+SELECT seller_id, month, revenue,
+  lag(revenue, 1) OVER (PARTITION BY seller_id ORDER BY month) AS "Naive",
+  lag(revenue, 12) OVER (PARTITION BY seller_id ORDER BY month) AS "SeasonalNaive"
+FROM panel
+"""
+
+ORACLES["quantile_forecast"] = "WITH " + SELLER_SPLIT + """,
+res AS (SELECT seller_id,
+          lead(revenue, 1) OVER w - revenue AS r1,
+          lead(revenue, 2) OVER w - revenue AS r2,
+          lead(revenue, 3) OVER w - revenue AS r3
+        FROM train WINDOW w AS (PARTITION BY seller_id ORDER BY month)),
+q AS (SELECT seller_id,
+        [quantile_cont(r1, 0.1), quantile_cont(r1, 0.5), quantile_cont(r1, 0.9)] AS q1,
+        [quantile_cont(r2, 0.1), quantile_cont(r2, 0.5), quantile_cont(r2, 0.9)] AS q2,
+        [quantile_cont(r3, 0.1), quantile_cont(r3, 0.5), quantile_cont(r3, 0.9)] AS q3
+      FROM res GROUP BY seller_id),
+j AS (SELECT fc.seller_id, fc.month, fc.naive,
+             CASE fc.k WHEN 1 THEN q.q1 WHEN 2 THEN q.q2 ELSE q.q3 END AS qq
+      FROM fc JOIN q USING (seller_id))
+SELECT seller_id, month,
+  round(naive + qq[1], 6) AS "0.1", round(naive + qq[2], 6) AS "0.5",
+  round(naive + qq[3], 6) AS "0.9", round(naive + qq[2], 6) AS predictions
+FROM j
+"""
