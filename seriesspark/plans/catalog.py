@@ -168,3 +168,151 @@ def quantile_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesspark.operators.forecast import quantile_forecast as qf
     train, _ = _seller_split(Tables(spark, sf_dir))
     return round_doubles(qf(train, H_SELLER, "MS", cols=SELLER))
+
+
+# ------------------------------------------------------------ daily panel and features
+
+def daily_filled(t: Tables) -> DataFrame:
+    """J11 + P13: sparse daily panel on the global day grid, missing demand 0."""
+    return fill_grid(b.daily_panel(t), Cols(), "D", start="global", end="global", zero_cols=["y"])
+
+
+@query
+def fill_gaps_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily panel gap-filled between global bounds."""
+    return daily_filled(Tables(spark, sf_dir))
+
+
+@query
+def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical lag feature set with static attributes."""
+    from seriesspark.operators.features import ExpandingMean, RollingMean, lag_features as lf
+    t = Tables(spark, sf_dir)
+    panel = daily_filled(t).join(b.static_attributes(t), "unique_id", "inner")
+    return lf(panel, lags=[1, 2, 3, 7, 14, 30, 360],
+              lag_transforms={7: [ExpandingMean()], 14: [RollingMean(7)], 30: [RollingMean(14)]})
+
+
+@query
+def differenced_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differenced target, lags 3/6, transforms, calendar features."""
+    from seriesspark.operators.features import ExpandingMean, RollingMean, lag_features as lf
+    t = Tables(spark, sf_dir)
+    return lf(daily_filled(t), lags=[3, 6],
+              lag_transforms={3: [ExpandingMean(), RollingMean(3)], 6: [ExpandingMean(), RollingMean(6)]},
+              date_features=["quarter", "daysinmonth"], differences=[1])
+
+
+# ------------------------------------------------------------ 10-minute panel (intro path)
+
+TEN_MIN_EXCLUDED = ["error"]
+
+
+def tenmin_clean(t: Tables) -> DataFrame:
+    from seriesspark.operators.clean import mask_outliers
+    return mask_outliers(b.ten_minute_panel(t), excluded=TEN_MIN_EXCLUDED)
+
+
+def tenmin_regular(t: Tables) -> DataFrame:
+    """P9 then J10 + W3 + W4: outliers masked, per-series 10-minute grid, ffill/bfill."""
+    return fill_grid(tenmin_clean(t), Cols(), "10min", carry_cols=["y"])
+
+
+@query
+def outlier_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-series 5/95 percentile fence, outliers set to NULL."""
+    return tenmin_clean(Tables(spark, sf_dir))
+
+
+@query
+def regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-series 10-minute grid with forward/backward fill."""
+    return tenmin_regular(Tables(spark, sf_dir))
+
+
+@query
+def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling mean/std over 1 and 5 days, full window required, long by window."""
+    from seriesspark.operators.features import rolling_stats as rs
+    wide = rs(tenmin_regular(Tables(spark, sf_dir)), (144, 720))
+    long = wide.selectExpr("unique_id", "ds", "y",
+                           "stack(2, 144, rolling_mean_144, rolling_std_144, "
+                           "720, rolling_mean_720, rolling_std_720) AS (window, rolling_mean, rolling_std)")
+    return round_doubles(long.withColumn("window_label",
+                                         F.format_string("%d days", (F.col("window") / 144).cast("int"))))
+
+
+@query
+def decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additive decomposition with period 144."""
+    from seriesspark.operators.analysis import seasonal_decompose
+    return round_doubles(seasonal_decompose(tenmin_regular(Tables(spark, sf_dir)), 144))
+
+
+@query
+def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Autocorrelation to lag 14."""
+    from seriesspark.operators.analysis import acf as acf_
+    return round_doubles(acf_(tenmin_regular(Tables(spark, sf_dir)), 14))
+
+
+@query
+def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial autocorrelation to lag 14 (Durbin-Levinson on the ACF array)."""
+    from seriesspark.operators.analysis import pacf as pacf_
+    return pacf_(tenmin_regular(Tables(spark, sf_dir)), 14)
+
+
+def _bounded_ids(df: DataFrame, limit: int = 256) -> list[str]:
+    ids = [r[0] for r in df.select("unique_id").distinct().orderBy("unique_id").limit(limit + 1).collect()]
+    if len(ids) > limit:
+        raise ValueError("too many series for a correlation matrix")
+    return ids
+
+
+@query
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation matrix of the 10-minute series (bounded series list)."""
+    from seriesspark.operators.analysis import corr_matrix as cm
+    panel = tenmin_regular(Tables(spark, sf_dir))
+    return round_doubles(cm(panel, _bounded_ids(b.ten_minute_panel(Tables(spark, sf_dir)))))
+
+
+@query
+def corr_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series most correlated with the 'click' series."""
+    from seriesspark.operators.analysis import top_correlations
+    return round_doubles(top_correlations(tenmin_regular(Tables(spark, sf_dir)), "click", 10))
+
+
+@query
+def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per 10-minute stamp, one column per series."""
+    from seriesspark.operators.analysis import wide_panel as wp
+    return wp(tenmin_regular(Tables(spark, sf_dir)))
+
+
+@query
+def series_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and observations per daily series, at least 12 rows."""
+    from seriesspark.operators.analysis import series_lengths as sl
+    return sl(b.daily_panel(Tables(spark, sf_dir)), min_length=12)
+
+
+@query
+def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30-bin histogram of daily series lengths."""
+    from seriesspark.operators.analysis import histogram, series_lengths as sl
+    lengths = sl(b.daily_panel(Tables(spark, sf_dir))).withColumn("n_rows", F.col("n_rows").cast("double"))
+    return round_doubles(histogram(lengths, "n_rows", 30))
+
+
+@query
+def series_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-seller ordered target array and covariate map (arrays as text)."""
+    from seriesspark.operators.analysis import series_records as sr
+    covs = ["order_count", "avg_price", "avg_freight", "avg_delivery_days", "avg_review_score"]
+    rec = sr(seller_panel(Tables(spark, sf_dir), 8), "revenue", covs, SELLER, element_type="double")
+    txt = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.6f", x)), ",")
+    return rec.select("seller_id", txt(F.col("target")).alias("target"),
+                      *[txt(F.col("past_covariates")[c]).alias(c) for c in covs])
