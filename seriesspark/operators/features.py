@@ -122,17 +122,25 @@ def lag_features(df: DataFrame, lags=(), lag_transforms: dict | None = None,
     return out
 
 
-def rolling_stats(df: DataFrame, windows=(144, 720), cols: Cols = DEFAULT) -> DataFrame:
+def rolling_stats(df: DataFrame, windows=(144, 720), cols: Cols = DEFAULT,
+                  exact_scale: int | None = None) -> DataFrame:
     """Rolling mean and sample std including the current row.
 
-    Emitted only when the full window of non-null values exists.
+    Emitted only when the full window of non-null values exists. With
+    ``exact_scale`` (for fixed-place data) the mean is an exact decimal sum
+    divided once, so it does not depend on summation order.
     """
     w = series_window(cols)
     out = {}
     for size in windows:
         frame = w.rowsBetween(-(size - 1), 0)
         full = F.count(F.col(cols.y)).over(frame) == size
-        out[f"rolling_mean_{size}"] = F.when(full, F.avg(cols.y).over(frame))
+        if exact_scale is None:
+            mean = F.avg(cols.y).over(frame)
+        else:
+            mean = (F.sum(F.col(cols.y).cast(f"decimal(18,{exact_scale})")).over(frame).cast("double")
+                    / F.count(F.col(cols.y)).over(frame))
+        out[f"rolling_mean_{size}"] = F.when(full, mean)
         out[f"rolling_std_{size}"] = F.when(full, F.stddev_samp(cols.y).over(frame))
     return df.select(cols.id, cols.ds, cols.y, *[c.alias(n) for n, c in out.items()])
 

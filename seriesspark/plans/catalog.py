@@ -234,12 +234,12 @@ def regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling mean/std over 1 and 5 days, full window required, long by window."""
     from seriesspark.operators.features import rolling_stats as rs
-    wide = rs(tenmin_regular(Tables(spark, sf_dir)), (144, 720))
+    wide = rs(tenmin_regular(Tables(spark, sf_dir)), (144, 720), exact_scale=4)
     long = wide.selectExpr("unique_id", "ds", "y",
                            "stack(2, 144, rolling_mean_144, rolling_std_144, "
                            "720, rolling_mean_720, rolling_std_720) AS (window, rolling_mean, rolling_std)")
-    return round_doubles(long.withColumn("window_label",
-                                         F.format_string("%d days", (F.col("window") / 144).cast("int"))))
+    return long.withColumn("rolling_std", F.round("rolling_std", 6)).withColumn(
+        "window_label", F.format_string("%d days", (F.col("window") / 144).cast("int")))
 
 
 @query

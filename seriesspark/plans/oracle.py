@@ -274,7 +274,8 @@ SELECT * FROM f WHERE y IS NOT NULL AND {' AND '.join(c + ' IS NOT NULL' for c i
 
 TENMIN = """
 ev AS (SELECT event_type AS unique_id, CAST(time_bucket(INTERVAL 10 MINUTE, ts) AS TIMESTAMP) AS ds,
-              CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS y
+              CAST((sum(CAST(round(value * 100) AS BIGINT)) * 200 + count(value)) // (2 * count(value)) AS DOUBLE)
+                / 10000.0 AS y
        FROM events GROUP BY 1, 2),
 qs AS (SELECT unique_id, quantile_cont(y, 0.05) AS q_lo, quantile_cont(y, 0.95) AS q_hi FROM ev GROUP BY 1),
 clean AS (SELECT e.unique_id, e.ds,
@@ -297,8 +298,9 @@ ORACLES["regular_grid"] = "WITH " + TENMIN.strip() + "\nSELECT * FROM reg"
 
 def _rolling(w: int) -> str:
     fr = f"({W_ID} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-    return f"""SELECT unique_id, ds, round(y, 6) AS y, {w} AS window,
-  round(CASE WHEN count(y) OVER {fr} = {w} THEN avg(y) OVER {fr} END, 6) AS rolling_mean,
+    return f"""SELECT unique_id, ds, y, {w} AS window,
+  CASE WHEN count(y) OVER {fr} = {w}
+       THEN CAST(sum(CAST(y AS DECIMAL(18,4))) OVER {fr} AS DOUBLE) / count(y) OVER {fr} END AS rolling_mean,
   round(CASE WHEN count(y) OVER {fr} = {w} THEN stddev_samp(y) OVER {fr} END, 6) AS rolling_std,
   '{w // 144} days' AS window_label FROM reg"""
 

@@ -83,14 +83,15 @@ def daily_panel(t) -> DataFrame:
 def ten_minute_panel(t) -> DataFrame:
     """Sparse 10-minute panel: one series per event type.
 
-    ``y`` is an exact decimal mean (sum of 2-place values, one division) so
-    that every engine computes the same double.
+    ``y`` is the bucket mean computed in decimal (exact sum of 2-place
+    values, one division) and kept to 4 places (half up), so every engine and
+    every partitioning produce the same value.
     """
     ev = t["events"]
+    mean = F.sum(F.col("value").cast("decimal(18,2)")) / F.count("value")
     return (ev.groupBy(F.col("event_type").alias("unique_id"),
                        bucket_timestamp("ts", "10min").alias("ds"))
-            .agg((F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
-                  / F.count("value")).alias("y")))
+            .agg(mean.cast("decimal(18,4)").cast("double").alias("y")))
 
 
 def supplier_tree(t) -> DataFrame:
