@@ -146,3 +146,38 @@ def quantile_forecast(df: DataFrame, h: int, freq: str, quantiles=(0.1, 0.5, 0.9
         (point + F.element_at(qk, i + 1)).alias(str(q)) for i, q in enumerate(quantiles)])
     mid = str(0.5) if 0.5 in quantiles else str(quantiles[len(quantiles) // 2])
     return out.withColumn("predictions", F.col(f"`{mid}`"))
+
+
+def cross_validation(df: DataFrame, h: int, n_windows: int, freq: str, step: int | None = None,
+                     models=CLOSED_FORM, season_length: int = 1, cols: Cols = DEFAULT) -> DataFrame:
+    """Rolling-origin cross validation without refit (W14), as one job.
+
+    Cutoffs ``c_i = n - h - step*(n_windows-1-i)``; every row is copied to
+    each window whose history it belongs to (at most ``n_windows`` copies),
+    each (series, window) is reduced to its summary row as in
+    ``closed_form_forecast``, and the horizon is matched to the actuals after
+    the cutoff. Output ``(id, ds, cutoff, y, <model>...)``. Series whose
+    first cutoff precedes row 1 are excluded.
+    """
+    step = h if step is None else step
+    w = Window.partitionBy(cols.id).orderBy(cols.ds)
+    n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
+    ranked = df.select(cols.id, cols.ds, cols.y, F.row_number().over(w).alias("_rn"), n.alias("_n"))
+    ranked = ranked.filter(F.col("_n") - h - F.lit(step * (n_windows - 1)) >= 1)
+    cutoff_rn = lambda i: F.col("_n") - h - F.lit(step) * (F.lit(n_windows - 1) - i)
+    # history copies: window i holds rows with rn <= c_i
+    hist = (ranked.withColumn("_win", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))))
+            .filter(F.col("_rn") <= cutoff_rn(F.col("_win"))))
+    key = Cols("_key", cols.ds, cols.y)
+    hist = hist.withColumn("_key", F.struct(F.col(cols.id).alias("id"), F.col("_win").alias("win")))
+    summary = _summary(hist.select("_key", cols.ds, cols.y), key, season_length)
+    grid = horizon_grid(summary, h, freq, key)
+    proj = [F.col("_key.id").alias(cols.id), F.col("_key.win").alias("_win"), F.col(cols.ds),
+            F.col("_last_ds").alias("cutoff")]
+    for model in models:
+        point, _ = _model_columns(model, season_length, cols.y)
+        proj.append(point.alias(model))
+    fc = grid.select(*proj)
+    actual = ranked.select(cols.id, cols.ds, cols.y)
+    return (fc.join(actual, [cols.id, cols.ds], "inner")
+            .select(cols.id, cols.ds, "cutoff", cols.y, *models))

@@ -316,3 +316,310 @@ def series_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     txt = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.6f", x)), ",")
     return rec.select("seller_id", txt(F.col("target")).alias("target"),
                       *[txt(F.col("past_covariates")[c]).alias(c) for c in covs])
+
+
+# ------------------------------------------------------------ windows and cross validation
+
+L_WIN, H_WIN = 12, 3
+
+
+def _fmt_array(c):
+    return F.array_join(F.transform(c, lambda x: F.format_string("%.6f", x)), ",")
+
+
+def _seller_y(t: Tables) -> DataFrame:
+    return seller_panel(t, 8).select("seller_id", "month", "revenue")
+
+
+@query
+def window_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 12-in / 3-out window of every seller (arrays as text)."""
+    from seriesspark.operators.windows import window_arrays as wa
+    arr = wa(_seller_y(Tables(spark, sf_dir)), L_WIN, H_WIN, 1, SELLER, element_type="double")
+    return arr.select("seller_id", "cutoff", _fmt_array(F.col("input")).alias("input"),
+                      _fmt_array(F.col("output")).alias("output"))
+
+
+@query
+def window_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows stacked into labelled long rows."""
+    from seriesspark.operators.windows import window_arrays as wa, windows_long
+    arr = wa(_seller_y(Tables(spark, sf_dir)), L_WIN, H_WIN, 1, SELLER, element_type="double")
+    return windows_long(arr, L_WIN, "MS", SELLER)
+
+
+@query
+def window_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same long windows through a bounded range join on (id, rn)."""
+    from seriesspark.operators.windows import windows_range_join
+    return windows_range_join(_seller_y(Tables(spark, sf_dir)), L_WIN, H_WIN, 1, SELLER)
+
+
+@query
+def sequence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """input/target sequence pairs keyed by (seller, cutoff), from the long layout."""
+    from seriesspark.operators.windows import sequence_pairs as sp, windows_range_join
+    long = windows_range_join(_seller_y(Tables(spark, sf_dir)), L_WIN, H_WIN, 1, SELLER)
+    pairs = sp(long, L_WIN, H_WIN, SELLER)
+    return pairs.select("seller_id", "cutoff", F.size("input").alias("input_len"),
+                        F.size("output").alias("output_len"),
+                        F.round(F.aggregate("input", F.lit(0.0), lambda a, x: a + x), 0).alias("input_sum_rounded"))
+
+
+N_WINDOWS = 4
+
+
+def _seller_cv(t: Tables) -> DataFrame:
+    from seriesspark.operators.forecast import cross_validation
+    return cross_validation(_seller_y(t), H_SELLER, N_WINDOWS, "MS", H_SELLER,
+                            ("Naive", "SeasonalNaive"), M_SELLER, SELLER)
+
+
+@query
+def cv_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling-origin CV of both closed-form models, 4 windows, no refit."""
+    return _seller_cv(Tables(spark, sf_dir))
+
+
+@query
+def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics per (seller, cutoff), averaged by metric."""
+    from seriesspark.operators.evaluation import evaluate, summarize
+    ev = evaluate(_seller_cv(Tables(spark, sf_dir)), ["Naive", "SeasonalNaive"],
+                  ("mae", "mape", "rmse", "smape"), SELLER, extra_keys=("cutoff",))
+    return round_doubles(summarize(ev, ["Naive", "SeasonalNaive"]))
+
+
+@query
+def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """per seller the model with the lowest CV MAE, refit on all rows and forecast."""
+    from seriesspark.operators.evaluation import best_model as bm, evaluate
+    from seriesspark.operators.forecast import closed_form_forecast, to_long
+    t = Tables(spark, sf_dir)
+    models = ["Naive", "SeasonalNaive"]
+    ev = evaluate(_seller_cv(t), models, ("mae",), SELLER, extra_keys=("cutoff",))
+    per = (ev.groupBy("seller_id").agg(*[F.avg(m).alias(m) for m in models])
+           .unpivot("seller_id", models, "model", "value"))
+    choice = bm(per, "seller_id")
+    fc = to_long(closed_form_forecast(_seller_y(t), H_SELLER, "MS", models, M_SELLER, cols=SELLER), models, SELLER)
+    out = fc.join(choice, "seller_id").filter(F.col("model") == F.col("best_model"))
+    return round_doubles(out.select("seller_id", "month", "best_model", F.col("best_value").alias("cv_mae"), "yhat"))
+
+
+# ------------------------------------------------------------ hierarchy
+
+H_DAILY = 7
+
+
+def _hierarchy(t: Tables):
+    from seriesspark.operators.hierarchy import build_hierarchy
+    tree = b.supplier_tree(t)
+    return build_hierarchy(daily_filled(t), tree, ["region", "nation"])
+
+
+@query
+def hier_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total / region / nation / supplier series from one GROUPING SETS aggregate."""
+    Y, _ = _hierarchy(Tables(spark, sf_dir))
+    return Y
+
+
+@query
+def hier_summing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse summing table (node, bottom, weight)."""
+    _, S = _hierarchy(Tables(spark, sf_dir))
+    return S
+
+
+def _bottom_naive(t: Tables) -> DataFrame:
+    from seriesspark.operators.forecast import closed_form_forecast
+    return closed_form_forecast(daily_filled(t), H_DAILY, "D", ("Naive",), 1)
+
+
+@query
+def bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom naive forecasts summed to every node."""
+    from seriesspark.operators.hierarchy import bottom_up as bu
+    t = Tables(spark, sf_dir)
+    _, S = _hierarchy(t)
+    return bu(_bottom_naive(t), S, ["Naive"])
+
+
+@query
+def coherence_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reconciled parents equal the sum of their children (max gap)."""
+    from seriesspark.operators.hierarchy import bottom_up as bu, coherence_gap as cg
+    t = Tables(spark, sf_dir)
+    _, S = _hierarchy(t)
+    rec = bu(_bottom_naive(t), S, ["Naive"])
+    return cg(rec, S, "Naive")
+
+
+@query
+def mint_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinT reconciliation with shrinkage covariance of naive residuals."""
+    from seriesspark.operators.forecast import closed_form_forecast
+    from seriesspark.operators.hierarchy import mint_shrink_weights, reconcile_with
+    from seriesspark.operators.features import series_window
+    t = Tables(spark, sf_dir)
+    Y, S = _hierarchy(t)
+    Y = Y.select("unique_id", "ds", "y")
+    resid = Y.select("unique_id", "ds", (F.col("y") - F.lag("y", 1).over(series_window())).alias("resid"))
+    base = closed_form_forecast(Y, H_DAILY, "D", ("Naive",), 1)
+    weights = mint_shrink_weights(resid, S)
+    return round_doubles(reconcile_with(base, weights, ["Naive"]))
+
+
+# ------------------------------------------------------------ grouped-map solvers
+
+@query
+def holt_winters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """additive Holt-Winters, season 12, per seller (grouped map)."""
+    from seriesspark.operators.solvers import forecast_grouped
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return forecast_grouped(train, H_SELLER, "MS", ("HoltWinters",), M_SELLER, cols=SELLER)
+
+
+@query
+def arima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ARIMA(1,1,1) per seller."""
+    from seriesspark.operators.solvers import forecast_grouped
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return forecast_grouped(train, H_SELLER, "MS", ("ARIMA",), M_SELLER, cols=SELLER)
+
+
+@query
+def auto_arima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ARIMA order chosen by AICc per seller."""
+    from seriesspark.operators.solvers import forecast_grouped
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return forecast_grouped(train, H_SELLER, "MS", ("AutoARIMA",), M_SELLER, cols=SELLER)
+
+
+@query
+def adida(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ADIDA on the intermittent daily supplier demand."""
+    from seriesspark.operators.solvers import forecast_grouped
+    return forecast_grouped(daily_filled(Tables(spark, sf_dir)), H_DAILY, "D", ("ADIDA",))
+
+
+@query
+def classic_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-model driver, one column per model (closed forms + solvers)."""
+    from seriesspark.operators.forecast import closed_form_forecast, to_long, to_wide
+    from seriesspark.operators.solvers import forecast_grouped
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    closed = to_long(closed_form_forecast(train, H_SELLER, "MS", ("Naive", "SeasonalNaive"), M_SELLER,
+                                          cols=SELLER), ("Naive", "SeasonalNaive"), SELLER)
+    solved = forecast_grouped(train, H_SELLER, "MS", ("HoltWinters", "ADIDA"), M_SELLER, cols=SELLER)
+    models = ["Naive", "SeasonalNaive", "HoltWinters", "ADIDA"]
+    return round_doubles(to_wide(closed.unionByName(solved), models, SELLER))
+
+
+@query
+def stl_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STL trend/seasonal (season 3) for history and 3 future months."""
+    from seriesspark.operators.solvers import stl_features as stl
+    hist, fut = stl(_seller_y(Tables(spark, sf_dir)), 3, 3, "MS", SELLER)
+    return hist.withColumn("part", F.lit("history")).unionByName(fut.withColumn("part", F.lit("future")))
+
+
+# ------------------------------------------------------------ global models
+
+CANON_FEATURES = ["lag1", "lag2", "lag3", "lag7", "lag14", "lag30", "lag360", "expanding_mean_lag7",
+                  "rolling_mean_lag14_window_size7", "rolling_mean_lag30_window_size14"]
+
+
+def _canon_split(t: Tables):
+    """Feature rows split so the last 7 days of each supplier are the holdout (Q1 fixed)."""
+    from seriesspark.operators.split import label_holdout
+    feats = lag_features(t.spark, t.sf_dir)
+    lab = label_holdout(feats, H_DAILY)
+    return lab.filter(F.col("split") == "train").drop("split"), lab.filter(F.col("split") == "test").drop("split")
+
+
+@query
+def linear_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """least-squares fit of demand on its 7-day lag (closed form aggregate)."""
+    from seriesspark.operators.ml import linear_one_feature as lof
+    return round_doubles(lof(lag_features(spark, sf_dir), "lag7", "y"))
+
+
+@query
+def linear_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MLlib linear regression on the canonical features; holdout scored."""
+    from seriesspark.operators.ml import fit
+    train, test = _canon_split(Tables(spark, sf_dir))
+    model = fit(train, CANON_FEATURES, "linear")
+    return model.transform(test).select("unique_id", "ds", "y", "prediction")
+
+
+@query
+def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """boosted trees (depth 5, step 0.05, 0.9 feature subset, seeded)."""
+    from seriesspark.operators.ml import fit
+    train, test = _canon_split(Tables(spark, sf_dir))
+    model = fit(train, CANON_FEATURES, "gbt", max_iter=30)
+    return model.transform(test).select("unique_id", "ds", "y", "prediction")
+
+
+@query
+def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16: 7-step recursive prediction of the linear model from the tail state."""
+    from seriesspark.operators.ml import fit, recursive_forecast as rf
+    t = Tables(spark, sf_dir)
+    model = fit(lag_features(spark, sf_dir), CANON_FEATURES, "linear")
+    return rf(model, daily_filled(t), H_DAILY, "D", [1, 2, 3, 7, 14, 30, 360], [7], {14: 7, 30: 14})
+
+
+@query
+def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save the fitted pipeline to the shared folder, load it, score the holdout."""
+    import os
+    import uuid
+
+    from seriesspark.operators.ml import fit, save_and_load
+    from seriesspark.session import checkpoint_dir
+    train, test = _canon_split(Tables(spark, sf_dir))
+    path = os.path.join(checkpoint_dir(spark), "models", f"linear-{uuid.uuid4().hex}")
+    model = save_and_load(fit(train, CANON_FEATURES, "linear"), path)
+    return model.transform(test).select("unique_id", "ds", "y", "prediction")
+
+
+@query
+def knn_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5-nearest-neighbour regression by LSH similarity join (approximate)."""
+    from seriesspark.operators.ml import knn_regress
+    train, test = _canon_split(Tables(spark, sf_dir))
+    feats = ["lag1", "lag7", "lag14", "expanding_mean_lag7"]
+    return knn_regress(train, test.select("unique_id", "ds", "y", *feats), feats, 5, "y",
+                       ["unique_id", "ds"]).select("unique_id", "ds", "y", "knn")
+
+
+@query
+def scoring_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serving payload JSON of each supplier's first two feature rows, parsed back."""
+    from seriesspark.operators.ml import parse_payload, scoring_payload as sp
+    from seriesspark.operators.split import head_per_series
+    rows = head_per_series(lag_features(spark, sf_dir), 2)
+    payload = sp(rows, CANON_FEATURES, "unique_id")
+    back = parse_payload(payload)
+    return payload.join(back.groupBy("unique_id").agg(F.count(F.lit(1)).alias("n_rows_parsed")), "unique_id")
+
+
+@query
+def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five supplier ids chosen by a seeded hash (reproducible under any partitioning)."""
+    return rel.sample_ids(b.daily_panel(Tables(spark, sf_dir)), "unique_id", 5, 4)
+
+
+@query
+def forecast_table_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL table function forecasting each group up to a horizon date."""
+    from seriesspark.operators.sqlfn import register_forecast_table
+    register_forecast_table(spark)
+    daily_filled(Tables(spark, sf_dir)).createOrReplaceTempView("daily_panel_view")
+    return spark.sql("""
+        SELECT * FROM ts_forecast(
+          TABLE(SELECT unique_id AS grp, ds, y FROM daily_panel_view) PARTITION BY grp ORDER BY ds,
+          horizon => '2001-11-12', frequency => 'D', prediction_interval_width => 0.8)""")

@@ -374,3 +374,128 @@ FROM panel GROUP BY seller_id
 # 2-place values lands exactly on 6-place rounding ties, which the two engines
 # round differently. DECOMPOSE_SQL stays for manual comparison with a tolerance;
 # tests/test_analysis.py checks the operator against a known answer.
+
+
+# ---------------------------------------------------------------- windows and CV
+
+SELLER_RANKED = seller_panel_ctes(8) + """,
+rk AS (SELECT seller_id, month, revenue,
+              row_number() OVER (PARTITION BY seller_id ORDER BY month) AS rn,
+              count(*) OVER (PARTITION BY seller_id) AS n
+       FROM panel)
+"""
+
+_WINS = SELLER_RANKED + """,
+wl AS (SELECT c.seller_id, c.month AS cutoff, x.month, x.revenue,
+              CASE WHEN x.rn <= c.rn THEN 'input' ELSE 'output' END AS data_type
+       FROM rk c JOIN rk x ON x.seller_id = c.seller_id AND x.rn BETWEEN c.rn - 11 AND c.rn + 3
+       WHERE c.rn >= 12 AND c.rn <= c.n - 3)
+"""
+
+ORACLES["window_arrays"] = "WITH " + _WINS + """
+SELECT seller_id, cutoff,
+  string_agg(CASE WHEN data_type = 'input' THEN printf('%.6f', revenue) END, ',' ORDER BY month) AS input,
+  string_agg(CASE WHEN data_type = 'output' THEN printf('%.6f', revenue) END, ',' ORDER BY month) AS output
+FROM wl GROUP BY seller_id, cutoff
+"""
+
+ORACLES["window_long"] = "WITH " + _WINS + "\nSELECT seller_id, month, revenue, cutoff, data_type FROM wl"
+ORACLES["window_range_join"] = ORACLES["window_long"]
+
+ORACLES["sequence_pairs"] = "WITH " + _WINS + """
+SELECT seller_id, cutoff, CAST(12 AS INTEGER) AS input_len, CAST(3 AS INTEGER) AS output_len,
+       round(sum(CASE WHEN data_type = 'input' THEN CAST(CAST(revenue AS FLOAT) AS DOUBLE) END), 0) AS input_sum_rounded
+FROM wl GROUP BY seller_id, cutoff
+"""
+
+_CV = SELLER_RANKED + """,
+wins AS (SELECT DISTINCT seller_id, n FROM rk WHERE n - 3 - 9 >= 1),
+wi AS (SELECT seller_id, n, i, n - 3 - 3 * (3 - i) AS c FROM wins, range(0, 4) r(i)),
+hs AS (SELECT wi.seller_id, wi.i, wi.c, max(rk.month) AS cutoff, arg_max(rk.revenue, rk.month) AS last_y
+       FROM wi JOIN rk ON rk.seller_id = wi.seller_id AND rk.rn <= wi.c GROUP BY 1, 2, 3),
+fc AS (SELECT hs.seller_id, hs.cutoff, CAST(hs.cutoff + to_months(CAST(k.k AS INTEGER)) AS TIMESTAMP) AS month,
+              hs.last_y AS "Naive", CASE WHEN hs.c >= 12 THEN s.revenue END AS "SeasonalNaive"
+       FROM hs CROSS JOIN range(1, 4) k(k)
+       LEFT JOIN rk s ON s.seller_id = hs.seller_id AND s.rn = hs.c - 12 + 1 + ((k.k - 1) % 12)),
+cv AS (SELECT fc.seller_id, fc.month, fc.cutoff, rk.revenue, fc."Naive", fc."SeasonalNaive"
+       FROM fc JOIN rk ON rk.seller_id = fc.seller_id AND rk.month = fc.month)
+"""
+
+ORACLES["cv_naive"] = "WITH " + _CV + "\nSELECT * FROM cv"
+
+
+def _metric_sql(m: str, model: str) -> str:
+    e = f'(revenue - "{model}")'
+    if m == "mae":
+        return f"avg(abs({e}))"
+    if m == "rmse":
+        return f"sqrt(avg({e} * {e}))"
+    if m == "mape":
+        return f"avg(CASE WHEN revenue <> 0 THEN abs({e}) / abs(revenue) END)"
+    return (f'avg(CASE WHEN revenue IS NOT NULL AND "{model}" IS NOT NULL THEN '
+            f'CASE WHEN abs(revenue) + abs("{model}") = 0 THEN 0.0 '
+            f'ELSE abs({e}) / (abs(revenue) + abs("{model}")) END END)')
+
+
+ORACLES["cv_metrics"] = "WITH " + _CV + ",\nper AS (\n" + "\nUNION ALL\n".join(
+    f"SELECT seller_id, cutoff, '{m}' AS metric, {_metric_sql(m, 'Naive')} AS \"Naive\", "
+    f"{_metric_sql(m, 'SeasonalNaive')} AS \"SeasonalNaive\" FROM cv GROUP BY seller_id, cutoff"
+    for m in ("mae", "mape", "rmse", "smape")) + """)
+SELECT metric, round(avg("Naive"), 6) AS "Naive", round(avg("SeasonalNaive"), 6) AS "SeasonalNaive"
+FROM per GROUP BY metric
+"""
+
+ORACLES["best_model"] = "WITH " + _CV + """,
+per AS (SELECT seller_id, cutoff, avg(abs(revenue - "Naive")) AS n_mae,
+               avg(abs(revenue - "SeasonalNaive")) AS s_mae FROM cv GROUP BY 1, 2),
+agg AS (SELECT seller_id, avg(n_mae) AS "Naive", avg(s_mae) AS "SeasonalNaive" FROM per GROUP BY 1),
+ch AS (SELECT seller_id,
+         CASE WHEN "SeasonalNaive" < "Naive" THEN 'SeasonalNaive' ELSE 'Naive' END AS best_model,
+         least("Naive", "SeasonalNaive") AS best_value FROM agg),
+last AS (SELECT seller_id, n, max(month) AS last_ds, arg_max(revenue, month) AS last_y FROM rk GROUP BY 1, 2),
+f AS (SELECT l.seller_id, CAST(l.last_ds + to_months(CAST(k.k AS INTEGER)) AS TIMESTAMP) AS month,
+             l.last_y AS nv, s.revenue AS sv
+      FROM last l CROSS JOIN range(1, 4) k(k)
+      LEFT JOIN rk s ON s.seller_id = l.seller_id AND s.rn = l.n - 12 + 1 + ((k.k - 1) % 12))
+SELECT f.seller_id, f.month, ch.best_model, round(ch.best_value, 6) AS cv_mae,
+       round(CASE WHEN ch.best_model = 'Naive' THEN nv ELSE sv END, 6) AS yhat
+FROM f JOIN ch USING (seller_id)
+"""
+
+
+# ---------------------------------------------------------------- hierarchy
+
+HIER = DAILY.strip() + """,
+tree AS (SELECT CAST(s_suppkey AS VARCHAR) AS unique_id, r_name AS region, n_name AS nation
+         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+S AS (SELECT 'total' AS node, unique_id AS bottom, 1.0::DOUBLE AS weight FROM tree
+      UNION ALL SELECT region, unique_id, 1.0 FROM tree
+      UNION ALL SELECT region || '/' || nation, unique_id, 1.0 FROM tree
+      UNION ALL SELECT unique_id, unique_id, 1.0 FROM tree),
+bn AS (SELECT unique_id, max(ds) AS last_ds, arg_max(y, ds) AS last_y FROM dpanel GROUP BY 1),
+bfc AS (SELECT unique_id, CAST(last_ds + INTERVAL (k) DAY AS TIMESTAMP) AS ds, last_y AS "Naive"
+        FROM bn CROSS JOIN range(1, 8) r(k)),
+bu AS (SELECT S.node AS unique_id, f.ds, sum(S.weight * f."Naive") AS "Naive"
+       FROM bfc f JOIN S ON S.bottom = f.unique_id GROUP BY 1, 2)
+"""
+
+ORACLES["hier_levels"] = "WITH " + HIER + """,
+g AS (SELECT region, nation, p.unique_id, ds, sum(y) AS y
+      FROM dpanel p JOIN tree t USING (unique_id)
+      GROUP BY GROUPING SETS ((region, nation, p.unique_id, ds), (region, nation, ds), (region, ds), (ds)))
+SELECT CASE WHEN unique_id IS NOT NULL THEN unique_id
+            WHEN nation IS NOT NULL THEN region || '/' || nation
+            WHEN region IS NOT NULL THEN region ELSE 'total' END AS unique_id,
+       ds, y,
+       CASE WHEN unique_id IS NOT NULL THEN 'unique_id' WHEN nation IS NOT NULL THEN 'nation'
+            WHEN region IS NOT NULL THEN 'region' ELSE 'total' END AS level
+FROM g
+"""
+
+ORACLES["hier_summing"] = "WITH " + HIER + "\nSELECT * FROM S"
+ORACLES["bottom_up"] = "WITH " + HIER + "\nSELECT * FROM bu"
+ORACLES["coherence_gap"] = "WITH " + HIER + """
+SELECT max(abs(bu."Naive" - s."Naive")) AS max_gap, count(*) AS n_checked
+FROM bu JOIN (SELECT S.node AS unique_id, b.ds, sum(S.weight * b."Naive") AS "Naive"
+              FROM bu b JOIN S ON S.bottom = b.unique_id GROUP BY 1, 2) s USING (unique_id, ds)
+"""
