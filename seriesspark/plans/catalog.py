@@ -593,7 +593,8 @@ def knn_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _canon_split(Tables(spark, sf_dir))
     feats = ["lag1", "lag7", "lag14", "expanding_mean_lag7"]
     return knn_regress(train, test.select("unique_id", "ds", "y", *feats), feats, 5, "y",
-                       ["unique_id", "ds"]).select("unique_id", "ds", "y", "knn")
+                       ["unique_id", "ds"], bucket_length=0.5, num_tables=2,
+                       threshold=1.0).select("unique_id", "ds", "y", "knn")
 
 
 @query
@@ -623,3 +624,111 @@ def forecast_table_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT * FROM ts_forecast(
           TABLE(SELECT unique_id AS grp, ds, y FROM daily_panel_view) PARTITION BY grp ORDER BY ds,
           horizon => '2001-11-12', frequency => 'D', prediction_interval_width => 0.8)""")
+
+
+# ------------------------------------------------------------ small relational operators
+
+@query
+def item_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection, computed/renamed/cast/dropped columns via a view."""
+    t = Tables(spark, sf_dir)
+    t["lineitem"].createOrReplaceTempView("lineitem_scan")
+    df = spark.sql("""
+        SELECT l_orderkey AS order_id, l_linenumber AS line, CAST(l_quantity AS INT) AS qty,
+               l_extendedprice + round(l_extendedprice * l_tax, 4) AS item_total,
+               round(sqrt(abs(l_extendedprice)), 6) AS price_sqrt,
+               CAST(floor(l_discount * 100) AS BIGINT) AS discount_pct,
+               greatest(l_tax, l_discount) AS max_rate, 'item' AS kind, l_returnflag
+        FROM lineitem_scan WHERE l_quantity > 0""")
+    return df.drop("l_returnflag")
+
+
+@query
+def event_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of two types after a date, first 100 in time order."""
+    from seriesspark.sources.tables import head
+    ev = Tables(spark, sf_dir)["events"]
+    sl = ev.filter(F.col("event_type").isin("click", "view")
+                   & (F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")))
+    return head(sl.select("event_id", "ts", "event_type", "value"), 100, "ts", "event_id")
+
+
+@query
+def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lenient parse (invalid text to NULL) and strict parse of valid text."""
+    ev = Tables(spark, sf_dir)["events"]
+    txt = F.when(F.col("event_type") == "error", F.lit("not a time")).otherwise(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    df = ev.select("event_id", txt.alias("ts_text"))
+    return df.select("event_id", F.try_to_timestamp("ts_text").cast("timestamp_ntz").alias("lenient"),
+                     F.when(F.col("ts_text") != "not a time",
+                            F.to_timestamp("ts_text", "yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("strict"))
+
+
+@query
+def calendar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month-start calendar over the order dates with calendar features."""
+    from seriesspark.functions.frequency import date_range, days_in_month, month_start
+    o = Tables(spark, sf_dir)["orders"]
+    lo = o.select(F.min(month_start("o_orderdate"))).scalar()
+    hi = o.select(F.max(month_start("o_orderdate"))).scalar()
+    cal = spark.range(1).select(F.explode(date_range(lo, hi, "MS")).alias("month"))
+    return cal.select("month", F.quarter("month").alias("quarter"), days_in_month("month").alias("daysinmonth"))
+
+
+@query
+def panel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, bounds, axis range and first id of the seller panel."""
+    p = seller_panel(Tables(spark, sf_dir), 8)
+    return round_doubles(p.agg(F.countDistinct("seller_id").alias("n_series"), F.count(F.lit(1)).alias("n_rows"),
+                               F.min("month").alias("first_month"), F.max("month").alias("last_month"),
+                               F.greatest(F.lit(0.0), F.min("revenue") * 0.9).alias("axis_min"),
+                               (F.max("revenue") * 1.1).alias("axis_max"),
+                               F.min("seller_id").alias("first_seller")))
+
+
+@query
+def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered 90/10 split of every daily series."""
+    from seriesspark.operators.split import ordered_split as osplit
+    return osplit(daily_filled(Tables(spark, sf_dir)), 0.9).select("unique_id", "ds", "split")
+
+
+@query
+def row_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel rows not in the holdout (anti-join on id and time)."""
+    train_test_panel = _seller_y(Tables(spark, sf_dir))
+    _, test = _seller_split(Tables(spark, sf_dir))
+    return rel.anti_join(train_test_panel, test.select("seller_id", "month"), ["seller_id", "month"])
+
+
+@query
+def model_metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics per seller and model, long."""
+    from seriesspark.functions.metrics import METRICS
+    from seriesspark.operators.forecast import closed_form_forecast, to_long
+    train, test = _seller_split(Tables(spark, sf_dir))
+    models = ("Naive", "SeasonalNaive")
+    long = to_long(closed_form_forecast(train, H_SELLER, "MS", models, M_SELLER, cols=SELLER), models, SELLER)
+    j = rel.natural_join(test, long)
+    y, yhat = F.col("revenue"), F.col("yhat")
+    agg = j.groupBy("seller_id", "model").agg(*[fn(y, yhat).alias(n) for n, fn in METRICS.items()])
+    names = list(METRICS)
+    stacked = agg.selectExpr("seller_id", "model",
+                             f"stack({len(names)}, " + ", ".join(f"'{n}', `{n}`" for n in names) + ") AS (metric, value)")
+    return round_doubles(stacked)
+
+
+@query
+def exog_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Future exogenous values (line counts) attached to the 7-day horizon rows."""
+    from seriesspark.operators.features import join_future_exog
+    from seriesspark.operators.grid import horizon_grid
+    from seriesspark.operators.split import train_test
+    t = Tables(spark, sf_dir)
+    lines = (t["lineitem"].groupBy(F.col("l_suppkey").cast("string").alias("unique_id"), F.col("l_shipdate").alias("ds"))
+             .agg(F.count(F.lit(1)).alias("n_lines")))
+    train, _ = train_test(daily_filled(t), H_DAILY)
+    last = train.groupBy("unique_id").agg(F.max("ds").alias("_last_ds"))
+    hz = horizon_grid(last, H_DAILY, "D").select("unique_id", "ds", "k")
+    return join_future_exog(hz, lines).withColumnRenamed("_missing_exog", "missing_exog")

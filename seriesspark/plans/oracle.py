@@ -499,3 +499,80 @@ SELECT max(abs(bu."Naive" - s."Naive")) AS max_gap, count(*) AS n_checked
 FROM bu JOIN (SELECT S.node AS unique_id, b.ds, sum(S.weight * b."Naive") AS "Naive"
               FROM bu b JOIN S ON S.bottom = b.unique_id GROUP BY 1, 2) s USING (unique_id, ds)
 """
+
+
+# ---------------------------------------------------------------- small relational operators
+
+ORACLES["item_projection"] = """
+SELECT l_orderkey AS order_id, l_linenumber AS line, CAST(l_quantity AS INTEGER) AS qty,
+       l_extendedprice + round(l_extendedprice * l_tax, 4) AS item_total,
+       round(sqrt(abs(l_extendedprice)), 6) AS price_sqrt,
+       CAST(floor(l_discount * 100) AS BIGINT) AS discount_pct,
+       greatest(l_tax, l_discount) AS max_rate, 'item' AS kind
+FROM lineitem WHERE l_quantity > 0
+"""
+
+ORACLES["event_slice"] = """
+SELECT event_id, ts, event_type, value FROM events
+WHERE event_type IN ('click', 'view') AND ts > TIMESTAMP '2024-01-15 00:00:00'
+ORDER BY ts, event_id LIMIT 100
+"""
+
+ORACLES["parse_times"] = """
+SELECT event_id,
+  CAST(try_strptime(CASE WHEN event_type = 'error' THEN 'not a time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END,
+                    '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS lenient,
+  CASE WHEN event_type <> 'error' THEN CAST(strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) END AS strict
+FROM events
+"""
+
+ORACLES["calendar_grid"] = """
+SELECT CAST(m AS TIMESTAMP) AS month, CAST(quarter(m) AS INTEGER) AS quarter,
+       CAST(day(last_day(m)) AS INTEGER) AS daysinmonth
+FROM (SELECT unnest(generate_series((SELECT min(date_trunc('month', o_orderdate)) FROM orders),
+                                    (SELECT max(date_trunc('month', o_orderdate)) FROM orders),
+                                    INTERVAL 1 MONTH)) AS m)
+"""
+
+ORACLES["panel_profile"] = "WITH " + seller_panel_ctes(8) + """
+SELECT count(DISTINCT seller_id) AS n_series, count(*) AS n_rows, min(month) AS first_month,
+       max(month) AS last_month, round(greatest(0.0, min(revenue) * 0.9), 6) AS axis_min,
+       round(max(revenue) * 1.1, 6) AS axis_max, min(seller_id) AS first_seller
+FROM panel
+"""
+
+ORACLES["ordered_split"] = "WITH " + DAILY.strip() + """
+SELECT unique_id, ds,
+  CASE WHEN row_number() OVER (PARTITION BY unique_id ORDER BY ds)
+            <= floor(0.9 * count(*) OVER (PARTITION BY unique_id)) THEN 'train' ELSE 'valid' END AS split
+FROM dpanel
+"""
+
+ORACLES["row_difference"] = "WITH " + SELLER_SPLIT + "\nSELECT seller_id, month, revenue FROM train"
+
+ORACLES["model_metrics_long"] = "WITH " + SELLER_SPLIT + """,
+j AS (SELECT t.seller_id, p.approach AS model, t.revenue AS y, p.predictions AS yhat
+      FROM test t JOIN preds p ON p.seller_id = t.seller_id AND p.month = t.month),
+m AS (SELECT seller_id, model,
+        avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) * (y - yhat))) AS rmse,
+        avg(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END) AS mape,
+        avg(CASE WHEN y > 0 THEN abs(y - yhat) / y END) AS mape_pos,
+        avg(CASE WHEN y IS NOT NULL AND yhat IS NOT NULL THEN
+              CASE WHEN abs(y) + abs(yhat) = 0 THEN 0.0 ELSE abs(y - yhat) / (abs(y) + abs(yhat)) END END) AS smape,
+        avg(y - yhat) AS bias
+      FROM j GROUP BY 1, 2)
+SELECT seller_id, model, metric, round(value, 6) AS value
+FROM m UNPIVOT INCLUDE NULLS (value FOR metric IN (mae, rmse, mape, mape_pos, smape, bias))
+"""
+
+ORACLES["exog_horizon"] = "WITH " + DAILY.strip() + """,
+lines AS (SELECT CAST(l_suppkey AS VARCHAR) AS unique_id, l_shipdate AS ds, count(*) AS n_lines
+          FROM lineitem GROUP BY 1, 2),
+tr AS (SELECT unique_id, ds FROM dpanel
+       QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) > 7),
+last AS (SELECT unique_id, max(ds) AS last_ds FROM tr GROUP BY 1),
+hz AS (SELECT unique_id, CAST(last_ds + INTERVAL (k) DAY AS TIMESTAMP) AS ds, CAST(k AS INTEGER) AS k
+       FROM last CROSS JOIN range(1, 8) r(k))
+SELECT hz.unique_id, hz.ds, hz.k, l.n_lines, l.n_lines IS NULL AS missing_exog
+FROM hz LEFT JOIN lines l USING (unique_id, ds)
+"""
