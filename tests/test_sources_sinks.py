@@ -33,7 +33,8 @@ def test_artifacts_and_metrics(spark):
 def test_streaming_panel_matches_batch(spark):
     src = "/root/testdata/sf0.001/events.parquet"
     schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).format("parquet").load(src)
+    stream = (spark.readStream.schema(schema).format("parquet")
+              .option("pathGlobFilter", "events.parquet").load(os.path.dirname(src)))
     q = (ten_minute_stream(stream).writeStream.outputMode("complete").format("memory")
          .queryName("ss_panel_stream").start())
     q.processAllAvailable()
