@@ -84,25 +84,28 @@ def coherence_gap(values: DataFrame, S: DataFrame, value_col: str, cols: Cols =
 # ------------------------------------------------------------ MinT with shrinkage
 
 def _gram_partials(node_index: dict, value_col: str, id_col: str):
+    """Per-partition moment sums as dense BLAS products.
+
+    Rows are repartitioned by timestamp, so every timestamp's residual vector
+    lives in one partition; the partition is assembled into a (timestamps x
+    nodes) block and reduced with ``X.T @ X`` (and the same on squares).
+    """
     k = len(node_index)
 
     def fn(it):
-        acc = np.zeros((k, k))
-        acc2 = np.zeros((k, k))
-        s1 = np.zeros(k)
-        cnt = np.zeros((k, k))
-        for pdf in it:
-            if pdf.empty:
-                continue
-            for _, grp in pdf.groupby("_t"):
-                x = np.full(k, np.nan)
-                x[grp["_i"].to_numpy()] = grp[value_col].to_numpy()
-                m = ~np.isnan(x)
-                xv = np.where(m, x, 0.0)
-                acc += np.outer(xv, xv)
-                acc2 += np.outer(xv * xv, xv * xv)
-                s1 += xv
-                cnt += np.outer(m, m)
+        pdf = pd.concat(list(it), ignore_index=True)
+        if pdf.empty:
+            return
+        _, t_idx = np.unique(pdf["_t"].to_numpy(), return_inverse=True)
+        X = np.full((int(t_idx.max()) + 1, k), np.nan)
+        X[t_idx, pdf["_i"].to_numpy()] = pdf[value_col].to_numpy()
+        mask = ~np.isnan(X)
+        Xv = np.where(mask, X, 0.0)
+        M = mask.astype(float)
+        acc = Xv.T @ Xv
+        acc2 = (Xv * Xv).T @ (Xv * Xv)
+        cnt = M.T @ M
+        s1 = Xv.sum(axis=0)
         i, j = np.nonzero(cnt)
         yield pd.DataFrame({"i": i, "j": j, "xx": acc[i, j], "x2x2": acc2[i, j], "n": cnt[i, j],
                             "si": s1[i], "sj": s1[j]})
