@@ -78,3 +78,19 @@ def days_in_month(ds: Column | str) -> Column:
 def bucket_timestamp(ts: Column | str, freq: str) -> Column:
     """Start of the fixed-width bucket holding ``ts`` (10-minute panel)."""
     return F.window(ts, interval_literal(freq).lower()).start.cast("timestamp_ntz")
+
+
+# Length in seconds of the fixed-width frequencies.
+FREQ_SECONDS = {"D": 86400, "d": 86400, "H": 3600, "h": 3600, "10min": 600, "min": 60, "W": 7 * 86400}
+
+
+def step_index(ds: Column | str, freq: str) -> Column:
+    """Integer position of ``ds`` on the ``freq`` grid counted from the epoch.
+
+    Computed from the row alone (no window), so it can key a partitioning.
+    """
+    ds = F.col(ds) if isinstance(ds, str) else ds
+    if freq == "MS":
+        return (F.year(ds) * 12 + F.month(ds) - 1).cast("long")
+    secs = F.unix_seconds(ds.cast("timestamp"))
+    return F.floor(secs / F.lit(FREQ_SECONDS[freq])).cast("long")

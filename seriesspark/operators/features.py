@@ -96,15 +96,78 @@ def undifference(forecasts: DataFrame, last_level: DataFrame, cols: Cols = DEFAU
     return j.withColumns({c: F.col(level_col) + F.sum(F.col(c)).over(w) for c in value_cols}).drop(level_col)
 
 
+def blocked_window(df: DataFrame, cols: Cols, freq: str, block_size: int, halo: int,
+                   columns) -> DataFrame:
+    """Evaluate look-back window columns on time blocks of every series.
+
+    Rows are keyed by ``(id, block)`` where ``block = step_index // block_size``;
+    the last ``halo`` grid steps of each block are copied into the next block
+    as look-back context and dropped after evaluation. A series holding a
+    third of all rows is therefore spread over ``n / block_size`` tasks
+    instead of one. ``columns(w)`` returns ``{name: Column}`` built on the
+    block window ``w``; every column may look back at most ``halo`` rows.
+    Exact on a regular grid (gap-fill first).
+    """
+    if halo > block_size:
+        raise ValueError(f"halo {halo} exceeds block size {block_size}")
+    from seriesspark.functions.frequency import step_index
+
+    idx = step_index(F.col(cols.ds), freq)
+    staged = df.withColumn("_blk", F.floor(idx / block_size)).withColumn("_pos", idx - F.col("_blk") * block_size)
+    own = F.struct(F.col("_blk").alias("b"), F.lit(False).alias("h"))
+    if halo > 0:
+        nxt = F.when(F.col("_pos") >= block_size - halo,
+                     F.struct((F.col("_blk") + 1).alias("b"), F.lit(True).alias("h")))
+        copies = F.filter(F.array(own, nxt), lambda c: c.isNotNull())
+    else:
+        copies = F.array(own)
+    exploded = (staged.select("*", F.explode(copies).alias("_copy"))
+                .select(*df.columns, F.col("_copy.b").alias("_pblk"), F.col("_copy.h").alias("_halo")))
+    w = Window.partitionBy(cols.id, "_pblk").orderBy(cols.ds)
+    cols_out = columns(w)
+    out = exploded.select(*df.columns, "_pblk", "_halo", *[c.alias(n) for n, c in cols_out.items()])
+    return out.filter(~F.col("_halo")).drop("_halo")
+
+
+def _running_totals(df: DataFrame, cols: Cols, freq: str, block_size: int) -> DataFrame:
+    """``_run_s``/``_run_n``: sum and count of non-null ``y`` up to each row, blockwise.
+
+    Within-block running totals plus the totals of all earlier blocks of the
+    series (an aggregate per block and a window over the few block rows).
+    """
+    from seriesspark.functions.frequency import step_index
+
+    with_blk = df.withColumn("_pblk", F.floor(step_index(F.col(cols.ds), freq) / block_size))
+    w = (Window.partitionBy(cols.id, "_pblk").orderBy(cols.ds)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = with_blk.select("*", F.sum(cols.y).over(w).alias("_rs"), F.count(cols.y).over(w).alias("_rc"))
+    tot = with_blk.groupBy(cols.id, "_pblk").agg(F.sum(cols.y).alias("_bs"), F.count(cols.y).alias("_bc"))
+    wb = Window.partitionBy(cols.id).orderBy("_pblk").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = tot.select(cols.id, "_pblk", F.coalesce(F.sum("_bs").over(wb), F.lit(0)).alias("_ps"),
+                        F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_pc"))
+    j = run.join(prefix, [cols.id, "_pblk"], "inner")
+    return j.select(*df.columns, (F.col("_ps") + F.coalesce(F.col("_rs"), F.lit(0))).alias("_run_s"),
+                    (F.col("_pc") + F.col("_rc")).alias("_run_n"))
+
+
 def lag_features(df: DataFrame, lags=(), lag_transforms: dict | None = None,
                  date_features=(), differences=(), cols: Cols = DEFAULT,
-                 dropna: bool = True, keep: list[str] | None = None) -> DataFrame:
+                 dropna: bool = True, keep: list[str] | None = None,
+                 block_size: int | None = None, freq: str | None = None) -> DataFrame:
     """Feature frame for a global model (F15 preprocessing, W7-W10, X7, P14).
 
     Order (fixed): difference the target first (if any), compute lags and
     transforms on the differenced target, add calendar features, then drop
     rows where any feature or the target is NULL.
+
+    ``block_size`` + ``freq`` switch to the time-blocked evaluation
+    (``blocked_window``): same values on a regular grid, but no series is
+    confined to one task. Expanding means then come from blockwise running
+    totals instead of an unbounded frame.
     """
+    if block_size:
+        return _lag_features_blocked(df, lags, lag_transforms or {}, date_features, differences, cols,
+                                     dropna, keep, block_size, freq)
     for d in differences:
         df = difference(df, cols, d)
     w = series_window(cols)
@@ -122,15 +185,68 @@ def lag_features(df: DataFrame, lags=(), lag_transforms: dict | None = None,
     return out
 
 
+def _lag_features_blocked(df, lags, lag_transforms, date_features, differences, cols, dropna, keep,
+                          block_size, freq):
+    if not freq:
+        raise ValueError("block_size needs freq")
+    y = cols.y
+    for d in differences:
+        df = blocked_window(df, cols, freq, block_size, d,
+                            lambda w, d=d: {"_yd": F.col(y) - F.lag(y, d).over(w)})
+        df = df.drop(y, "_pblk").withColumnRenamed("_yd", y)
+    base_cols = list(keep or df.columns)
+    expanding = [k for k, trs in lag_transforms.items() if any(isinstance(t, ExpandingMean) for t in trs)]
+    if expanding:
+        df = _running_totals(df, cols, freq, block_size)
+    halo = max([*lags, *expanding, 0,
+                *[k + t.window_size - 1 for k, trs in lag_transforms.items() for t in trs
+                  if not isinstance(t, ExpandingMean)]])
+    names: list[str] = []
+
+    def columns(w):
+        out: dict[str, Column] = {}
+        for k in lags:
+            out[f"lag{k}"] = F.lag(y, k).over(w)
+        for k, trs in lag_transforms.items():
+            for tr in trs:
+                if isinstance(tr, ExpandingMean):
+                    out[tr.name(k)] = F.try_divide(F.lag("_run_s", k).over(w), F.lag("_run_n", k).over(w))
+                else:
+                    out[tr.name(k)] = tr.column(y, k, w)
+        names.extend(out)
+        return out
+
+    feats = blocked_window(df, cols, freq, block_size, halo, columns)
+    for name in date_features:
+        feats = feats.withColumn(name, DATE_FEATURES[name](F.col(cols.ds)))
+        names.append(name)
+    out = feats.select(*base_cols, *names)
+    if dropna:
+        out = out.na.drop(subset=[y, *names])
+    return out
+
+
 def rolling_stats(df: DataFrame, windows=(144, 720), cols: Cols = DEFAULT,
-                  exact_scale: int | None = None) -> DataFrame:
+                  exact_scale: int | None = None, block_size: int | None = None,
+                  freq: str | None = None) -> DataFrame:
     """Rolling mean and sample std including the current row.
 
     Emitted only when the full window of non-null values exists. With
     ``exact_scale`` (for fixed-place data) the mean is an exact decimal sum
-    divided once, so it does not depend on summation order.
+    divided once, so it does not depend on summation order. ``block_size`` +
+    ``freq`` evaluate on time blocks with a halo (``blocked_window``).
     """
-    w = series_window(cols)
+    if block_size:
+        stats = lambda w: _rolling_columns(w, windows, cols, exact_scale)
+        out = blocked_window(df.select(cols.id, cols.ds, cols.y), cols, freq, block_size,
+                             max(windows) - 1, stats)
+        return out.drop("_pblk")
+    return df.select(cols.id, cols.ds, cols.y,
+                     *[c.alias(n) for n, c in _rolling_columns(series_window(cols), windows, cols,
+                                                               exact_scale).items()])
+
+
+def _rolling_columns(w, windows, cols: Cols, exact_scale: int | None) -> dict:
     out = {}
     for size in windows:
         frame = w.rowsBetween(-(size - 1), 0)
@@ -142,7 +258,7 @@ def rolling_stats(df: DataFrame, windows=(144, 720), cols: Cols = DEFAULT,
                     / F.count(F.col(cols.y)).over(frame))
         out[f"rolling_mean_{size}"] = F.when(full, mean)
         out[f"rolling_std_{size}"] = F.when(full, F.stddev_samp(cols.y).over(frame))
-    return df.select(cols.id, cols.ds, cols.y, *[c.alias(n) for n, c in out.items()])
+    return out
 
 
 def window_label(size: int, steps_per_day: int) -> Column:

@@ -193,6 +193,18 @@ def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
               lag_transforms={7: [ExpandingMean()], 14: [RollingMean(7)], 30: [RollingMean(14)]})
 
 
+@query
+def lag_features_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7-W9 on 400-day time blocks with a look-back halo: the skew-safe plan
+    for series too long for one task; same rows as ``lag_features``."""
+    from seriesspark.operators.features import ExpandingMean, RollingMean, lag_features as lf
+    t = Tables(spark, sf_dir)
+    panel = daily_filled(t).join(b.static_attributes(t), "unique_id", "inner")
+    return lf(panel, lags=[1, 2, 3, 7, 14, 30, 360],
+              lag_transforms={7: [ExpandingMean()], 14: [RollingMean(7)], 30: [RollingMean(14)]},
+              block_size=400, freq="D")
+
+
 @query
 def differenced_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differenced target, lags 3/6, transforms, calendar features."""
@@ -203,6 +215,16 @@ def differenced_features(spark: SparkSession, sf_dir: str) -> DataFrame:
               date_features=["quarter", "daysinmonth"], differences=[1])
 
 
+@query
+def differenced_features_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10, X7 on 100-day time blocks; same rows as ``differenced_features``."""
+    from seriesspark.operators.features import ExpandingMean, RollingMean, lag_features as lf
+    t = Tables(spark, sf_dir)
+    return lf(daily_filled(t), lags=[3, 6],
+              lag_transforms={3: [ExpandingMean(), RollingMean(3)], 6: [ExpandingMean(), RollingMean(6)]},
+              date_features=["quarter", "daysinmonth"], differences=[1], block_size=100, freq="D")
+
+
 # ------------------------------------------------------------ 10-minute panel (intro path)
 
 TEN_MIN_EXCLUDED = ["error"]
@@ -242,6 +264,18 @@ def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "window_label", F.format_string("%d days", (F.col("window") / 144).cast("int")))
 
 
+@query
+def rolling_stats_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6 on 2-day blocks with a 719-step halo; same rows as ``rolling_stats``."""
+    from seriesspark.operators.features import rolling_stats as rs
+    wide = rs(tenmin_regular(Tables(spark, sf_dir)), (144, 720), exact_scale=4, block_size=1440, freq="10min")
+    long = wide.selectExpr("unique_id", "ds", "y",
+                           "stack(2, 144, rolling_mean_144, rolling_std_144, "
+                           "720, rolling_mean_720, rolling_std_720) AS (window, rolling_mean, rolling_std)")
+    return long.withColumn("rolling_std", F.round("rolling_std", 6)).withColumn(
+        "window_label", F.format_string("%d days", (F.col("window") / 144).cast("int")))
+
+
 @query
 def decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additive decomposition with period 144."""

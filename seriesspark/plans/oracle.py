@@ -576,3 +576,7 @@ hz AS (SELECT unique_id, CAST(last_ds + INTERVAL (k) DAY AS TIMESTAMP) AS ds, CA
 SELECT hz.unique_id, hz.ds, hz.k, l.n_lines, l.n_lines IS NULL AS missing_exog
 FROM hz LEFT JOIN lines l USING (unique_id, ds)
 """
+
+ORACLES["lag_features_blocked"] = ORACLES["lag_features"]
+ORACLES["differenced_features_blocked"] = ORACLES["differenced_features"]
+ORACLES["rolling_stats_blocked"] = ORACLES["rolling_stats"]

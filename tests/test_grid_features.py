@@ -64,3 +64,18 @@ def test_lag_features_known_values_and_no_leak(spark):
         a, b = got[day].asDict(), feats2[day].asDict()
         a.pop("y"), b.pop("y")
         assert a == b
+
+
+def test_blocked_features_equal_plain_with_hot_series(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [("hot", D(2020, 1, 1) + dt.timedelta(days=i), float(rnd.randint(0, 9))) for i in range(900)]
+    rows += [(f"s{k}", D(2022, 1, 1) + dt.timedelta(days=i), float(rnd.randint(0, 9)))
+             for k in range(3) for i in range(40)]
+    df = panel(spark, rows)
+    spec = dict(lags=[1, 7], lag_transforms={1: [ExpandingMean()], 7: [RollingMean(5)]},
+                differences=[1], date_features=["quarter"])
+    plain = lag_features(df, **spec)
+    blocked = lag_features(df, **spec, block_size=64, freq="D")
+    assert plain.count() == blocked.count() > 0
+    assert plain.exceptAll(blocked).count() == 0 and blocked.exceptAll(plain).count() == 0
