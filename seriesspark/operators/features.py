@@ -97,7 +97,7 @@ def undifference(forecasts: DataFrame, last_level: DataFrame, cols: Cols = DEFAU
 
 
 def blocked_window(df: DataFrame, cols: Cols, freq: str, block_size: int, halo: int,
-                   columns) -> DataFrame:
+                   columns, halo_forward: int = 0) -> DataFrame:
     """Evaluate look-back window columns on time blocks of every series.
 
     Rows are keyed by ``(id, block)`` where ``block = step_index // block_size``;
@@ -105,22 +105,26 @@ def blocked_window(df: DataFrame, cols: Cols, freq: str, block_size: int, halo:
     as look-back context and dropped after evaluation. A series holding a
     third of all rows is therefore spread over ``n / block_size`` tasks
     instead of one. ``columns(w)`` returns ``{name: Column}`` built on the
-    block window ``w``; every column may look back at most ``halo`` rows.
-    Exact on a regular grid (gap-fill first).
+    block window ``w``; every column may look back at most ``halo`` rows and
+    ahead at most ``halo_forward`` rows (the first ``halo_forward`` steps of
+    the next block are copied back as look-ahead context). Exact on a regular
+    grid (gap-fill first).
     """
-    if halo > block_size:
-        raise ValueError(f"halo {halo} exceeds block size {block_size}")
+    if halo > block_size or halo_forward > block_size:
+        raise ValueError(f"halo {halo}/{halo_forward} exceeds block size {block_size}")
     from seriesspark.functions.frequency import step_index
 
     idx = step_index(F.col(cols.ds), freq)
     staged = df.withColumn("_blk", F.floor(idx / block_size)).withColumn("_pos", idx - F.col("_blk") * block_size)
     own = F.struct(F.col("_blk").alias("b"), F.lit(False).alias("h"))
+    parts = [own]
     if halo > 0:
-        nxt = F.when(F.col("_pos") >= block_size - halo,
-                     F.struct((F.col("_blk") + 1).alias("b"), F.lit(True).alias("h")))
-        copies = F.filter(F.array(own, nxt), lambda c: c.isNotNull())
-    else:
-        copies = F.array(own)
+        parts.append(F.when(F.col("_pos") >= block_size - halo,
+                            F.struct((F.col("_blk") + 1).alias("b"), F.lit(True).alias("h"))))
+    if halo_forward > 0:
+        parts.append(F.when(F.col("_pos") < halo_forward,
+                            F.struct((F.col("_blk") - 1).alias("b"), F.lit(True).alias("h"))))
+    copies = F.filter(F.array(*parts), lambda c: c.isNotNull()) if len(parts) > 1 else F.array(own)
     exploded = (staged.select("*", F.explode(copies).alias("_copy"))
                 .select(*df.columns, F.col("_copy.b").alias("_pblk"), F.col("_copy.h").alias("_halo")))
     w = Window.partitionBy(cols.id, "_pblk").orderBy(cols.ds)

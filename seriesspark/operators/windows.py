@@ -26,20 +26,37 @@ def window_count(n: int, input_size: int, h: int, step: int = 1, legacy: bool =
 
 
 def window_arrays(df: DataFrame, input_size: int, h: int, step: int = 1,
-                  cols: Cols = DEFAULT, element_type: str = "float") -> DataFrame:
+                  cols: Cols = DEFAULT, element_type: str = "float",
+                  block_size: int | None = None, freq: str | None = None) -> DataFrame:
     """``(id, cutoff, input, output)`` for every legal window.
 
     Values are collected as structs so a NULL ``y`` keeps its slot
-    (``collect_list`` would silently shorten the window).
+    (``collect_list`` would silently shorten the window). With ``block_size``
+    and ``freq`` (regular grid) the frames are evaluated on time blocks with
+    an ``L-1`` look-back and ``H`` look-ahead halo, and row positions come
+    from the grid index, so no series is confined to one task.
     """
-    w = Window.partitionBy(cols.id).orderBy(cols.ds)
-    n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
-    rn = F.row_number().over(w)
     y = cols.y
-    inp = F.collect_list(F.struct(F.col(y).alias("v"))).over(w.rowsBetween(-(input_size - 1), 0))
-    out = F.collect_list(F.struct(F.col(y).alias("v"))).over(w.rowsBetween(1, h))
-    staged = df.select(cols.id, cols.ds, rn.alias("_rn"), n.alias("_n"),
-                       inp.alias("_in"), out.alias("_out"))
+
+    def frames(w):
+        return {"_in": F.collect_list(F.struct(F.col(y).alias("v"))).over(w.rowsBetween(-(input_size - 1), 0)),
+                "_out": F.collect_list(F.struct(F.col(y).alias("v"))).over(w.rowsBetween(1, h))}
+
+    if block_size:
+        from seriesspark.functions.frequency import step_index
+        from seriesspark.operators.features import blocked_window
+        idx = step_index(F.col(cols.ds), freq)
+        bounds = df.groupBy(cols.id).agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"))
+        ev = blocked_window(df.select(cols.id, cols.ds, cols.y), cols, freq, block_size, input_size - 1,
+                            frames, halo_forward=h)
+        staged = (ev.join(bounds, cols.id, "inner")
+                  .select(cols.id, cols.ds, (idx - F.col("_lo") + 1).alias("_rn"),
+                          (F.col("_hi") - F.col("_lo") + 1).alias("_n"), "_in", "_out"))
+    else:
+        w = Window.partitionBy(cols.id).orderBy(cols.ds)
+        n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
+        staged = df.select(cols.id, cols.ds, F.row_number().over(w).alias("_rn"), n.alias("_n"),
+                           *[c.alias(k) for k, c in frames(w).items()])
     keep = ((F.col("_rn") >= input_size) & (F.col("_rn") <= F.col("_n") - h)
             & (((F.col("_n") - h - F.col("_rn")) % step) == 0))
     return (staged.filter(keep)

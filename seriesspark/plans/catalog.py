@@ -374,6 +374,16 @@ def window_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
                       _fmt_array(F.col("output")).alias("output"))
 
 
+@query
+def window_arrays_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W11 on 24-month blocks with look-back/look-ahead halos; same rows as ``window_arrays``."""
+    from seriesspark.operators.windows import window_arrays as wa
+    arr = wa(_seller_y(Tables(spark, sf_dir)), L_WIN, H_WIN, 1, SELLER, element_type="double",
+             block_size=24, freq="MS")
+    return arr.select("seller_id", "cutoff", _fmt_array(F.col("input")).alias("input"),
+                      _fmt_array(F.col("output")).alias("output"))
+
+
 @query
 def window_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows stacked into labelled long rows."""

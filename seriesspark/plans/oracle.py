@@ -580,3 +580,4 @@ FROM hz LEFT JOIN lines l USING (unique_id, ds)
 ORACLES["lag_features_blocked"] = ORACLES["lag_features"]
 ORACLES["differenced_features_blocked"] = ORACLES["differenced_features"]
 ORACLES["rolling_stats_blocked"] = ORACLES["rolling_stats"]
+ORACLES["window_arrays_blocked"] = ORACLES["window_arrays"]

@@ -66,3 +66,12 @@ def test_difference_inverse_identity(spark):
     last = spark.createDataFrame([("a", 5.0)], "unique_id string, _last_level double")
     back = {r.ds.day: r.y for r in undifference(d, last).collect()}
     assert back == {day: float(day) for day in range(6, 11)}
+
+
+def test_window_arrays_blocked_equal_plain(spark):
+    df = series(spark, 200, ("a", "b", "c"))
+    for step in (1, 4):
+        plain = window_arrays(df, 20, 7, step, element_type="double")
+        blocked = window_arrays(df, 20, 7, step, element_type="double", block_size=30, freq="D")
+        assert plain.count() == blocked.count() == 3 * window_count(200, 20, 7, step)
+        assert plain.exceptAll(blocked).count() == 0
