@@ -36,16 +36,33 @@ def normal_quantile(level: float) -> float:
     return NormalDist().inv_cdf(0.5 + level / 200.0)
 
 
-def _summary(df: DataFrame, cols: Cols, season_length: int) -> DataFrame:
-    w = Window.partitionBy(cols.id).orderBy(cols.ds)
-    n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
+def _summary(df: DataFrame, cols: Cols, season_length: int, block_size: int | None = None,
+             freq: str | None = None) -> DataFrame:
+    """One row per series: last stamp/value, residual variances, last season.
+
+    With ``block_size`` (regular grid) the residuals and the "last m rows"
+    flag come from a time-blocked window with an ``m``-step halo both ways
+    (the flag is ``lead(ds, m) IS NULL``), so a hot series is spread over
+    blocks and the per-series reduction is a partially aggregated group-by.
+    """
     y = F.col(cols.y)
     m = season_length
-    staged = df.select(
-        cols.id, cols.ds, cols.y,
-        (y - F.lag(y, 1).over(w)).alias("_e1"),
-        (y - F.lag(y, m).over(w)).alias("_em"),
-        (F.row_number().over(w) > n - m).alias("_in_season"))
+    if block_size:
+        from seriesspark.operators.features import blocked_window
+
+        def cols_fn(w):
+            return {"_e1": y - F.lag(y, 1).over(w), "_em": y - F.lag(y, m).over(w),
+                    "_in_season": F.lead(cols.ds, m).over(w).isNull()}
+        staged = blocked_window(df.select(cols.id, cols.ds, cols.y), cols, freq, block_size,
+                                max(m, 1), cols_fn, halo_forward=m)
+    else:
+        w = Window.partitionBy(cols.id).orderBy(cols.ds)
+        n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
+        staged = df.select(
+            cols.id, cols.ds, cols.y,
+            (y - F.lag(y, 1).over(w)).alias("_e1"),
+            (y - F.lag(y, m).over(w)).alias("_em"),
+            (F.row_number().over(w) > n - m).alias("_in_season"))
     return staged.groupBy(cols.id).agg(
         F.max(cols.ds).alias("_last_ds"),
         F.count(F.lit(1)).alias("_n"),
@@ -69,13 +86,14 @@ def _model_columns(model: str, m: int, y_col: str) -> tuple[Column, Column]:
 
 def closed_form_forecast(df: DataFrame, h: int, freq: str, models=CLOSED_FORM,
                          season_length: int = 1, level: list[int] | None = None,
-                         cols: Cols = DEFAULT) -> DataFrame:
+                         cols: Cols = DEFAULT, block_size: int | None = None) -> DataFrame:
     """Wide forecast frame ``(id, ds, <model>, <model>-lo-<l>, <model>-hi-<l>)``.
 
     The season array holds the last ``m`` values only, so the summary row of
-    a series is bounded by ``m`` regardless of its length.
+    a series is bounded by ``m`` regardless of its length. ``block_size``
+    selects the time-blocked summary for panels with very long series.
     """
-    summary = _summary(df, cols, season_length)
+    summary = _summary(df, cols, season_length, block_size, freq)
     grid = horizon_grid(summary, h, freq, cols)
     proj = [F.col(cols.id), F.col(cols.ds)]
     for model in models:

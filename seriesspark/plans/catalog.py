@@ -154,6 +154,15 @@ def naive_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               M_SELLER, level=[80], cols=SELLER))
 
 
+@query
+def naive_intervals_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F2, F7 from the time-blocked summary (24-month blocks); same rows as ``naive_intervals``."""
+    from seriesspark.operators.forecast import closed_form_forecast
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return round_doubles(closed_form_forecast(train, H_SELLER, "MS", ("Naive", "SeasonalNaive"),
+                                              M_SELLER, level=[80], cols=SELLER, block_size=24))
+
+
 @query
 def fitted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: in-sample fitted values of both closed-form models."""

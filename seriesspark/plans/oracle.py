@@ -581,3 +581,4 @@ ORACLES["lag_features_blocked"] = ORACLES["lag_features"]
 ORACLES["differenced_features_blocked"] = ORACLES["differenced_features"]
 ORACLES["rolling_stats_blocked"] = ORACLES["rolling_stats"]
 ORACLES["window_arrays_blocked"] = ORACLES["window_arrays"]
+ORACLES["naive_intervals_blocked"] = ORACLES["naive_intervals"]
