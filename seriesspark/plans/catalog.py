@@ -192,6 +192,14 @@ def fill_gaps_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_filled(Tables(spark, sf_dir))
 
 
+@query
+def fill_gaps_global_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11, P13 with 100-day time blocks; same rows as ``fill_gaps_global``."""
+    t = Tables(spark, sf_dir)
+    return fill_grid(b.daily_panel(t), Cols(), "D", start="global", end="global", zero_cols=["y"],
+                     block_size=100)
+
+
 @query
 def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical lag feature set with static attributes."""
@@ -261,6 +269,12 @@ def regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenmin_regular(Tables(spark, sf_dir))
 
 
+@query
+def regular_grid_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10, W3, W4 with 1-day (144-step) time blocks; same rows as ``regular_grid``."""
+    return fill_grid(tenmin_clean(Tables(spark, sf_dir)), Cols(), "10min", carry_cols=["y"], block_size=144)
+
+
 @query
 def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling mean/std over 1 and 5 days, full window required, long by window."""

@@ -582,3 +582,5 @@ ORACLES["differenced_features_blocked"] = ORACLES["differenced_features"]
 ORACLES["rolling_stats_blocked"] = ORACLES["rolling_stats"]
 ORACLES["window_arrays_blocked"] = ORACLES["window_arrays"]
 ORACLES["naive_intervals_blocked"] = ORACLES["naive_intervals"]
+ORACLES["fill_gaps_global_blocked"] = ORACLES["fill_gaps_global"]
+ORACLES["regular_grid_blocked"] = ORACLES["regular_grid"]

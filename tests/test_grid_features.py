@@ -79,3 +79,15 @@ def test_blocked_features_equal_plain_with_hot_series(spark):
     blocked = lag_features(df, **spec, block_size=64, freq="D")
     assert plain.count() == blocked.count() > 0
     assert plain.exceptAll(blocked).count() == 0 and blocked.exceptAll(plain).count() == 0
+
+
+def test_blocked_fill_grid_equal_plain(spark):
+    rows = [("a", D(2024, 1, 1), None), ("a", D(2024, 1, 3), 3.0), ("a", D(2024, 1, 19), None),
+            ("a", D(2024, 2, 20), 6.0), ("b", D(2024, 1, 9), None), ("b", D(2024, 1, 30), 1.0)]
+    df = panel(spark, rows).withColumn("z", F.col("y"))
+    for kw in (dict(carry_cols=["y"], zero_cols=["z"]),
+               dict(start="global", end="global", carry_cols=["y"], zero_cols=["z"])):
+        plain = fill_grid(df, Cols(), "D", **kw)
+        blocked = fill_grid(df, Cols(), "D", block_size=7, **kw)
+        assert plain.count() == blocked.count()
+        assert plain.exceptAll(blocked).count() == 0
