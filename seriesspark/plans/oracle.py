@@ -584,3 +584,22 @@ ORACLES["window_arrays_blocked"] = ORACLES["window_arrays"]
 ORACLES["naive_intervals_blocked"] = ORACLES["naive_intervals"]
 ORACLES["fill_gaps_global_blocked"] = ORACLES["fill_gaps_global"]
 ORACLES["regular_grid_blocked"] = ORACLES["regular_grid"]
+
+ORACLES["linear_one_feature"] = "WITH " + DAILY.strip() + """,
+attrs AS (SELECT CAST(s_suppkey AS VARCHAR) AS unique_id FROM supplier),
+f AS (SELECT p.unique_id, p.ds, p.y,
+        lag(y, 1) OVER w AS lag1, lag(y, 2) OVER w AS lag2, lag(y, 3) OVER w AS lag3, lag(y, 7) OVER w AS lag7,
+        lag(y, 14) OVER w AS lag14, lag(y, 30) OVER w AS lag30, lag(y, 360) OVER w AS lag360,
+        avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND 7 PRECEDING) AS em7,
+        CASE WHEN count(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN 20 PRECEDING AND 14 PRECEDING) = 7
+             THEN 1 END AS r14,
+        CASE WHEN count(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN 43 PRECEDING AND 30 PRECEDING) = 14
+             THEN 1 END AS r30
+      FROM dpanel p JOIN attrs a USING (unique_id)
+      WINDOW w AS (PARTITION BY unique_id ORDER BY ds)),
+g AS (SELECT * FROM f WHERE lag1 IS NOT NULL AND lag2 IS NOT NULL AND lag3 IS NOT NULL AND lag7 IS NOT NULL
+        AND lag14 IS NOT NULL AND lag30 IS NOT NULL AND lag360 IS NOT NULL AND em7 IS NOT NULL
+        AND r14 IS NOT NULL AND r30 IS NOT NULL)
+SELECT round(regr_slope(y, lag7), 6) AS slope, round(regr_intercept(y, lag7), 6) AS intercept,
+       regr_count(y, lag7) AS n FROM g
+"""
