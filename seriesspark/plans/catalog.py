@@ -179,6 +179,17 @@ def quantile_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(qf(train, H_SELLER, "MS", cols=SELLER))
 
 
+@query
+def quantile_forecast_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10 covariate form: direct linear models on past covariates, residual quantiles."""
+    from seriesspark.operators.ml import quantile_forecast_covariates as qfc
+    from seriesspark.operators.split import train_test
+    panel = seller_panel(Tables(spark, sf_dir), 8)
+    covs = ["order_count", "avg_price", "avg_freight", "avg_delivery_days", "avg_review_score"]
+    train, _ = train_test(panel.select("seller_id", "month", "revenue", *covs), H_SELLER, SELLER)
+    return round_doubles(qfc(train, covs, H_SELLER, "MS", cols=SELLER))
+
+
 # ------------------------------------------------------------ daily panel and features
 
 def daily_filled(t: Tables) -> DataFrame:
