@@ -8,8 +8,6 @@ timestamp, never all pairs of series at a timestamp.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -115,30 +113,36 @@ def pacf(df: DataFrame, nlags: int, cols: Cols = DEFAULT) -> DataFrame:
 
 # ------------------------------------------------------------ correlation
 
-def corr_with_target(df: DataFrame, target_id: str, cols: Cols = DEFAULT) -> DataFrame:
-    """Pearson correlation of every series with one target series.
+def corr_with_targets(df: DataFrame, target_ids: list[str], cols: Cols = DEFAULT) -> DataFrame:
+    """Pearson correlation of every series with each listed target series.
 
-    The target's rows are joined one-to-one on the timestamp; pairwise
-    complete observations (both non-null) as in pandas.
+    The targets are pivoted to one row per timestamp with one column per
+    target (a bounded list), each panel row is joined one-to-one to its
+    timestamp's row, and one aggregate per series computes ``corr`` against
+    every target column. No timestamp emits pairs of rows; pairwise-complete
+    observations as in pandas. Output ``(target, unique_id, corr)``.
     """
-    tgt = (df.filter(F.col(cols.id) == target_id)
-           .select(F.col(cols.ds), F.col(cols.y).alias("_t")))
-    j = df.join(tgt, cols.ds, "inner")
-    return (j.groupBy(cols.id).agg(F.corr(cols.y, "_t").alias("corr"))
-            .select(F.lit(target_id).alias("target"), F.col(cols.id).alias("unique_id"), "corr"))
+    if len(target_ids) > MAX_MATRIX_SERIES:
+        raise ValueError(f"at most {MAX_MATRIX_SERIES} target series; got {len(target_ids)}")
+    names = {t: f"_t{i}" for i, t in enumerate(target_ids)}
+    wide = (df.filter(F.col(cols.id).isin(list(target_ids)))
+            .groupBy(cols.ds).pivot(cols.id, list(target_ids)).agg(F.first(cols.y)))
+    wide = wide.select(cols.ds, *[F.col(f"`{t}`").alias(n) for t, n in names.items()])
+    j = df.select(cols.id, cols.ds, cols.y).join(wide, cols.ds, "inner")
+    agg = j.groupBy(cols.id).agg(*[F.corr(cols.y, n).alias(n) for n in names.values()])
+    stack = ", ".join(f"'{t}', `{n}`" for t, n in names.items())
+    return agg.selectExpr(f"stack({len(names)}, {stack}) AS (target, corr)", f"`{cols.id}` AS unique_id") \
+        .select("target", "unique_id", "corr")
 
 
-def corr_matrix(df: DataFrame, ids: list[str], cols: Cols = DEFAULT) -> DataFrame:
-    """Correlation matrix over an explicit, bounded list of series.
+def corr_with_target(df: DataFrame, target_id: str, cols: Cols = DEFAULT) -> DataFrame:
+    """Correlation of every series with one target series."""
+    return corr_with_targets(df, [target_id], cols)
 
-    Built as one target join per listed series, so no timestamp ever emits
-    all pairs of series; the list is capped at ``MAX_MATRIX_SERIES``.
-    """
-    if len(ids) > MAX_MATRIX_SERIES:
-        raise ValueError(f"corr_matrix takes at most {MAX_MATRIX_SERIES} series; got {len(ids)}")
-    sub = df.filter(F.col(cols.id).isin(list(ids)))
-    parts = [corr_with_target(sub, t, cols) for t in ids]
-    return reduce(DataFrame.unionByName, parts)
+
+def corr_matrix(df: DataFrame, ids: list[str], cols: Cols = DEFAULT) -> DataFrame:
+    """Correlation matrix over an explicit, bounded list of series."""
+    return corr_with_targets(df.filter(F.col(cols.id).isin(list(ids))), ids, cols)
 
 
 def top_correlations(df: DataFrame, target_id: str, k: int = 10, cols: Cols = DEFAULT) -> DataFrame:
