@@ -32,23 +32,27 @@ def build_hierarchy(bottom: DataFrame, tree: DataFrame, levels: list[str],
     """All-level series ``Y`` and summing table ``S`` from bottom series.
 
     ``tree`` maps the bottom id to its ancestors (``levels`` from the top).
-    ``Y`` is one GROUPING SETS aggregate: ``(levels..., id, ds)``, then each
-    prefix of the levels with ``ds``, then ``ds`` alone; ``level`` names the
+    ``Y`` is the rollup of the levels computed as a chain: bottom rows pass
+    through unchanged (``(id, ds)`` is unique), the deepest inner level
+    aggregates the bottoms, and every higher level aggregates the level below
+    it, so only the first aggregate reads the full data (a GROUPING SETS
+    plan would expand every bottom row once per level). ``level`` names the
     deepest grouped column. Node ids: ``total``, ``a/b`` paths for inner
-    levels, the bottom id itself for bottoms. ``S`` lists for every bottom
-    the nodes it sums into, weight 1.
+    levels, the bottom id itself for bottoms. ``S`` lists for every bottom the
+    nodes it sums into, weight 1.
     """
     keys = [*levels, cols.id]
-    j = bottom.join(tree, cols.id, "inner")
-    sets = [[*keys[:d], cols.ds] for d in range(len(keys), -1, -1)]
-    g = j.groupingSets(sets, *keys, cols.ds).agg(F.sum(cols.y).alias(cols.y))
-    node = F.lit("total")
-    level_name = F.lit("total")
-    for d in range(1, len(keys) + 1):
-        present = F.col(keys[d - 1]).isNotNull()
-        node = F.when(present, _node(keys, d)).otherwise(node)
-        level_name = F.when(present, F.lit(keys[d - 1])).otherwise(level_name)
-    Y = g.select(node.alias(cols.id), cols.ds, cols.y, level_name.alias("level"))
+    j = bottom.select(cols.id, cols.ds, cols.y).join(tree.select(*keys), cols.id, "inner")
+    parts = [j.select(F.col(cols.id), cols.ds, cols.y, F.lit(cols.id).alias("level"))]
+    cur = j
+    for d in range(len(levels), -1, -1):
+        grp = levels[:d]
+        cur = cur.groupBy(*grp, cols.ds).agg(F.sum(cols.y).alias(cols.y))
+        parts.append(cur.select(_node(keys, d).alias(cols.id), cols.ds, cols.y,
+                                F.lit(levels[d - 1] if d else "total").alias("level")))
+    Y = parts[0]
+    for p_ in parts[1:]:
+        Y = Y.unionByName(p_)
     paths = tree.select(*keys).distinct()
     S = None
     for d in range(0, len(keys) + 1):
@@ -83,16 +87,18 @@ def coherence_gap(values: DataFrame, S: DataFrame, value_col: str, cols: Cols =
 
 # ------------------------------------------------------------ MinT with shrinkage
 
-def _gram_partials(node_index: dict, value_col: str, id_col: str):
-    """Per-partition moment sums as dense BLAS products.
+def _gram_partials(k: int, value_col: str):
+    """Per-partition moment sums as dense BLAS products, shipped as one row.
 
     Rows are repartitioned by timestamp, so every timestamp's residual vector
     lives in one partition; the partition is assembled into a (timestamps x
-    nodes) block and reduced with ``X.T @ X`` (and the same on squares).
+    nodes) block and reduced with ``X.T @ X`` (and the same on squares and on
+    the presence mask). The three k x k matrices leave the task as one binary
+    row, so the shuffle carries one row per partition, not k^2 rows.
     """
-    k = len(node_index)
-
     def fn(it):
+        import io
+
         pdf = pd.concat(list(it), ignore_index=True)
         if pdf.empty:
             return
@@ -102,13 +108,10 @@ def _gram_partials(node_index: dict, value_col: str, id_col: str):
         mask = ~np.isnan(X)
         Xv = np.where(mask, X, 0.0)
         M = mask.astype(float)
-        acc = Xv.T @ Xv
-        acc2 = (Xv * Xv).T @ (Xv * Xv)
-        cnt = M.T @ M
-        s1 = Xv.sum(axis=0)
-        i, j = np.nonzero(cnt)
-        yield pd.DataFrame({"i": i, "j": j, "xx": acc[i, j], "x2x2": acc2[i, j], "n": cnt[i, j],
-                            "si": s1[i], "sj": s1[j]})
+        X2 = Xv * Xv
+        buf = io.BytesIO()
+        np.savez(buf, xx=Xv.T @ Xv, x4=X2.T @ X2, nn=M.T @ M)
+        yield pd.DataFrame({"_g": [0], "blob": [buf.getvalue()]})
     return fn
 
 
@@ -136,23 +139,24 @@ def mint_shrink_weights(residuals: DataFrame, S: DataFrame, cols: Cols = DEFAULT
          .select(F.col(cols.ds).alias("_t"), "_i",
                  F.col(value_col).cast("double").alias(value_col))
          .repartition("_t"))
-    parts = r.mapInPandas(_gram_partials(idx, value_col, cols.id),
-                          "i long, j long, xx double, x2x2 double, n double, si double, sj double")
-    sums = parts.groupBy("i", "j").agg(F.sum("xx").alias("xx"), F.sum("x2x2").alias("x2x2"),
-                                       F.sum("n").alias("n"))
+    parts = r.mapInPandas(_gram_partials(len(nodes), value_col), "_g int, blob binary")
     s_rows = S.select("node", "bottom", "weight")
 
     bottoms_b = bottoms
     nodes_b = nodes
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+
         k, nb = len(nodes_b), len(bottoms_b)
         xx = np.zeros((k, k))
         x4 = np.zeros((k, k))
         nn = np.zeros((k, k))
-        xx[pdf.i, pdf.j] = pdf.xx
-        x4[pdf.i, pdf.j] = pdf.x2x2
-        nn[pdf.i, pdf.j] = pdf.n
+        for blob in pdf["blob"]:
+            z = np.load(io.BytesIO(blob))
+            xx += z["xx"]
+            x4 += z["x4"]
+            nn += z["nn"]
         cov = xx / np.maximum(nn - 1, 1)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-8))
         corr = cov / np.outer(sd, sd)
@@ -174,13 +178,12 @@ def mint_shrink_weights(residuals: DataFrame, S: DataFrame, cols: Cols = DEFAULT
         Winv = np.linalg.pinv(W)
         P = np.linalg.pinv(Smat.T @ Winv @ Smat) @ Smat.T @ Winv  # (nb, k)
         G = Smat @ P  # (k, k): reconciled node = sum_j G[node, j] * base_j
-        ii, jj = np.nonzero(np.abs(G) > 0)
+        ii, jj = np.nonzero(np.abs(G) > 1e-12)
         return pd.DataFrame({"node": [nodes_b[a] for a in ii], "source": [nodes_b[b] for b in jj],
                              "weight": G[ii, jj], "shrinkage": lam})
 
     s_pairs = [tuple(x) for x in s_rows.collect()]
-    return (sums.withColumn("_g", F.lit(0)).groupBy("_g")
-            .applyInPandas(solve, "node string, source string, weight double, shrinkage double"))
+    return parts.groupBy("_g").applyInPandas(solve, "node string, source string, weight double, shrinkage double")
 
 
 def reconcile_with(base: DataFrame, weights: DataFrame, value_cols: list[str], cols: Cols = DEFAULT) -> DataFrame:
