@@ -666,13 +666,12 @@ def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def knn_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """5-nearest-neighbour regression by LSH similarity join (approximate)."""
+    """5-nearest-neighbour regression by random-projection bucket join (approximate)."""
     from seriesspark.operators.ml import knn_regress
     train, test = _canon_split(Tables(spark, sf_dir))
     feats = ["lag1", "lag7", "lag14", "expanding_mean_lag7"]
     return knn_regress(train, test.select("unique_id", "ds", "y", *feats), feats, 5, "y",
-                       ["unique_id", "ds"], bucket_length=0.5, num_tables=2,
-                       threshold=1.0).select("unique_id", "ds", "y", "knn")
+                       ["unique_id", "ds"]).select("unique_id", "ds", "y", "knn")
 
 
 @query
