@@ -21,7 +21,8 @@ MAX_MATRIX_SERIES = 256
 
 # ------------------------------------------------------------ decomposition
 
-def seasonal_decompose(df: DataFrame, period: int, cols: Cols = DEFAULT) -> DataFrame:
+def seasonal_decompose(df: DataFrame, period: int, cols: Cols = DEFAULT,
+                       block_size: int | None = None, freq: str | None = None) -> DataFrame:
     """Additive decomposition with a centred moving average.
 
     trend (m even) = (0.5*y[t-m/2] + y[t-m/2+1] + ... + y[t+m/2-1] + 0.5*y[t+m/2]) / m,
@@ -29,23 +30,39 @@ def seasonal_decompose(df: DataFrame, period: int, cols: Cols = DEFAULT) -> Data
     seasonal = mean of (y - trend) by phase ``(rn-1) % m``, centred to zero
     over the m phases; resid = y - trend - seasonal. Series shorter than 2m
     are excluded. Phase means are an aggregate keyed by (series, phase), so
-    a long series spreads over m groups.
+    a long series spreads over m groups. With ``block_size`` + ``freq``
+    (regular grid) the trend window runs on time blocks with an ``m/2`` halo
+    both ways, and position/length come from the grid index and one
+    aggregate per series instead of a whole-series window.
     """
     m = period
-    w = Window.partitionBy(cols.id).orderBy(cols.ds)
-    n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
     y = F.col(cols.y)
     half = m // 2
-    full = w.rowsBetween(-half, half)
-    if m % 2 == 0:
-        trend = (F.sum(y).over(full) - 0.5 * F.lag(y, half).over(w) - 0.5 * F.lead(y, half).over(w)) / m
+
+    def trend_cols(w):
+        full = w.rowsBetween(-half, half)
+        if m % 2 == 0:
+            trend = (F.sum(y).over(full) - 0.5 * F.lag(y, half).over(w) - 0.5 * F.lead(y, half).over(w)) / m
+        else:
+            trend = F.sum(y).over(full) / m
+        return {"trend": F.when(F.count(y).over(full) == (2 * half + 1), trend)}
+
+    if block_size:
+        from seriesspark.functions.frequency import step_index
+        from seriesspark.operators.features import blocked_window
+
+        idx = step_index(F.col(cols.ds), freq)
+        span = df.groupBy(cols.id).agg(F.min(idx).alias("_lo"), F.count(F.lit(1)).alias("_n"))
+        tr = blocked_window(df.select(cols.id, cols.ds, cols.y), cols, freq, block_size, half, trend_cols,
+                            halo_forward=half).drop("_pblk")
+        staged = (tr.join(span, cols.id, "inner").filter(F.col("_n") >= 2 * m)
+                  .select(cols.id, cols.ds, cols.y, ((idx - F.col("_lo")) % m).cast("int").alias("phase"), "trend"))
     else:
-        trend = F.sum(y).over(full) / m
-    complete = F.count(y).over(full) == (2 * half + 1)
-    staged = (df.select(cols.id, cols.ds, cols.y, n.alias("_n"),
-                        ((F.row_number().over(w) - 1) % m).alias("phase"),
-                        F.when(complete, trend).alias("trend"))
-              .filter(F.col("_n") >= 2 * m).drop("_n"))
+        w = Window.partitionBy(cols.id).orderBy(cols.ds)
+        n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
+        staged = (df.select(cols.id, cols.ds, cols.y, n.alias("_n"),
+                            ((F.row_number().over(w) - 1) % m).alias("phase"), trend_cols(w)["trend"].alias("trend"))
+                  .filter(F.col("_n") >= 2 * m).drop("_n"))
     phase = (staged.groupBy(cols.id, "phase").agg(F.avg(y - F.col("trend")).alias("_s"))
              .withColumn("_s", F.col("_s") - F.avg("_s").over(Window.partitionBy(cols.id))))
     return (staged.join(phase, [cols.id, "phase"], "inner")
@@ -55,18 +72,33 @@ def seasonal_decompose(df: DataFrame, period: int, cols: Cols = DEFAULT) -> Data
 
 # ------------------------------------------------------------ autocorrelation
 
-def acf(df: DataFrame, nlags: int, cols: Cols = DEFAULT) -> DataFrame:
+def acf(df: DataFrame, nlags: int, cols: Cols = DEFAULT, block_size: int | None = None,
+        freq: str | None = None) -> DataFrame:
     """Autocorrelation per series and lag (D27), long ``(id, lag, acf)``.
 
     r_k = [sum_{t>k} (y_t - ybar)(y_{t-k} - ybar) / (n-k)] / [sum (y_t - ybar)^2 / n];
-    rows with NULL ``y`` are dropped first.
+    rows with NULL ``y`` are dropped first. With ``block_size`` + ``freq``
+    (regular grid without NULLs) the mean is a per-series aggregate joined
+    back and the lag products run on time blocks with an ``nlags`` halo; the
+    sums are then partially aggregated per series.
     """
-    w = Window.partitionBy(cols.id).orderBy(cols.ds)
     clean = df.filter(F.col(cols.y).isNotNull())
-    dev = F.col(cols.y) - F.avg(cols.y).over(Window.partitionBy(cols.id))
-    staged = clean.select(cols.id, cols.ds, dev.alias("_d"))
-    lagged = staged.select(cols.id, "_d", *[(F.col("_d") * F.lag("_d", k).over(w)).alias(f"_p{k}")
-                                            for k in range(1, nlags + 1)])
+
+    def products(w):
+        return {f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in range(1, nlags + 1)}
+
+    if block_size:
+        from seriesspark.operators.features import blocked_window
+
+        means = clean.groupBy(cols.id).agg(F.avg(cols.y).alias("_mean"))
+        staged = clean.join(means, cols.id, "inner").select(cols.id, cols.ds,
+                                                             (F.col(cols.y) - F.col("_mean")).alias("_d"))
+        lagged = blocked_window(staged, cols, freq, block_size, nlags, products)
+    else:
+        w = Window.partitionBy(cols.id).orderBy(cols.ds)
+        dev = F.col(cols.y) - F.avg(cols.y).over(Window.partitionBy(cols.id))
+        staged = clean.select(cols.id, cols.ds, dev.alias("_d"))
+        lagged = staged.select(cols.id, "_d", *[c.alias(n) for n, c in products(w).items()])
     sums = lagged.groupBy(cols.id).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("_d") * F.col("_d")).alias("_v"),
         *[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, nlags + 1)])

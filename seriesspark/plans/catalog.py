@@ -324,6 +324,21 @@ def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(acf_(tenmin_regular(Tables(spark, sf_dir)), 14))
 
 
+@query
+def acf_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D27 on 1-day blocks with a 14-step halo; same rows as ``acf``."""
+    from seriesspark.operators.analysis import acf as acf_
+    return round_doubles(acf_(tenmin_regular(Tables(spark, sf_dir)), 14, block_size=144, freq="10min"))
+
+
+@query
+def decompose_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W16 with the trend window on 2-day blocks (72-step halos both ways)."""
+    from seriesspark.operators.analysis import seasonal_decompose
+    return round_doubles(seasonal_decompose(tenmin_regular(Tables(spark, sf_dir)), 144,
+                                            block_size=288, freq="10min"))
+
+
 @query
 def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial autocorrelation to lag 14 (Durbin-Levinson on the ACF array)."""

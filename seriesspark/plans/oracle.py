@@ -603,3 +603,4 @@ g AS (SELECT * FROM f WHERE lag1 IS NOT NULL AND lag2 IS NOT NULL AND lag3 IS NO
 SELECT round(regr_slope(y, lag7), 6) AS slope, round(regr_intercept(y, lag7), 6) AS intercept,
        regr_count(y, lag7) AS n FROM g
 """
+ORACLES["acf_blocked"] = ORACLES["acf"]

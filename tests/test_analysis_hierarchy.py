@@ -86,3 +86,20 @@ def test_arima_tracks_ar1():
         y[t] = 0.7 * y[t - 1] + rng.normal()
     fc = arima(y, (1, 0, 0), 2)
     assert abs(fc[0] - 0.7 * y[-1]) < 0.3
+
+
+def test_blocked_acf_and_decompose_equal_plain(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, D(2024, 1, 1) + dt.timedelta(hours=t), float(np.sin(t / 3.0) * 5 + rng.integers(0, 3)))
+            for i, n in (("hot", 400), ("b", 60)) for t in range(n)]
+    df = spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, y double")
+    a = {(r.unique_id, r.lag): r.acf for r in acf(df, 5).collect()}
+    b = {(r.unique_id, r.lag): r.acf for r in acf(df, 5, block_size=24, freq="H").collect()}
+    assert a.keys() == b.keys() and all(math.isclose(a[x], b[x], rel_tol=1e-9, abs_tol=1e-12) for x in a)
+    p = {(r.unique_id, r.ds): r for r in seasonal_decompose(df, 12).collect()}
+    q = {(r.unique_id, r.ds): r for r in seasonal_decompose(df, 12, block_size=24, freq="H").collect()}
+    assert p.keys() == q.keys()
+    for key_, r in p.items():
+        for c in ("trend", "seasonal", "resid"):
+            x, y_ = r[c], q[key_][c]
+            assert (x is None and y_ is None) or math.isclose(x, y_, rel_tol=1e-9, abs_tol=1e-9)
