@@ -167,7 +167,8 @@ def quantile_forecast(df: DataFrame, h: int, freq: str, quantiles=(0.1, 0.5, 0.9
 
 
 def cross_validation(df: DataFrame, h: int, n_windows: int, freq: str, step: int | None = None,
-                     models=CLOSED_FORM, season_length: int = 1, cols: Cols = DEFAULT) -> DataFrame:
+                     models=CLOSED_FORM, season_length: int = 1, cols: Cols = DEFAULT,
+                     block_size: int | None = None) -> DataFrame:
     """Rolling-origin cross validation without refit (W14), as one job.
 
     Cutoffs ``c_i = n - h - step*(n_windows-1-i)``; every row is copied to
@@ -175,12 +176,21 @@ def cross_validation(df: DataFrame, h: int, n_windows: int, freq: str, step: int
     each (series, window) is reduced to its summary row as in
     ``closed_form_forecast``, and the horizon is matched to the actuals after
     the cutoff. Output ``(id, ds, cutoff, y, <model>...)``. Series whose
-    first cutoff precedes row 1 are excluded.
+    first cutoff precedes row 1 are excluded. With ``block_size`` (regular
+    grid) positions come from the grid index and one aggregate per series,
+    and the per-window summaries use the time-blocked window.
     """
     step = h if step is None else step
-    w = Window.partitionBy(cols.id).orderBy(cols.ds)
-    n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
-    ranked = df.select(cols.id, cols.ds, cols.y, F.row_number().over(w).alias("_rn"), n.alias("_n"))
+    if block_size:
+        from seriesspark.functions.frequency import step_index
+        idx = step_index(F.col(cols.ds), freq)
+        span = df.groupBy(cols.id).agg(F.min(idx).alias("_lo"), F.count(F.lit(1)).alias("_n"))
+        ranked = df.select(cols.id, cols.ds, cols.y).join(span, cols.id, "inner").select(
+            cols.id, cols.ds, cols.y, (idx - F.col("_lo") + 1).alias("_rn"), "_n")
+    else:
+        w = Window.partitionBy(cols.id).orderBy(cols.ds)
+        n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
+        ranked = df.select(cols.id, cols.ds, cols.y, F.row_number().over(w).alias("_rn"), n.alias("_n"))
     ranked = ranked.filter(F.col("_n") - h - F.lit(step * (n_windows - 1)) >= 1)
     cutoff_rn = lambda i: F.col("_n") - h - F.lit(step) * (F.lit(n_windows - 1) - i)
     # history copies: window i holds rows with rn <= c_i
@@ -188,7 +198,7 @@ def cross_validation(df: DataFrame, h: int, n_windows: int, freq: str, step: int
             .filter(F.col("_rn") <= cutoff_rn(F.col("_win"))))
     key = Cols("_key", cols.ds, cols.y)
     hist = hist.withColumn("_key", F.struct(F.col(cols.id).alias("id"), F.col("_win").alias("win")))
-    summary = _summary(hist.select("_key", cols.ds, cols.y), key, season_length)
+    summary = _summary(hist.select("_key", cols.ds, cols.y), key, season_length, block_size, freq)
     grid = horizon_grid(summary, h, freq, key)
     proj = [F.col("_key.id").alias(cols.id), F.col("_key.win").alias("_win"), F.col(cols.ds),
             F.col("_last_ds").alias("cutoff")]

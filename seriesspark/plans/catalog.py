@@ -474,6 +474,14 @@ def cv_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seller_cv(Tables(spark, sf_dir))
 
 
+@query
+def cv_naive_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W14 with grid positions and time-blocked window summaries; same rows as ``cv_naive``."""
+    from seriesspark.operators.forecast import cross_validation
+    return cross_validation(_seller_y(Tables(spark, sf_dir)), H_SELLER, N_WINDOWS, "MS", H_SELLER,
+                            ("Naive", "SeasonalNaive"), M_SELLER, SELLER, block_size=24)
+
+
 @query
 def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics per (seller, cutoff), averaged by metric."""

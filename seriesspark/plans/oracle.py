@@ -604,3 +604,4 @@ SELECT round(regr_slope(y, lag7), 6) AS slope, round(regr_intercept(y, lag7), 6)
        regr_count(y, lag7) AS n FROM g
 """
 ORACLES["acf_blocked"] = ORACLES["acf"]
+ORACLES["cv_naive_blocked"] = ORACLES["cv_naive"]
