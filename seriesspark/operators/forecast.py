@@ -107,12 +107,24 @@ def closed_form_forecast(df: DataFrame, h: int, freq: str, models=CLOSED_FORM,
 
 
 def fitted_values(df: DataFrame, season_length: int, models=CLOSED_FORM,
-                  cols: Cols = DEFAULT) -> DataFrame:
-    """In-sample one-step fitted values (F8): naive ``lag(y,1)``, seasonal ``lag(y,m)``."""
-    w = Window.partitionBy(cols.id).orderBy(cols.ds)
+                  cols: Cols = DEFAULT, block_size: int | None = None,
+                  freq: str | None = None) -> DataFrame:
+    """In-sample one-step fitted values (F8): naive ``lag(y,1)``, seasonal ``lag(y,m)``.
+
+    ``block_size`` + ``freq`` evaluate the lags on time blocks with an
+    ``m``-step halo.
+    """
     lags = {"Naive": 1, "SeasonalNaive": season_length}
-    return df.select(cols.id, cols.ds, cols.y,
-                     *[F.lag(cols.y, lags[m]).over(w).alias(m) for m in models])
+
+    def fitted(w):
+        return {m: F.lag(cols.y, lags[m]).over(w) for m in models}
+
+    if block_size:
+        from seriesspark.operators.features import blocked_window
+        return blocked_window(df.select(cols.id, cols.ds, cols.y), cols, freq, block_size,
+                              max(lags[m] for m in models), fitted).drop("_pblk")
+    w = Window.partitionBy(cols.id).orderBy(cols.ds)
+    return df.select(cols.id, cols.ds, cols.y, *[c.alias(n) for n, c in fitted(w).items()])
 
 
 def to_long(wide: DataFrame, models, cols: Cols = DEFAULT, value_name: str = "yhat") -> DataFrame:
@@ -132,25 +144,32 @@ def to_wide(long: DataFrame, models, cols: Cols = DEFAULT, value_col: str = "yha
 
 def quantile_forecast(df: DataFrame, h: int, freq: str, quantiles=(0.1, 0.5, 0.9),
                       base: str = "Naive", season_length: int = 1,
-                      cols: Cols = DEFAULT) -> DataFrame:
+                      cols: Cols = DEFAULT, block_size: int | None = None) -> DataFrame:
     """Probabilistic forecast from empirical k-step residual quantiles.
 
     Output ``(id, ds, predictions, "<q>"...)`` with quantile columns named by
-    their level as in the reference (``0.1``, ``0.5``, ``0.9``).
+    their level as in the reference (``0.1``, ``0.5``, ``0.9``). With
+    ``block_size`` (regular grid) the residual window runs on time blocks
+    with halos (``m`` back, ``max(h, m)`` ahead).
     """
-    w = Window.partitionBy(cols.id).orderBy(cols.ds)
     y = F.col(cols.y)
     m = season_length
-    resid = {}
-    for k in range(1, h + 1):
-        if base == "Naive":
-            origin = y
-        else:
-            origin = F.lag(y, m - 1 - ((k - 1) % m)).over(w)
-        resid[f"_r{k}"] = F.lead(y, k).over(w) - origin
-    staged = df.select(cols.id, cols.ds, cols.y, *[v.alias(n) for n, v in resid.items()],
-                       (F.row_number().over(w) > F.count(F.lit(1)).over(Window.partitionBy(cols.id)) - m)
-                       .alias("_in_season"))
+
+    def residuals(w):
+        out = {}
+        for k in range(1, h + 1):
+            origin = y if base == "Naive" else F.lag(y, m - 1 - ((k - 1) % m)).over(w)
+            out[f"_r{k}"] = F.lead(y, k).over(w) - origin
+        out["_in_season"] = F.lead(cols.ds, m).over(w).isNull()
+        return out
+
+    if block_size:
+        from seriesspark.operators.features import blocked_window
+        staged = blocked_window(df.select(cols.id, cols.ds, cols.y), cols, freq, block_size, max(m, 1),
+                                residuals, halo_forward=max(h, m))
+    else:
+        w = Window.partitionBy(cols.id).orderBy(cols.ds)
+        staged = df.select(cols.id, cols.ds, cols.y, *[c.alias(n) for n, c in residuals(w).items()])
     qarr = F.array(*[F.lit(float(q)) for q in quantiles])
     summary = staged.groupBy(cols.id).agg(
         F.max(cols.ds).alias("_last_ds"), F.count(F.lit(1)).alias("_n"),

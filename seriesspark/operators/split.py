@@ -24,12 +24,31 @@ def series_length(cols: Cols = DEFAULT) -> Column:
     return F.count(F.lit(1)).over(Window.partitionBy(cols.id))
 
 
-def label_holdout(df: DataFrame, h: int, cols: Cols = DEFAULT, label_col: str = "split") -> DataFrame:
+def grid_positions(df: DataFrame, freq: str, cols: Cols = DEFAULT) -> DataFrame:
+    """``_rn`` and ``_n`` from the grid index and one aggregate per series.
+
+    Equal to ``row_number``/``count`` on a regular grid, without a window
+    over the whole series: the per-series bounds are partially aggregated and
+    joined back, so a hot series is not confined to one task.
+    """
+    from seriesspark.functions.frequency import step_index
+    idx = step_index(F.col(cols.ds), freq)
+    span = df.groupBy(cols.id).agg(F.min(idx).alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    return df.join(span, cols.id, "inner").withColumn("_rn", idx - F.col("_lo") + 1).drop("_lo")
+
+
+def label_holdout(df: DataFrame, h: int, cols: Cols = DEFAULT, label_col: str = "split",
+                  freq: str | None = None) -> DataFrame:
     """Label the last ``h`` rows of each series ``test``, the rest ``train``.
 
     A series with fewer than ``h`` rows is all ``test`` (no training rows),
-    which is where the reference's list-length construction breaks.
+    which is where the reference's list-length construction breaks. With
+    ``freq`` (regular grid) positions come from ``grid_positions``.
     """
+    if freq:
+        pos = grid_positions(df, freq, cols)
+        return pos.withColumn(label_col, F.when(F.col("_n") - F.col("_rn") < h, "test").otherwise("train")) \
+            .drop("_n", "_rn")
     from_end = series_length(cols) - position(cols)
     return df.withColumn(label_col, F.when(from_end < h, "test").otherwise("train"))
 

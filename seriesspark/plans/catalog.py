@@ -101,6 +101,14 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_holdout(panel, H_SELLER, SELLER)
 
 
+@query
+def holdout_split_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 with grid positions (no whole-series window); same rows as ``holdout_split``."""
+    from seriesspark.operators.split import label_holdout
+    panel = seller_panel(Tables(spark, sf_dir), 8).select("seller_id", "month", "revenue")
+    return label_holdout(panel, H_SELLER, SELLER, freq="MS")
+
+
 @query
 def first_n_per_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First two rows of every seller."""
@@ -171,6 +179,22 @@ def fitted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fv(panel, M_SELLER, cols=SELLER)
 
 
+@query
+def fitted_values_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8 on 24-month blocks with a 12-step halo; same rows as ``fitted_values``."""
+    from seriesspark.operators.forecast import fitted_values as fv
+    panel = seller_panel(Tables(spark, sf_dir), 8).select("seller_id", "month", "revenue")
+    return fv(panel, M_SELLER, cols=SELLER, block_size=24, freq="MS")
+
+
+@query
+def quantile_forecast_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10 with the residual window on 24-month blocks; same rows as ``quantile_forecast``."""
+    from seriesspark.operators.forecast import quantile_forecast as qf
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return round_doubles(qf(train, H_SELLER, "MS", cols=SELLER, block_size=24))
+
+
 @query
 def quantile_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """quantile forecast 0.1/0.5/0.9 from empirical naive residuals."""

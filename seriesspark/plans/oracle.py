@@ -605,3 +605,6 @@ SELECT round(regr_slope(y, lag7), 6) AS slope, round(regr_intercept(y, lag7), 6)
 """
 ORACLES["acf_blocked"] = ORACLES["acf"]
 ORACLES["cv_naive_blocked"] = ORACLES["cv_naive"]
+ORACLES["holdout_split_blocked"] = ORACLES["holdout_split"]
+ORACLES["fitted_values_blocked"] = ORACLES["fitted_values"]
+ORACLES["quantile_forecast_blocked"] = ORACLES["quantile_forecast"]
