@@ -17,14 +17,17 @@ def series_percentiles(df: DataFrame, lo: float, hi: float, cols: Cols = DEFAULT
                        exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Per-series percentiles ``(id, q_lo, q_hi)``.
 
-    ``exact=True`` uses linear interpolation between order statistics (same
-    as DuckDB ``quantile_cont``); ``exact=False`` uses the bounded-memory
-    ``percentile_approx`` sketch for very long series.
+    ``exact=True`` interpolates linearly between order statistics (same as
+    DuckDB ``quantile_cont``) with ``quantiles.exact_quantiles``, which never
+    buffers a whole series; ``exact=False`` returns the bounded
+    ``percentile_approx`` sketch values.
     """
     if exact:
-        q = F.percentile(F.col(cols.y), F.array(F.lit(lo), F.lit(hi)))
-    else:
-        q = F.percentile_approx(F.col(cols.y), [lo, hi], accuracy)
+        from seriesspark.operators.quantiles import exact_quantiles
+        q = exact_quantiles(df, [cols.id], cols.y, [lo, hi], accuracy)
+        return q.groupBy(cols.id).agg(F.max(F.when(F.col("q") == lo, F.col("quantile"))).alias("q_lo"),
+                                      F.max(F.when(F.col("q") == hi, F.col("quantile"))).alias("q_hi"))
+    q = F.percentile_approx(F.col(cols.y), [lo, hi], accuracy)
     return (df.groupBy(cols.id).agg(q.alias("_q"))
             .select(cols.id, F.col("_q")[0].alias("q_lo"), F.col("_q")[1].alias("q_hi")))
 

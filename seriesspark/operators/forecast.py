@@ -14,8 +14,9 @@ Definitions fixed here:
   naive ``sigma*sqrt(k)``, seasonal naive ``sigma*sqrt(floor((k-1)/m)+1)``,
   times the normal quantile of the level (1.2815515655446004 for 80).
 * Quantile forecast (F10): residual of the k-step base forecast at every
-  legal origin, exact ``percentile`` per series and step; ``predictions`` is
-  the 0.5 quantile.
+  legal origin, exact linear-interpolation quantiles per series and step
+  (``quantiles.exact_quantiles``, no group buffered whole); ``predictions``
+  is the 0.5 quantile.
 """
 
 from __future__ import annotations
@@ -170,17 +171,21 @@ def quantile_forecast(df: DataFrame, h: int, freq: str, quantiles=(0.1, 0.5, 0.9
     else:
         w = Window.partitionBy(cols.id).orderBy(cols.ds)
         staged = df.select(cols.id, cols.ds, cols.y, *[c.alias(n) for n, c in residuals(w).items()])
-    qarr = F.array(*[F.lit(float(q)) for q in quantiles])
+    from seriesspark.operators.quantiles import exact_quantiles
+
     summary = staged.groupBy(cols.id).agg(
         F.max(cols.ds).alias("_last_ds"), F.count(F.lit(1)).alias("_n"),
         F.max_by(cols.y, cols.ds).alias("_last_y"),
-        F.sort_array(F.collect_list(F.when(F.col("_in_season"), F.struct(cols.ds, cols.y)))).alias("_season"),
-        F.array(*[F.percentile(F.col(f"_r{k}"), qarr) for k in range(1, h + 1)]).alias("_q"))
-    grid = horizon_grid(summary, h, freq, cols)
+        F.sort_array(F.collect_list(F.when(F.col("_in_season"), F.struct(cols.ds, cols.y)))).alias("_season"))
+    stack = ", ".join(f"{k}, `_r{k}`" for k in range(1, h + 1))
+    long = staged.selectExpr(f"`{cols.id}`", f"stack({h}, {stack}) AS (k, _r)")
+    qv = (exact_quantiles(long, [cols.id, "k"], "_r", list(quantiles))
+          .groupBy(cols.id, "k").agg(F.sort_array(F.collect_list(F.struct("q", "quantile"))).alias("_q")))
+    grid = horizon_grid(summary, h, freq, cols).join(qv, [cols.id, "k"], "left")
     point, _ = _model_columns(base, m, cols.y)
-    qk = F.element_at(F.col("_q"), F.col("k"))
     out = grid.select(cols.id, cols.ds, *[
-        (point + F.element_at(qk, i + 1)).alias(str(q)) for i, q in enumerate(quantiles)])
+        (point + F.element_at(F.col("_q"), i + 1).getField("quantile")).alias(str(q))
+        for i, q in enumerate(quantiles)])
     mid = str(0.5) if 0.5 in quantiles else str(quantiles[len(quantiles) // 2])
     return out.withColumn("predictions", F.col(f"`{mid}`"))
 

@@ -103,3 +103,20 @@ def test_blocked_acf_and_decompose_equal_plain(spark):
         for c in ("trend", "seasonal", "resid"):
             x, y_ = r[c], q[key_][c]
             assert (x is None and y_ is None) or math.isclose(x, y_, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_exact_quantiles_match_percentile_on_hot_group(spark):
+    from seriesspark.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(x)) for x in rng.normal(size=30000).round(2)]
+    rows += [("small", float(x)) for x in (1.0, 4.0, 4.0, 9.0)] + [("one", 2.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.05, 0.5, 0.95]
+    want = {}
+    for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("p")).collect():
+        for i, q in enumerate(qs):
+            want[(r.g, q)] = r.p[i]
+    for acc in (100, 10000):  # bracket path for the hot group, then whole-group ranking
+        got = {(r.g, r.q): r.quantile for r in exact_quantiles(df, ["g"], "v", qs, accuracy=acc).collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12) for k in want)
