@@ -240,6 +240,8 @@ def rolling_stats(df: DataFrame, windows=(144, 720), cols: Cols = DEFAULT,
     divided once, so it does not depend on summation order. ``block_size`` +
     ``freq`` evaluate on time blocks with a halo (``blocked_window``).
     """
+    if exact_scale is not None and not block_size:
+        return _rolling_prefix(df, windows, cols, exact_scale)
     if block_size:
         stats = lambda w: _rolling_columns(w, windows, cols, exact_scale)
         out = blocked_window(df.select(cols.id, cols.ds, cols.y), cols, freq, block_size,
@@ -250,6 +252,35 @@ def rolling_stats(df: DataFrame, windows=(144, 720), cols: Cols = DEFAULT,
                                                                exact_scale).items()])
 
 
+def _rolling_prefix(df: DataFrame, windows, cols: Cols, scale: int) -> DataFrame:
+    """Rolling mean/std from exact decimal prefix sums: O(n) per series.
+
+    A sliding frame re-aggregates every frame (O(n * w)); here running sums
+    of ``y`` and ``y^2`` (decimal, exact for fixed-place values below about
+    1e6) are differenced against their value ``w`` rows earlier. The
+    variance numerator ``n*sum(y^2) - sum(y)^2`` is exact in decimal, so
+    constant windows give a standard deviation of exactly 0.
+    """
+    w = series_window(cols)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    yd = F.col(cols.y).cast(f"decimal(18,{scale})")
+    staged = df.select(cols.id, cols.ds, cols.y, F.sum(yd).over(run).alias("_s"),
+                       F.sum(yd * yd).over(run).alias("_ss"), F.count(cols.y).over(run).alias("_c"))
+    out = {}
+    for size in windows:
+        def diff(c, zero):
+            return F.col(c) - F.coalesce(F.lag(c, size).over(w), zero)
+        sw = diff("_s", F.lit(0).cast(f"decimal(18,{scale})")).cast(f"decimal(17,{scale})")
+        ssw = diff("_ss", F.lit(0).cast(f"decimal(18,{2 * scale})")).cast(f"decimal(27,{2 * scale})")
+        cw = diff("_c", F.lit(0))
+        full = cw == size
+        num = ssw * cw.cast("decimal(8,0)") - sw * sw
+        var = num.cast("double") / (cw * (cw - 1))
+        out[f"rolling_mean_{size}"] = F.when(full, sw.cast("double") / cw)
+        out[f"rolling_std_{size}"] = F.when(full, F.sqrt(F.greatest(var, F.lit(0.0))))
+    return staged.select(cols.id, cols.ds, cols.y, *[c.alias(n) for n, c in out.items()])
+
+
 def _rolling_columns(w, windows, cols: Cols, exact_scale: int | None) -> dict:
     out = {}
     for size in windows:

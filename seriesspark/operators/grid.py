@@ -33,10 +33,16 @@ def forward_fill(col: str, id_col: str, ds_col: str) -> Column:
 
 
 def backward_fill(col: str, id_col: str, ds_col: str) -> Column:
-    """First non-null value at or after the row."""
-    w = (Window.partitionBy(id_col).orderBy(ds_col)
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return F.first(F.col(col), ignorenulls=True).over(w)
+    """First non-null value at or after the row.
+
+    Written as a running ``last`` over the reversed order: a frame ending at
+    ``unboundedFollowing`` is re-aggregated for every row (quadratic in the
+    series length), a frame starting at ``unboundedPreceding`` is
+    incremental. Same partitioning, so no extra shuffle, one extra sort.
+    """
+    w = (Window.partitionBy(id_col).orderBy(F.col(ds_col).desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.last(F.col(col), ignorenulls=True).over(w)
 
 
 def ffill_bfill(col: str, id_col: str, ds_col: str) -> Column:
@@ -71,20 +77,22 @@ def _blocked_neighbours(df: DataFrame, cols: Cols, freq: str, block_size: int, c
     blocks = staged.groupBy(cols.id, "_blk").agg(*aggs)
     wb = Window.partitionBy(cols.id).orderBy("_blk")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    after = wb.rowsBetween(1, Window.unboundedFollowing)
+    after = (Window.partitionBy(cols.id).orderBy(F.col("_blk").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
     info = [F.lead("_bmin").over(wb).alias("_next_min"), (F.row_number().over(wb) == 1).alias("_first_blk")]
     for c in carry_cols:
         info += [F.last(f"_blast_{c}", ignorenulls=True).over(before).alias(f"_prev_{c}"),
-                 F.first(f"_bfirst_{c}", ignorenulls=True).over(after).alias(f"_next_{c}")]
+                 F.last(f"_bfirst_{c}", ignorenulls=True).over(after).alias(f"_next_{c}")]
     blocks = blocks.select(cols.id, "_blk", *info)
     j = staged.join(blocks, [cols.id, "_blk"], "inner")
     w = Window.partitionBy(cols.id, "_blk").orderBy(cols.ds)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fromr = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    fromr = (Window.partitionBy(cols.id, "_blk").orderBy(F.col(cols.ds).desc())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     nxt = F.coalesce(F.lead(cols.ds).over(w), F.col("_next_min"))
     is_first = (F.row_number().over(w) == 1) & F.col("_first_blk")
     carried = {f"_c_{c}": F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_prev_{c}"),
-                                     F.first(c, ignorenulls=True).over(fromr), F.col(f"_next_{c}"))
+                                     F.last(c, ignorenulls=True).over(fromr), F.col(f"_next_{c}"))
                for c in carry_cols}
     return j, nxt, is_first, carried
 
