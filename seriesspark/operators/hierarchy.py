@@ -115,77 +115,113 @@ def _gram_partials(k: int, value_col: str):
     return fn
 
 
-def mint_shrink_weights(residuals: DataFrame, S: DataFrame, cols: Cols = DEFAULT,
-                        value_col: str = "resid") -> DataFrame:
-    """Projection ``P = (S' W^-1 S)^-1 S' W^-1`` as a long table.
-
-    ``W`` is the shrinkage covariance of the in-sample residuals of all nodes
-    (Schafer and Strimmer 2005): lambda from the variance of the standardised
-    cross products, clipped to [0, 1]; ``W = lambda*diag(S) + (1-lambda)*S``.
-    The node-by-node moment sums are accumulated per partition with NumPy and
-    summed by one aggregate; only the final k x k solve runs in one task, so
-    the node count is capped at ``MAX_MINT_NODES``. Residuals are assumed
-    centred (mean zero) as in the reference's use of one-step residuals.
-    Output ``(node, bottom, weight)`` for ``aggregate_through``.
-    """
+def _mint_inputs(residuals: DataFrame, S: DataFrame, cols: Cols, value_col: str):
+    """Node/bottom lists (capped), summing pairs and the per-partition moment blobs."""
     nodes = [r[0] for r in S.select("node").distinct().orderBy("node").limit(MAX_MINT_NODES + 1).collect()]
     if len(nodes) > MAX_MINT_NODES:
         raise ValueError(f"MinT supports at most {MAX_MINT_NODES} nodes")
     bottoms = [r[0] for r in S.select("bottom").distinct().orderBy("bottom").collect()]
+    s_pairs = [tuple(x) for x in S.select("node", "bottom", "weight").collect()]
     spark = residuals.sparkSession
-    idx = {n: i for i, n in enumerate(nodes)}
     index_df = spark.createDataFrame(pd.DataFrame({cols.id: nodes, "_i": range(len(nodes))}))
     r = (residuals.filter(F.col(value_col).isNotNull()).join(F.broadcast(index_df), cols.id)
-         .select(F.col(cols.ds).alias("_t"), "_i",
-                 F.col(value_col).cast("double").alias(value_col))
+         .select(F.col(cols.ds).alias("_t"), "_i", F.col(value_col).cast("double").alias(value_col))
          .repartition("_t"))
     parts = r.mapInPandas(_gram_partials(len(nodes), value_col), "_g int, blob binary")
-    s_rows = S.select("node", "bottom", "weight")
+    return nodes, bottoms, s_pairs, parts
+
+
+def _mint_projection(blobs, nodes, bottoms, s_pairs):
+    """``G = S P`` (k x k) and the shrinkage intensity from summed moment blobs."""
+    import io
+
+    k, nb = len(nodes), len(bottoms)
+    xx = np.zeros((k, k))
+    x4 = np.zeros((k, k))
+    nn = np.zeros((k, k))
+    for blob in blobs:
+        z = np.load(io.BytesIO(blob))
+        xx += z["xx"]
+        x4 += z["x4"]
+        nn += z["nn"]
+    cov = xx / np.maximum(nn - 1, 1)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-8))
+    corr = cov / np.outer(sd, sd)
+    # Var(r_ij) from sums of standardised cross products (w_t = x_i x_j / (sd_i sd_j))
+    w_sum = xx / np.outer(sd, sd)
+    w2_sum = x4 / np.outer(sd * sd, sd * sd)
+    nbar = np.maximum(nn, 2)
+    var_r = nbar / (nbar - 1) ** 3 * (w2_sum - w_sum ** 2 / nbar)
+    off = ~np.eye(k, dtype=bool)
+    denom = np.sum(corr[off] ** 2)
+    lam = 0.0 if denom == 0 else float(np.clip(np.sum(var_r[off]) / denom, 0.0, 1.0))
+    W = lam * np.diag(np.diag(cov)) + (1 - lam) * cov
+    W[np.diag_indices(k)] = np.maximum(np.diag(W), 1e-8)
+    Smat = np.zeros((k, nb))
+    node_i = {v: i for i, v in enumerate(nodes)}
+    bot_i = {v: i for i, v in enumerate(bottoms)}
+    for nd, bt, wt in s_pairs:
+        Smat[node_i[nd], bot_i[bt]] = wt
+    Winv = np.linalg.pinv(W)
+    P = np.linalg.pinv(Smat.T @ Winv @ Smat) @ Smat.T @ Winv  # (nb, k)
+    return Smat @ P, lam  # G: reconciled node = sum_j G[node, j] * base_j
 
-    bottoms_b = bottoms
-    nodes_b = nodes
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        import io
+def mint_shrink_weights(residuals: DataFrame, S: DataFrame, cols: Cols = DEFAULT,
+                        value_col: str = "resid") -> DataFrame:
+    """Projection ``S P``, ``P = (S' W^-1 S)^-1 S' W^-1``, as a long table.
 
-        k, nb = len(nodes_b), len(bottoms_b)
-        xx = np.zeros((k, k))
-        x4 = np.zeros((k, k))
-        nn = np.zeros((k, k))
-        for blob in pdf["blob"]:
-            z = np.load(io.BytesIO(blob))
-            xx += z["xx"]
-            x4 += z["x4"]
-            nn += z["nn"]
-        cov = xx / np.maximum(nn - 1, 1)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-8))
-        corr = cov / np.outer(sd, sd)
-        # Var(r_ij) from sums of standardised cross products (w_t = x_i x_j / (sd_i sd_j))
-        w_sum = xx / np.outer(sd, sd)
-        w2_sum = x4 / np.outer(sd * sd, sd * sd)
-        nbar = np.maximum(nn, 2)
-        var_r = nbar / (nbar - 1) ** 3 * (w2_sum - w_sum ** 2 / nbar)
-        off = ~np.eye(k, dtype=bool)
-        denom = np.sum(corr[off] ** 2)
-        lam = 0.0 if denom == 0 else float(np.clip(np.sum(var_r[off]) / denom, 0.0, 1.0))
-        W = lam * np.diag(np.diag(cov)) + (1 - lam) * cov
-        W[np.diag_indices(k)] = np.maximum(np.diag(W), 1e-8)
-        Smat = np.zeros((k, nb))
-        node_i = {v: i for i, v in enumerate(nodes_b)}
-        bot_i = {v: i for i, v in enumerate(bottoms_b)}
-        for nd, bt, wt in s_pairs:
-            Smat[node_i[nd], bot_i[bt]] = wt
-        Winv = np.linalg.pinv(W)
-        P = np.linalg.pinv(Smat.T @ Winv @ Smat) @ Smat.T @ Winv  # (nb, k)
-        G = Smat @ P  # (k, k): reconciled node = sum_j G[node, j] * base_j
+    ``W`` is the shrinkage covariance of the in-sample residuals of all nodes
+    (Schafer and Strimmer 2005): lambda from the variance of the standardised
+    cross products, clipped to [0, 1]; ``W = lambda*diag(S) + (1-lambda)*S``.
+    The node-by-node moment sums are accumulated per partition with NumPy
+    and travel as one binary row per partition; only the final k x k solve
+    runs in one task, so the node count is capped at ``MAX_MINT_NODES``.
+    Residuals are assumed centred (mean zero), as one-step residuals are.
+    Output ``(node, source, weight, shrinkage)`` for ``reconcile_with``.
+    """
+    nodes, bottoms, s_pairs, parts = _mint_inputs(residuals, S, cols, value_col)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        G, lam = _mint_projection(pdf["blob"], nodes, bottoms, s_pairs)
         ii, jj = np.nonzero(np.abs(G) > 1e-12)
-        return pd.DataFrame({"node": [nodes_b[a] for a in ii], "source": [nodes_b[b] for b in jj],
+        return pd.DataFrame({"node": [nodes[a] for a in ii], "source": [nodes[b] for b in jj],
                              "weight": G[ii, jj], "shrinkage": lam})
 
-    s_pairs = [tuple(x) for x in s_rows.collect()]
     return parts.groupBy("_g").applyInPandas(solve, "node string, source string, weight double, shrinkage double")
 
 
+def mint_reconcile(base: DataFrame, residuals: DataFrame, S: DataFrame, value_cols: list[str],
+                   cols: Cols = DEFAULT, value_col: str = "resid") -> DataFrame:
+    """MinT-reconciled forecasts of every node (F19), applied inside the solve.
+
+    The base forecasts (nodes x horizon, bounded by the node cap) are
+    cogrouped with the moment blobs, so the k x k projection is applied with
+    one matrix product per value column instead of being written out as
+    k^2 rows and joined back.
+    """
+    nodes, bottoms, s_pairs, parts = _mint_inputs(residuals, S, cols, value_col)
+    id_type = base.schema[cols.id].dataType.simpleString()
+    ds_type = base.schema[cols.ds].dataType.simpleString()
+    b = base.select(F.lit(0).alias("_g"), cols.id, cols.ds, *[F.col(v).cast("double").alias(v) for v in value_cols])
+
+    def solve(blobs: pd.DataFrame, bp: pd.DataFrame) -> pd.DataFrame:
+        G, _ = _mint_projection(blobs["blob"], nodes, bottoms, s_pairs)
+        pos = {n: i for i, n in enumerate(nodes)}
+        out = []
+        for ds, grp in bp.groupby(cols.ds, sort=False):
+            res = {cols.id: nodes, cols.ds: ds}
+            for v in value_cols:
+                vec = np.zeros(len(nodes))
+                vec[[pos[n] for n in grp[cols.id]]] = grp[v].fillna(0.0).to_numpy()
+                res[v] = G @ vec
+            out.append(pd.DataFrame(res))
+        return pd.concat(out) if out else pd.DataFrame(columns=[cols.id, cols.ds, *value_cols])
+
+    schema = f"{cols.id} {id_type}, {cols.ds} {ds_type}, " + ", ".join(f"`{v}` double" for v in value_cols)
+    return parts.groupBy("_g").cogroup(b.groupBy("_g")).applyInPandas(solve, schema)
+
+
 def reconcile_with(base: DataFrame, weights: DataFrame, value_cols: list[str], cols: Cols = DEFAULT) -> DataFrame:
     """Apply a long projection ``(node, source, weight)`` to base forecasts of all nodes."""
     j = base.join(weights, base[cols.id] == weights["source"], "inner")

@@ -584,15 +584,14 @@ def coherence_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mint_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinT reconciliation with shrinkage covariance of naive residuals."""
     from seriesspark.operators.forecast import closed_form_forecast
-    from seriesspark.operators.hierarchy import mint_shrink_weights, reconcile_with
+    from seriesspark.operators.hierarchy import mint_reconcile
     from seriesspark.operators.features import series_window
     t = Tables(spark, sf_dir)
     Y, S = _hierarchy(t)
     Y = Y.select("unique_id", "ds", "y")
     resid = Y.select("unique_id", "ds", (F.col("y") - F.lag("y", 1).over(series_window())).alias("resid"))
     base = closed_form_forecast(Y, H_DAILY, "D", ("Naive",), 1)
-    weights = mint_shrink_weights(resid, S)
-    return round_doubles(reconcile_with(base, weights, ["Naive"]))
+    return round_doubles(mint_reconcile(base, resid, S, ["Naive"]))
 
 
 # ------------------------------------------------------------ grouped-map solvers
