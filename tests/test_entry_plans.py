@@ -43,3 +43,15 @@ def test_small_queries_match_oracle(spark):
         o = con.execute(ENTRY.oracle_sql()[name]).df()
         assert sorted(s.columns) == sorted(o.columns), name
         assert len(s) == len(o), name
+
+
+def test_no_cartesian_or_nested_loop_joins(spark):
+    """No registered query plans a cross join (model-training queries excluded: they fit eagerly)."""
+    bad = []
+    for name, fn in ENTRY.queries().items():
+        if name in ENTRY.HEAVY:
+            continue
+        plan = _plan(fn(spark, "/root/testdata/sf0.001"))
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(name)
+    assert bad == []
