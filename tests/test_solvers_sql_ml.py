@@ -72,3 +72,37 @@ def test_cv_cutoffs_formula(spark):
     df = spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, y double")
     got = sorted((r.window, r.cutoff_rn) for r in cv_cutoffs(df, 3, 4, 2, Cols()).collect())
     assert got == [(0, 11), (1, 13), (2, 15), (3, 17)]
+
+
+def test_knn_matches_brute_force_on_separated_clusters(spark):
+    from seriesspark.operators.ml import knn_regress
+    rng = np.random.default_rng(4)
+    centres = np.array([[0.0, 0.0], [50.0, 50.0], [-50.0, 80.0]])
+    train, query = [], []
+    for c, (cx, cy) in enumerate(centres):
+        for i in range(30):
+            x = [float(cx + rng.normal(scale=0.5)), float(cy + rng.normal(scale=0.5))]
+            train.append((f"t{c}_{i:02d}", x[0], x[1], float(c * 10 + rng.integers(0, 5))))
+        query.append((f"q{c}", float(cx + 0.1), float(cy - 0.1), 0.0))
+    tr = spark.createDataFrame(train, "id string, a double, b double, y double")
+    qu = spark.createDataFrame(query, "id string, a double, b double, y double")
+    got = {r.id: r.knn for r in knn_regress(tr, qu, ["a", "b"], 5, "y", ["id"], bucket_length=2.0,
+                                            num_tables=3, projections=1).collect()}
+    X = np.array([[t[1], t[2]] for t in train])
+    ys = np.array([t[3] for t in train])
+    mu, sd = X.mean(axis=0), X.std(axis=0)
+    for qid, qa, qb, _ in query:
+        d = np.sqrt((((X - mu) / sd - (np.array([qa, qb]) - mu) / sd) ** 2).sum(axis=1))
+        want = ys[np.argsort(d, kind="stable")[:5]].mean()
+        assert got[qid] is not None and abs(got[qid] - want) < 1e-9
+
+
+def test_grid_position_holdout_equals_window_holdout(spark):
+    from seriesspark.operators.split import label_holdout
+    rows = [(i, D(2024, 1, 1) + dt.timedelta(days=t), float(t)) for i, n in (("a", 10), ("b", 2), ("c", 30))
+            for t in range(n)]
+    df = spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, y double")
+    plain = label_holdout(df, 3)
+    grid = label_holdout(df, 3, freq="D")
+    assert plain.exceptAll(grid.select(*plain.columns)).count() == 0
+    assert grid.filter("unique_id = 'b' AND split = 'test'").count() == 2
