@@ -60,24 +60,34 @@ def train_test(df: DataFrame, h: int, cols: Cols = DEFAULT) -> tuple[DataFrame,
             labelled.filter(F.col("_split") == "test").drop("_split"))
 
 
-def head_per_series(df: DataFrame, n: int, cols: Cols = DEFAULT) -> DataFrame:
-    """First ``n`` rows of every series."""
+def head_per_series(df: DataFrame, n: int, cols: Cols = DEFAULT, freq: str | None = None) -> DataFrame:
+    """First ``n`` rows of every series (W2); ``freq`` uses ``grid_positions``."""
+    if freq:
+        return grid_positions(df, freq, cols).filter(F.col("_rn") <= n).drop("_rn", "_n")
     return df.withColumn("_rn", position(cols)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def tail_per_series(df: DataFrame, n: int, cols: Cols = DEFAULT) -> DataFrame:
-    """Last ``n`` rows of every series (W1 ``tail``)."""
+def tail_per_series(df: DataFrame, n: int, cols: Cols = DEFAULT, freq: str | None = None) -> DataFrame:
+    """Last ``n`` rows of every series (W1 ``tail``); ``freq`` uses ``grid_positions``."""
+    if freq:
+        pos = grid_positions(df, freq, cols)
+        return pos.filter(F.col("_n") - F.col("_rn") < n).drop("_rn", "_n")
     from_end = series_length(cols) - position(cols)
     return df.withColumn("_fe", from_end).filter(F.col("_fe") < n).drop("_fe")
 
 
 def ordered_split(df: DataFrame, train_frac: float = 0.9, cols: Cols = DEFAULT,
-                  label_col: str = "split") -> DataFrame:
+                  label_col: str = "split", freq: str | None = None) -> DataFrame:
     """Ordered split: first ``int(frac * n)`` rows of each series train.
 
     Per series instead of one global window, which would put every row in
-    one task.
+    one task; with ``freq`` (regular grid) positions come from
+    ``grid_positions`` so no series is confined to one task either.
     """
+    if freq:
+        pos = grid_positions(df, freq, cols)
+        return pos.withColumn(label_col, F.when(F.col("_rn") <= F.floor(F.lit(train_frac) * F.col("_n")), "train")
+                              .otherwise("valid")).drop("_rn", "_n")
     cut = F.floor(F.lit(train_frac) * series_length(cols))
     return df.withColumn(label_col, F.when(position(cols) <= cut, "train").otherwise("valid"))
 

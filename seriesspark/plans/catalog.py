@@ -817,6 +817,21 @@ def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return osplit(daily_filled(Tables(spark, sf_dir)), 0.9).select("unique_id", "ds", "split")
 
 
+@query
+def ordered_split_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W15 with grid positions (no whole-series window); same rows as ``ordered_split``."""
+    from seriesspark.operators.split import ordered_split as osplit
+    return osplit(daily_filled(Tables(spark, sf_dir)), 0.9, freq="D").select("unique_id", "ds", "split")
+
+
+@query
+def first_n_per_series_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 with grid positions; same rows as ``first_n_per_series``."""
+    from seriesspark.operators.split import head_per_series
+    panel = seller_panel(Tables(spark, sf_dir), 8).select("seller_id", "month", "revenue")
+    return head_per_series(panel, 2, SELLER, freq="MS")
+
+
 @query
 def row_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel rows not in the holdout (anti-join on id and time)."""

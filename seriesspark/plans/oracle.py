@@ -608,3 +608,5 @@ ORACLES["cv_naive_blocked"] = ORACLES["cv_naive"]
 ORACLES["holdout_split_blocked"] = ORACLES["holdout_split"]
 ORACLES["fitted_values_blocked"] = ORACLES["fitted_values"]
 ORACLES["quantile_forecast_blocked"] = ORACLES["quantile_forecast"]
+ORACLES["ordered_split_blocked"] = ORACLES["ordered_split"]
+ORACLES["first_n_per_series_blocked"] = ORACLES["first_n_per_series"]
