@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, quality
+from . import chat, decontam, line_dedup, mixing, quality, token_files, warc_zip
 from .common import table
 from .oracles import ORACLES  # noqa: F401  (re-exported)
 
@@ -27,6 +27,16 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_files.read_tokens(manifest)
+
+
 # A conversation whose texts hold the template's control strings.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -46,9 +56,23 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc_zip.write_archives(table(spark, sf_dir, "pages"))
+    return warc_zip.read_archives(manifest, payload=False).drop("url")
+
+
+def op10_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_ledger": op3_quality_ledger,
+    "op5_token_files": op5_token_files,
     "op6_chat_format": op6_chat_format,
+    "op7_warc_archives": op7_warc_archives,
+    "op10_benchmark_index": op10_benchmark_index,
 }
