@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, quality, token_files, warc_zip
+from . import chat, decontam, line_dedup, mixing, near_dup, pii, quality, substring, token_files, warc_zip
 from .common import table
 from .oracles import ORACLES  # noqa: F401  (re-exported)
 
@@ -27,6 +27,10 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept")
 
 
+def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +65,18 @@ def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_archives(manifest, payload=False).drop("url")
 
 
+def op8_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_substrings(table(spark, sf_dir, "documents"), length=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+PII_KEY = "surrogates of this corpus"  # a deployment sets its own
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op10_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -71,8 +87,11 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_ledger": op3_quality_ledger,
+    "op4_hyperminhash": op4_hyperminhash,
     "op5_token_files": op5_token_files,
     "op6_chat_format": op6_chat_format,
     "op7_warc_archives": op7_warc_archives,
+    "op8_substring_doubling": op8_substring_doubling,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_benchmark_index": op10_benchmark_index,
 }
