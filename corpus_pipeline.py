@@ -1,7 +1,84 @@
-"""Placeholder replaced by the full pipeline."""
-STAGES = []
+"""From raw documents to token files, in five stages.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
+written and read again as the next one's ``docs``. All but the last return the
+columns of ``docs``; further columns, also ones named like a measurement, are
+carried through.
+
+Defined cases: a null text has no words and fails the quality rules; rows that
+repeat a ``doc_id`` are one document for near-dedup and one of them stays; a null
+``doc_id`` is never a duplicate; an empty table passes through empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seriesspark.llm import decontam, mixing, near_dup, quality, token_files
+from seriesspark.llm.common import materialize, table
+from seriesspark.llm.queries import tokenizer_path
+
+ROW_KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Every row with a key made of its id and text, never null."""
+    return docs.withColumn(ROW_KEY, F.xxhash64("doc_id", "text"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that policy v2 rejects go."""
+    rows = docs.select(F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    rows = quality.apply_policy(quality.ledger(rows, text="_text", carry=("_row",)), "v2")
+    return rows.where("kept").select("_row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    gone = near_dup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # repeated ids: one row stays; rows without an id are told apart by a number
+    row = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("text"))
+    return left.withColumn("_nth", F.row_number().over(row)).where("_nth = 1").drop("_nth")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    keyed = _keyed(docs)
+    hits = decontam.contamination(keyed, table(spark, sf_dir, "benchmark"), key=ROW_KEY).where("n_hit > 0") \
+        .select(F.col("doc_id").alias(ROW_KEY)).distinct()
+    return keyed.join(hits, ROW_KEY, "left_anti").select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources meet their targets."""
+    keyed = _keyed(docs)
+    mix = mixing.pareto_mix(keyed, mixing.word_count(F.col("text")), key=ROW_KEY)
+    copies = mix.groupBy(F.col("doc_id").alias(ROW_KEY)).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    one = keyed.dropDuplicates([ROW_KEY]).join(copies, ROW_KEY)
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, read back: one row per document with its place and checksum."""
+    return token_files.read_tokens(token_files.write_tokens(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("token_output", token_output),
+]
+
+# Near-dedup and tokenization are not SQL: tests/llm holds the brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
