@@ -3,7 +3,6 @@ import re
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, n_words string, kept string"
 
 
 def sha(text: str) -> str:

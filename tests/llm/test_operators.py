@@ -362,7 +362,7 @@ def test_pii(spark, odd_docs, sf_docs):
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in before.elements())
     got = {r["doc_id"]: r for r in rows}
     new = got[900]["text"].split()
-    assert got[900]["n_entities"] == 11 and got[902]["text"] == "nothing here" and got[3]["text"] in (None, got[3]["text"])
+    assert got[900]["n_entities"] == 12 and got[902]["text"] == "nothing here"
     family = new[2]
     assert new[5] == family.upper() + ";" and new[7] == family and new[1] in pii.GIVEN["m_latin"]
     digits = lambda s: "".join(c for c in s if c.isdigit())
@@ -377,7 +377,7 @@ def test_pii(spark, odd_docs, sf_docs):
 
 def test_pii_surrogates_stay_distinct(spark):
     values = spark.range(4000).select(F.lit("family_latin").alias("type"), F.concat(F.lit("Name"), F.col("id")).alias("ident")) \
-        .unionByName(spark.range(300).select(F.lit("given_m_latin"), F.concat(F.lit("Given"), F.col("id"))))
+        .union(spark.range(300).select(F.lit("given_m_latin"), F.concat(F.lit("Given"), F.col("id"))))
     done = pii.assign(values, "k")
     shown = done.select("type", pii.surrogate(F.col("type"), F.col("ident"), F.col("digest"), F.col("attempt")).alias("s"))
     assert done.count() == 4300 and shown.distinct().count() == 4300
