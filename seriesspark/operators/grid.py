@@ -13,7 +13,7 @@ values to carry are computed in the same window pass:
   ``coalesce(ffill(r), bfill(r))``;
 * any other column is NULL on generated points.
 
-Global bounds enter as scalar subqueries (one tiny aggregate job each).
+Global bounds enter as one scalar subquery with two fields.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesspark.functions.contracts import DEFAULT, Cols
-from seriesspark.functions.frequency import interval, step_forward
+from seriesspark.functions.frequency import interval, step_forward, step_index
 
 
 def forward_fill(col: str, id_col: str, ds_col: str) -> Column:
@@ -50,12 +50,28 @@ def ffill_bfill(col: str, id_col: str, ds_col: str) -> Column:
     return F.coalesce(forward_fill(col, id_col, ds_col), backward_fill(col, id_col, ds_col))
 
 
-def _bound(df: DataFrame, ds: str, which: str, agg) -> Column | None:
-    if which == "per_serie":
-        return None
-    if which == "global":
-        return df.select(agg(ds)).scalar()
-    return F.lit(which).cast("timestamp_ntz")
+def _bounds(df: DataFrame, ds: str, start: str, end: str) -> tuple[Column | None, Column | None]:
+    """Start and end bound; global ones are the two fields of one scalar subquery."""
+    both = None
+    if "global" in (start, end):
+        both = df.select(F.struct(F.min(ds).alias("lo"), F.max(ds).alias("hi")).alias("b")).scalar()
+
+    def bound(which: str, field: str) -> Column | None:
+        if which == "per_serie":
+            return None
+        return both[field] if which == "global" else F.lit(which).cast("timestamp_ntz")
+
+    return bound(start, "lo"), bound(end, "hi")
+
+
+def _on_grid(nxt: Column, cols: Cols, freq: str) -> Column:
+    """The next stamp, or an error that names the series when it is a repeat or off the grid."""
+    ds = F.col(cols.ds)
+    steps = step_index(nxt, freq) - step_index(ds, freq)
+    bad = nxt.isNotNull() & ((nxt <= ds) | (step_forward(ds, steps, freq) != nxt))
+    message = F.concat(F.lit("series "), F.col(cols.id).cast("string"), F.lit(" has a repeated or off-grid stamp after "),
+                       ds.cast("string"), F.lit(f" for frequency {freq}"))
+    return F.when(bad, F.raise_error(message).cast("timestamp_ntz")).otherwise(nxt)
 
 
 def _blocked_neighbours(df: DataFrame, cols: Cols, freq: str, block_size: int, carry_cols: list[str]):
@@ -67,8 +83,6 @@ def _blocked_neighbours(df: DataFrame, cols: Cols, freq: str, block_size: int, c
     of a series. A series holding a third of all rows is thus spread over
     ``n / block_size`` tasks.
     """
-    from seriesspark.functions.frequency import step_index
-
     staged = df.withColumn("_blk", F.floor(step_index(F.col(cols.ds), freq) / block_size))
     aggs = [F.min(cols.ds).alias("_bmin")]
     for c in carry_cols:
@@ -106,14 +120,14 @@ def fill_grid(df: DataFrame, cols: Cols = DEFAULT, freq: str = "D",
     ``start``/``end``: ``"per_serie"`` (J10: the series' own first/last
     stamp), ``"global"`` (J9, J11: over all rows of ``bounds_from``, default
     ``df``) or a literal timestamp string (rows outside are dropped). Input
-    stamps must lie on the grid and be unique per series (``validate_panel``).
+    stamps must lie on the grid and be unique per series: a repeated or off-grid
+    stamp stops the job with an error that names the series.
     ``block_size`` evaluates the neighbour lookups on time blocks
     (``_blocked_neighbours``) so that no series is confined to one task.
     """
     zero_cols, carry_cols = list(zero_cols or []), list(carry_cols or [])
     src = bounds_from if bounds_from is not None else df
-    lo = _bound(src, cols.ds, start, F.min)
-    hi = _bound(src, cols.ds, end, F.max)
+    lo, hi = _bounds(src, cols.ds, start, end)
     if start not in ("per_serie", "global"):
         df = df.filter(F.col(cols.ds) >= lo)
     if end not in ("per_serie", "global"):
@@ -127,6 +141,7 @@ def fill_grid(df: DataFrame, cols: Cols = DEFAULT, freq: str = "D",
         nxt = F.lead(cols.ds).over(w)
         is_first = F.row_number().over(w) == 1
         carried = {f"_c_{c}": ffill_bfill(c, cols.id, cols.ds) for c in carry_cols}
+    nxt = _on_grid(nxt, cols, freq)
     own_start = F.col(cols.ds) if lo is None else F.when(is_first, F.least(lo, F.col(cols.ds))).otherwise(F.col(cols.ds))
     own_end = F.coalesce(nxt - interval(freq), F.col(cols.ds) if hi is None else F.greatest(hi, F.col(cols.ds)))
     owned = owned_src.select(*df.columns, F.sequence(own_start, own_end, interval(freq)).alias("_pts"), *[

@@ -50,5 +50,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs, accuracy: in
         F.max(F.when(F.col("_rank") == F.floor("_pos"), F.col("_v"))).alias("_lv"),
         F.max(F.when(F.col("_rank") == F.ceil("_pos"), F.col("_v"))).alias("_hv"))
     frac = F.col("_pos") - F.floor("_pos")
-    return out.select(*keys, "q", F.when(frac == 0, F.col("_lv"))
-                      .otherwise((1 - frac) * F.col("_lv") + frac * F.col("_hv")).alias("quantile"))
+    value = F.when(frac == 0, F.col("_lv")).otherwise((1 - frac) * F.col("_lv") + frac * F.col("_hv"))
+    # every group and q must have both order statistics: a bracket that missed one is an error, not a gap
+    every = brackets.select(*keys, "q")
+    missed = F.raise_error(F.concat(F.lit("quantile bracket missed its rank for "), F.to_json(F.struct(*keys, "q")))).cast("double")
+    return every.join(out.select(*keys, "q", value.alias("_value")), [*keys, "q"], "left") \
+        .select(*keys, "q", F.coalesce("_value", missed).alias("quantile"))

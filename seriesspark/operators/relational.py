@@ -87,54 +87,37 @@ SELLER_SUM_COLS = ["revenue", "order_count", "item_count", "n_unique_products",
 SELLER_AVG_COLS = ["avg_price", "avg_freight", "avg_delivery_days", "avg_review_score"]
 
 
-def seller_monthly_raw(enriched: DataFrame, id_col: str = "seller_id", two_level: bool = True) -> DataFrame:
+def seller_monthly_raw(enriched: DataFrame, id_col: str = "seller_id") -> DataFrame:
     """Per-seller monthly aggregate on the ungridded rows.
 
-    ``two_level`` (default) avoids Catalyst's Expand rewrite of three
-    distinct counts, which copies every fact row four times before the
-    shuffle: the facts are first reduced to one row per (seller, month,
-    order) carrying exact partial sums and the order's customer, products
-    are reduced to one row per (seller, month, product), and the two are
-    joined on the co-partitioned key. Only one distinct count remains
-    (customers over order rows).
+    The facts are read once and shuffled once, by (seller, month). Within that
+    partitioning the first row of each order, product and customer of a group is
+    flagged (three in-partition sorts that spill), so the three distinct counts are
+    plain sums of flags: no Expand that copies the facts per distinct count, and
+    no second aggregate over the same facts.
     """
-    base = enriched.filter(F.col(id_col).isNotNull() & F.col("month").isNotNull())
-    if two_level:
-        keys = [id_col, "month"]
-        orders = base.groupBy(*keys, "order_id").agg(
-            F.sum(F.col("item_total").cast("decimal(18,4)")).alias("_rev"),
-            F.count("order_id").alias("_items"),
-            F.sum(F.col("price").cast("decimal(18,2)")).alias("_ps"), F.count("price").alias("_pc"),
-            F.sum(F.col("freight_value").cast("decimal(18,4)")).alias("_fs"), F.count("freight_value").alias("_fc"),
-            F.sum("delivery_secs").alias("_ds"), F.count("delivery_secs").alias("_dc"),
-            F.sum("review_score").alias("_rs"), F.count("review_score").alias("_rc"),
-            F.max("customer_id").alias("customer_id"))
-        per = orders.groupBy(*keys).agg(
-            F.sum("_rev").cast("double").alias("revenue"),
-            F.count("order_id").alias("order_count"),
-            F.sum("_items").alias("item_count"),
-            F.round(F.sum("_ps").cast("double") / F.sum("_pc"), 6).alias("avg_price"),
-            F.round(F.sum("_fs").cast("double") / F.sum("_fc"), 6).alias("avg_freight"),
-            F.round(F.sum("_ds").cast("double") / F.sum("_dc") / F.lit(86400.0), 6).alias("avg_delivery_days"),
-            F.round(F.sum("_rs") / F.sum("_rc"), 6).alias("avg_review_score"),
-            F.countDistinct("customer_id").alias("n_unique_customers"))
-        prods = (base.filter(F.col("product_id").isNotNull()).select(*keys, "product_id").distinct()
-                 .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_unique_products")))
-        return per.join(prods, keys, "left").select(
-            *keys, "revenue", "order_count", "item_count", "avg_price", "avg_freight", "avg_delivery_days",
-            "avg_review_score", F.coalesce("n_unique_products", F.lit(0)).alias("n_unique_products"),
-            "n_unique_customers")
-    return (base
-            .groupBy(id_col, "month")
-            .agg(exact_sum("item_total").alias("revenue"),
-                 F.countDistinct("order_id").alias("order_count"),
-                 F.count("order_id").alias("item_count"),
-                 F.round(exact_avg("price", 2), 6).alias("avg_price"),
-                 F.round(exact_avg("freight_value"), 6).alias("avg_freight"),
-                 F.round(_delivery_days_avg(), 6).alias("avg_delivery_days"),
-                 F.round(F.avg("review_score"), 6).alias("avg_review_score"),
-                 F.countDistinct("product_id").alias("n_unique_products"),
-                 F.countDistinct("customer_id").alias("n_unique_customers")))
+    keys = [id_col, "month"]
+    base = (enriched.filter(F.col(id_col).isNotNull() & F.col("month").isNotNull())
+            .select(*keys, "order_id", "product_id", "customer_id", "item_total", "price", "freight_value",
+                    "delivery_secs", "review_score")
+            .repartition(*keys))
+
+    def first_of(col: str) -> Column:
+        nth = F.row_number().over(Window.partitionBy(*keys, col).orderBy(col))
+        return F.when(F.col(col).isNotNull() & (nth == 1), 1).otherwise(0)
+
+    flagged = base.withColumn("_o", first_of("order_id")).withColumn("_p", first_of("product_id")) \
+        .withColumn("_c", first_of("customer_id"))
+    return flagged.groupBy(*keys).agg(
+        exact_sum("item_total").alias("revenue"),
+        F.sum("_o").alias("order_count"),
+        F.count("order_id").alias("item_count"),
+        F.round(exact_avg("price", 2), 6).alias("avg_price"),
+        F.round(exact_avg("freight_value"), 6).alias("avg_freight"),
+        F.round(_delivery_days_avg(), 6).alias("avg_delivery_days"),
+        F.round(F.avg("review_score"), 6).alias("avg_review_score"),
+        F.sum("_p").alias("n_unique_products"),
+        F.sum("_c").alias("n_unique_customers"))
 
 
 def keep_active(raw: DataFrame, id_col: str, min_periods: int) -> DataFrame:
@@ -191,7 +174,7 @@ def first_ids(df: DataFrame, id_col: str, n: int) -> DataFrame:
 
 
 def sample_ids(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """``n`` distinct ids ranked by a seeded hash (T3): reproducible anywhere."""
+    """``n`` distinct ids ranked by a seeded hash (T3): reproducible in any engine."""
     ids = df.select(id_col).distinct()
-    return (ids.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    return (ids.withColumn("_h", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}"))))
             .orderBy("_h", id_col).limit(n).drop("_h"))

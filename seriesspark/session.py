@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,14 +42,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True when driver and executors are one process (``local`` masters)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) is a fallback under ``/tmp`` set.
+    ``spark.checkpoint.dir`` is read from the session. Only a local master,
+    whose executors are the driver process, may do without it: then a folder
+    under ``/tmp`` is used. Anywhere else an unset folder is an error, because
+    files on one machine are lost to the others.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -57,10 +68,32 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         return conf_dir
     if current:
         return current
+    if not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = fallback or os.path.join("/tmp", "seriesspark-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
-    return path
+    return spark.sparkContext.getCheckpointDir()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Python tasks import it by name, so a driver started from another folder, or
+    a cluster without the package installed, needs it shipped.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_seriesspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="seriesspark-"), "seriesspark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("seriesspark", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._seriesspark_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
