@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-BLOCK_BYTES = 12 << 20   # text per block, on average
-RANGE_WORDS = 24 << 20   # words of text per hash range, on average
+# Text per block and words of text per hash range, at most on average. A level sends
+# blocks x ranges rows: beyond some TB raise both, as far as memory allows.
+BLOCK_BYTES = 12 << 20
+RANGE_WORDS = 24 << 20
 
 
 def blocked(docs: DataFrame, *, key: str, text: str) -> tuple[DataFrame, int]:
     """``block, doc_id, text`` and the number of hash ranges to use."""
     d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / BLOCK_BYTES))
+    n = max(2 * partitions(docs.sparkSession), math.ceil(size / BLOCK_BYTES))
     ranges = max(partitions(docs.sparkSession), math.ceil(size / 6 / RANGE_WORDS))
     return d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), ranges
 
