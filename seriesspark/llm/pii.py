@@ -5,8 +5,8 @@ pieces and valued pieces (a title stays, a name's words are values; ``password=`
 stays, what follows is a value). Every distinct value gets a surrogate from a
 keyed digest: same type, script, letter case and separators, a given name of the
 gender its title tells, a card number with the same check sum. Equal values get
-equal surrogates everywhere (phone and card numbers also across separators), so
-coreference holds. Collision checks make surrogates distinct: a value whose
+equal surrogates everywhere (phone and card numbers also across separators, names
+and addresses across letter case), so coreference holds. Collision checks make surrogates distinct: a value whose
 surrogate another value has, or that is itself a value in the corpus, draws again
 with the next attempt until none is left.
 
@@ -31,7 +31,7 @@ TITLES = {"m": ["Mr", "Monsieur", "Herr", "Señor", "Господин"], "f": ["
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?i:password|passwd|pwd|secret|api_key|token)=[^\s\"']+",
     "key": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
@@ -41,6 +41,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Every entity but a name holds one of these; most texts have none and skip the patterns.
+MARKS = "[0-9@=]|AKIA|[a-f]{32}"
 # Given names by gender and script, and syllables of family names by script.
 GIVEN = {
     "m_latin": ["Adam", "Brian", "Carl", "David", "Erik", "Felix", "George", "Henry", "Ivan", "James", "Karl", "Louis"],
@@ -74,7 +76,8 @@ def parts(match: Column) -> Column:
 
 def identity(kind: Column, value: Column) -> Column:
     """What two spellings of one value share."""
-    return F.when(kind.isin("phone", "card"), F.regexp_replace(value, "[^0-9]+", "")).when(kind == "email", F.lower(value)).otherwise(value)
+    any_case = (kind == "email") | kind.startswith("family") | kind.startswith("given")
+    return F.when(kind.isin("phone", "card"), F.regexp_replace(value, "[^0-9]+", "")).when(any_case, F.lower(value)).otherwise(value)
 
 
 def digest(secret: str, kind: Column, ident: Column, attempt: int) -> Column:
@@ -177,7 +180,7 @@ def assign(values: DataFrame, secret: str) -> DataFrame:
 def replace_pii(docs: DataFrame, secret: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_entities, text`` with every entity replaced."""
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    has = F.col("text").rlike(ANY)
+    has = (F.col("text").rlike(MARKS) & F.col("text").rlike(ANY)) | F.col("text").rlike(PATTERNS["name"])
     dirty = d.where(has).withColumn("h", F.xxhash64("text"))
     found = dirty.select("doc_id", "h", F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), parts).alias("p"))
     found = materialize(found.dropDuplicates(["doc_id", "h"]), "entities")

@@ -196,18 +196,27 @@ def test_near_duplicate_chain_and_large_group(spark):
     assert got == want and len(set(got.values())) < 20
 
 
-def test_registers_and_estimate(spark):
+def test_registers_and_estimate():
     rng = np.random.default_rng(1)
-    a = np.unique(rng.integers(0, 2 ** 63, 4000).astype(np.uint64) * np.uint64(2))
-    b = np.unique(np.concatenate([a[:3600], rng.integers(0, 2 ** 63, 400).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
-    ra, rb = near_dup.registers(a), near_dup.registers(b)
-    v = a[a >> np.uint64(57) == 0].min()
-    rest = 57 - int(v).bit_length()
-    assert ra[0] >> near_dup.MANTISSA == rest + 1
-    df = spark.createDataFrame([(ra.tolist(), rb.tolist(), len(a), len(b))], "ra array<smallint>, rb array<smallint>, na bigint, nb bigint")
-    est = df.select(near_dup.estimate(*map(F.col, ("ra", "rb", "na", "nb")))[0]).first()[0]
-    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert abs(est - true) < 0.15
+    draw = lambda n: rng.integers(0, 2 ** 63, n).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
+    v = np.unique(draw(4000))
+    first = v[v >> np.uint64(64 - near_dup.BAND_BITS) == 0].min()
+    reg = near_dup.registers(v, near_dup.BAND_BITS, 62, near_dup.BAND_MANTISSA)[0]
+    assert reg >> near_dup.BAND_MANTISSA == 64 - near_dup.BAND_BITS - int(first).bit_length() + 1
+    for size in (40, 300, 5000):
+        pairs = []
+        for _ in range(60):
+            common, own = draw(size), draw(size // 8)
+            a, b = np.unique(np.concatenate([common, own])), np.unique(np.concatenate([common, draw(size // 8)]))
+            pairs.append((a, b, len(np.intersect1d(a, b)) / len(np.union1d(a, b))))
+        A = np.stack([near_dup.registers(a) for a, _, _ in pairs]).astype(np.uint8)
+        B = np.stack([near_dup.registers(b) for _, b, _ in pairs]).astype(np.uint8)
+        na, nb = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+        true = np.array([p[2] for p in pairs])
+        est, _ = near_dup.estimate(A, B, na, nb)
+        assert abs((est - true).mean()) < 0.01 and abs(est - true).max() < 0.1
+        assert near_dup.plausible(A, B, na, nb, int(true.min() * 100)).all()
+        assert not near_dup.plausible(A, np.roll(B, 1, axis=0), na, nb, 50).any()
 
 
 # --- token files -------------------------------------------------------------
@@ -364,12 +373,12 @@ def test_pii(spark, odd_docs, sf_docs):
     new = got[900]["text"].split()
     assert got[900]["n_entities"] == 12 and got[902]["text"] == "nothing here"
     family = new[2]
-    assert new[5] == family.upper() + ";" and new[7] == family and new[1] in pii.GIVEN["m_latin"]
+    assert new[5] == family.upper() + ";" and new[7] == family and new[1].split("-")[0] in pii.GIVEN["m_latin"]
     digits = lambda s: "".join(c for c in s if c.isdigit())
     luhn = lambda s: sum(int(x) for i, c in enumerate(reversed(s)) for x in str(int(c) * (1 + i % 2))) % 10
     cards = [digits(" ".join(new[new.index("card") + 1:new.index("card") + 5])), new[new.index("card") + 6].strip(",")]
     assert cards[0] == cards[1] and luhn(cards[0]) == luhn("4111111111111111") and cards[0] != "4111111111111111"
-    assert new[-1][0].isupper() and new[-2] in pii.GIVEN["f_cyrillic"] and new[-1] != "Иванова"
+    assert new[-1][0].isupper() and new[-2].split("-")[0] in pii.GIVEN["f_cyrillic"] and new[-1] != "Иванова"
     mail = next(x for x in new if "@" in x)
     assert mail in got[901]["text"] and "Plain 4.0. words" in got[901]["text"]
     assert Counter(r["text"] for r in pii.replace_pii(docs.repartition(3), "k").collect()) == Counter(r["text"] for r in rows)
@@ -380,7 +389,7 @@ def test_pii_surrogates_stay_distinct(spark):
         .union(spark.range(300).select(F.lit("given_m_latin"), F.concat(F.lit("Given"), F.col("id"))))
     done = pii.assign(values, "k")
     shown = done.select("type", pii.surrogate(F.col("type"), F.col("ident"), F.col("digest"), F.col("attempt")).alias("s"))
-    assert done.count() == 4300 and shown.distinct().count() == 4300
+    assert done.count() == 4300 and shown.distinct().count() == 4300 and done.where("attempt > 0").count() > 0
 
 
 # --- decontamination ---------------------------------------------------------
