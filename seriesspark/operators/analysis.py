@@ -16,8 +16,6 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from seriesspark.functions.contracts import DEFAULT, Cols
 
-MAX_MATRIX_SERIES = 256
-
 
 # ------------------------------------------------------------ decomposition
 
@@ -145,43 +143,64 @@ def pacf(df: DataFrame, nlags: int, cols: Cols = DEFAULT) -> DataFrame:
 
 # ------------------------------------------------------------ correlation
 
-def corr_with_targets(df: DataFrame, target_ids: list[str], cols: Cols = DEFAULT) -> DataFrame:
-    """Pearson correlation of every series with each listed target series.
+TILE = 64  # target series per tile: columns of one row, whatever the number of targets
+
+
+def _tiles(targets: DataFrame, cols: Cols, width: int) -> DataFrame:
+    """``(id, tile, slot)``: targets numbered within hash buckets, ``width`` to a tile."""
+    n = targets.select(cols.id).distinct().count()
+    buckets = max(1, -(-n // (8 * width)))
+    ids = targets.select(cols.id).distinct().withColumn("_b", F.pmod(F.xxhash64(cols.id), F.lit(buckets)))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy(cols.id)) - 1
+    return ids.select(cols.id, F.struct("_b", F.floor(nth / width).alias("t")).alias("_tile"), (nth % width).alias("_slot"))
+
+
+def corr_with_targets(df: DataFrame, targets: DataFrame | list, cols: Cols = DEFAULT) -> DataFrame:
+    """Pearson correlation of every series with each target series.
 
-    The targets are pivoted to one row per timestamp with one column per
-    target (a bounded list), each panel row is joined one-to-one to its
-    timestamp's row, and one aggregate per series computes ``corr`` against
-    every target column. No timestamp emits pairs of rows; pairwise-complete
-    observations as in pandas. Output ``(target, unique_id, corr)``.
+    ``targets`` is a table with the id column, or a list of ids; any number of
+    them. Targets are laid out in tiles: one row per (timestamp, tile) with the
+    values of up to 64 target series as columns. Each panel row meets the tiles
+    of its timestamp, and one partial aggregate per (series, tile) computes
+    ``corr`` against all columns, so no timestamp emits pairs of series and no
+    list of series is gathered. Pairwise-complete observations as in pandas.
+    Output ``(target, <id>, corr)`` for targets that occur in ``df``.
     """
-    if len(target_ids) > MAX_MATRIX_SERIES:
-        raise ValueError(f"at most {MAX_MATRIX_SERIES} target series; got {len(target_ids)}")
-    names = {t: f"_t{i}" for i, t in enumerate(target_ids)}
-    wide = (df.filter(F.col(cols.id).isin(list(target_ids)))
-            .groupBy(cols.ds).pivot(cols.id, list(target_ids)).agg(F.first(cols.y)))
-    wide = wide.select(cols.ds, *[F.col(f"`{t}`").alias(n) for t, n in names.items()])
-    j = df.select(cols.id, cols.ds, cols.y).join(wide, cols.ds, "inner")
-    agg = j.groupBy(cols.id).agg(*[F.corr(cols.y, n).alias(n) for n in names.values()])
-    stack = ", ".join(f"'{t}', `{n}`" for t, n in names.items())
-    return agg.selectExpr(f"stack({len(names)}, {stack}) AS (target, corr)", f"`{cols.id}` AS unique_id") \
-        .select("target", "unique_id", "corr")
-
-
-def corr_with_target(df: DataFrame, target_id: str, cols: Cols = DEFAULT) -> DataFrame:
+    if not isinstance(targets, DataFrame):
+        targets = df.sparkSession.createDataFrame([(t,) for t in targets], f"`{cols.id}` {df.schema[cols.id].dataType.simpleString()}")
+    targets = targets.select(cols.id).join(df.select(cols.id).distinct(), cols.id, "left_semi")
+    width = max(1, min(TILE, targets.distinct().count()))
+    tiles = _tiles(targets, cols, width)
+    slots = [f"_s{i}" for i in range(width)]
+    placed = df.select(cols.id, cols.ds, cols.y).join(tiles, cols.id)
+    wide = placed.groupBy(cols.ds, "_tile").agg(*[F.max(F.when(F.col("_slot") == i, F.col(cols.y))).alias(s) for i, s in enumerate(slots)])
+    agg = (df.select(cols.id, cols.ds, cols.y).join(wide, cols.ds)
+           .groupBy(cols.id, "_tile").agg(*[F.corr(cols.y, s).alias(s) for s in slots]))
+    long = agg.select(cols.id, "_tile", F.posexplode(F.array(*slots)).alias("_slot", "corr"))
+    names = tiles.select(F.col(cols.id).alias("target"), F.col("_tile").alias("_t"), F.col("_slot").alias("_n"))
+    return (long.join(names, (F.col("_tile") == F.col("_t")) & (F.col("_slot") == F.col("_n")))
+            .select("target", cols.id, "corr"))
+
+
+def corr_with_target(df: DataFrame, target_id, cols: Cols = DEFAULT) -> DataFrame:
     """Correlation of every series with one target series."""
     return corr_with_targets(df, [target_id], cols)
 
 
-def corr_matrix(df: DataFrame, ids: list[str], cols: Cols = DEFAULT) -> DataFrame:
-    """Correlation matrix over an explicit, bounded list of series."""
-    return corr_with_targets(df.filter(F.col(cols.id).isin(list(ids))), ids, cols)
+def corr_matrix(df: DataFrame, ids: DataFrame | list | None = None, cols: Cols = DEFAULT) -> DataFrame:
+    """Correlation matrix of all series, or of the listed ones."""
+    if ids is None:
+        return corr_with_targets(df, df.select(cols.id), cols)
+    if not isinstance(ids, DataFrame):
+        ids = df.sparkSession.createDataFrame([(t,) for t in ids], f"`{cols.id}` {df.schema[cols.id].dataType.simpleString()}")
+    return corr_with_targets(df.join(ids.select(cols.id).distinct(), cols.id, "left_semi"), ids, cols)
 
 
-def top_correlations(df: DataFrame, target_id: str, k: int = 10, cols: Cols = DEFAULT) -> DataFrame:
+def top_correlations(df: DataFrame, target_id, k: int = 10, cols: Cols = DEFAULT) -> DataFrame:
     """Series most correlated with a target by absolute value."""
     c = corr_with_target(df, target_id, cols)
     return (c.withColumn("abs_corr", F.abs("corr"))
-            .orderBy(F.desc("abs_corr"), F.asc("unique_id")).limit(k))
+            .orderBy(F.desc("abs_corr"), F.asc(cols.id)).limit(k))
 
 
 # ------------------------------------------------------------ shape and profile

@@ -143,6 +143,20 @@ def to_wide(long: DataFrame, models, cols: Cols = DEFAULT, value_col: str = "yha
     return long.groupBy(cols.id, cols.ds).pivot("model", list(models)).agg(F.first(value_col))
 
 
+def forecast_models(df: DataFrame, models: dict, cols: Cols = DEFAULT) -> DataFrame:
+    """One wide frame from a dict of models (U3, F9): ``(id, ds, <model>...)``.
+
+    Each value is a function from the history to long forecasts ``(id, ds, ...,
+    yhat)``; the key names its column, so closed forms, smoothing models, solvers
+    and a caller's own function mix freely.
+    """
+    long = None
+    for name, forecast in models.items():
+        part = forecast(df).select(cols.id, cols.ds, F.lit(name).alias("model"), F.col("yhat").cast("double").alias("yhat"))
+        long = part if long is None else long.unionByName(part)
+    return to_wide(long, list(models), cols)
+
+
 def quantile_forecast(df: DataFrame, h: int, freq: str, quantiles=(0.1, 0.5, 0.9),
                       base: str = "Naive", season_length: int = 1,
                       cols: Cols = DEFAULT, block_size: int | None = None) -> DataFrame:

@@ -146,7 +146,8 @@ def fill_grid(df: DataFrame, cols: Cols = DEFAULT, freq: str = "D",
     own_end = F.coalesce(nxt - interval(freq), F.col(cols.ds) if hi is None else F.greatest(hi, F.col(cols.ds)))
     owned = owned_src.select(*df.columns, F.sequence(own_start, own_end, interval(freq)).alias("_pts"), *[
         v.alias(k) for k, v in carried.items()])
-    out = owned.select("*", F.explode("_pts").alias("_g"))
+    # never empty; the outer form keeps Catalyst from evaluating the sequence twice for a size filter
+    out = owned.select("*", F.explode_outer("_pts").alias("_g"))
     observed = F.col("_g") == F.col(cols.ds)
     others = [c for c in df.columns if c not in (cols.id, cols.ds)]
     proj = [F.col(cols.id), F.col("_g").alias(cols.ds)]

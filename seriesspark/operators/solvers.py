@@ -1,30 +1,23 @@
-"""Per-series solvers as grouped maps.
+"""Per-series solvers as grouped maps (F4, F5, W17, U1). Holt-Winters and ADIDA are in ``smoothing``.
 
 These models are sequential in time, so each series is solved in one Python
 task by ``groupBy(id).applyInPandas``: history is shuffled once by series key
 (Arrow batches), the solver is a few vectorised NumPy passes, and the output
 is the long horizon frame. Definitions are fixed here (no library parity):
 
-* HoltWinters (F3): additive trend and season; level0 = mean of cycle 1,
-  trend0 = (mean cycle 2 - mean cycle 1)/m, season0 = cycle 1 - level0;
-  alpha, beta, gamma from {0.1, 0.3, 0.5, 0.7, 0.9}, minimum one-step SSE,
-  ties to the lexicographically smallest; n < 2m falls back to naive.
 * ARIMA(p,d,q) (F4): difference d times; long AR of order min(10, n/4) for
   innovations (Hannan and Rissanen 1982); least squares on p lags and q
   innovations; future innovations 0; differences undone.
 * AutoARIMA (F5): p, q in 0..2, d in 0..1, minimum AICc
-  ``n*ln(SSE/n) + 2k + 2k(k+1)/(n-k-1)``, all candidates of one d scored on
-  the same rows.
-* ADIDA (F6): A = max(1, round(mean inter-demand interval)), buckets of A
-  counted back from the end, SES with alpha in {0.10..0.30} by minimum
-  one-step SSE, forecast = level / A; all-zero history forecasts 0.
-* STL (W17): loess seasonal-trend decomposition (inner 2, outer 0).
+  ``n*ln(SSE/n) + 2k + 2k(k+1)/(n-k-1)``, all candidates scored on the same
+  rows of the series.
+* STL (W17): loess seasonal-trend decomposition (inner 2, outer 0); the cycle
+  subseries are extended by a cycle at both ends and the low-pass filter is two
+  moving averages of a cycle, one of 3, and a loess.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,39 +26,8 @@ from pyspark.sql import functions as F
 from seriesspark.functions.contracts import DEFAULT, Cols
 from seriesspark.functions.frequency import step_forward
 
-# Smoothing parameter grids.
-HW_GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
-ADIDA_ALPHAS = (0.10, 0.15, 0.20, 0.25, 0.30)
-
-
 # ------------------------------------------------------------ numpy solvers
 
-def holt_winters(y: np.ndarray, m: int, h: int) -> np.ndarray:
-    n = len(y)
-    if n < 2 * m or m < 2:
-        return np.repeat(y[-1] if n else np.nan, h)
-    c1, c2 = y[:m], y[m:2 * m]
-    l0 = c1.mean()
-    b0 = (c2.mean() - c1.mean()) / m
-    s0 = c1 - l0
-    best = None
-    for a, bt, g in itertools.product(HW_GRID, HW_GRID, HW_GRID):
-        lv, tr, s = l0, b0, s0.copy()
-        sse = 0.0
-        for t in range(n):
-            fc = lv + tr + s[t % m]
-            e = y[t] - fc
-            sse += e * e
-            new_l = a * (y[t] - s[t % m]) + (1 - a) * (lv + tr)
-            tr = bt * (new_l - lv) + (1 - bt) * tr
-            s[t % m] = g * (y[t] - new_l) + (1 - g) * s[t % m]
-            lv = new_l
-        if best is None or sse < best[0] - 1e-12:
-            best = (sse, lv, tr, s.copy(), n)
-    _, lv, tr, s, n = best
-    return np.array([lv + k * tr + s[(n + k - 1) % m] for k in range(1, h + 1)])
-
-
 def _lagmat(x: np.ndarray, p: int) -> np.ndarray:
     n = len(x)
     return np.column_stack([x[p - i - 1:n - i - 1] for i in range(p)]) if p else np.zeros((n - p, 0))
@@ -107,9 +69,10 @@ def _arma_forecast(z: np.ndarray, eps: np.ndarray, coef: np.ndarray, p: int, q:
 
 
 def _undiff(y: np.ndarray, fc: np.ndarray, d: int) -> np.ndarray:
-    if d == 0:
-        return fc
-    return y[-1] + np.cumsum(fc)
+    """Integrate ``d`` times, each time from the last value of that level."""
+    for k in range(d - 1, -1, -1):
+        fc = np.diff(y, n=k)[-1] + np.cumsum(fc)
+    return fc
 
 
 def arima(y: np.ndarray, order: tuple[int, int, int], h: int) -> np.ndarray:
@@ -126,14 +89,14 @@ def auto_arima(y: np.ndarray, h: int, max_p: int = 2, max_q: int = 2, max_d: int
     best = None
     for d in range(max_d + 1):
         z = np.diff(y, n=d) if d else y.astype(float)
-        start_common = int(max(1, min(10, len(z) // 4))) + max(max_p, max_q)
+        # the same rows of the series for every candidate: max_d rows are lost to differencing at most
+        start_common = int(max(1, min(10, len(y) // 4))) + max(max_p, max_q) + max_d - d
         for p in range(max_p + 1):
             for q in range(max_q + 1):
                 fit = _arma_fit(z, p, q)
                 if fit is None:
                     continue
                 coef, eps, _, _, start = fit
-                # score every candidate of this d on the same rows
                 rows = range(start_common, len(z))
                 if len(rows) < 3:
                     continue
@@ -153,30 +116,6 @@ def auto_arima(y: np.ndarray, h: int, max_p: int = 2, max_q: int = 2, max_d: int
     return arima(y, (p, d, q), h), (p, d, q)
 
 
-def adida(y: np.ndarray, h: int) -> np.ndarray:
-    n = len(y)
-    nz = np.nonzero(y != 0)[0]
-    if n == 0 or len(nz) == 0:
-        return np.zeros(h)
-    pos = nz + 1  # 1-based positions; first interval counted from row 0
-    mean_gap = pos[-1] / len(pos)
-    A = max(1, int(np.floor(mean_gap + 0.5)))
-    usable = y[n % A:]
-    buckets = usable.reshape(-1, A).sum(axis=1) if len(usable) else np.zeros(0)
-    if len(buckets) == 0:
-        return np.zeros(h)
-    best = None
-    for a in ADIDA_ALPHAS:
-        lv = buckets[0]
-        sse = 0.0
-        for b in buckets[1:]:
-            sse += (b - lv) ** 2
-            lv = a * b + (1 - a) * lv
-        if best is None or sse < best[0] - 1e-12:
-            best = (sse, lv)
-    return np.repeat(best[1] / A, h)
-
-
 def _loess(x: np.ndarray, y: np.ndarray, span: int, x_eval: np.ndarray) -> np.ndarray:
     n = len(x)
     q = min(span, n)
@@ -203,55 +142,48 @@ def stl(y: np.ndarray, m: int, inner: int = 2, seasonal_window: int = 7):
     n = len(y)
     t_win = int(np.ceil(1.5 * m / (1 - 1.5 / seasonal_window)))
     t_win += (t_win % 2 == 0)
+    low_win = m + (m % 2 == 0)
     trend = np.zeros(n)
     season = np.zeros(n)
     idx = np.arange(n, dtype=float)
+    average = lambda x, k: np.convolve(x, np.ones(k) / k, mode="valid")
     for _ in range(inner):
         detr = y - trend
-        cyc = np.zeros(n)
+        cycle = np.zeros(n + 2 * m)  # one cycle before and one after the series
         for p in range(m):
-            pos = np.arange(p, n, m)
-            if len(pos):
-                cyc[pos] = _loess(pos.astype(float), detr[pos], seasonal_window, pos.astype(float))
-        k = max(3, m + (m % 2 == 0))
-        low = np.convolve(cyc, np.ones(k) / k, mode="same")
-        season = cyc - low
+            pos = np.arange(p, n, m).astype(float)
+            at = np.concatenate([[pos[0] - m], pos, [pos[-1] + m]])
+            cycle[at.astype(int) + m] = _loess(pos, detr[p::m], seasonal_window, at)
+        low = average(average(average(cycle, m), m), 3)  # n values again
+        low = _loess(idx, low, low_win, idx)
+        season = cycle[m:m + n] - low
         trend = _loess(idx, y - season, t_win, idx)
     return trend, season
 
 
 # ------------------------------------------------------------ Spark wrappers
 
-MODEL_NAMES = ("HoltWinters", "ARIMA", "AutoARIMA", "ADIDA")
+MODEL_NAMES = ("ARIMA", "AutoARIMA")
 
 
-def forecast_grouped(df: DataFrame, h: int, freq: str, models=MODEL_NAMES, season_length: int = 1,
+def forecast_grouped(df: DataFrame, h: int, freq: str, models=MODEL_NAMES,
                      arima_order: tuple[int, int, int] = (1, 1, 1), cols: Cols = DEFAULT) -> DataFrame:
-    """Long forecasts ``(id, k, model, yhat)`` of the per-series solvers, then ``ds``.
+    """Long forecasts ``(id, ds, model, yhat)`` of per-series solvers.
 
-    One shuffle by series; every series is solved in one task.
+    ``models`` lists names of ``MODEL_NAMES``, or is a dict from a name to a
+    caller's own ``f(y, h) -> h values`` (U1). One shuffle by series; every
+    series is solved in one task.
     """
     id_type = df.schema[cols.id].dataType.simpleString()
-    m, order = season_length, arima_order
+    own = {"ARIMA": lambda y, h: arima(y, arima_order, h), "AutoARIMA": lambda y, h: auto_arima(y, h)[0]}
+    chosen = dict(models) if isinstance(models, dict) else {name: own[name] for name in models}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(cols.ds)
         y = pdf[cols.y].astype(float).fillna(0.0).to_numpy()
-        out = []
-        for name in models:
-            if name == "HoltWinters":
-                fc = holt_winters(y, m, h)
-            elif name == "ARIMA":
-                fc = arima(y, order, h)
-            elif name == "AutoARIMA":
-                fc, _ = auto_arima(y, h)
-            elif name == "ADIDA":
-                fc = adida(y, h)
-            else:
-                raise ValueError(name)
-            out.append(pd.DataFrame({cols.id: pdf[cols.id].iloc[0], "k": np.arange(1, h + 1),
-                                     "model": name, "yhat": fc, "_last_ds": pdf[cols.ds].iloc[-1]}))
-        return pd.concat(out)
+        return pd.concat([pd.DataFrame({cols.id: pdf[cols.id].iloc[0], "k": np.arange(1, h + 1), "model": name,
+                                        "yhat": np.asarray(f(y, h), dtype=float), "_last_ds": pdf[cols.ds].iloc[-1]})
+                          for name, f in chosen.items()])
 
     schema = f"{cols.id} {id_type}, k int, model string, yhat double, _last_ds timestamp_ntz"
     res = df.select(cols.id, cols.ds, cols.y).groupBy(cols.id).applyInPandas(solve, schema)
@@ -259,11 +191,12 @@ def forecast_grouped(df: DataFrame, h: int, freq: str, models=MODEL_NAMES, seaso
 
 
 def stl_features(df: DataFrame, season_length: int, h: int, freq: str,
-                 cols: Cols = DEFAULT) -> tuple[DataFrame, DataFrame]:
+                 cols: Cols = DEFAULT) -> DataFrame:
     """STL trend/seasonal as features for history and for ``h`` future rows.
 
     Future trend: last level plus the mean of the last ``m`` trend steps;
-    future seasonal: the last cycle repeated. Returns ``(history, future)``.
+    future seasonal: the last cycle repeated. One frame ``(id, ds, trend,
+    seasonal, part)`` with ``part`` history or future, so the solver runs once.
     """
     id_type = df.schema[cols.id].dataType.simpleString()
     m = season_length
@@ -286,7 +219,6 @@ def stl_features(df: DataFrame, season_length: int, h: int, freq: str,
 
     schema = f"{cols.id} {id_type}, {cols.ds} timestamp_ntz, k int, trend double, seasonal double"
     res = df.select(cols.id, cols.ds, cols.y).groupBy(cols.id).applyInPandas(solve, schema)
-    hist = res.filter(F.col("k") == 0).drop("k")
-    fut = (res.filter(F.col("k") > 0)
-           .select(cols.id, step_forward(F.col(cols.ds), F.col("k"), freq).alias(cols.ds), "trend", "seasonal"))
-    return hist, fut
+    ahead = step_forward(F.col(cols.ds), F.col("k"), freq)
+    return res.select(cols.id, F.when(F.col("k") == 0, F.col(cols.ds)).otherwise(ahead).alias(cols.ds), "trend", "seasonal",
+                      F.when(F.col("k") == 0, "history").otherwise("future").alias("part"))

@@ -1,7 +1,8 @@
 """SQL table-valued forecast function.
 
 ``ts_forecast(TABLE(...) PARTITION BY grp ORDER BY ds, horizon => ..., frequency
-=> ..., prediction_interval_width => ...)``: Spark partitions and sorts the
+=> ..., prediction_interval_width => ..., time_col => ..., value_col => ...,
+group_col => ...)``: Spark partitions and sorts the
 table by group; the Python UDTF sees each group's rows in time order and keeps
 O(1) state (last value, previous value, running sum of squared one-step
 differences), so no group is ever held in memory. At the end of a group it
@@ -44,10 +45,11 @@ class TsForecast:
         self.n = 0
         self.args = None
 
-    def eval(self, row, horizon: str, frequency: str = "D", prediction_interval_width: float = 0.8):
+    def eval(self, row, horizon: str, frequency: str = "D", prediction_interval_width: float = 0.8,
+             time_col: str = "ds", value_col: str = "y", group_col: str = "grp"):
         self.args = (horizon, frequency, prediction_interval_width)
-        y = row["y"]
-        self.grp = str(row["grp"])
+        y = row[value_col]
+        self.grp = str(row[group_col])
         if y is None:
             return
         if self.last_y is not None:
@@ -55,7 +57,7 @@ class TsForecast:
             self.ss += d * d
             self.n += 1
         self.last_y = float(y)
-        self.last_ds = row["ds"]
+        self.last_ds = row[time_col]
 
     def terminate(self):
         if self.last_ds is None or self.args is None:

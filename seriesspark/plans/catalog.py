@@ -370,19 +370,11 @@ def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pacf_(tenmin_regular(Tables(spark, sf_dir)), 14)
 
 
-def _bounded_ids(df: DataFrame, limit: int = 256) -> list[str]:
-    ids = [r[0] for r in df.select("unique_id").distinct().orderBy("unique_id").limit(limit + 1).collect()]
-    if len(ids) > limit:
-        raise ValueError("too many series for a correlation matrix")
-    return ids
-
-
 @query
 def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation matrix of the 10-minute series (bounded series list)."""
+    """Correlation matrix of all 10-minute series."""
     from seriesspark.operators.analysis import corr_matrix as cm
-    panel = tenmin_regular(Tables(spark, sf_dir))
-    return round_doubles(cm(panel, _bounded_ids(b.ten_minute_panel(Tables(spark, sf_dir)))))
+    return round_doubles(cm(tenmin_regular(Tables(spark, sf_dir))))
 
 
 @query
@@ -598,10 +590,10 @@ def mint_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def holt_winters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """additive Holt-Winters, season 12, per seller (grouped map)."""
-    from seriesspark.operators.solvers import forecast_grouped
+    """additive Holt-Winters, season 12, per seller, as array folds."""
+    from seriesspark.operators.smoothing import holt_winters as hw
     train, _ = _seller_split(Tables(spark, sf_dir))
-    return forecast_grouped(train, H_SELLER, "MS", ("HoltWinters",), M_SELLER, cols=SELLER)
+    return round_doubles(hw(train, H_SELLER, "MS", M_SELLER, SELLER))
 
 
 @query
@@ -609,7 +601,7 @@ def arima(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ARIMA(1,1,1) per seller."""
     from seriesspark.operators.solvers import forecast_grouped
     train, _ = _seller_split(Tables(spark, sf_dir))
-    return forecast_grouped(train, H_SELLER, "MS", ("ARIMA",), M_SELLER, cols=SELLER)
+    return forecast_grouped(train, H_SELLER, "MS", ("ARIMA",), cols=SELLER)
 
 
 @query
@@ -617,35 +609,36 @@ def auto_arima(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ARIMA order chosen by AICc per seller."""
     from seriesspark.operators.solvers import forecast_grouped
     train, _ = _seller_split(Tables(spark, sf_dir))
-    return forecast_grouped(train, H_SELLER, "MS", ("AutoARIMA",), M_SELLER, cols=SELLER)
+    return forecast_grouped(train, H_SELLER, "MS", ("AutoARIMA",), cols=SELLER)
 
 
 @query
 def adida(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ADIDA on the intermittent daily supplier demand."""
-    from seriesspark.operators.solvers import forecast_grouped
-    return forecast_grouped(daily_filled(Tables(spark, sf_dir)), H_DAILY, "D", ("ADIDA",))
+    """ADIDA on the intermittent daily supplier demand, as array folds."""
+    from seriesspark.operators.smoothing import adida as ad
+    return round_doubles(ad(daily_filled(Tables(spark, sf_dir)), H_DAILY, "D"))
 
 
 @query
 def classic_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multi-model driver, one column per model (closed forms + solvers)."""
-    from seriesspark.operators.forecast import closed_form_forecast, to_long, to_wide
-    from seriesspark.operators.solvers import forecast_grouped
+    """A dict of models, one forecast column per model."""
+    from seriesspark.operators.forecast import closed_form_forecast, forecast_models, to_long
+    from seriesspark.operators.smoothing import adida as ad, holt_winters as hw
     train, _ = _seller_split(Tables(spark, sf_dir))
-    closed = to_long(closed_form_forecast(train, H_SELLER, "MS", ("Naive", "SeasonalNaive"), M_SELLER,
-                                          cols=SELLER), ("Naive", "SeasonalNaive"), SELLER)
-    solved = forecast_grouped(train, H_SELLER, "MS", ("HoltWinters", "ADIDA"), M_SELLER, cols=SELLER)
-    models = ["Naive", "SeasonalNaive", "HoltWinters", "ADIDA"]
-    return round_doubles(to_wide(closed.unionByName(solved), models, SELLER))
+
+    def closed(name):
+        return lambda df: to_long(closed_form_forecast(df, H_SELLER, "MS", (name,), M_SELLER, cols=SELLER), (name,), SELLER)
+
+    models = {"Naive": closed("Naive"), "SeasonalNaive": closed("SeasonalNaive"),
+              "HoltWinters": lambda df: hw(df, H_SELLER, "MS", M_SELLER, SELLER), "ADIDA": lambda df: ad(df, H_SELLER, "MS", SELLER)}
+    return round_doubles(forecast_models(train, models, SELLER))
 
 
 @query
 def stl_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STL trend/seasonal (season 3) for history and 3 future months."""
     from seriesspark.operators.solvers import stl_features as stl
-    hist, fut = stl(_seller_y(Tables(spark, sf_dir)), 3, 3, "MS", SELLER)
-    return hist.withColumn("part", F.lit("history")).unionByName(fut.withColumn("part", F.lit("future")))
+    return stl(_seller_y(Tables(spark, sf_dir)), 3, 3, "MS", SELLER)
 
 
 # ------------------------------------------------------------ global models
@@ -672,19 +665,19 @@ def linear_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def linear_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLlib linear regression on the canonical features; holdout scored."""
-    from seriesspark.operators.ml import fit
+    from seriesspark.operators.ml import fit, score
     train, test = _canon_split(Tables(spark, sf_dir))
     model = fit(train, CANON_FEATURES, "linear")
-    return model.transform(test).select("unique_id", "ds", "y", "prediction")
+    return score(model, test).select("unique_id", "ds", "y", "prediction")
 
 
 @query
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """boosted trees (depth 5, step 0.05, 0.9 feature subset, seeded)."""
-    from seriesspark.operators.ml import fit
+    from seriesspark.operators.ml import fit, score
     train, test = _canon_split(Tables(spark, sf_dir))
     model = fit(train, CANON_FEATURES, "gbt", max_iter=30)
-    return model.transform(test).select("unique_id", "ds", "y", "prediction")
+    return score(model, test).select("unique_id", "ds", "y", "prediction")
 
 
 @query
@@ -702,17 +695,32 @@ def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     import os
     import uuid
 
-    from seriesspark.operators.ml import fit, save_and_load
+    from seriesspark.operators.ml import fit, save_and_load, score
     from seriesspark.session import checkpoint_dir
     train, test = _canon_split(Tables(spark, sf_dir))
     path = os.path.join(checkpoint_dir(spark), "models", f"linear-{uuid.uuid4().hex}")
     model = save_and_load(fit(train, CANON_FEATURES, "linear"), path)
-    return model.transform(test).select("unique_id", "ds", "y", "prediction")
+    return score(model, test).select("unique_id", "ds", "y", "prediction")
+
+
+@query
+def recursive_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed linear rule, recursive over 7 days, on the differenced
+    target with a future exogenous count and a calendar feature."""
+    from seriesspark.operators.ml import recursive_forecast as rf
+    from seriesspark.operators.split import train_test
+    t = Tables(spark, sf_dir)
+    train, _ = train_test(daily_filled(t), H_DAILY)
+    lines = (t["lineitem"].groupBy(F.col("l_suppkey").cast("string").alias("unique_id"), F.col("l_shipdate").alias("ds"))
+             .agg(F.count(F.lit(1)).cast("double").alias("n_lines")))
+    rule = lambda f: f.withColumn("prediction", 0.5 * F.col("lag1") - 0.25 * F.col("lag2")
+                                  + 0.125 * F.coalesce("n_lines", F.lit(0.0)) + 0.0625 * F.col("quarter"))
+    return round_doubles(rf(rule, train, H_DAILY, "D", [1, 2], X_df=lines, date_features=["quarter"], differences=[1]), 4)
 
 
 @query
 def knn_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """5-nearest-neighbour regression by random-projection bucket join (approximate)."""
+    """Exact 5-nearest-neighbour regression of the holdout."""
     from seriesspark.operators.ml import knn_regress
     train, test = _canon_split(Tables(spark, sf_dir))
     feats = ["lag1", "lag7", "lag14", "expanding_mean_lag7"]
@@ -726,9 +734,8 @@ def scoring_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesspark.operators.ml import parse_payload, scoring_payload as sp
     from seriesspark.operators.split import head_per_series
     rows = head_per_series(lag_features(spark, sf_dir), 2)
-    payload = sp(rows, CANON_FEATURES, "unique_id")
-    back = parse_payload(payload)
-    return payload.join(back.groupBy("unique_id").agg(F.count(F.lit(1)).alias("n_rows_parsed")), "unique_id")
+    back = parse_payload(sp(rows, CANON_FEATURES, "unique_id", ["ds"]))
+    return back.select("unique_id", "pos", F.array_join("columns", ",").alias("columns"), _fmt_array(F.col("values")).alias("values"))
 
 
 @query
@@ -743,10 +750,11 @@ def forecast_table_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesspark.operators.sqlfn import register_forecast_table
     register_forecast_table(spark)
     daily_filled(Tables(spark, sf_dir)).createOrReplaceTempView("daily_panel_view")
-    return spark.sql("""
+    return round_doubles(spark.sql("""
         SELECT * FROM ts_forecast(
-          TABLE(SELECT unique_id AS grp, ds, y FROM daily_panel_view) PARTITION BY grp ORDER BY ds,
-          horizon => '2001-11-12', frequency => 'D', prediction_interval_width => 0.8)""")
+          TABLE(SELECT unique_id, ds, y FROM daily_panel_view) PARTITION BY unique_id ORDER BY ds,
+          horizon => '2001-11-12', frequency => 'D', prediction_interval_width => 0.8,
+          time_col => 'ds', value_col => 'y', group_col => 'unique_id')"""))
 
 
 # ------------------------------------------------------------ small relational operators

@@ -292,6 +292,9 @@ reg AS (SELECT unique_id, ds,
         FROM rj)
 """.replace("{W}", W_ID)
 
+# The event types, which are the columns of the wide panel.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
 ORACLES["outlier_mask"] = "WITH " + TENMIN.strip() + "\nSELECT * FROM clean"
 ORACLES["regular_grid"] = "WITH " + TENMIN.strip() + "\nSELECT * FROM reg"
 
@@ -342,7 +345,8 @@ FROM reg s JOIN (SELECT ds, y FROM reg WHERE unique_id = 'click') t ON s.ds = t.
 GROUP BY s.unique_id ORDER BY abs_corr DESC, s.unique_id LIMIT 10
 """
 
-ORACLES["wide_panel"] = "WITH " + TENMIN.strip() + "\nPIVOT reg ON unique_id USING first(y) GROUP BY ds"
+ORACLES["wide_panel"] = "WITH " + TENMIN.strip() + "\nSELECT ds, " + ", ".join(
+    f"max(y) FILTER (WHERE unique_id = '{e}') AS \"{e}\"" for e in EVENT_TYPES) + "\nFROM reg GROUP BY ds"
 
 ORACLES["series_lengths"] = "WITH " + DAILY.strip() + """
 SELECT unique_id, count(*) AS n_rows, count(y) AS n_obs FROM daily GROUP BY 1 HAVING count(*) >= 12
@@ -610,3 +614,100 @@ ORACLES["fitted_values_blocked"] = ORACLES["fitted_values"]
 ORACLES["quantile_forecast_blocked"] = ORACLES["quantile_forecast"]
 ORACLES["ordered_split_blocked"] = ORACLES["ordered_split"]
 ORACLES["first_n_per_series_blocked"] = ORACLES["first_n_per_series"]
+
+# ---------------------------------------------------------------- samples, payloads, table function
+
+ORACLES["sample_ids"] = "WITH " + DAILY.strip() + """
+SELECT unique_id FROM (SELECT DISTINCT unique_id FROM daily) ORDER BY md5(unique_id || '|4'), unique_id LIMIT 5
+"""
+
+ORACLES["scoring_payload"] = "WITH lf AS (" + ORACLES["lag_features"] + """),
+r AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS rn FROM lf)
+SELECT unique_id, CAST(rn AS INTEGER) AS pos, '""" + ",".join(_LAG_FEATS) + """' AS columns,
+       """ + " || ',' || ".join(f"printf('%.6f', {c}::DOUBLE)" for c in _LAG_FEATS) + """ AS values
+FROM r WHERE rn < 2
+"""
+
+ORACLES["forecast_table_fn"] = "WITH " + DAILY.strip() + f""",
+d AS (SELECT unique_id, ds, y, y - lag(y) OVER ({W_ID}) AS dy FROM dpanel),
+s AS (SELECT unique_id, max(ds) AS last_ds, arg_max(y, ds) AS last_y, sqrt(sum(dy * dy) / count(dy)) AS sigma FROM d GROUP BY 1),
+g AS (SELECT *, unnest(range(1, greatest(date_diff('day', last_ds, TIMESTAMP '2001-11-12'), 1))) AS k FROM s)
+SELECT unique_id AS grp, CAST(last_ds + to_days(CAST(k AS INTEGER)) AS TIMESTAMP) AS ds, round(last_y::DOUBLE, 6) AS forecast,
+       round(last_y - 1.2815515655446004 * sigma * sqrt(k), 6) AS lower, round(last_y + 1.2815515655446004 * sigma * sqrt(k), 6) AS upper
+FROM g
+"""
+
+# ---------------------------------------------------------------- smoothing models
+
+HW_SQL = """
+hy AS (SELECT seller_id, list(revenue ORDER BY month) AS y, max(month) AS last_ds FROM train GROUP BY 1),
+hgrid AS (SELECT a.v AS a, t.v AS t, g.v AS g, (a.i * 25 + t.i * 5 + g.i) AS i
+         FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS v, unnest(range(0, 5)) AS i) a,
+              (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS v, unnest(range(0, 5)) AS i) t,
+              (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS v, unnest(range(0, 5)) AS i) g),
+h0 AS (SELECT seller_id, y, last_ds, list_sum(y[1:12]) / 12 AS m1, list_sum(y[13:24]) / 12 AS m2 FROM hy WHERE len(y) >= 24),
+hw AS (
+  SELECT seller_id, i, a, t, g, y, last_ds, 0 AS n, m1 AS l, (m2 - m1) / 12 AS b, [x - m1 FOR x IN y[1:12]] AS s, 0.0::DOUBLE AS sse
+  FROM h0, hgrid
+  UNION ALL
+  SELECT seller_id, i, a, t, g, y, last_ds, n + 1, nl, t * (nl - l) + (1 - t) * b, list_append(s[2:], g * (v - nl) + (1 - g) * s[1]),
+         sse + (v - (l + b + s[1])) * (v - (l + b + s[1]))
+  FROM (SELECT *, y[n + 1] AS v, a * (y[n + 1] - s[1]) + (1 - a) * (l + b) AS nl FROM hw WHERE n < len(y))),
+hbest AS (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY sse, i) AS r FROM hw WHERE n = len(y)),
+hfc AS (
+  SELECT seller_id, last_ds, k, CASE WHEN len(y) >= 24 THEN l + k * b + s[k] ELSE y[len(y)] END AS yhat
+  FROM (SELECT hy.seller_id, hy.last_ds, hy.y, l, b, s FROM hy LEFT JOIN (SELECT * FROM hbest WHERE r = 1) q ON hy.seller_id = q.seller_id),
+       (SELECT unnest(range(1, 4)) AS k)),
+hout AS (SELECT seller_id, CAST(last_ds + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS month, yhat FROM hfc)
+"""
+
+ORACLES["holt_winters"] = "WITH RECURSIVE " + SELLER_SPLIT.strip() + "," + HW_SQL + """
+SELECT seller_id, month, 'HoltWinters' AS model, round(yhat, 6) AS yhat FROM hout
+"""
+
+
+def adida_ctes(src: str, key: str, ds: str, y: str) -> str:
+    """CTEs ending in ``ad(key, last_ds, f)``: the ADIDA level per row of every series."""
+    return f"""
+ay AS (SELECT {key} AS k0, list({y}::DOUBLE ORDER BY {ds}) AS y, max({ds}) AS last_ds FROM {src} GROUP BY 1),
+ad0 AS (SELECT *, list_filter([CASE WHEN y[i] <> 0 THEN i END FOR i IN range(1, len(y) + 1)], lambda p: p IS NOT NULL) AS d FROM ay),
+ad1 AS (SELECT *, greatest(1, floor(d[len(d)] / len(d) + 0.5))::BIGINT AS a FROM ad0),
+ad2 AS (SELECT *, [list_sum(y[(len(y) % a) + j * a + 1:(len(y) % a) + j * a + a]) FOR j IN range(0, len(y) // a)] AS b
+        FROM ad1 WHERE len(d) > 0 AND len(y) >= a),
+ses AS (
+  SELECT k0, b, a, p, 1 AS n, b[1] AS l, 0.0::DOUBLE AS sse FROM ad2, (SELECT unnest([0.1, 0.15, 0.2, 0.25, 0.3])::DOUBLE AS p)
+  UNION ALL
+  SELECT k0, b, a, p, n + 1, p * b[n + 1] + (1 - p) * l, sse + (b[n + 1] - l) * (b[n + 1] - l) FROM ses WHERE n < len(b)),
+abest AS (SELECT *, row_number() OVER (PARTITION BY k0 ORDER BY sse, p) AS r FROM ses WHERE n = len(b)),
+ad AS (SELECT ay.k0, ay.last_ds, coalesce(q.l / q.a, 0) AS f FROM ay LEFT JOIN (SELECT * FROM abest WHERE r = 1) q ON ay.k0 = q.k0)"""
+
+
+ORACLES["adida"] = "WITH RECURSIVE " + DAILY.strip() + "," + adida_ctes("dpanel", "unique_id", "ds", "y") + """
+SELECT k0 AS unique_id, CAST(last_ds + to_days(CAST(k AS INTEGER)) AS TIMESTAMP) AS ds, 'ADIDA' AS model, round(f, 6) AS yhat
+FROM ad, (SELECT unnest(range(1, 8)) AS k)
+"""
+
+ORACLES["classic_forecasts"] = "WITH RECURSIVE " + SELLER_SPLIT.strip() + "," + HW_SQL.strip() + "," \
+    + adida_ctes("train", "seller_id", "month", "revenue") + """,
+trk AS (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY month) AS rn, count(*) OVER (PARTITION BY seller_id) AS n FROM train)
+SELECT h.seller_id, h.month, round(l.y, 6) AS "Naive", round(s.revenue, 6) AS "SeasonalNaive", round(h.yhat, 6) AS "HoltWinters",
+       round(ad.f, 6) AS "ADIDA"
+FROM hout h JOIN ad ON ad.k0 = h.seller_id
+JOIN (SELECT seller_id, arg_max(revenue, month) AS y, max(month) AS last_ds, max(n) AS n FROM trk GROUP BY 1) l ON l.seller_id = h.seller_id
+LEFT JOIN trk s ON s.seller_id = h.seller_id AND s.rn = l.n - 12 + date_diff('month', l.last_ds, h.month)
+"""
+
+ORACLES["recursive_rule"] = "WITH RECURSIVE " + DAILY.strip() + f""",
+rk AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS rn, count(*) OVER (PARTITION BY unique_id) AS n FROM dpanel),
+df AS (SELECT unique_id, ds, y, y - lag(y, 1) OVER ({W_ID}) AS d, rn, n FROM rk WHERE rn <= n - 7),
+ln AS (SELECT CAST(l_suppkey AS VARCHAR) AS unique_id, l_shipdate AS ds, count(*)::DOUBLE AS n_lines FROM lineitem GROUP BY 1, 2),
+rc AS (
+  SELECT unique_id, ds, 0 AS k, y::DOUBLE AS level, d::DOUBLE AS d1, d2::DOUBLE AS d2
+  FROM (SELECT *, lag(d, 1) OVER ({W_ID}) AS d2 FROM df) WHERE rn = n - 7
+  UNION ALL
+  SELECT r.unique_id, CAST(r.ds + INTERVAL 1 DAY AS TIMESTAMP), k + 1,
+         level + (0.5::DOUBLE * d1 - 0.25::DOUBLE * d2 + 0.125::DOUBLE * coalesce(ln.n_lines, 0) + 0.0625::DOUBLE * quarter(r.ds + INTERVAL 1 DAY)),
+         0.5::DOUBLE * d1 - 0.25::DOUBLE * d2 + 0.125::DOUBLE * coalesce(ln.n_lines, 0) + 0.0625::DOUBLE * quarter(r.ds + INTERVAL 1 DAY), d1
+  FROM rc r LEFT JOIN ln ON ln.unique_id = r.unique_id AND ln.ds = r.ds + INTERVAL 1 DAY WHERE k < 7)
+SELECT unique_id, ds, round(level, 4) AS yhat FROM rc WHERE k > 0
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesspark.operators.analysis import acf, pacf, seasonal_decompose
 from seriesspark.operators.hierarchy import bottom_up, build_hierarchy, coherence_gap, mint_shrink_weights, reconcile_with
-from seriesspark.operators.solvers import adida, arima
+from seriesspark.operators.solvers import arima
 
 D = dt.datetime
 
@@ -72,13 +72,6 @@ def test_mint_coherent(spark):
     assert gap.max_gap < 1e-6
 
 
-def test_adida_by_hand():
-    y = np.array([0, 0, 3, 0, 0, 3, 0, 0, 3, 0, 0, 3], dtype=float)
-    # mean interval 3 -> buckets of 3 sum to 3 each -> level 3 -> forecast 1 per step
-    assert np.allclose(adida(y, 4), 1.0)
-    assert np.allclose(adida(np.zeros(5), 2), 0.0)
-
-
 def test_arima_tracks_ar1():
     rng = np.random.default_rng(3)
     y = np.zeros(500)
@@ -120,3 +113,23 @@ def test_exact_quantiles_match_percentile_on_hot_group(spark):
         got = {(r.g, r.q): r.quantile for r in exact_quantiles(df, ["g"], "v", qs, accuracy=acc).collect()}
         assert got.keys() == want.keys()
         assert all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12) for k in want)
+
+
+def test_correlation_of_many_series_and_quoted_ids(spark):
+    import datetime as dt
+
+    import numpy as np
+
+    from seriesspark.operators.analysis import corr_matrix, top_correlations
+    rng = np.random.default_rng(2)
+    names = [f"s{i:03d}" for i in range(299)] + ["o'a"]
+    data = rng.normal(size=(12, 300))
+    rows = [(n, dt.datetime(2024, 1, 1) + dt.timedelta(days=t), float(data[t, i])) for i, n in enumerate(names) for t in range(12)]
+    df = spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, y double")
+    got = {(r.target, r.unique_id): r["corr"] for r in corr_matrix(df).collect()}
+    want = np.corrcoef(data.T)
+    assert len(got) == 300 * 300
+    for i, j in ((0, 1), (299, 5), (150, 299), (7, 7)):
+        assert abs(got[names[i], names[j]] - want[i, j]) < 1e-9
+    top = top_correlations(df, "o'a", 1).collect()
+    assert top[0].unique_id == "o'a" and abs(top[0]["corr"] - 1) < 1e-9

@@ -91,3 +91,16 @@ def test_blocked_fill_grid_equal_plain(spark):
         blocked = fill_grid(df, Cols(), "D", block_size=7, **kw)
         assert plain.count() == blocked.count()
         assert plain.exceptAll(blocked).count() == 0
+
+
+def test_fill_grid_names_the_series_with_a_bad_stamp(spark):
+    import datetime as dt
+
+    import pytest
+
+    from seriesspark.operators.grid import fill_grid
+    day = dt.datetime(2024, 1, 1)
+    for second in (day, day + dt.timedelta(days=1, hours=3)):
+        df = spark.createDataFrame([("bad one", day, 1.0), ("bad one", second, 2.0)], "unique_id string, ds timestamp_ntz, y double")
+        with pytest.raises(Exception, match="series bad one"):
+            fill_grid(df, freq="D").collect()

@@ -6,18 +6,38 @@ from pyspark.sql import functions as F
 
 from seriesspark.functions.contracts import Cols
 from seriesspark.operators.ml import parse_payload, scoring_payload
-from seriesspark.operators.solvers import auto_arima, forecast_grouped, holt_winters, stl
+from seriesspark.operators.smoothing import adida, holt_winters
+from seriesspark.operators.solvers import arima, auto_arima, forecast_grouped, stl
 from seriesspark.operators.sqlfn import register_forecast_table
 
 D = dt.datetime
 
 
-def test_holt_winters_recovers_exact_pattern():
-    season = np.array([3.0, -1.0, -2.0, 0.0])
-    y = np.array([10 + 0.5 * t + season[t % 4] for t in range(40)])
-    fc = holt_winters(y, 4, 4)
-    want = np.array([10 + 0.5 * t + season[t % 4] for t in range(40, 44)])
-    assert np.allclose(fc, want, atol=0.5)
+def series(spark, values, name="s"):
+    rows = [(name, D(2024, 1, 1) + dt.timedelta(days=t), None if v is None else float(v)) for t, v in enumerate(values)]
+    return spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, y double")
+
+
+def test_holt_winters_recovers_exact_pattern(spark):
+    season = [3.0, -1.0, -2.0, 0.0]
+    y = [10 + 0.5 * t + season[t % 4] for t in range(40)]
+    rows = holt_winters(series(spark, y), 4, "D", 4).orderBy("ds").collect()
+    want = [10 + 0.5 * t + season[t % 4] for t in range(40, 44)]
+    assert np.allclose([r.yhat for r in rows], want, atol=0.5)
+    assert rows[0].ds == D(2024, 1, 1) + dt.timedelta(days=40)
+    short = holt_winters(series(spark, [1.0, 2.0, 7.0]), 2, "D", 4).collect()
+    assert [r.yhat for r in short] == [7.0, 7.0]
+
+
+def test_adida_levels(spark):
+    # a demand of 6 every third day: buckets of three rows, all 6, level 6, two a day
+    got = {r.unique_id: r.yhat for r in adida(series(spark, [0, 0, 6] * 10).unionByName(series(spark, [0] * 9, "z")), 1, "D").collect()}
+    assert got == {"s": 2.0, "z": 0.0}
+
+
+def test_arima_integrates_twice():
+    y = np.array([float(t * t) for t in range(60)])
+    assert np.allclose(arima(y, (0, 2, 0), 3), [3600, 3721, 3844], atol=1e-6)
 
 
 def test_auto_arima_prefers_low_order_on_white_noise():
@@ -32,15 +52,23 @@ def test_stl_splits_trend_and_season():
     season = np.array([2.0, -1.0, -1.0])
     y = np.array([0.1 * t + season[t % 3] for t in range(60)])
     trend, seas = stl(y, 3)
-    assert np.allclose(seas[10:50], [season[t % 3] for t in range(10, 50)], atol=0.3)
-    assert np.allclose(trend[10:50], [0.1 * t for t in range(10, 50)], atol=0.3)
+    assert np.allclose(seas, [season[t % 3] for t in range(60)], atol=0.3)
+    assert np.allclose(trend, [0.1 * t for t in range(60)], atol=0.3)
+
+
+def test_stl_ends_at_a_high_level():
+    season = np.array([5.0, -3.0, -2.0])
+    trend, seas = stl(1000 + season[np.arange(36) % 3], 3)
+    assert np.allclose(seas, season[np.arange(36) % 3], atol=0.1) and np.allclose(trend, 1000, atol=0.1)
 
 
 def test_grouped_forecast_shapes(spark):
     rows = [(i, D(2024, 1, 1) + dt.timedelta(days=t), float((t % 7) + (i == "b"))) for i in ("a", "b") for t in range(60)]
     df = spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, y double")
-    out = forecast_grouped(df, 5, "D", ("HoltWinters", "ARIMA", "ADIDA"), 7)
-    assert out.count() == 2 * 3 * 5
+    out = forecast_grouped(df, 5, "D", ("ARIMA",))
+    assert out.count() == 2 * 5
+    own = forecast_grouped(df, 5, "D", {"Last": lambda y, h: np.repeat(y[-1], h), "Mean": lambda y, h: np.repeat(y.mean(), h)})
+    assert {r.yhat for r in own.where("model = 'Last' AND unique_id = 'a'").collect()} == {3.0}
     assert out.select(F.min("ds")).first()[0] == D(2024, 3, 1)
 
 
@@ -50,6 +78,9 @@ def test_sql_table_function_horizon_exclusive(spark):
     spark.createDataFrame(rows, "grp string, ds timestamp_ntz, y double").createOrReplaceTempView("ts_in")
     out = spark.sql("""SELECT * FROM ts_forecast(TABLE(ts_in) PARTITION BY grp ORDER BY ds,
                        horizon => '2024-01-15', frequency => 'D', prediction_interval_width => 0.8)""").collect()
+    named = spark.sql("""SELECT * FROM ts_forecast(TABLE(SELECT grp AS shop, ds AS day, y AS sold FROM ts_in) PARTITION BY shop ORDER BY day,
+                         horizon => '2024-01-15', time_col => 'day', value_col => 'sold', group_col => 'shop')""").collect()
+    assert named == out
     assert [r.ds.day for r in out] == [11, 12, 13, 14]
     assert all(r.forecast == 9.0 for r in out)
     # one-step differences are all 1 -> sigma 1; interval grows with sqrt(k)
@@ -86,8 +117,7 @@ def test_knn_matches_brute_force_on_separated_clusters(spark):
         query.append((f"q{c}", float(cx + 0.1), float(cy - 0.1), 0.0))
     tr = spark.createDataFrame(train, "id string, a double, b double, y double")
     qu = spark.createDataFrame(query, "id string, a double, b double, y double")
-    got = {r.id: r.knn for r in knn_regress(tr, qu, ["a", "b"], 5, "y", ["id"], bucket_length=2.0,
-                                            num_tables=3, projections=1).collect()}
+    got = {r.id: r.knn for r in knn_regress(tr, qu, ["a", "b"], 5, "y", ["id"]).collect()}
     X = np.array([[t[1], t[2]] for t in train])
     ys = np.array([t[3] for t in train])
     mu, sd = X.mean(axis=0), X.std(axis=0)
@@ -106,3 +136,54 @@ def test_grid_position_holdout_equals_window_holdout(spark):
     grid = label_holdout(df, 3, freq="D")
     assert plain.exceptAll(grid.select(*plain.columns)).count() == 0
     assert grid.filter("unique_id = 'b' AND split = 'test'").count() == 2
+
+
+def test_knn_constant_feature_hot_value_and_ties(spark):
+    from seriesspark.operators.ml import knn_regress
+    train = [(f"t{i:03d}", float(i), 1.0, float(i)) for i in range(20)] + [(f"h{i:03d}", 50.0, 1.0, 7.0) for i in range(300)]
+    tr = spark.createDataFrame(train, "id string, a double, b double, y double").repartition(4)
+    qu = spark.createDataFrame([("q0", 0.0, 1.0), ("q1", 19.0, 5.0), ("q2", 50.0, None), ("q3", 49.0, 1.0)], "id string, a double, b double")
+    got = {r.id: r.knn for r in knn_regress(tr, qu, ["a", "b"], 3, "y", ["id"]).collect()}
+    assert got == {"q0": 1.0, "q1": 18.0, "q2": None, "q3": 7.0}
+    empty = knn_regress(tr.limit(0), qu, ["a", "b"], 3, "y", ["id"]).collect()
+    assert len(empty) == 4 and all(r.knn is None for r in empty)
+
+
+def test_recursive_forecast_short_series_and_inverse_difference(spark):
+    from seriesspark.operators.ml import recursive_forecast
+    df = series(spark, range(5), "short").unionByName(series(spark, range(30), "long"))
+    rule = lambda f: f.withColumn("prediction", F.col("lag8") + F.lit(8.0))
+    got = {}
+    for r in recursive_forecast(rule, df, 3, "D", [8]).orderBy("ds").collect():
+        got.setdefault(r.unique_id, []).append(r.yhat)
+    assert got == {"short": [None, None, None], "long": [30.0, 31.0, 32.0]}
+    flat = lambda f: f.withColumn("prediction", F.col("lag1"))
+    out = recursive_forecast(flat, df, 3, "D", [1], differences=[1]).orderBy("unique_id", "ds").collect()
+    assert [r.yhat for r in out] == [30.0, 31.0, 32.0, 5.0, 6.0, 7.0]
+    exog = spark.createDataFrame([("long", D(2024, 1, 31), 5.0)], "unique_id string, ds timestamp_ntz, promo double")
+    plus = lambda f: f.withColumn("prediction", F.col("lag1") + F.coalesce("promo", F.lit(0.0)) + F.col("month"))
+    out = recursive_forecast(plus, df.where("unique_id = 'long'"), 2, "D", [1], X_df=exog, date_features=["month"]).orderBy("ds").collect()
+    assert [r.yhat for r in out] == [29 + 5 + 1, 35 + 2]
+
+
+def test_linear_scoring_keeps_rows_with_a_missing_feature(spark):
+    from seriesspark.operators.ml import fit, score
+    train = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(20)], "x double, y double")
+    model = fit(train, ["x"], "linear")
+    out = score(model, spark.createDataFrame([(1, 3.0), (2, None)], "id int, x double")).orderBy("id").collect()
+    assert abs(out[0].prediction - 7.0) < 1e-6 and out[1].prediction is None and out[1].x is None
+
+
+def test_covariate_forecast_keeps_series_with_a_null_covariate(spark):
+    from seriesspark.operators.ml import quantile_forecast_covariates
+    rows = [(s, D(2024, 1, 1) + dt.timedelta(days=t), float(t + (t * 7) % 5), None if s == "b" and t == 29 else float((t * 3) % 4))
+            for s in ("a", "b") for t in range(30)]
+    df = spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, y double, c double")
+    out = quantile_forecast_covariates(df, ["c"], 2, "D").collect()
+    assert len(out) == 4 and all((r.predictions is None) == (r.unique_id == "b") for r in out)
+
+
+def test_payload_without_groups_is_split(spark):
+    df = spark.range(2500).select(F.col("id").cast("double").alias("x"))
+    p = scoring_payload(df, ["x"])
+    assert p.count() == 3 and parse_payload(p).count() == 2500
