@@ -20,7 +20,7 @@ from seriesspark.functions.contracts import DEFAULT, Cols
 # ------------------------------------------------------------ decomposition
 
 def seasonal_decompose(df: DataFrame, period: int, cols: Cols = DEFAULT,
-                       block_size: int | None = None, freq: str | None = None) -> DataFrame:
+                       block_size: int | None = None, freq: str | None = None, exact_scale: int | None = None) -> DataFrame:
     """Additive decomposition with a centred moving average.
 
     trend (m even) = (0.5*y[t-m/2] + y[t-m/2+1] + ... + y[t+m/2-1] + 0.5*y[t+m/2]) / m,
@@ -31,7 +31,9 @@ def seasonal_decompose(df: DataFrame, period: int, cols: Cols = DEFAULT,
     a long series spreads over m groups. With ``block_size`` + ``freq``
     (regular grid) the trend window runs on time blocks with an ``m/2`` halo
     both ways, and position/length come from the grid index and one
-    aggregate per series instead of a whole-series window.
+    aggregate per series instead of a whole-series window. ``exact_scale`` (for
+    fixed-place data) sums the trend window in decimals, so the trend does not
+    depend on summation order.
     """
     m = period
     y = F.col(cols.y)
@@ -39,10 +41,11 @@ def seasonal_decompose(df: DataFrame, period: int, cols: Cols = DEFAULT,
 
     def trend_cols(w):
         full = w.rowsBetween(-half, half)
+        total = F.sum(y).over(full) if exact_scale is None else F.sum(y.cast(f"decimal(18,{exact_scale})")).over(full).cast("double")
         if m % 2 == 0:
-            trend = (F.sum(y).over(full) - 0.5 * F.lag(y, half).over(w) - 0.5 * F.lead(y, half).over(w)) / m
+            trend = (total - 0.5 * F.lag(y, half).over(w) - 0.5 * F.lead(y, half).over(w)) / m
         else:
-            trend = F.sum(y).over(full) / m
+            trend = total / m
         return {"trend": F.when(F.count(y).over(full) == (2 * half + 1), trend)}
 
     if block_size:

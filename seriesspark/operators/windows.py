@@ -2,7 +2,7 @@
 
 A window is keyed by ``(series, cutoff)``: ``input`` holds the ``L`` values
 ending at the cutoff row, ``output`` the ``H`` values after it. Windows are
-computed with two framed ``collect_list`` columns in one window pass, so the
+computed as arrays, so the
 "billions of rows" long layout is never materialised unless asked for
 (``windows_long``). Cutoff rows ``c`` run from ``L`` to ``n-H`` and are kept
 when ``(n-H-c) % step == 0``; the count is ``floor((n-H-L)/step)+1`` when
@@ -53,10 +53,14 @@ def window_arrays(df: DataFrame, input_size: int, h: int, step: int = 1,
                   .select(cols.id, cols.ds, (idx - F.col("_lo") + 1).alias("_rn"),
                           (F.col("_hi") - F.col("_lo") + 1).alias("_n"), "_in", "_out"))
     else:
-        w = Window.partitionBy(cols.id).orderBy(cols.ds)
-        n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
-        staged = df.select(cols.id, cols.ds, F.row_number().over(w).alias("_rn"), n.alias("_n"),
-                           *[c.alias(k) for k, c in frames(w).items()])
+        # one ordered array per series; only the legal cutoffs are cut out of it
+        s = df.groupBy(cols.id).agg(F.sort_array(F.collect_list(F.struct(F.col(cols.ds).alias("t"), F.col(y).alias("v")))).alias("_s"))
+        n = F.size("_s")
+        first = F.pmod(n - h - input_size, F.lit(step)) + input_size
+        values = lambda at, k: F.transform(F.slice("_s", at, k), lambda p: p["v"]).cast(f"array<{element_type}>")
+        cuts = F.transform(F.sequence(first, n - h, F.lit(step)), lambda c: F.struct(
+            F.get("_s", c - 1)["t"].alias("cutoff"), values(c - input_size + 1, input_size).alias("input"), values(c + 1, h).alias("output")))
+        return s.where(n >= input_size + h).select(cols.id, F.inline(cuts))
     keep = ((F.col("_rn") >= input_size) & (F.col("_rn") <= F.col("_n") - h)
             & (((F.col("_n") - h - F.col("_rn")) % step) == 0))
     return (staged.filter(keep)

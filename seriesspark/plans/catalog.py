@@ -334,11 +334,17 @@ def rolling_stats_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
         "window_label", F.format_string("%d days", (F.col("window") / 144).cast("int")))
 
 
+def _half_up(df: DataFrame) -> DataFrame:
+    """Doubles to 5 places by ``floor(x * 1e5 + 0.5) / 1e5``, which any engine computes alike on ties."""
+    return df.select(*[(F.floor(F.col(f.name) * 1e5 + 0.5) / 1e5).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 @query
 def decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additive decomposition with period 144."""
     from seriesspark.operators.analysis import seasonal_decompose
-    return round_doubles(seasonal_decompose(tenmin_regular(Tables(spark, sf_dir)), 144))
+    return _half_up(seasonal_decompose(tenmin_regular(Tables(spark, sf_dir)), 144, exact_scale=4))
 
 
 @query
@@ -359,8 +365,7 @@ def acf_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decompose_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W16 with the trend window on 2-day blocks (72-step halos both ways)."""
     from seriesspark.operators.analysis import seasonal_decompose
-    return round_doubles(seasonal_decompose(tenmin_regular(Tables(spark, sf_dir)), 144,
-                                            block_size=288, freq="10min"))
+    return _half_up(seasonal_decompose(tenmin_regular(Tables(spark, sf_dir)), 144, block_size=288, freq="10min", exact_scale=4))
 
 
 @query
@@ -466,13 +471,13 @@ def window_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sequence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """input/target sequence pairs keyed by (seller, cutoff), from the long layout."""
+    """input/target sequence pairs keyed by (seller, cutoff), from the long layout (values in thousandths)."""
     from seriesspark.operators.windows import sequence_pairs as sp, windows_range_join
     long = windows_range_join(_seller_y(Tables(spark, sf_dir)), L_WIN, H_WIN, 1, SELLER)
     pairs = sp(long, L_WIN, H_WIN, SELLER)
-    return pairs.select("seller_id", "cutoff", F.size("input").alias("input_len"),
-                        F.size("output").alias("output_len"),
-                        F.round(F.aggregate("input", F.lit(0.0), lambda a, x: a + x), 0).alias("input_sum_rounded"))
+    return pairs.select("seller_id", "cutoff", *[
+        F.array_join(F.transform(F.col(c), lambda x: F.floor(x.cast("double") * 1000 + 0.5).cast("string")), ",").alias(c)
+        for c in ("input", "output")])
 
 
 N_WINDOWS = 4
@@ -878,3 +883,61 @@ def exog_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = train.groupBy("unique_id").agg(F.max("ds").alias("_last_ds"))
     hz = horizon_grid(last, H_DAILY, "D").select("unique_id", "ds", "k")
     return join_future_exog(hz, lines).withColumnRenamed("_missing_exog", "missing_exog")
+
+
+# ------------------------------------------------------------ sinks, sources, display frame
+
+def _run_folder(spark: SparkSession) -> str:
+    import uuid
+
+    from seriesspark.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/runs/{uuid.uuid4().hex}"
+
+
+@query
+def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holdout written as run artifact and as replaced table of a new schema, both read back."""
+    from seriesspark.sources.sinks import create_schema, replace_table, write_artifact
+    train, test = _seller_split(Tables(spark, sf_dir))
+    path = write_artifact(test, _run_folder(spark), "test")
+    create_schema(spark, "seriesspark_out")
+    name = "seriesspark_out.seller_train"
+    replace_table(train.where("seller_id <= 20"), name)
+    back = spark.read.parquet(path).withColumn("part", F.lit("test"))
+    return back.unionByName(spark.table(name).withColumn("part", F.lit("train")))
+
+
+@query
+def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of both approaches appended to a run's metric log and read back."""
+    from seriesspark.operators.evaluation import compare_approaches
+    from seriesspark.sources.sinks import log_metrics
+    train, test = _seller_split(Tables(spark, sf_dir))
+    m = round_doubles(compare_approaches(_seller_preds(train), test, "revenue", "seller_id", "month"))
+    folder = _run_folder(spark)
+    for name in ("Naive", "SeasonalNaive"):
+        path = log_metrics(m.where(F.col("approach") == name), folder, "run-1", name)
+    return spark.read.parquet(path)
+
+
+@query
+def csv_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables written as CSV, read back as a named set with schemas, profiled and sampled."""
+    from seriesspark.sources.tables import read_csv_set, sample_rows, table_profile
+    t, folder = Tables(spark, sf_dir), _run_folder(spark)
+    names = ("nation", "region")
+    for n in names:
+        t[n].write.option("header", True).csv(f"{folder}/{n}")
+    frames = read_csv_set(spark, {n: f"{folder}/{n}" for n in names}, {n: t[n].schema for n in names})
+    picked = sample_rows(frames["nation"], 5, 7, "n_nationkey").count()
+    return table_profile(frames).withColumn("sampled", F.lit(picked))
+
+
+@query
+def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and prediction columns unioned into one value column, with the axis range per seller."""
+    train, test = _seller_split(Tables(spark, sf_dir))
+    j = test.join(_seller_preds(train)["Naive"], ["seller_id", "month"])
+    long = j.unpivot(["seller_id", "month"], ["revenue", "predictions"], "kind", "value")
+    return round_doubles(long.groupBy("seller_id").agg(F.count("value").alias("n_values"), F.greatest(F.lit(0.0), F.min("value") * 0.9).alias("axis_min"),
+                                                       (F.max("value") * 1.1).alias("axis_max")))

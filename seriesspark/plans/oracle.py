@@ -315,7 +315,7 @@ DECOMPOSE_SQL = "WITH " + TENMIN.strip() + f""",
 st AS (SELECT unique_id, ds, y, count(*) OVER (PARTITION BY unique_id) AS n,
          (row_number() OVER ({W_ID}) - 1) % 144 AS phase,
          CASE WHEN count(y) OVER {_FULL} = 145
-              THEN (sum(y) OVER {_FULL} - 0.5 * lag(y, 72) OVER ({W_ID}) - 0.5 * lead(y, 72) OVER ({W_ID})) / 144
+              THEN ((sum(y::DECIMAL(18,4)) OVER {_FULL})::DOUBLE - 0.5 * lag(y, 72) OVER ({W_ID}) - 0.5 * lead(y, 72) OVER ({W_ID})) / 144
          END AS trend
        FROM reg),
 st2 AS (SELECT * FROM st WHERE n >= 288),
@@ -407,8 +407,9 @@ ORACLES["window_long"] = "WITH " + _WINS + "\nSELECT seller_id, month, revenue,
 ORACLES["window_range_join"] = ORACLES["window_long"]
 
 ORACLES["sequence_pairs"] = "WITH " + _WINS + """
-SELECT seller_id, cutoff, CAST(12 AS INTEGER) AS input_len, CAST(3 AS INTEGER) AS output_len,
-       round(sum(CASE WHEN data_type = 'input' THEN CAST(CAST(revenue AS FLOAT) AS DOUBLE) END), 0) AS input_sum_rounded
+SELECT seller_id, cutoff,
+  string_agg(CASE WHEN data_type = 'input' THEN floor(revenue::FLOAT::DOUBLE * 1000 + 0.5)::BIGINT::VARCHAR END, ',' ORDER BY month) AS input,
+  string_agg(CASE WHEN data_type = 'output' THEN floor(revenue::FLOAT::DOUBLE * 1000 + 0.5)::BIGINT::VARCHAR END, ',' ORDER BY month) AS output
 FROM wl GROUP BY seller_id, cutoff
 """
 
@@ -711,3 +712,27 @@ rc AS (
   FROM rc r LEFT JOIN ln ON ln.unique_id = r.unique_id AND ln.ds = r.ds + INTERVAL 1 DAY WHERE k < 7)
 SELECT unique_id, ds, round(level, 4) AS yhat FROM rc WHERE k > 0
 """
+
+_H = "floor({} * 1e5 + 0.5) / 1e5"
+_D = DECOMPOSE_SQL[:DECOMPOSE_SQL.rindex("SELECT st2.unique_id")]
+ORACLES["decompose"] = _D + "SELECT st2.unique_id, st2.ds, " + ", ".join(f"{_H.format(e)} AS {n}" for e, n in (
+    ("st2.y", "y"), ("st2.trend", "trend"), ("ph2.s", "seasonal"), ("(st2.y - st2.trend - ph2.s)", "resid"))) \
+    + " FROM st2 JOIN ph2 USING (unique_id, phase)"
+ORACLES["decompose_blocked"] = ORACLES["decompose"]
+
+ORACLES["artifact_round_trip"] = "WITH " + SELLER_SPLIT + """
+SELECT seller_id, month, revenue, 'test' AS part FROM test
+UNION ALL SELECT seller_id, month, revenue, 'train' FROM train WHERE seller_id <= 20
+"""
+ORACLES["metrics_log"] = "WITH m AS (" + ORACLES["approach_comparison"] + """)
+SELECT approach || '_' || metric AS metric, value, 'run-1' AS run FROM (UNPIVOT m ON COLUMNS(* EXCLUDE (approach)) INTO NAME metric VALUE value)
+"""
+ORACLES["csv_set"] = """
+SELECT 'nation' AS "table", count(*) AS n_rows, 'n_nationkey, n_name, n_regionkey' AS columns, 5 AS sampled FROM nation
+UNION ALL SELECT 'region', count(*), 'r_regionkey, r_name', 5 FROM region
+"""
+ORACLES["display_values"] = "WITH " + SELLER_SPLIT + """,
+l AS (SELECT seller_id, arg_max(revenue, month) AS p FROM train GROUP BY 1),
+v AS (SELECT seller_id, revenue AS x FROM test UNION ALL SELECT t.seller_id, l.p FROM test t JOIN l USING (seller_id))
+SELECT seller_id, count(x) AS n_values, round(greatest(0.0::DOUBLE, min(x) * 0.9::DOUBLE), 6) AS axis_min, round(max(x) * 1.1::DOUBLE, 6) AS axis_max FROM v GROUP BY 1
+"""
