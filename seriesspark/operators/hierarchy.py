@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesspark.functions.contracts import DEFAULT, Cols
-
-MAX_MINT_NODES = 5000
+from seriesspark.session import cut_lineage
 
 
 def _node(keys: list[str], depth: int):
@@ -87,143 +86,134 @@ def coherence_gap(values: DataFrame, S: DataFrame, value_col: str, cols: Cols =
 
 # ------------------------------------------------------------ MinT with shrinkage
 
-def _gram_partials(k: int, value_col: str):
-    """Per-partition moment sums as dense BLAS products, shipped as one row.
-
-    Rows are repartitioned by timestamp, so every timestamp's residual vector
-    lives in one partition; the partition is assembled into a (timestamps x
-    nodes) block and reduced with ``X.T @ X`` (and the same on squares and on
-    the presence mask). The three k x k matrices leave the task as one binary
-    row, so the shuffle carries one row per partition, not k^2 rows.
-    """
-    def fn(it):
-        import io
-
-        pdf = pd.concat(list(it), ignore_index=True)
-        if pdf.empty:
-            return
-        _, t_idx = np.unique(pdf["_t"].to_numpy(), return_inverse=True)
-        X = np.full((int(t_idx.max()) + 1, k), np.nan)
-        X[t_idx, pdf["_i"].to_numpy()] = pdf[value_col].to_numpy()
-        mask = ~np.isnan(X)
-        Xv = np.where(mask, X, 0.0)
-        M = mask.astype(float)
-        X2 = Xv * Xv
-        buf = io.BytesIO()
-        np.savez(buf, xx=Xv.T @ Xv, x4=X2.T @ X2, nn=M.T @ M)
-        yield pd.DataFrame({"_g": [0], "blob": [buf.getvalue()]})
-    return fn
-
-
-def _mint_inputs(residuals: DataFrame, S: DataFrame, cols: Cols, value_col: str):
-    """Node/bottom lists (capped), summing pairs and the per-partition moment blobs."""
-    nodes = [r[0] for r in S.select("node").distinct().orderBy("node").limit(MAX_MINT_NODES + 1).collect()]
-    if len(nodes) > MAX_MINT_NODES:
-        raise ValueError(f"MinT supports at most {MAX_MINT_NODES} nodes")
-    bottoms = [r[0] for r in S.select("bottom").distinct().orderBy("bottom").collect()]
-    s_pairs = [tuple(x) for x in S.select("node", "bottom", "weight").collect()]
-    spark = residuals.sparkSession
-    index_df = spark.createDataFrame(pd.DataFrame({cols.id: nodes, "_i": range(len(nodes))}))
-    r = (residuals.filter(F.col(value_col).isNotNull()).join(F.broadcast(index_df), cols.id)
-         .select(F.col(cols.ds).alias("_t"), "_i", F.col(value_col).cast("double").alias(value_col))
-         .repartition("_t"))
-    parts = r.mapInPandas(_gram_partials(len(nodes), value_col), "_g int, blob binary")
-    return nodes, bottoms, s_pairs, parts
-
-
-def _mint_projection(blobs, nodes, bottoms, s_pairs):
-    """``G = S P`` (k x k) and the shrinkage intensity from summed moment blobs."""
-    import io
-
-    k, nb = len(nodes), len(bottoms)
-    xx = np.zeros((k, k))
-    x4 = np.zeros((k, k))
-    nn = np.zeros((k, k))
-    for blob in blobs:
-        z = np.load(io.BytesIO(blob))
-        xx += z["xx"]
-        x4 += z["x4"]
-        nn += z["nn"]
-    cov = xx / np.maximum(nn - 1, 1)
-    sd = np.sqrt(np.maximum(np.diag(cov), 1e-8))
-    corr = cov / np.outer(sd, sd)
-    # Var(r_ij) from sums of standardised cross products (w_t = x_i x_j / (sd_i sd_j))
-    w_sum = xx / np.outer(sd, sd)
-    w2_sum = x4 / np.outer(sd * sd, sd * sd)
-    nbar = np.maximum(nn, 2)
-    var_r = nbar / (nbar - 1) ** 3 * (w2_sum - w_sum ** 2 / nbar)
-    off = ~np.eye(k, dtype=bool)
-    denom = np.sum(corr[off] ** 2)
-    lam = 0.0 if denom == 0 else float(np.clip(np.sum(var_r[off]) / denom, 0.0, 1.0))
-    W = lam * np.diag(np.diag(cov)) + (1 - lam) * cov
-    W[np.diag_indices(k)] = np.maximum(np.diag(W), 1e-8)
-    Smat = np.zeros((k, nb))
-    node_i = {v: i for i, v in enumerate(nodes)}
-    bot_i = {v: i for i, v in enumerate(bottoms)}
-    for nd, bt, wt in s_pairs:
-        Smat[node_i[nd], bot_i[bt]] = wt
-    Winv = np.linalg.pinv(W)
-    P = np.linalg.pinv(Smat.T @ Winv @ Smat) @ Smat.T @ Winv  # (nb, k)
-    return Smat @ P, lam  # G: reconciled node = sum_j G[node, j] * base_j
-
-
-def mint_shrink_weights(residuals: DataFrame, S: DataFrame, cols: Cols = DEFAULT,
-                        value_col: str = "resid") -> DataFrame:
-    """Projection ``S P``, ``P = (S' W^-1 S)^-1 S' W^-1``, as a long table.
-
-    ``W`` is the shrinkage covariance of the in-sample residuals of all nodes
-    (Schafer and Strimmer 2005): lambda from the variance of the standardised
-    cross products, clipped to [0, 1]; ``W = lambda*diag(S) + (1-lambda)*S``.
-    The node-by-node moment sums are accumulated per partition with NumPy
-    and travel as one binary row per partition; only the final k x k solve
-    runs in one task, so the node count is capped at ``MAX_MINT_NODES``.
-    Residuals are assumed centred (mean zero), as one-step residuals are.
-    Output ``(node, source, weight, shrinkage)`` for ``reconcile_with``.
-    """
-    nodes, bottoms, s_pairs, parts = _mint_inputs(residuals, S, cols, value_col)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        G, lam = _mint_projection(pdf["blob"], nodes, bottoms, s_pairs)
-        ii, jj = np.nonzero(np.abs(G) > 1e-12)
-        return pd.DataFrame({"node": [nodes[a] for a in ii], "source": [nodes[b] for b in jj],
-                             "weight": G[ii, jj], "shrinkage": lam})
+TILE = 256  # nodes per tile of the residual moments
 
-    return parts.groupBy("_g").applyInPandas(solve, "node string, source string, weight double, shrinkage double")
 
+def shrinkage(residuals: DataFrame, cols: Cols = DEFAULT, value_col: str = "resid") -> float:
+    """Shrinkage intensity of the residual correlations (D29, Schafer and Strimmer 2005), in [0, 1].
 
-def mint_reconcile(base: DataFrame, residuals: DataFrame, S: DataFrame, value_cols: list[str],
-                   cols: Cols = DEFAULT, value_col: str = "resid") -> DataFrame:
-    """MinT-reconciled forecasts of every node (F19), applied inside the solve.
-
-    The base forecasts (nodes x horizon, bounded by the node cap) are
-    cogrouped with the moment blobs, so the k x k projection is applied with
-    one matrix product per value column instead of being written out as
-    k^2 rows and joined back.
+    Sum of the variances of the off-diagonal correlations over the sum of their
+    squares. Nodes are dealt into tiles; a pair of tiles is one group that
+    returns two numbers, so no task sees more than two tiles of series and no
+    k x k matrix exists anywhere.
     """
-    nodes, bottoms, s_pairs, parts = _mint_inputs(residuals, S, cols, value_col)
-    id_type = base.schema[cols.id].dataType.simpleString()
-    ds_type = base.schema[cols.ds].dataType.simpleString()
-    b = base.select(F.lit(0).alias("_g"), cols.id, cols.ds, *[F.col(v).cast("double").alias(v) for v in value_cols])
-
-    def solve(blobs: pd.DataFrame, bp: pd.DataFrame) -> pd.DataFrame:
-        G, _ = _mint_projection(blobs["blob"], nodes, bottoms, s_pairs)
-        pos = {n: i for i, n in enumerate(nodes)}
-        out = []
-        for ds, grp in bp.groupby(cols.ds, sort=False):
-            res = {cols.id: nodes, cols.ds: ds}
-            for v in value_cols:
-                vec = np.zeros(len(nodes))
-                vec[[pos[n] for n in grp[cols.id]]] = grp[v].fillna(0.0).to_numpy()
-                res[v] = G @ vec
-            out.append(pd.DataFrame(res))
-        return pd.concat(out) if out else pd.DataFrame(columns=[cols.id, cols.ds, *value_cols])
-
-    schema = f"{cols.id} {id_type}, {cols.ds} {ds_type}, " + ", ".join(f"`{v}` double" for v in value_cols)
-    return parts.groupBy("_g").cogroup(b.groupBy("_g")).applyInPandas(solve, schema)
-
-
-def reconcile_with(base: DataFrame, weights: DataFrame, value_cols: list[str], cols: Cols = DEFAULT) -> DataFrame:
-    """Apply a long projection ``(node, source, weight)`` to base forecasts of all nodes."""
-    j = base.join(weights, base[cols.id] == weights["source"], "inner")
-    return (j.groupBy(F.col("node").alias(cols.id), cols.ds)
-            .agg(*[F.sum(F.col("weight") * F.col(v)).alias(v) for v in value_cols]))
+    r = residuals.where(F.col(value_col).isNotNull())
+    stats = r.groupBy(cols.id).agg(F.avg(value_col).alias("_m"), F.greatest(F.stddev_samp(value_col), F.lit(1e-4)).alias("_sd"))
+    k = stats.count()
+    tiles = max(1, -(-k // TILE))
+    z = r.join(stats, cols.id).select(
+        F.pmod(F.xxhash64(cols.id), F.lit(tiles)).cast("int").alias("t"), F.col(cols.id).cast("string").alias("node"),
+        F.col(cols.ds).cast("string").alias("ds"), ((F.col(value_col) - F.col("_m")) / F.coalesce("_sd", F.lit(1.0))).alias("z"))
+    z = z.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    z = z.select(F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "node", "ds", "z")
+
+    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        times = {d: n for n, d in enumerate(pdf["ds"].unique())}
+
+        def dense(tile: int) -> tuple[np.ndarray, np.ndarray]:
+            part = pdf[pdf["t"] == tile]
+            code, names = pd.factorize(part["node"])
+            X, M = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
+            at = part["ds"].map(times).to_numpy()
+            X[at, code], M[at, code] = part["z"].to_numpy(), 1.0
+            return X, M
+        (A, MA), (B, MB) = dense(i), dense(j)
+        n = np.maximum(MA.T @ MB, 2)
+        w, w2 = A.T @ B, (A * A).T @ (B * B)
+        var, sq = n / (n - 1) ** 3 * (w2 - w ** 2 / n), (w / (n - 1)) ** 2
+        if i == j:
+            np.fill_diagonal(var, 0.0)
+            np.fill_diagonal(sq, 0.0)
+        times_counted = 1.0 if i == j else 2.0
+        return pd.DataFrame({"var": [times_counted * var.sum()], "sq": [times_counted * sq.sum()]})
+
+    var, sq = z.groupBy("i", "j").applyInPandas(moments, "var double, sq double").agg(F.sum("var"), F.sum("sq")).first()
+    return float(min(1.0, max(0.0, var / sq))) if sq else 0.0
+
+
+def mint_reconcile(base: DataFrame, residuals: DataFrame, S: DataFrame, value_cols: list[str], cols: Cols = DEFAULT,
+                   value_col: str = "resid", tolerance: float = 1e-10, max_rounds: int = 500) -> DataFrame:
+    """MinT-reconciled forecasts of every node with the shrinkage covariance.
+
+    With ``W = a D + (1 - a) X'X / (n - 1)`` (``X`` the centred residuals, ``D`` their
+    variances, ``a`` the shrinkage, floored at 1e-6 so that W is regular) and ``U``
+    the constraints "node minus the sum of its bottoms", the reconciled forecasts
+    are ``y - W U z`` with ``(U' W U) z = U' y``. The system is solved by
+    preconditioned conjugate gradients whose every product is a join and a grouped
+    sum over distributed rows: no matrix is formed and the number of nodes is not
+    limited. One solve per forecast stamp, all in the same passes; what reaches the
+    driver are a few sums per stamp and round. Coherent forecasts come back as they
+    are. Raises when ``max_rounds`` do not reach the tolerance.
+    """
+    stamps = [r[0] for r in base.select(cols.ds).distinct().orderBy(cols.ds).collect()]  # the horizon
+    names = [f"_v{i}" for i in range(len(stamps) * len(value_cols))]
+    y = cut_lineage(base.groupBy(F.col(cols.id).alias("node")).agg(*[
+        F.coalesce(F.max(F.when(F.col(cols.ds) == F.lit(s), F.col(v).cast("double"))), F.lit(0.0)).alias(names[i * len(value_cols) + j])
+        for i, s in enumerate(stamps) for j, v in enumerate(value_cols)]))
+    A = cut_lineage(S.where(F.col("node") != F.col("bottom")).select(F.col("node").alias("a"), F.col("bottom").alias("b"), "weight"))
+    r = residuals.where(F.col(value_col).isNotNull()).select(F.col(cols.id).alias("node"), F.col(cols.ds).alias("t"), F.col(value_col).cast("double").alias("r"))
+    mean = r.groupBy("node").agg(F.avg("r").alias("m"))
+    X = cut_lineage(r.join(mean, "node").select("node", "t", (F.col("r") - F.col("m")).alias("x")))
+    n = X.select("t").distinct().count()
+    a = max(1e-6, shrinkage(residuals, cols, value_col))
+    D = cut_lineage(y.select("node").join(X.groupBy("node").agg((F.sum(F.col("x") * F.col("x")) / max(n - 1, 1)).alias("d")), "node", "left")
+                    .select("node", F.greatest(F.coalesce("d", F.lit(0.0)), F.lit(1e-8)).alias("d")))
+
+    def constraints(v: DataFrame) -> DataFrame:
+        """``U' v``: each upper node's value less the sum of its bottoms."""
+        below = A.join(v, A["b"] == v["node"]).groupBy("a").agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"_s{c}") for c in names])
+        return v.join(below, v["node"] == below["a"]).select("node", *[(F.col(c) - F.col(f"_s{c}")).alias(c) for c in names])
+
+    def spread(z: DataFrame) -> DataFrame:
+        """``U z`` over all nodes."""
+        down = A.join(z, A["a"] == z["node"]).groupBy(F.col("b").alias("node")).agg(*[(-F.sum(F.col("weight") * F.col(c))).alias(c) for c in names])
+        return z.select("node", *names).unionByName(down)
+
+    def weigh(v: DataFrame) -> DataFrame:
+        """``W v``."""
+        per_t = X.join(v, "node").groupBy("t").agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in names])
+        back = X.join(per_t, "t").groupBy("node").agg(*[F.sum(F.col("x") * F.col(c)).alias(f"_b{c}") for c in names])
+        return D.join(v, "node").join(back, "node", "left").select("node", *[
+            (F.lit(a) * F.col("d") * F.col(c) + F.lit((1 - a) / max(n - 1, 1)) * F.coalesce(f"_b{c}", F.lit(0.0))).alias(c) for c in names])
+
+    def dot(x: DataFrame, z: DataFrame) -> list[float]:
+        j = x.join(z.toDF("_n", *[f"_z{c}" for c in names]), F.col("node") == F.col("_n"))
+        return [v or 0.0 for v in j.agg(*[F.sum(F.col(c) * F.col(f"_z{c}")) for c in names]).first()]
+
+    def add(x: DataFrame, z: DataFrame, factors: list[float]) -> DataFrame:
+        """``x + factor z``, a factor per column."""
+        j = x.join(z.toDF("_n", *[f"_z{c}" for c in names]), F.col("node") == F.col("_n"))
+        return j.select("node", *[(F.col(c) + F.lit(f) * F.col(f"_z{c}")).alias(c) for c, f in zip(names, factors)])
+
+    upper = A.select("a").distinct()
+    scale = D.join(upper, D["node"] == upper["a"]).select("node", "d").join(
+        A.join(D, A["b"] == D["node"]).groupBy(F.col("a").alias("_a")).agg(F.sum(F.col("weight") * F.col("weight") * F.col("d")).alias("s")),
+        F.col("node") == F.col("_a")).select(F.col("node").alias("_k"), (F.col("d") + F.col("s")).alias("scale"))
+    scale = cut_lineage(scale)
+
+    def precondition(x: DataFrame) -> DataFrame:
+        return x.join(scale, F.col("node") == F.col("_k")).select("node", *[(F.col(c) / F.col("scale")).alias(c) for c in names])
+
+    res = cut_lineage(constraints(y))
+    z = res.select("node", *[F.lit(0.0).alias(c) for c in names])
+    p = h = cut_lineage(precondition(res))
+    rh, size = dot(res, h), dot(y, y)
+    done = lambda: all(q <= tolerance ** 2 * max(s, 1e-30) for q, s in zip(dot(res, res), size))
+    rounds = 0
+    while not done():
+        if rounds == max_rounds:
+            raise RuntimeError(f"MinT did not converge in {max_rounds} rounds")
+        q = cut_lineage(constraints(weigh(spread(p))))
+        alpha = [x / w if w else 0.0 for x, w in zip(rh, dot(p, q))]
+        z = cut_lineage(add(z, p, alpha))
+        res = cut_lineage(add(res, q, [-x for x in alpha]))
+        h = precondition(res)
+        new = dot(res, h)
+        p = cut_lineage(add(h, p, [x / w if w else 0.0 for x, w in zip(new, rh)]))
+        rh, rounds = new, rounds + 1
+    out = add(y, weigh(spread(z)), [-1.0] * len(names)) if rounds else y
+    per_stamp = F.array(*[F.struct(F.lit(s).alias("ds"), *[F.col(names[i * len(value_cols) + j]).alias(v) for j, v in enumerate(value_cols)])
+                          for i, s in enumerate(stamps)])
+    return out.select(F.col("node").alias(cols.id), F.explode(per_stamp).alias("_f")) \
+        .select(cols.id, F.col("_f.ds").cast(base.schema[cols.ds].dataType).alias(cols.ds), *[F.col(f"_f.{v}").alias(v) for v in value_cols])

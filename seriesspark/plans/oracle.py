@@ -736,3 +736,6 @@ l AS (SELECT seller_id, arg_max(revenue, month) AS p FROM train GROUP BY 1),
 v AS (SELECT seller_id, revenue AS x FROM test UNION ALL SELECT t.seller_id, l.p FROM test t JOIN l USING (seller_id))
 SELECT seller_id, count(x) AS n_values, round(greatest(0.0::DOUBLE, min(x) * 0.9::DOUBLE), 6) AS axis_min, round(max(x) * 1.1::DOUBLE, 6) AS axis_max FROM v GROUP BY 1
 """
+
+# Sums of naive forecasts are naive forecasts of the sums: the base is coherent, so MinT leaves it.
+ORACLES["mint_shrink"] = "WITH " + HIER + "\nSELECT unique_id, ds, round(\"Naive\", 6) AS \"Naive\" FROM bu"

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seriesspark.operators.analysis import acf, pacf, seasonal_decompose
-from seriesspark.operators.hierarchy import bottom_up, build_hierarchy, coherence_gap, mint_shrink_weights, reconcile_with
+from seriesspark.operators.hierarchy import bottom_up, build_hierarchy, coherence_gap, mint_reconcile, shrinkage
 from seriesspark.operators.solvers import arima
 
 D = dt.datetime
@@ -60,16 +60,36 @@ def test_hierarchy_bottom_up_coherent(spark):
     assert gap.max_gap == 0.0 and gap.n_checked == 10 * 30
 
 
-def test_mint_coherent(spark):
-    from seriesspark.operators.features import series_window
-    df, tr = _tree_panel(spark)
-    Y, S = build_hierarchy(df, tr, ["region", "nation"])
-    Y = Y.select("unique_id", "ds", "y")
-    resid = Y.select("unique_id", "ds", (F.col("y") - F.lag("y", 1).over(series_window())).alias("resid"))
-    base = Y.filter("ds = timestamp_ntz'2024-01-30'").withColumnRenamed("y", "yhat")
-    rec = reconcile_with(base, mint_shrink_weights(resid, S), ["yhat"])
+def test_mint_against_dense_algebra(spark):
+    rng = np.random.default_rng(5)
+    bottoms, T = ["b1", "b2", "b3", "b4"], 40
+    tree = {"total": bottoms, "R1": bottoms[:3], "R1/N1": bottoms[:2]}
+    nodes = [*tree, *bottoms]
+    X = rng.normal(size=(T, len(nodes))) + rng.normal(size=(T, 1))
+    y = rng.normal(10, 3, size=(len(nodes), 2))
+    day = lambda t: D(2024, 1, 1) + dt.timedelta(days=t)
+    resid = spark.createDataFrame([(n, day(t), float(X[t, i])) for i, n in enumerate(nodes) for t in range(T)], "unique_id string, ds timestamp_ntz, resid double")
+    base = spark.createDataFrame([(n, day(100 + k), float(y[i, k])) for i, n in enumerate(nodes) for k in range(2)], "unique_id string, ds timestamp_ntz, yhat double")
+    S = spark.createDataFrame([(a, b, 1.0) for a, bs in [*tree.items(), *[(b, [b]) for b in bottoms]] for b in bs], "node string, bottom string, weight double")
+    # the shrinkage covariance and the projection, dense
+    Xc = X - X.mean(axis=0)
+    cov = Xc.T @ Xc / (T - 1)
+    Z = Xc / X.std(axis=0, ddof=1)
+    w, w2 = Z.T @ Z, (Z * Z).T @ (Z * Z)
+    off = ~np.eye(len(nodes), dtype=bool)
+    lam = np.clip((T / (T - 1) ** 3 * (w2 - w ** 2 / T))[off].sum() / ((w / (T - 1)) ** 2)[off].sum(), 0, 1)
+    assert abs(shrinkage(resid) - lam) < 1e-9
+    W = lam * np.diag(np.diag(cov)) + (1 - lam) * cov
+    Sm = np.array([[1.0 if b in tree.get(n, [n]) else 0.0 for b in bottoms] for n in nodes])
+    Wi = np.linalg.inv(W)
+    want = Sm @ np.linalg.solve(Sm.T @ Wi @ Sm, Sm.T @ Wi @ y)
+    rec = mint_reconcile(base, resid, S, ["yhat"])
+    got = {(r.unique_id, r.ds): r.yhat for r in rec.collect()}
+    for i, n in enumerate(nodes):
+        for k in range(2):
+            assert abs(got[n, day(100 + k)] - want[i, k]) < 1e-6
     gap = coherence_gap(rec, S, "yhat").collect()[0]
-    assert gap.max_gap < 1e-6
+    assert gap.max_gap < 1e-6 and gap.n_checked == 14
 
 
 def test_arima_tracks_ar1():
