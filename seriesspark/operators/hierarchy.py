@@ -102,21 +102,20 @@ def shrinkage(residuals: DataFrame, cols: Cols = DEFAULT, value_col: str = "resi
     k = stats.count()
     tiles = max(1, -(-k // TILE))
     z = r.join(stats, cols.id).select(
-        F.pmod(F.xxhash64(cols.id), F.lit(tiles)).cast("int").alias("t"), F.col(cols.id).cast("string").alias("node"),
-        F.col(cols.ds).cast("string").alias("ds"), ((F.col(value_col) - F.col("_m")) / F.coalesce("_sd", F.lit(1.0))).alias("z"))
+        F.pmod(F.xxhash64(cols.id), F.lit(tiles)).cast("int").alias("t"), F.xxhash64(cols.id).alias("node"),
+        F.xxhash64(cols.ds).alias("ds"), ((F.col(value_col) - F.col("_m")) / F.coalesce("_sd", F.lit(1.0))).alias("z"))
     z = z.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     z = z.select(F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "node", "ds", "z")
 
     def moments(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        times = {d: n for n, d in enumerate(pdf["ds"].unique())}
+        time, times = pd.factorize(pdf["ds"])
 
         def dense(tile: int) -> tuple[np.ndarray, np.ndarray]:
-            part = pdf[pdf["t"] == tile]
-            code, names = pd.factorize(part["node"])
+            own = (pdf["t"] == tile).to_numpy()
+            code, names = pd.factorize(pdf["node"].to_numpy()[own])
             X, M = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
-            at = part["ds"].map(times).to_numpy()
-            X[at, code], M[at, code] = part["z"].to_numpy(), 1.0
+            X[time[own], code], M[time[own], code] = pdf["z"].to_numpy()[own], 1.0
             return X, M
         (A, MA), (B, MB) = dense(i), dense(j)
         n = np.maximum(MA.T @ MB, 2)
@@ -152,7 +151,8 @@ def mint_reconcile(base: DataFrame, residuals: DataFrame, S: DataFrame, value_co
         F.coalesce(F.max(F.when(F.col(cols.ds) == F.lit(s), F.col(v).cast("double"))), F.lit(0.0)).alias(names[i * len(value_cols) + j])
         for i, s in enumerate(stamps) for j, v in enumerate(value_cols)]))
     A = cut_lineage(S.where(F.col("node") != F.col("bottom")).select(F.col("node").alias("a"), F.col("bottom").alias("b"), "weight"))
-    r = residuals.where(F.col(value_col).isNotNull()).select(F.col(cols.id).alias("node"), F.col(cols.ds).alias("t"), F.col(value_col).cast("double").alias("r"))
+    residuals = cut_lineage(residuals.where(F.col(value_col).isNotNull()).select(cols.id, cols.ds, value_col))
+    r = residuals.select(F.col(cols.id).alias("node"), F.col(cols.ds).alias("t"), F.col(value_col).cast("double").alias("r"))
     mean = r.groupBy("node").agg(F.avg("r").alias("m"))
     X = cut_lineage(r.join(mean, "node").select("node", "t", (F.col("r") - F.col("m")).alias("x")))
     n = X.select("t").distinct().count()
