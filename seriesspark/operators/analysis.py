@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from seriesspark.functions.contracts import DEFAULT, Cols
+from seriesspark.session import cut_lineage
 
 
 # ------------------------------------------------------------ decomposition
@@ -150,10 +151,9 @@ TILE = 64  # target series per tile: columns of one row, whatever the number of
 
 
 def _tiles(targets: DataFrame, cols: Cols, width: int) -> DataFrame:
-    """``(id, tile, slot)``: targets numbered within hash buckets, ``width`` to a tile."""
-    n = targets.select(cols.id).distinct().count()
-    buckets = max(1, -(-n // (8 * width)))
-    ids = targets.select(cols.id).distinct().withColumn("_b", F.pmod(F.xxhash64(cols.id), F.lit(buckets)))
+    """``(id, tile, slot)``: distinct targets numbered within hash buckets, ``width`` to a tile."""
+    buckets = max(1, -(-targets.count() // (8 * width)))
+    ids = targets.withColumn("_b", F.pmod(F.xxhash64(cols.id), F.lit(buckets)))
     nth = F.row_number().over(Window.partitionBy("_b").orderBy(cols.id)) - 1
     return ids.select(cols.id, F.struct("_b", F.floor(nth / width).alias("t")).alias("_tile"), (nth % width).alias("_slot"))
 
@@ -171,8 +171,13 @@ def corr_with_targets(df: DataFrame, targets: DataFrame | list, cols: Cols = DEF
     """
     if not isinstance(targets, DataFrame):
         targets = df.sparkSession.createDataFrame([(t,) for t in targets], f"`{cols.id}` {df.schema[cols.id].dataType.simpleString()}")
-    targets = targets.select(cols.id).join(df.select(cols.id).distinct(), cols.id, "left_semi")
-    width = max(1, min(TILE, targets.distinct().count()))
+    targets = targets.select(cols.id).distinct().join(df.select(cols.id).distinct(), cols.id, "left_semi")
+    return _correlations(df, cut_lineage(targets), cols)
+
+
+def _correlations(df: DataFrame, targets: DataFrame, cols: Cols) -> DataFrame:
+    """Correlations with a written table of distinct target ids."""
+    width = max(1, min(TILE, targets.count()))
     tiles = _tiles(targets, cols, width)
     slots = [f"_s{i}" for i in range(width)]
     placed = df.select(cols.id, cols.ds, cols.y).join(tiles, cols.id)
@@ -193,7 +198,7 @@ def corr_with_target(df: DataFrame, target_id, cols: Cols = DEFAULT) -> DataFram
 def corr_matrix(df: DataFrame, ids: DataFrame | list | None = None, cols: Cols = DEFAULT) -> DataFrame:
     """Correlation matrix of all series, or of the listed ones."""
     if ids is None:
-        return corr_with_targets(df, df.select(cols.id), cols)
+        return _correlations(df, cut_lineage(df.select(cols.id).distinct()), cols)
     if not isinstance(ids, DataFrame):
         ids = df.sparkSession.createDataFrame([(t,) for t in ids], f"`{cols.id}` {df.schema[cols.id].dataType.simpleString()}")
     return corr_with_targets(df.join(ids.select(cols.id).distinct(), cols.id, "left_semi"), ids, cols)
