@@ -29,7 +29,7 @@ def blocked(docs: DataFrame, *, key: str, text: str) -> tuple[DataFrame, int]:
     """``block, doc_id, text`` and the number of hash ranges to use."""
     d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(2 * partitions(docs.sparkSession), math.ceil(size / BLOCK_BYTES))
+    n = max(1, partitions(docs.sparkSession) // 2, math.ceil(size / BLOCK_BYTES))
     ranges = max(partitions(docs.sparkSession), math.ceil(size / 6 / RANGE_WORDS))
     return d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), ranges
 
