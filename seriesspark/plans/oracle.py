@@ -722,7 +722,7 @@ ORACLES["decompose_blocked"] = ORACLES["decompose"]
 
 ORACLES["artifact_round_trip"] = "WITH " + SELLER_SPLIT + """
 SELECT seller_id, month, revenue, 'test' AS part FROM test
-UNION ALL SELECT seller_id, month, revenue, 'train' FROM train WHERE seller_id <= 20
+UNION ALL SELECT seller_id, month, revenue, 'train' FROM train
 """
 ORACLES["metrics_log"] = "WITH m AS (" + ORACLES["approach_comparison"] + """)
 SELECT approach || '_' || metric AS metric, value, 'run-1' AS run FROM (UNPIVOT m ON COLUMNS(* EXCLUDE (approach)) INTO NAME metric VALUE value)
