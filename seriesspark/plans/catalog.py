@@ -899,10 +899,11 @@ def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The holdout written as run artifact and as replaced table of a new schema, both read back."""
     from seriesspark.sources.sinks import create_schema, replace_table, write_artifact
     train, test = _seller_split(Tables(spark, sf_dir))
-    path = write_artifact(test, _run_folder(spark), "test")
+    folder = _run_folder(spark)
+    path = write_artifact(test, folder, "test")
     create_schema(spark, "seriesspark_out")
-    name = "seriesspark_out.seller_train"
-    replace_table(train, name)
+    name = f"seriesspark_out.train_{folder.rpartition('/')[2]}"
+    replace_table(train, name, path=f"{folder}/train")
     back = spark.read.parquet(path).withColumn("part", F.lit("test"))
     return back.unionByName(spark.table(name).withColumn("part", F.lit("train")))
 

@@ -22,9 +22,12 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def replace_table(df: DataFrame, name: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Replace a managed table with a query result."""
+def replace_table(df: DataFrame, name: str, fmt: str = "parquet", partition_by: list[str] | None = None,
+                  path: str | None = None) -> None:
+    """Replace a table with a query result (S6, S7): a managed one, or an external one at ``path``."""
     w = df.write.mode("overwrite").format(fmt)
+    if path:
+        w = w.option("path", path)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(name)
