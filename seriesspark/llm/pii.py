@@ -2,11 +2,11 @@
 
 One pattern finds the entities of a text in order; each is cut into literal
 pieces and valued pieces (a title stays, a name's words are values; ``password=``
-stays, what follows is a value). Every distinct value gets a surrogate from a
+or ``"token": "`` stays, what follows is a value). Every distinct value gets a surrogate from a
 keyed digest: same type, script, letter case and separators, a given name of the
 gender its title tells, a card number with the same check sum. Equal values get
-equal surrogates everywhere (phone and card numbers also across separators, names
-and addresses across letter case), so coreference holds. Collision checks make surrogates distinct: a value whose
+equal surrogates everywhere (phone and card numbers also across separators, names,
+addresses and hexadecimal keys across letter case), so coreference holds. Collision checks make surrogates distinct: a value whose
 surrogate another value has, or that is itself a value in the corpus, draws again
 with the next attempt until none is left.
 
@@ -30,19 +30,22 @@ TITLES = {"m": ["Mr", "Monsieur", "Herr", "Señor", "Господин"], "f": ["
           "n": ["Dr", "Prof"]}
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?i:password|passwd|pwd|secret|api_key|token)=[^\s\"']+",
-    "key": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
-    "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
-}
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
+HEX = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
+CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
+IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
+NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+# A secret is what follows its name, "=" or ":" and perhaps a quote; a value that is itself an entity is left to that pattern.
+ASSIGN = r"""(?i:password|passwd|pwd|secret|api_key|token)["']?+[ \t]*+[=:]{1,3}+>?+[ \t]*+"""
+_OTHER = f"(?:{EMAIL}|{KEY}|{HEX}|{PHONE}|{CARD}|{IP}|{NAME})"
+_QUOTED = "|".join(rf"{q}(?!{q}|{_OTHER}{q})[^\r\n]{{1,512}}?(?<!\\){q}" for q in "\"'")
+SECRET = rf"""{ASSIGN}(?:{_QUOTED}|["']?+(?!{_OTHER}[.,;:!?)\]]*(?:[\s"']|$))[^\s"']+)"""
+PATTERNS = {"email": EMAIL, "secret": SECRET, "key": KEY, "hex": HEX, "phone": PHONE, "card": CARD, "ip": IP, "name": NAME}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Every entity but a name holds one of these; most texts have none and skip the patterns.
-MARKS = "[0-9@=]|AKIA|[a-f]{32}"
+MARKS = "[0-9@=:]|AKIA|[A-Fa-f]{32}"
 # Given names by gender and script, and syllables of family names by script.
 GIVEN = {
     "m_latin": ["Adam", "Brian", "Carl", "David", "Erik", "Felix", "George", "Henry", "Ivan", "James", "Karl", "Louis"],
@@ -66,8 +69,11 @@ def parts(match: Column) -> Column:
     words = F.split(F.substr(match, F.length(title) + 1), " ")
     family = piece(F.concat(F.lit("family"), script), F.element_at(words, -1))
     given = F.array(piece("", title), piece(F.concat(F.lit("given_"), gender, script), words[0]), piece("", F.lit(" ")), family)
-    eq = F.locate("=", match)
-    secret = F.array(piece("", F.substr(match, F.lit(1), eq)), piece("secret", F.substr(match, eq + 1)))
+    lead = F.regexp_extract(match, f"""^{ASSIGN}["']?+""", 0)
+    # a quoted value ends before the quote that it began with
+    close = F.when(lead.rlike("[\"']$") & (F.substr(lead, F.lit(-1)) == F.substr(match, F.lit(-1))), F.substr(match, F.lit(-1))).otherwise("")
+    value = F.substr(match, F.length(lead) + 1, F.length(match) - F.length(lead) - F.length(close))
+    secret = F.array(piece("", lead), piece("secret", value), piece("", close))
     out = F.when(match.rlike(f"^(?:{PATTERNS['email']})$"), F.array(piece("email", match)))
     for kind in ("secret", "key", "hex", "phone", "card", "ip"):
         out = out.when(match.rlike(f"^(?:{PATTERNS[kind]})$"), secret if kind == "secret" else F.array(piece(kind, match)))
@@ -76,7 +82,7 @@ def parts(match: Column) -> Column:
 
 def identity(kind: Column, value: Column) -> Column:
     """What two spellings of one value share."""
-    any_case = (kind == "email") | kind.startswith("family") | kind.startswith("given")
+    any_case = kind.isin("email", "hex") | kind.startswith("family") | kind.startswith("given")
     return F.when(kind.isin("phone", "card"), F.regexp_replace(value, "[^0-9]+", "")).when(any_case, F.lower(value)).otherwise(value)
 
 
@@ -100,12 +106,20 @@ def _letters(value: Column, hexes: Column, keep: int = 0, hexadecimal: bool = Fa
         # a character's place counts alphanumerics only, so separators do not matter
         at = F.length(F.regexp_replace(F.substr(value, F.lit(1), i), "[^0-9A-Za-z]+", ""))
         if hexadecimal:
-            return F.when(c.rlike("[0-9a-f]"), pick("0123456789abcdef", at)).otherwise(c)
+            upper = c.rlike("[A-F]") | (value.rlike("[A-F]") & ~value.rlike("[a-f]"))
+            return let(pick("0123456789abcdef", at), lambda h: F.when(upper, F.upper(h)).otherwise(h))
         return F.when(~c.rlike("[0-9A-Za-z]") | (at < keep), c).when(c.rlike("[0-9]"), pick("0123456789", at)) \
             .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", at)).otherwise(pick("abcdefghijklmnopqrstuvwxyz", at))
     return F.array_join(F.transform(chars, swap), "")
 
 
+def _secret(value: Column, hexes: Column, attempt: Column) -> Column:
+    """Letters and digits as in ``_letters``, other scripts too; nothing else stays if the value has none. Longer at each attempt."""
+    plain = F.regexp_replace(F.regexp_replace(value, r"[^\x00-\x7F&&\p{Lu}]", "A"), r"[^\x00-\x7F]", "a")
+    plain = F.when(plain.rlike("[0-9A-Za-z]"), plain).otherwise(F.regexp_replace(plain, "(?s).", "a"))
+    return F.concat(_letters(plain, hexes), F.substr(hexes, F.lit(101), attempt))
+
+
 def _luhn(number: Column) -> Column:
     """Luhn sum of the digits of a number, modulo 10."""
     digits = F.reverse(F.filter(F.split(number, ""), lambda c: c.rlike("[0-9]")))
@@ -146,7 +160,7 @@ def surrogate(kind: Column, value: Column, hexes: Column, attempt: Column) -> Co
     octets = F.transform(F.array(*map(F.lit, range(4))), lambda i: F.when(i == 0, 1 + _draw(hexes, i, 223)).otherwise(_draw(hexes, i, 256)).cast("string"))
     out = F.when(kind == "email", email).when(kind == "card", _card(value, hexes)).when(kind == "phone", _letters(value, hexes, keep=1)) \
         .when(kind == "ip", F.array_join(octets, ".")).when(kind == "key", _letters(value, hexes, keep=4)) \
-        .when(kind == "hex", _letters(value, hexes, hexadecimal=True)).when(kind == "secret", _letters(value, hexes))
+        .when(kind == "hex", _letters(value, hexes, hexadecimal=True)).when(kind == "secret", _secret(value, hexes, attempt))
     for script in SYLLABLES:
         out = out.when(kind == f"family_{script}", _capital(family(script), value))
     for group in GIVEN:

@@ -392,6 +392,23 @@ def test_pii_surrogates_stay_distinct(spark):
     assert done.count() == 4300 and shown.distinct().count() == 4300 and done.where("attempt > 0").count() > 0
 
 
+def test_pii_secrets_in_quotes_and_capitals(spark):
+    low, up = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    leak = ["Xy9-kk2", "k77zz", "two words", "esc\\\"aped", "Qq1", "пароль", "#!$", "Zz8", "open7"]
+    rows = [(1, f'TOKEN = "{up}"', 1), (2, f'see {low} token = "{low}"', 2), (3, 'password = "Xy9-kk2", api_key: k77zz', 2),
+            (4, "{\"password\": \"two words\", 'pwd' : 'Qq1'}", 2), (5, 'secret = "esc\\"aped" end', 1), (6, "token=пароль pwd=#!$ Token:=Zz8", 3),
+            (7, 'token = "open7', 1), (8, "Secret: Mr. John Smith, token: +1 (209) 555-2713 password: 4111 1111 1111 1111", 3),
+            (9, "the token ring; password: \n secrets = none; pwd=\"\"", 0), (10, "[0-9] pwd=1 pwd=2 pwd=3 pwd=4 pwd=5 pwd=6 pwd=7 pwd=8 pwd=9 pwd=0 pwd=x", 11)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(docs, "k").collect()}
+    assert {i: r["n_entities"] for i, r in got.items()} == {i: n for i, _, n in rows}
+    assert not [v for v in [low, up, "Smith", "555-2713", "1111", *leak] if any(v in r["text"] for r in got.values())]
+    shown = got[1]["text"].removeprefix('TOKEN = "').removesuffix('"')
+    assert len(shown) == 40 and shown == shown.upper() and got[2]["text"] == f'see {shown.lower()} token = "{shown.lower()}"'
+    assert got[3]["text"].startswith('password = "') and got[3]["text"][19:31] == '", api_key: ' and got[9]["text"] == rows[8][1]
+    assert len(set(got[10]["text"].split()[1:])) == 11
+
+
 # --- decontamination ---------------------------------------------------------
 
 def brute_hits(rows, items, n):
