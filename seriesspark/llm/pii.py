@@ -36,7 +36,14 @@ HEX = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
-PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+# A group of a phone number never begins another entity; a further one, after a blank, is no decimal and no word either.
+# A number of country 1 is complete with 10 digits, any other has 15 at most.
+GROUP = rf"(?![ .-](?:{EMAIL}|{HEX}|{CARD}(?![ -]?[0-9]{{4}}(?![0-9]))|{IP}))[ .-]?[0-9]{{2,4}}"
+FURTHER = rf"(?! [0-9]+(?:\.[0-9]|[A-Za-z_@])){GROUP}"
+DONE = rf"(?![0-9])(?<!{'[0-9][ .()-]{0,2}' * 15}[0-9])"
+PHONE = (r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+         rf"|\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{2,4}}\)?(?:{GROUP}(?:{FURTHER}){{1,2}}{DONE}|(?:{GROUP}){{2}}(?:{FURTHER})?{DONE})"
+         r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])")
 # A secret is what follows its name, "=" or ":" and perhaps a quote; a value that is itself an entity is left to that pattern.
 ASSIGN = r"""(?i:password|passwd|pwd|secret|api_key|token)["']?+[ \t]*+[=:]{1,3}+>?+[ \t]*+"""
 _OTHER = f"(?:{EMAIL}|{KEY}|{HEX}|{PHONE}|{CARD}|{IP}|{NAME})"

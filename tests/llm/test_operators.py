@@ -409,6 +409,26 @@ def test_pii_secrets_in_quotes_and_capitals(spark):
     assert len(set(got[10]["text"].split()[1:])) == 11
 
 
+@pytest.mark.parametrize("after", ["190.137.223.204", "4111 1111 1111 1111", "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "123abc@x.org"])
+def test_pii_phone_ends_before_the_next_entity(spark, after):
+    phones = ["+1 (826) 555-4081", "+49 30 1234 5678", "+49 30 1234"]
+    docs = spark.createDataFrame([(i, f"call {p} {after} now") for i, p in enumerate(phones)] + [(i + 10, p) for i, p in enumerate([*phones, after])],
+                                 "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(docs, "k").collect()}
+    for i in range(3):
+        assert got[i]["n_entities"] == 2 and got[i]["text"] == f"call {got[10 + i]['text']} {got[13]['text']} now"
+
+
+def test_pii_phone_ends_before_a_number(spark):
+    rows = [(1, "+1 (826) 555-4081 2024 x", " 2024 x"), (2, "+49 30 1234 5678 2024 x", " 2024 x"), (3, "+49 30 1234 12.50 x", " 12.50 x"),
+            (4, "+33.612.34.56.78", ""), (5, "+7 (495) 123-45-67", ""), (6, "+49 30 12 34.56", "")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    for r in pii.replace_pii(docs, "k").collect():
+        old, tail = next(x[1:] for x in rows if x[0] == r["doc_id"])
+        digits = sum(c.isdigit() for c in old.removesuffix(tail))
+        assert r["n_entities"] == 1 and r["text"].endswith(tail) and sum(a != b for a, b in zip(old, r["text"])) > digits // 2
+
+
 # --- decontamination ---------------------------------------------------------
 
 def brute_hits(rows, items, n):
