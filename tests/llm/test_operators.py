@@ -196,6 +196,26 @@ def test_near_duplicate_chain_and_large_group(spark):
     assert got == want and len(set(got.values())) < 20
 
 
+def test_near_duplicate_tiles_skip_a_common_label(spark, odd_docs, sf_docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", 10)
+    # key 1: a component of 1000 and one straggler; key 2: components of 30 and 25 and 12 of 1; key 3: one component
+    labels = [(1, 0)] * 1000 + [(1, 5000)] + [(2, 0)] * 30 + [(2, 1)] * 25 + [(2, 6000 + i) for i in range(12)] + [(3, 0)] * 40
+    now = spark.createDataFrame([(b, i, lab) for i, (b, lab) in enumerate(labels)], "band bigint, doc_id bigint, label bigint")
+    deal = near_dup.tiling(now)
+    none = [F.lit(1).alias("n"), F.lit(b"").alias("regs"), F.lit(b"").alias("sig")]
+    rows = near_dup.tile_rows(now.join(deal, ["band", "label"]).select("*", *none)).collect()
+    assert Counter(r["band"] for r in rows) == {1: 1000 + 101, 2: 30 * 5 + 25 * 5 + 12 * 8}
+    assert near_dup.unit_count(deal) == max(near_dup.partitions(spark), -(-len(rows) // 40))
+    meet = defaultdict(list)
+    for r in rows:
+        meet[r["band"], r["i"], r["j"]].append((r["doc_id"], r["label"]))
+    met = {(a, b) for v in meet.values() for a, x in v for b, y in v if a < b and x != y}
+    want = {(a, b) for a, (k, x) in enumerate(labels) for b, (m, y) in enumerate(labels) if a < b and k == m and x != y}
+    assert met == want and max(map(len, meet.values())) < 60
+    for docs in (odd_docs, sf_docs):
+        assert multiset(near_dup.near_duplicates(docs, shingle=4).collect()) == multiset(brute_groups(rows_of(docs), 4))
+
+
 def test_registers_and_estimate():
     rng = np.random.default_rng(1)
     draw = lambda n: rng.integers(0, 2 ** 63, n).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
