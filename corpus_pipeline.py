@@ -6,7 +6,8 @@ columns of ``docs``; further columns, also ones named like a measurement, are
 carried through.
 
 Defined cases: a null text has no words and fails the quality rules; rows that
-repeat a ``doc_id`` are one document for near-dedup and one of them stays; a null
+repeat a ``doc_id`` and its text are one document for near-dedup and one of them
+stays, other texts under the same id are documents of their own; a null
 ``doc_id`` is never a duplicate; an empty table passes through empty.
 """
 
@@ -36,11 +37,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    gone = near_dup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    # repeated ids: one row stays; rows without an id are told apart by a number
-    row = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("text"))
-    return left.withColumn("_nth", F.row_number().over(row)).where("_nth = 1").drop("_nth")
+    keyed = _keyed(docs).withColumn(ROW_KEY, F.when(F.col("doc_id").isNotNull(), F.col(ROW_KEY)))
+    group = near_dup.near_duplicates(keyed, key=ROW_KEY, shingle=5, percent=80) \
+        .where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(ROW_KEY), "component_id").distinct()
+    ids = materialize(keyed.select(ROW_KEY, "doc_id").join(group, ROW_KEY).distinct(), "groups")
+    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW_KEY))[ROW_KEY].alias("_first"))
+    gone = ids.join(first, "component_id").where(F.col(ROW_KEY) != F.col("_first")).select(F.col(ROW_KEY).alias("_gone"))
+    left = keyed.join(gone, F.col(ROW_KEY) == F.col("_gone"), "left_anti")
+    # repeated rows: one stays; rows without an id are told apart by a number
+    row = Window.partitionBy(ROW_KEY, F.when(F.col(ROW_KEY).isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(*docs.columns))
+    return left.withColumn("_nth", F.row_number().over(row)).where("_nth = 1").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -550,3 +550,12 @@ def test_pipeline_stages_take_odd_rows(spark, odd_docs, no_docs):
     ids = Counter(r["doc_id"] for r in kept.collect())
     assert ids[6] == 1 and ids[0] == 1 and ids[1] == 0 and ids[None] == 1
     assert sha("") == hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline_near_dedup_keeps_other_texts_of_an_id(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(1, text["a"]), (1, text["b"]), (1, text["b"]), (2, text["a"] + " end"), (2, text["c"]), (0, text["d"]), (3, text["d"]), (None, text["d"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert multiset(kept.collect()) == multiset([(1, text["a"]), (1, text["b"]), (2, text["c"]), (0, text["d"]), (None, text["d"])])
