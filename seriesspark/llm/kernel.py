@@ -121,3 +121,24 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
     return shift + np.arange(total)
+
+
+def word_column(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, member: np.ndarray) -> pa.Array:
+    """The words as a binary column; ``starts`` and ``ends`` are all words of ``data`` by ``member``."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[member[data]])])
+
+
+def coded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Codes of a column's entries and its distinct entries, compared byte by byte."""
+    d = column.dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False), d.dictionary
+
+
+def column_hashes(column: pa.Array) -> np.ndarray:
+    """64-bit hashes of a binary column's entries."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return word_hashes(data[:offsets[-1]], offsets[:-1], offsets[1:])

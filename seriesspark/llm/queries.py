@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, near_dup, pii, quality, substring, token_files, warc_zip
+from . import chat, decontam, divergence, line_dedup, mixing, near_dup, pii, quality, substring, token_files, warc_zip
 from .common import table
 from .oracles import ORACLES  # noqa: F401  (re-exported)
 
@@ -83,6 +83,10 @@ def op10_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_dedup": op2_line_dedup,
@@ -94,4 +98,5 @@ QUERIES = {
     "op8_substring_doubling": op8_substring_doubling,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_benchmark_index": op10_benchmark_index,
+    "op11_source_divergence": op11_source_divergence,
 }
