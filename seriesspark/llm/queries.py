@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, divergence, line_dedup, mixing, near_dup, pii, quality, substring, token_files, warc_zip
+from . import chat, decontam, divergence, line_dedup, mixing, near_dup, packing, pii, quality, substring, token_files, warc_zip, whitening
 from .common import table
 from .oracles import ORACLES  # noqa: F401  (re-exported)
 
@@ -87,6 +87,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_line_dedup": op2_line_dedup,
@@ -99,4 +108,6 @@ QUERIES = {
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_benchmark_index": op10_benchmark_index,
     "op11_source_divergence": op11_source_divergence,
+    "op12_pack_windows": op12_pack_windows,
+    "op13_whitening": op13_whitening,
 }
