@@ -673,7 +673,7 @@ def linear_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesspark.operators.ml import fit, score
     train, test = _canon_split(Tables(spark, sf_dir))
     model = fit(train, CANON_FEATURES, "linear")
-    return score(model, test).select("unique_id", "ds", "y", "prediction")
+    return score(model, test).select("unique_id", "ds", "y", F.round("prediction", 3).alias("prediction"))
 
 
 @query
@@ -687,11 +687,11 @@ def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: 7-step recursive prediction of the linear model from the tail state."""
+    """F16: 7-step recursive prediction of the linear model, folded over each supplier's tail."""
     from seriesspark.operators.ml import fit, recursive_forecast as rf
     t = Tables(spark, sf_dir)
     model = fit(lag_features(spark, sf_dir), CANON_FEATURES, "linear")
-    return rf(model, daily_filled(t), H_DAILY, "D", [1, 2, 3, 7, 14, 30, 360], [7], {14: 7, 30: 14})
+    return round_doubles(rf(model, daily_filled(t), H_DAILY, "D", [1, 2, 3, 7, 14, 30, 360], [7], {14: 7, 30: 14}), 3)
 
 
 @query
@@ -705,7 +705,7 @@ def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _canon_split(Tables(spark, sf_dir))
     path = os.path.join(checkpoint_dir(spark), "models", f"linear-{uuid.uuid4().hex}")
     model = save_and_load(fit(train, CANON_FEATURES, "linear"), path)
-    return score(model, test).select("unique_id", "ds", "y", "prediction")
+    return score(model, test).select("unique_id", "ds", "y", F.round("prediction", 3).alias("prediction"))
 
 
 @query

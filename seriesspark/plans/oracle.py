@@ -739,3 +739,46 @@ SELECT seller_id, count(x) AS n_values, round(greatest(0.0::DOUBLE, min(x) * 0.9
 
 # Sums of naive forecasts are naive forecasts of the sums: the base is coherent, so MinT leaves it.
 ORACLES["mint_shrink"] = "WITH " + HIER + "\nSELECT unique_id, ds, round(\"Naive\", 6) AS \"Naive\" FROM bu"
+
+
+# ---------------------------------------------------------------- linear models by normal equations
+
+def normal_equations(src: str, feats: list[str], y: str) -> str:
+    """CTEs ending in ``beta`` (``b``: intercept, then the coefficients) of least squares on ``src``: the
+    moments as one list of rows, then Gauss-Jordan elimination, a recursion step per column."""
+    k = len(feats) + 1
+    x = ["1.0", *feats]
+    row = lambda i: "[" + ", ".join(f"sum(({x[i]})::DOUBLE * ({e})::DOUBLE)" for e in [*x, y]) + "]"
+    return f"""
+gram AS (SELECT [{', '.join(row(i) for i in range(k))}] AS m FROM {src}),
+elim AS (
+  SELECT 1 AS c, m FROM gram UNION ALL
+  SELECT c + 1, list_transform(m, lambda r, i: CASE WHEN i = c THEN list_transform(r, lambda v: v / r[c])
+                ELSE list_transform(r, lambda v, j: v - r[c] * m[c][j] / m[c][c]) END)
+  FROM elim WHERE c <= {k}),
+beta AS (SELECT list_transform(m, lambda r: r[{k + 1}]) AS b FROM elim WHERE c = {k + 1})"""
+
+
+def _linear(feats: list[str]) -> str:
+    return "b[1] + " + " + ".join(f"b[{i + 2}] * {f}" for i, f in enumerate(feats))
+
+
+_SPLIT_FEATS = "lf AS (" + ORACLES["lag_features"] + f"""),
+lab AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) <= 7 AS is_test FROM lf),
+train AS (SELECT * FROM lab WHERE NOT is_test),""" + normal_equations("train", _LAG_FEATS, "y")
+ORACLES["linear_forecast"] = "WITH RECURSIVE " + _SPLIT_FEATS + f"""
+SELECT unique_id, ds, y, round({_linear(_LAG_FEATS)}, 3) AS prediction FROM lab, beta WHERE is_test"""
+ORACLES["batch_score"] = ORACLES["linear_forecast"]
+
+# The recursion holds each supplier's last 360 values as a list.
+ORACLES["recursive_forecast"] = "WITH RECURSIVE " + DAILY.strip() + ", lf AS (" + ORACLES["lag_features"] + ")," \
+    + normal_equations("lf", _LAG_FEATS, "y") + f""",
+steps AS (
+  SELECT unique_id, 0 AS k, max(ds) AS ds, list(y::DOUBLE ORDER BY ds) AS v, NULL::DOUBLE AS yhat FROM dpanel GROUP BY unique_id
+  UNION ALL
+  SELECT unique_id, k + 1, ds + INTERVAL 1 DAY, list_append(v, p), p FROM (
+    SELECT s.*, {_linear([
+        *[f"v[len(v) - {lag - 1}]" for lag in (1, 2, 3, 7, 14, 30, 360)],
+        "list_sum(v[1:len(v) - 6]) / (len(v) - 6)", "list_sum(v[len(v) - 19:len(v) - 13]) / 7", "list_sum(v[len(v) - 42:len(v) - 29]) / 14"])} AS p
+    FROM steps s, beta) WHERE k < 7)
+SELECT unique_id, ds, round(yhat, 3) AS yhat FROM steps WHERE k > 0"""
