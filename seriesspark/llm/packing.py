@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,87 +44,201 @@ END_ID = 1
 SENTENCE, HARD, WINDOW_COST = 8, 64, 256   # in tokens of padding
 HARD_STEP = 64
 TASK_BYTES = 4 << 20
-SLICE_BYTES = 4 << 20
-CACHE_WORDS = 400_000      # words, of CACHED_BYTES at most, that a worker remembers
-CACHED_BYTES = 64
+SLICE_BYTES = 2 << 20
+CACHE_WORDS, CACHE_BYTES = 600_000, 32 << 20   # parts of words that a worker remembers, and their bytes
+
+
+# Byte classes of the parts that the pre-tokenizer always cuts apart.
+LETTER, DIGIT, SYMBOL, WHOLE = 1, 2, 3, 4
+CLASS = np.full(256, SYMBOL, np.uint8)
+CLASS[K.BLANK] = 0
+CLASS[0x30:0x3A] = DIGIT
+CLASS[0x41:0x5B] = CLASS[0x61:0x7B] = LETTER
+CLASS[0x80:] = WHOLE
+CLASS[ord("'")] = WHOLE          # contractions
+STOP, CLOSE = np.zeros(256, bool), np.zeros(256, bool)
+STOP[list(b".!?")] = True
+CLOSE[list(b"\"')]")] = True
+
+
+class Parts:
+    """The parts of a slice of texts: ``first`` and ``last`` byte limits, and their range per document.
+
+    Runs of letters (ASCII and Latin-1), single digits and runs of symbols are parts; a
+    word with an apostrophe, a ``<|`` or any other character is one ``whole`` part, as it is.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        kind = CLASS[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        lead = lead[(after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
+        odd = kind == WHOLE
+        mark = np.flatnonzero(data[:-1] == ord("<"))
+        odd[mark[data[mark + 1] == ord("|")]] = True
+        odd = np.flatnonzero(odd)
+        begins = offsets[:-1][offsets[:-1] < len(data)]
+        if len(odd):
+            # a word reaches from behind the blank (or document's start) before to the next blank or start
+            blank = np.flatnonzero(kind == 0)
+            edge = np.union1d(np.concatenate([[0], blank + 1, begins]), [len(data)])
+            at = np.unique(edge[np.searchsorted(edge, odd, "right") - 1])
+            stop = np.union1d(np.concatenate([blank, begins]), [len(data)])
+            kind[K.ranges(at, stop[np.searchsorted(stop, at, "right")] - at)] = WHOLE
+        cut = np.empty(len(data) + 1, bool)
+        cut[:1] = cut[-1:] = True
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:-1])
+        cut[:-1] |= kind == DIGIT
+        cut[begins] = True
+        edge = np.flatnonzero(cut)
+        solid = kind[edge[:-1]] != 0
+        self.first, self.last = edge[:-1][solid], edge[1:][solid]
+        self.whole = kind[self.first] == WHOLE
+        self.of_doc = np.searchsorted(self.first, offsets)
+        lower = K.LOWER[data]
+        if len(odd):
+            lower = np.where(kind == WHOLE, data, lower)
+        self.data, self.text = data, lower
+
+    def sentence_ends(self) -> np.ndarray:
+        """Numbers of the parts that end a sentence: a full stop, question or exclamation mark at a word's end, also before a closing quote or bracket, or the last part of a line."""
+        if not len(self.first):
+            return self.first
+        tail = self.data[self.last - 1]
+        closes = CLOSE[tail] & STOP[self.data[np.maximum(self.last - 2, self.first)]]
+        found = np.flatnonzero(STOP[tail] | closes)
+        after = self.last[found]
+        inside = after < len(self.data)
+        found = found[~inside | K.BLANK[self.data[np.minimum(after, len(self.data) - 1)]]]
+        lines = np.searchsorted(self.first, np.flatnonzero(self.data == 10)) - 1
+        found = np.sort(np.concatenate([found, lines[lines >= 0]]), kind="stable")
+        return found[np.diff(found, prepend=-1) > 0]
 
 
 class WordEncoder:
-    """Token ids of whole texts, word by word, with the words seen before looked up.
+    """Token ids of whole texts, part by part, with the parts seen before looked up.
 
-    For tokenizers that drop white space: blanks then always part tokens, so a text's
-    ids are those of its words, one after the other.
+    For tokenizers that lower-case, drop white space and cut letters, digits and symbols
+    apart: a text's ids are those of its parts, one after the other. Plain parts are
+    tokenized many at a time, as the words of one text; a token that closes a word tells
+    where the next part's ids begin. Parts are found again by hash and compared byte by byte.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words and the number of ids of each."""
-        code, words = K.coded(K.word_column(data, starts, ends, K.NOT_BLANK))
-        words = words.to_pylist()
-        new = [w for w in words if w not in self.known]
-        made = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: e.ids for w, e in zip(new, made)}
-        ids = [fresh[w] if w in fresh else self.known[w] for w in words]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-        self.known.update((w, i) for w, i in fresh.items() if len(w) <= CACHED_BYTES)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
-        per_word = lengths[code]
-        return pool[K.ranges((np.cumsum(lengths) - lengths)[code], per_word)], per_word
-
-
-def sentence_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """True for words that end a sentence: a full stop, question or exclamation mark, also before a closing quote or bracket, or the line's last word."""
-    if not len(starts):
-        return np.zeros(0, bool)
-    stop, close = np.zeros(256, bool), np.zeros(256, bool)
-    stop[list(b".!?")] = True
-    close[list(b"\"')]")] = True
-    last, before = data[ends - 1], data[np.maximum(ends - 2, starts)]
-    lines = np.flatnonzero(data == 10)
-    after = np.append(starts[1:], len(data))
-    return stop[last] | (close[last] & stop[before]) | (np.searchsorted(lines, ends) < np.searchsorted(lines, after))
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)     # sorted, and the row of each
+        self.words, self.pool = pa.array([], pa.large_binary()), np.zeros(0, np.int32)
+        self.offsets, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def tokenize(self, words: list[bytes], plain: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words and their numbers, in pieces."""
+        ids, counts = [], []
+        for a in range(0, len(words), 4096):
+            some = words[a:a + 4096]
+            if plain:
+                got = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int32)
+                ends = np.flatnonzero(self.closes[got]) + 1
+                if len(ends) == len(some):
+                    ids.append(got)
+                    counts.append(np.diff(ends, prepend=0))
+                    continue
+            made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, made), np.int64, len(made)))
+            ids.append(np.fromiter(chain.from_iterable(made), np.int32, int(counts[-1].sum())))
+        return ids, counts
+
+    def encode(self, parts: Parts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts and the number of ids before each part and after the last."""
+        if not len(parts.first):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        code, words = K.coded(K.word_column(parts.text, parts.first, parts.last, K.NOT_BLANK))
+        h = K.column_hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        known = np.flatnonzero(self.hashes[at] == h) if len(self.hashes) else np.zeros(0, np.int64)
+        row = np.full(len(words), -1, np.int64)
+        row[known] = self.row[at[known]] if len(known) else row[known]
+        if len(known):
+            same = pc.equal(self.words.take(pa.array(row[known])), words.take(pa.array(known))).to_numpy(zero_copy_only=False)
+            row[known[~same]] = -1
+        whole = np.zeros(len(words), bool)
+        whole[code[parts.whole]] = True
+        new = row < 0
+        order = np.concatenate([np.flatnonzero(new & ~whole), np.flatnonzero(new & whole)])
+        if len(order):
+            fresh, n_plain = words.take(pa.array(order)), int((new & ~whole).sum())
+            listed = fresh.to_pylist()
+            pieces = [self.tokenize(listed[:n_plain], True), self.tokenize(listed[n_plain:], False)]
+            lengths = np.concatenate([x for p in pieces for x in p[1]])
+            row[order] = len(self.words) + np.arange(len(order))
+            self.offsets = np.concatenate([self.offsets, len(self.pool) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.pool = np.concatenate([self.pool, *[x for p in pieces for x in p[0]]])
+            self.words = pa.concat_arrays([self.words, fresh])
+            up = np.argsort(h[order], kind="stable")
+            place = np.searchsorted(self.hashes, h[order][up])
+            self.hashes, self.row = np.insert(self.hashes, place, h[order][up]), np.insert(self.row, place, row[order][up])
+        per_part = self.lengths[row][code]
+        ids = self.pool[K.ranges(self.offsets[row][code], per_part)]
+        upto = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(per_part, out=upto[1:])
+        if len(self.words) > CACHE_WORDS or self.words.nbytes > CACHE_BYTES:
+            self.clear()
+        return ids, upto
 
 
 class Packer:
     """The dynamic programme over a stream of cuts, in ascending order of their places."""
 
     def __init__(self, length: int):
-        self.length, self.powers = length, [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+        self.length, self.powers = length, [1 << k for k in range(length.bit_length()) if 1 << k < length]
         self.place, self.cost, self.parent, self.first = [0], [0], [-1], 0   # of the cuts from number ``first`` on
         self.queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])         # (cost + place, place, number), ascending
-        self.number_at = {0: 0}                                              # cuts of the last ``length`` places
 
-    def add(self, places: list[int], penalties: list[int]) -> None:
-        length, queue, at = self.length, self.queue, self.number_at
-        number, drop = self.first + len(self.place), self.first
-        for p, penalty in zip(places, penalties):
-            while queue[0][1] < p - length:
+    def powers_before(self, places: np.ndarray) -> tuple[list[int], list[int]]:
+        """Numbers of the cuts at a power of two before each new place: ``found[at[j]:at[j + 1]]``."""
+        low = max(0, len(self.place) - self.length - 1)
+        every = np.concatenate([np.asarray(self.place[low:], np.int64), places])
+        at, found = [], []
+        for size in self.powers:
+            i = np.searchsorted(every, places - size)
+            j = np.flatnonzero(every[np.minimum(i, len(every) - 1)] == places - size)
+            at.append(j)
+            found.append(i[j] + self.first + low)
+        at, found = np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *found])
+        order = np.argsort(at, kind="stable")
+        return np.searchsorted(at[order], np.arange(len(places) + 1)).tolist(), found[order].tolist()
+
+    def add(self, places: np.ndarray, penalties: np.ndarray) -> None:
+        places, penalties = np.asarray(places, np.int64), np.asarray(penalties, np.int64)
+        at, found = self.powers_before(places)
+        length, queue, first, costs, parents = self.length, self.queue, self.first, self.cost, self.parent
+        number, fixed = first + len(self.place), length + WINDOW_COST
+        for j, (p, penalty) in enumerate(zip(places.tolist(), penalties.tolist())):
+            least = p - length
+            while queue[0][1] < least:
                 queue.popleft()
             low, _, parent = queue[0]
-            cost = low + length - p
-            for size in self.powers:
-                i = at.get(p - size)
-                if i is not None and self.cost[i - self.first] < cost:
-                    cost, parent = self.cost[i - self.first], i
-            cost += penalty + WINDOW_COST
-            self.place.append(p)
-            self.cost.append(cost)
-            self.parent.append(parent)
+            cost = low + fixed - p
+            for i in found[at[j]:at[j + 1]]:
+                if costs[i - first] + WINDOW_COST < cost:
+                    cost, parent = costs[i - first] + WINDOW_COST, i
+            cost += penalty
+            costs.append(cost)
+            parents.append(parent)
             key = cost + p
             while queue and queue[-1][0] >= key:
                 queue.pop()
             queue.append((key, p, number))
-            at[p] = number
-            while self.place[drop - self.first] < p - length:
-                at.pop(self.place[drop - self.first], None)
-                drop += 1
             number += 1
+        self.place.extend(places.tolist())
 
     def settled(self, last: bool = False) -> list[int]:
         """Places of the cuts that every best way shares, from the last settled one on; all of them if the stream ends here."""
@@ -148,19 +263,30 @@ class Packer:
             way.append(self.parent[way[-1] - f])
         cuts = [self.place[i - f] for i in reversed(way)]
         keep = meet - f
-        for p in self.place[:keep]:
-            self.number_at.pop(p, None)
         self.place, self.cost, self.parent, self.first = self.place[keep:], self.cost[keep:], self.parent[keep:], meet
         self.parent[0] = -1
         return cuts
 
 
-def cuts_of(words_end: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, start: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and penalties of the cuts of a slice that begins at ``start``: ``words_end`` are the places after its words."""
-    inner = np.setdiff1d(words_end[sentence], np.concatenate([doc_ends, doc_ends - 1, [start]]))  # not between the last word and the end id
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One per worker process, so that its tasks share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def cuts_of(sentences: np.ndarray, doc_ends: np.ndarray, start: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and penalties of the cuts of a slice that begins at ``start``: ``sentences`` are the places after its sentences."""
+    nth = np.searchsorted(doc_ends, sentences)
+    # not at a document's start, nor between its last word and the end id
+    keep = (doc_ends[nth] > sentences + 1) & (sentences > np.append(start, doc_ends)[nth]) & (np.diff(sentences, prepend=start) > 0)
+    inner = sentences[keep]
     place = np.concatenate([doc_ends, inner])
     penalty = np.concatenate([np.zeros(len(doc_ends), np.int64), np.full(len(inner), SENTENCE)])
-    order = np.argsort(place)
+    order = np.argsort(place, kind="stable")
     place, penalty = place[order], penalty[order]
     gap = np.diff(place, prepend=start)
     wide = np.flatnonzero(gap > length // 4)
@@ -186,7 +312,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        task, enc, packer, done = TaskContext.get().partitionId(), WordEncoder(tokenizer_path), Packer(length), 0
+        task, enc, packer, done = TaskContext.get().partitionId(), encoder(tokenizer_path), Packer(length), 0
         ids, origin, total = np.zeros(0, np.int32), 0, 0          # tokens from place ``origin`` on
         doc_ids, null, ends = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)   # documents that reach beyond it
         sizes = np.zeros(0, np.int64)
@@ -196,7 +322,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
             cut = np.asarray(cuts, np.int64)
             size = np.diff(cut)
             n, upto = len(size), cut[-1]
-            begin = np.union1d(cut[:-1], ends[(ends > cut[0]) & (ends < upto)])
+            begin = np.sort(np.concatenate([cut[:-1], ends[(ends > cut[0]) & (ends < upto)]]), kind="stable")
+            begin = begin[np.diff(begin, prepend=-1) > 0]
             stop = np.append(begin[1:], upto)
             doc, window = np.searchsorted(ends, begin, "right"), np.searchsorted(cut, begin, "right") - 1
             pieces = pa.StructArray.from_arrays(
@@ -216,20 +343,18 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
         for batch in batches:
             for a, b in K.slices(K.utf8(batch.column("text"))[1], SLICE_BYTES):
                 part = batch.slice(a, b - a)
-                data, offsets = K.utf8(part.column("text"))
-                starts, stops, first = K.words(data, offsets, K.NOT_BLANK)
-                got, per_word = enc.encode(data, starts, stops)
-                upto = np.concatenate([[0], np.cumsum(per_word)])
-                per_doc = np.diff(upto[first]) + 1
-                doc_of_word = np.repeat(np.arange(len(part)), np.diff(first))
+                parts = Parts(*K.utf8(part.column("text")))
+                got, upto = enc.encode(parts)
+                per_doc = np.diff(upto[parts.of_doc]) + 1
                 doc_ends = total + np.cumsum(per_doc)
-                place, penalty = cuts_of(total + upto[1:] + doc_of_word, doc_ends, sentence_ends(data, starts, stops), total, length)
-                ids = np.concatenate([ids, np.insert(got, upto[first[1:]], end_id).astype(np.int32)])
+                sentence = parts.sentence_ends()
+                place, penalty = cuts_of(total + upto[sentence + 1] + np.searchsorted(parts.of_doc, sentence, "right") - 1, doc_ends, total, length)
+                ids = np.concatenate([ids, np.insert(got, upto[parts.of_doc[1:]], end_id)])
                 column = part.column("doc_id")
                 doc_ids = np.concatenate([doc_ids, column.fill_null(0).to_numpy(zero_copy_only=False)])
                 null = np.concatenate([null, column.is_null().to_numpy(zero_copy_only=False)])
                 ends, sizes, total = np.concatenate([ends, doc_ends]), np.concatenate([sizes, per_doc]), int(doc_ends[-1])
-                packer.add(place.tolist(), penalty.tolist())
+                packer.add(place, penalty)
                 cuts = packer.settled()
                 if len(cuts) > 1:
                     yield rows(cuts)
