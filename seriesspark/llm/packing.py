@@ -369,9 +369,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
     d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "_tie") \
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie").drop("_tie")
     packed = materialize(d.mapInArrow(run, SEQUENCE), "sequences")
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    # one row per task, so at most as many as the partitions above: broadcast, or the sequences would be shuffled
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = packed.groupBy("task").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return packed.join(base.select("task", "base"), "task") \
+    return packed.join(F.broadcast(base.select("task", "base")), "task") \
         .select((F.col("seq") + F.col("base")).alias("sequence_id"), "n_tokens", "padded", "ids", "pieces")
 
 
