@@ -87,3 +87,23 @@ def best_model(summary_long: DataFrame, id_col: str, model_col: str = "model",
     return summary_long.groupBy(id_col).agg(
         F.min_by(F.col(model_col), F.struct(F.col(value_col), F.col(model_col))).alias("best_model"),
         F.min(value_col).alias("best_value"))
+
+
+def choose_and_forecast(df: DataFrame, models: dict, metric: str = "mae", cols: Cols = DEFAULT) -> DataFrame:
+    """Model choice over a registry (F12): ``(id, ds, best_model, cv_<metric>, yhat)``.
+
+    ``models`` maps a name to two functions of the history: cross validation ``(id, ds,
+    cutoff, y, <name>)`` and long forecasts ``(id, ds, ..., yhat)`` of all rows. The error is
+    the mean over cutoffs of a series' metric, the choice the smallest, ties by name. A
+    series that no model could be validated on is left out (``forecast.short_series``).
+    """
+    from seriesspark.operators.forecast import forecast_models
+    errors = None
+    for name, (validate, _) in models.items():
+        part = evaluate(validate(df), [name], (metric,), cols, ("cutoff",)).groupBy(cols.id).agg(F.avg(F.col(f"`{name}`")).alias("value"))
+        part = part.withColumn("model", F.lit(name))
+        errors = part if errors is None else errors.unionByName(part)
+    choice = best_model(errors.where(F.col("value").isNotNull()), cols.id)
+    wide = forecast_models(df, {name: forecast for name, (_, forecast) in models.items()}, cols)
+    picked = F.coalesce(*[F.when(F.col("best_model") == name, F.col(f"`{name}`")) for name in models])
+    return wide.join(choice, cols.id).select(cols.id, cols.ds, "best_model", F.col("best_value").alias(f"cv_{metric}"), picked.alias("yhat"))

@@ -204,46 +204,64 @@ def quantile_forecast(df: DataFrame, h: int, freq: str, quantiles=(0.1, 0.5, 0.9
     return out.withColumn("predictions", F.col(f"`{mid}`"))
 
 
+def short_series(df: DataFrame, h: int, n_windows: int, step: int | None = None, cols: Cols = DEFAULT) -> DataFrame:
+    """``(id, n_rows, needed)`` of the series that cross validation leaves out: fewer rows than its earliest cutoff needs."""
+    needed = h + (h if step is None else step) * (n_windows - 1) + 1
+    return df.groupBy(cols.id).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") < needed) \
+        .withColumn("needed", F.lit(needed))
+
+
+def with_cutoffs(ranked: DataFrame, h: int, n_windows: int, step: int) -> DataFrame:
+    """The test rows of all windows, each with ``_win`` and its step ``k`` after the cutoff, from ``_rn`` and ``_n``.
+
+    Cutoff ``i`` lies after row ``_n - h - step * (n_windows - 1 - i)``; a row occurs once per
+    window whose horizon holds it (once, if the step is the horizon).
+    """
+    off = F.col("_rn") - (F.col("_n") - h - step * (n_windows - 1))
+    lo = F.greatest(F.ceil((off - h) / step), F.lit(0)).cast("int")
+    hi = F.least(F.floor((off - 1) / step), F.lit(n_windows - 1)).cast("int")
+    tests = ranked.where((F.col("_n") - h - step * (n_windows - 1) >= 1) & (off >= 1)).where(lo <= hi)
+    return tests.withColumn("_win", F.explode(F.sequence(lo, hi))).withColumn("k", (off - F.col("_win") * step).cast("int"))
+
+
+def positions(df: DataFrame, cols: Cols, freq: str | None = None, block_size: int | None = None) -> DataFrame:
+    """``id, ds, y, _rn, _n``: place and length in the series; from the grid with ``block_size``, so that no series is one task."""
+    if block_size:
+        from seriesspark.functions.frequency import step_index
+        idx = step_index(F.col(cols.ds), freq)
+        span = df.groupBy(cols.id).agg(F.min(idx).alias("_lo"), F.count(F.lit(1)).alias("_n"))
+        return df.select(cols.id, cols.ds, cols.y).join(span, cols.id, "inner") \
+            .select(cols.id, cols.ds, cols.y, (idx - F.col("_lo") + 1).alias("_rn"), "_n")
+    n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
+    return df.select(cols.id, cols.ds, cols.y, F.row_number().over(Window.partitionBy(cols.id).orderBy(cols.ds)).alias("_rn"), n.alias("_n"))
+
+
 def cross_validation(df: DataFrame, h: int, n_windows: int, freq: str, step: int | None = None,
                      models=CLOSED_FORM, season_length: int = 1, cols: Cols = DEFAULT,
                      block_size: int | None = None) -> DataFrame:
     """Rolling-origin cross validation without refit (W14), as one job.
 
-    Cutoffs ``c_i = n - h - step*(n_windows-1-i)``; every row is copied to
-    each window whose history it belongs to (at most ``n_windows`` copies),
-    each (series, window) is reduced to its summary row as in
-    ``closed_form_forecast``, and the horizon is matched to the actuals after
-    the cutoff. Output ``(id, ds, cutoff, y, <model>...)``. Series whose
-    first cutoff precedes row 1 are excluded. With ``block_size`` (regular
-    grid) positions come from the grid index and one aggregate per series,
-    and the per-window summaries use the time-blocked window.
+    Cutoffs ``c_i = n - h - step*(n_windows-1-i)``. A closed form's forecast of a test row
+    ``k`` steps after a cutoff is a value of the history at a fixed distance (``k`` for
+    naive, the next multiple of the season for seasonal naive), so one window pass
+    reads it by lags and no history is copied. Output ``(id, ds, cutoff, y, <model>...)``.
+    Series whose first cutoff precedes row 1 are left out (``short_series`` lists them). With
+    ``block_size`` (regular grid) positions come from the grid index and one aggregate
+    per series, and the lags from time blocks with a halo.
     """
-    step = h if step is None else step
+    step, m = h if step is None else step, season_length
+    cycles = -(-h // m)
+
+    def lags(w):
+        return {**{f"_y{k}": F.lag(cols.y, k).over(w) for k in range(1, h + 1)}, **{f"_c{k}": F.lag(cols.ds, k).over(w) for k in range(1, h + 1)},
+                **{f"_s{i}": F.lag(cols.y, i * m).over(w) for i in range(1, cycles + 1)}}
+
     if block_size:
-        from seriesspark.functions.frequency import step_index
-        idx = step_index(F.col(cols.ds), freq)
-        span = df.groupBy(cols.id).agg(F.min(idx).alias("_lo"), F.count(F.lit(1)).alias("_n"))
-        ranked = df.select(cols.id, cols.ds, cols.y).join(span, cols.id, "inner").select(
-            cols.id, cols.ds, cols.y, (idx - F.col("_lo") + 1).alias("_rn"), "_n")
+        from seriesspark.operators.features import blocked_window
+        staged = blocked_window(positions(df, cols, freq, block_size), cols, freq, block_size, max(h, cycles * m), lags)
     else:
-        w = Window.partitionBy(cols.id).orderBy(cols.ds)
-        n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
-        ranked = df.select(cols.id, cols.ds, cols.y, F.row_number().over(w).alias("_rn"), n.alias("_n"))
-    ranked = ranked.filter(F.col("_n") - h - F.lit(step * (n_windows - 1)) >= 1)
-    cutoff_rn = lambda i: F.col("_n") - h - F.lit(step) * (F.lit(n_windows - 1) - i)
-    # history copies: window i holds rows with rn <= c_i
-    hist = (ranked.withColumn("_win", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))))
-            .filter(F.col("_rn") <= cutoff_rn(F.col("_win"))))
-    key = Cols("_key", cols.ds, cols.y)
-    hist = hist.withColumn("_key", F.struct(F.col(cols.id).alias("id"), F.col("_win").alias("win")))
-    summary = _summary(hist.select("_key", cols.ds, cols.y), key, season_length, block_size, freq)
-    grid = horizon_grid(summary, h, freq, key)
-    proj = [F.col("_key.id").alias(cols.id), F.col("_key.win").alias("_win"), F.col(cols.ds),
-            F.col("_last_ds").alias("cutoff")]
-    for model in models:
-        point, _ = _model_columns(model, season_length, cols.y)
-        proj.append(point.alias(model))
-    fc = grid.select(*proj)
-    actual = ranked.select(cols.id, cols.ds, cols.y)
-    return (fc.join(actual, [cols.id, cols.ds], "inner")
-            .select(cols.id, cols.ds, "cutoff", cols.y, *models))
+        staged = positions(df, cols).select("*", *[c.alias(n) for n, c in lags(Window.partitionBy(cols.id).orderBy(cols.ds)).items()])
+    tests = with_cutoffs(staged, h, n_windows, step)
+    pick = lambda prefix, size, place: F.array(*[F.col(f"{prefix}{i}") for i in range(1, size + 1)])[place - 1]
+    values = {"Naive": pick("_y", h, F.col("k")), "SeasonalNaive": pick("_s", cycles, F.ceil(F.col("k") / m).cast("int"))}
+    return tests.select(cols.id, cols.ds, pick("_c", h, F.col("k")).alias("cutoff"), cols.y, *[values[name].alias(name) for name in models])

@@ -9,9 +9,10 @@ receives every bottom series) is summed map-side first.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seriesspark.functions.contracts import DEFAULT, Cols
 from seriesspark.session import cut_lineage
@@ -86,65 +87,176 @@ def coherence_gap(values: DataFrame, S: DataFrame, value_col: str, cols: Cols =
 
 # ------------------------------------------------------------ MinT with shrinkage
 
-TILE = 256  # nodes per tile of the residual moments
+TILE = 256      # nodes per tile of the residual moments
+STAMPS = 4096   # stamps of a tile
+BLOCK = 256     # upper nodes of a block of the preconditioner
 
 
 def shrinkage(residuals: DataFrame, cols: Cols = DEFAULT, value_col: str = "resid") -> float:
     """Shrinkage intensity of the residual correlations (D29, Schafer and Strimmer 2005), in [0, 1].
 
     Sum of the variances of the off-diagonal correlations over the sum of their
-    squares. Nodes are dealt into tiles; a pair of tiles is one group that
-    returns two numbers, so no task sees more than two tiles of series and no
-    k x k matrix exists anywhere.
+    squares. A node's standardised residuals are arrays of some STAMPS stamps; nodes are
+    dealt into tiles. A group multiplies two tiles over one run of stamps, a second
+    one adds up a pair's runs and returns two numbers, so no task sees more than two
+    tiles of one run and no k x k matrix exists anywhere.
     """
     r = residuals.where(F.col(value_col).isNotNull())
     stats = r.groupBy(cols.id).agg(F.avg(value_col).alias("_m"), F.greatest(F.stddev_samp(value_col), F.lit(1e-4)).alias("_sd"))
-    k = stats.count()
-    tiles = max(1, -(-k // TILE))
+    k, n = stats.count(), r.select(cols.ds).distinct().count()
+    tiles, runs = max(1, -(-k // TILE)), max(1, -(-n // STAMPS))
     z = r.join(stats, cols.id).select(
-        F.pmod(F.xxhash64(cols.id), F.lit(tiles)).cast("int").alias("t"), F.xxhash64(cols.id).alias("node"),
-        F.xxhash64(cols.ds).alias("ds"), ((F.col(value_col) - F.col("_m")) / F.coalesce("_sd", F.lit(1.0))).alias("z"))
+        F.pmod(F.xxhash64(cols.id), F.lit(tiles)).cast("int").alias("t"), F.col(cols.id).alias("node"), F.xxhash64(cols.ds).alias("ds"),
+        ((F.col(value_col) - F.col("_m")) / F.coalesce("_sd", F.lit(1.0))).alias("z"))
+    z = z.groupBy("t", "node", F.pmod("ds", F.lit(runs)).cast("int").alias("run")).agg(F.collect_list("ds").alias("ds"), F.collect_list("z").alias("z"))
     z = z.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    z = z.select(F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "node", "ds", "z")
-
-    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        time, times = pd.factorize(pdf["ds"])
-
-        def dense(tile: int) -> tuple[np.ndarray, np.ndarray]:
-            own = (pdf["t"] == tile).to_numpy()
-            code, names = pd.factorize(pdf["node"].to_numpy()[own])
-            X, M = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
-            X[time[own], code], M[time[own], code] = pdf["z"].to_numpy()[own], 1.0
-            return X, M
-        (A, MA), (B, MB) = dense(i), dense(j)
-        n = np.maximum(MA.T @ MB, 2)
-        w, w2 = A.T @ B, (A * A).T @ (B * B)
+    z = z.select(F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "node", "run", "ds", "z")
+
+    def products(table: pa.Table) -> pa.Table:
+        """Counts, products and products of squares of the nodes of two tiles over one run."""
+        table = table.combine_chunks().sort_by("node")
+        t, (i, j) = table.column("t").to_numpy(), (table.column(c)[0].as_py() for c in "ij")
+        ds, values = (table.column(c).combine_chunks() for c in ("ds", "z"))
+        row = np.repeat(np.arange(len(table)), np.diff(np.asarray(ds.offsets)))
+        stamps, at = np.unique(ds.flatten().to_numpy(), return_inverse=True)
+        Z, M = np.zeros((len(stamps), len(table))), np.zeros((len(stamps), len(table)))
+        Z[at, row], M[at, row] = values.flatten().to_numpy(), 1.0
+        A, B = t == i, t == j
+        sums = [M[:, A].T @ M[:, B], Z[:, A].T @ Z[:, B], (Z[:, A] ** 2).T @ (Z[:, B] ** 2)]
+        names = np.array(table.column("node").to_pylist(), object)
+        return pa.table({"i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "a": [names[A].astype(str).tolist()], "b": [names[B].astype(str).tolist()],
+                         **{c: [x.tobytes()] for c, x in zip(("n", "w", "w2"), sums)}})
+
+    def moments(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        names = [sorted({x for r in rows for x in r[c]}) for c in "ab"]
+        n, w, w2 = (np.zeros((len(names[0]), len(names[1]))) for _ in range(3))
+        for r in rows:  # a run lacks the nodes without a value in it
+            place = np.ix_(np.searchsorted(names[0], r["a"]), np.searchsorted(names[1], r["b"]))
+            for total, c in ((n, "n"), (w, "w"), (w2, "w2")):
+                total[place] += np.frombuffer(r[c]).reshape(len(r["a"]), len(r["b"]))
+        n = np.maximum(n, 2)
         var, sq = n / (n - 1) ** 3 * (w2 - w ** 2 / n), (w / (n - 1)) ** 2
-        if i == j:
+        own = rows[0]["i"] == rows[0]["j"]
+        if own:
             np.fill_diagonal(var, 0.0)
             np.fill_diagonal(sq, 0.0)
-        times_counted = 1.0 if i == j else 2.0
-        return pd.DataFrame({"var": [times_counted * var.sum()], "sq": [times_counted * sq.sum()]})
+        times = 1.0 if own else 2.0
+        return pa.table({"var": [times * float(var.sum())], "sq": [times * float(sq.sum())]})
 
-    var, sq = z.groupBy("i", "j").applyInPandas(moments, "var double, sq double").agg(F.sum("var"), F.sum("sq")).first()
+    parts = z.groupBy("i", "j", "run").applyInArrow(products, "i int, j int, a array<string>, b array<string>, n binary, w binary, w2 binary")
+    var, sq = parts.groupBy("i", "j").applyInArrow(moments, "var double, sq double").agg(F.sum("var"), F.sum("sq")).first()
     return float(min(1.0, max(0.0, var / sq))) if sq else 0.0
 
 
-def mint_reconcile(base: DataFrame, residuals: DataFrame, S: DataFrame, value_cols: list[str], cols: Cols = DEFAULT,
-                   value_col: str = "resid", tolerance: float = 1e-10, max_rounds: int = 500) -> DataFrame:
-    """MinT-reconciled forecasts of every node with the shrinkage covariance.
+class _Constraints:
+    """The system ``U' W U z = U' y`` over the upper nodes, as distributed rows.
 
-    With ``W = a D + (1 - a) X'X / (n - 1)`` (``X`` the centred residuals, ``D`` their
-    variances, ``a`` the shrinkage, floored at 1e-6 so that W is regular) and ``U``
-    the constraints "node minus the sum of its bottoms", the reconciled forecasts
-    are ``y - W U z`` with ``(U' W U) z = U' y``. The system is solved by
-    preconditioned conjugate gradients whose every product is a join and a grouped
-    sum over distributed rows: no matrix is formed and the number of nodes is not
-    limited. One solve per forecast stamp, all in the same passes; what reaches the
-    driver are a few sums per stamp and round. Coherent forecasts come back as they
-    are. Raises when ``max_rounds`` do not reach the tolerance.
+    ``W = a D + c X'X`` with the centred residuals ``X`` and their variances ``D``; ``U`` holds
+    "node minus the sum of its bottoms". As ``X U`` are the residuals' own violations,
+    summed once, the system needs rows of upper nodes only: ``M = U' D U`` by pairs of
+    nodes that share bottoms, and ``XU`` by node and stamp.
     """
+
+    def __init__(self, A: DataFrame, D: DataFrame, X: DataFrame, a: float, c: float, names: list[str]):
+        self.a, self.c, self.names = a, c, names
+        upper = A.select("a").distinct()
+        m = upper.count()
+        self.blocks = max(1, -(-m // BLOCK))
+        block = F.pmod(F.xxhash64("a"), F.lit(self.blocks)).cast("int").alias("block")
+        self.upper = upper.select("a", block)
+        below = A.join(D, A["b"] == D["node"]).select("a", "b", "weight", "d")
+        other = A.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("weight").alias("w2"))
+        shared = below.join(other, F.col("b") == F.col("b2")).groupBy("a", "a2").agg(F.sum(F.col("weight") * F.col("w2") * F.col("d")).alias("v"))
+        own = upper.join(D, F.col("a") == F.col("node")).select("a", F.col("a").alias("a2"), F.col("d").alias("v"))
+        self.M = cut_lineage(shared.unionByName(own).groupBy("a", "a2").agg(F.sum("v").alias("v")))
+        part = X.join(upper, F.col("node") == F.col("a")).select("a", "t", "x")
+        sums = A.join(X, A["b"] == X["node"]).groupBy("a", "t").agg((-F.sum(F.col("weight") * F.col("x"))).alias("x"))
+        self.XU = cut_lineage(part.unionByName(sums).groupBy("a", "t").agg(F.sum("x").alias("x")))
+        self.diagonal = cut_lineage(self._diagonal_blocks())
+
+    def _diagonal_blocks(self) -> DataFrame:
+        """``block, a, a2, v``: the system's entries inside each block of upper nodes."""
+        def gram(table: pa.Table) -> pa.Table:
+            names, row = np.unique(np.array(table.column("a").to_pylist(), object).astype(str), return_inverse=True)
+            stamps, at = np.unique(table.column("t").to_numpy(), return_inverse=True)
+            Z = np.zeros((len(stamps), len(names)))
+            Z[at, row] = table.column("x").to_numpy()
+            k = len(names)
+            return pa.table({"block": pa.array([table.column("block")[0].as_py()] * k * k, pa.int32()), "a": pa.array(np.repeat(names, k), pa.string()),
+                             "a2": pa.array(np.tile(names, k), pa.string()), "v": (Z.T @ Z).reshape(-1)})
+        runs = max(1, -(-self.XU.select("t").distinct().count() // STAMPS))
+        rows = self.XU.join(self.upper, "a").select("block", F.col("a").cast("string").alias("a"), F.xxhash64("t").alias("t"), "x", F.pmod(F.xxhash64("t"), F.lit(runs)).alias("run"))
+        dense = rows.groupBy("block", "run").applyInArrow(gram, "block int, a string, a2 string, v double").select("block", "a", "a2", (F.lit(self.c) * F.col("v")).alias("v"))
+        second = self.upper.select(F.col("a").alias("a2"), F.col("block").alias("block2"))
+        sparse = self.M.join(self.upper, "a").join(second, "a2").where("block = block2") \
+            .select("block", F.col("a").cast("string"), F.col("a2").cast("string"), (F.lit(self.a) * F.col("v")).alias("v"))
+        return dense.unionByName(sparse).groupBy("block", "a", "a2").agg(F.sum("v").alias("v"))
+
+    def per_stamp(self, v: DataFrame, prefix: str) -> DataFrame:
+        """``X U v`` by stamp."""
+        return self.XU.join(v, "a").groupBy("t").agg(*[F.sum(F.col("x") * F.col(prefix + c)).alias(c) for c in self.names])
+
+    def times_p(self, state: DataFrame) -> DataFrame:
+        """``state`` with ``q = U' W U p``."""
+        p = state.select("a", *[f"p{c}" for c in self.names])
+        back = self.XU.join(self.per_stamp(p, "p"), "t").groupBy("a").agg(*[(F.lit(self.c) * F.sum(F.col("x") * F.col(c))).alias(f"_b{c}") for c in self.names])
+        near = self.M.join(p.withColumnRenamed("a", "a2"), "a2").groupBy("a").agg(*[(F.lit(self.a) * F.sum(F.col("v") * F.col(f"p{c}"))).alias(f"_m{c}") for c in self.names])
+        return state.join(back, "a", "left").join(near, "a", "left").select(
+            *state.columns, *[(F.coalesce(f"_b{c}", F.lit(0.0)) + F.coalesce(f"_m{c}", F.lit(0.0))).alias(f"q{c}") for c in self.names])
+
+    def precondition(self, state: DataFrame) -> DataFrame:
+        """``state`` with ``h``, the solution of each diagonal block for the residuals ``r``."""
+        names = self.names
+
+        def solve(rows: pa.Table, entries: pa.Table) -> pa.Table:
+            order = np.argsort(np.array(rows.column("a").cast(pa.string()).to_pylist()))
+            rows = rows.take(pa.array(order))
+            keys = np.array(rows.column("a").cast(pa.string()).to_pylist())
+            K = np.zeros((len(keys), len(keys)))
+            i, j = (np.searchsorted(keys, np.array(entries.column(c).to_pylist(), dtype=keys.dtype)) for c in ("a", "a2"))
+            K[i, j] = entries.column("v").to_numpy()
+            h = np.linalg.solve(K, np.column_stack([rows.column(f"r{c}").to_numpy() for c in names]))
+            for k, c in enumerate(names):
+                rows = rows.append_column(f"h{c}", pa.array(h[:, k]))
+            return rows
+
+        out = StructType([*state.schema.fields, *[StructField(f"h{c}", DoubleType()) for c in names]])
+        return state.groupBy("block").cogroup(self.diagonal.groupBy("block")).applyInArrow(solve, out)
+
+    def solve(self, rhs: DataFrame, size: list[float], tolerance: float, max_rounds: int) -> tuple[DataFrame, int]:
+        """``a, z`` and the rounds it took. ``rhs`` has ``a`` and the names; a column is done once its residual is below ``tolerance`` times ``size``.
+
+        Conjugate gradients for all columns at once; with up to BLOCK upper nodes the
+        preconditioner is the inverse and one round does it.
+        """
+        names = self.names
+        dots = lambda df, x, y: [v or 0.0 for v in df.agg(*[F.sum(F.col(x + c) * F.col(y + c)) for c in names]).first()]
+        state = rhs.join(self.upper, "a").select("a", "block", *[F.col(c).alias(f"r{c}") for c in names], *[F.lit(0.0).alias(f"z{c}") for c in names])
+        state = cut_lineage(self.precondition(state).select("*", *[F.col(f"h{c}").alias(f"p{c}") for c in names]).drop(*[f"h{c}" for c in names]))
+        rounds, rr = 0, dots(state, "r", "r")
+        rh = None
+        while not all(q <= tolerance ** 2 * max(s, 1e-30) for q, s in zip(rr, size)):
+            if rounds == max_rounds:
+                raise RuntimeError(f"MinT did not converge in {max_rounds} rounds")
+            if rh is None:
+                rh = dots(state, "r", "p")
+            state = cut_lineage(self.times_p(state))
+            alpha = [x / w if w else 0.0 for x, w in zip(rh, dots(state, "p", "q"))]
+            step = state.select("a", "block", *[(F.col(f"r{c}") - F.lit(f) * F.col(f"q{c}")).alias(f"r{c}") for c, f in zip(names, alpha)],
+                                *[(F.col(f"z{c}") + F.lit(f) * F.col(f"p{c}")).alias(f"z{c}") for c, f in zip(names, alpha)], *[f"p{c}" for c in names])
+            state = cut_lineage(self.precondition(step))
+            sums = dots(state, "r", "r"), dots(state, "r", "h")
+            beta = [x / w if w else 0.0 for x, w in zip(sums[1], rh)]
+            state = state.select("a", "block", *[f"r{c}" for c in names], *[f"z{c}" for c in names],
+                                 *[(F.col(f"h{c}") + F.lit(f) * F.col(f"p{c}")).alias(f"p{c}") for c, f in zip(names, beta)])
+            (rr, rh), rounds = sums, rounds + 1
+        return state.select("a", *[F.col(f"z{c}").alias(c) for c in names]), rounds
+
+
+def mint_solve(base: DataFrame, residuals: DataFrame, S: DataFrame, value_cols: list[str], cols: Cols = DEFAULT,
+               value_col: str = "resid", tolerance: float = 1e-10, max_rounds: int = 500) -> tuple[DataFrame, int]:
+    """``mint_reconcile`` and the rounds of its solver."""
     stamps = [r[0] for r in base.select(cols.ds).distinct().orderBy(cols.ds).collect()]  # the horizon
     names = [f"_v{i}" for i in range(len(stamps) * len(value_cols))]
     y = cut_lineage(base.groupBy(F.col(cols.id).alias("node")).agg(*[
@@ -157,63 +269,37 @@ def mint_reconcile(base: DataFrame, residuals: DataFrame, S: DataFrame, value_co
     X = cut_lineage(r.join(mean, "node").select("node", "t", (F.col("r") - F.col("m")).alias("x")))
     n = X.select("t").distinct().count()
     a = max(1e-6, shrinkage(residuals, cols, value_col))
+    c = (1 - a) / max(n - 1, 1)
     D = cut_lineage(y.select("node").join(X.groupBy("node").agg((F.sum(F.col("x") * F.col("x")) / max(n - 1, 1)).alias("d")), "node", "left")
                     .select("node", F.greatest(F.coalesce("d", F.lit(0.0)), F.lit(1e-8)).alias("d")))
-
-    def constraints(v: DataFrame) -> DataFrame:
-        """``U' v``: each upper node's value less the sum of its bottoms."""
-        below = A.join(v, A["b"] == v["node"]).groupBy("a").agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"_s{c}") for c in names])
-        return v.join(below, v["node"] == below["a"]).select("node", *[(F.col(c) - F.col(f"_s{c}")).alias(c) for c in names])
-
-    def spread(z: DataFrame) -> DataFrame:
-        """``U z`` over all nodes."""
-        down = A.join(z, A["a"] == z["node"]).groupBy(F.col("b").alias("node")).agg(*[(-F.sum(F.col("weight") * F.col(c))).alias(c) for c in names])
-        return z.select("node", *names).unionByName(down)
-
-    def weigh(v: DataFrame) -> DataFrame:
-        """``W v``."""
-        per_t = X.join(v, "node").groupBy("t").agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in names])
-        back = X.join(per_t, "t").groupBy("node").agg(*[F.sum(F.col("x") * F.col(c)).alias(f"_b{c}") for c in names])
-        return D.join(v, "node").join(back, "node", "left").select("node", *[
-            (F.lit(a) * F.col("d") * F.col(c) + F.lit((1 - a) / max(n - 1, 1)) * F.coalesce(f"_b{c}", F.lit(0.0))).alias(c) for c in names])
-
-    def dot(x: DataFrame, z: DataFrame) -> list[float]:
-        j = x.join(z.toDF("_n", *[f"_z{c}" for c in names]), F.col("node") == F.col("_n"))
-        return [v or 0.0 for v in j.agg(*[F.sum(F.col(c) * F.col(f"_z{c}")) for c in names]).first()]
-
-    def add(x: DataFrame, z: DataFrame, factors: list[float]) -> DataFrame:
-        """``x + factor z``, a factor per column."""
-        j = x.join(z.toDF("_n", *[f"_z{c}" for c in names]), F.col("node") == F.col("_n"))
-        return j.select("node", *[(F.col(c) + F.lit(f) * F.col(f"_z{c}")).alias(c) for c, f in zip(names, factors)])
-
-    upper = A.select("a").distinct()
-    scale = D.join(upper, D["node"] == upper["a"]).select("node", "d").join(
-        A.join(D, A["b"] == D["node"]).groupBy(F.col("a").alias("_a")).agg(F.sum(F.col("weight") * F.col("weight") * F.col("d")).alias("s")),
-        F.col("node") == F.col("_a")).select(F.col("node").alias("_k"), (F.col("d") + F.col("s")).alias("scale"))
-    scale = cut_lineage(scale)
-
-    def precondition(x: DataFrame) -> DataFrame:
-        return x.join(scale, F.col("node") == F.col("_k")).select("node", *[(F.col(c) / F.col("scale")).alias(c) for c in names])
-
-    res = cut_lineage(constraints(y))
-    z = res.select("node", *[F.lit(0.0).alias(c) for c in names])
-    p = h = cut_lineage(precondition(res))
-    rh, size = dot(res, h), dot(y, y)
-    done = lambda: all(q <= tolerance ** 2 * max(s, 1e-30) for q, s in zip(dot(res, res), size))
-    rounds = 0
-    while not done():
-        if rounds == max_rounds:
-            raise RuntimeError(f"MinT did not converge in {max_rounds} rounds")
-        q = cut_lineage(constraints(weigh(spread(p))))
-        alpha = [x / w if w else 0.0 for x, w in zip(rh, dot(p, q))]
-        z = cut_lineage(add(z, p, alpha))
-        res = cut_lineage(add(res, q, [-x for x in alpha]))
-        h = precondition(res)
-        new = dot(res, h)
-        p = cut_lineage(add(h, p, [x / w if w else 0.0 for x, w in zip(new, rh)]))
-        rh, rounds = new, rounds + 1
-    out = add(y, weigh(spread(z)), [-1.0] * len(names)) if rounds else y
+    system = _Constraints(A, D, X, a, c, names)
+    below = A.join(y, A["b"] == y["node"]).groupBy("a").agg(*[F.sum(F.col("weight") * F.col(v)).alias(f"_s{v}") for v in names])
+    rhs = y.join(below, y["node"] == below["a"]).select("a", *[(F.col(v) - F.col(f"_s{v}")).alias(v) for v in names])
+    size = [v or 0.0 for v in y.agg(*[F.sum(F.col(v) * F.col(v)) for v in names]).first()]
+    z, rounds = system.solve(rhs, size, tolerance, max_rounds)
+    # y - W U z: U z by node, X U z by stamp
+    down = A.join(z, "a").groupBy(F.col("b").alias("node")).agg(*[(-F.sum(F.col("weight") * F.col(v))).alias(v) for v in names])
+    spread = z.withColumnRenamed("a", "node").unionByName(down).toDF("node", *[f"_u{v}" for v in names])
+    back = X.join(system.per_stamp(z, ""), "t").groupBy("node").agg(*[F.sum(F.col("x") * F.col(v)).alias(f"_b{v}") for v in names])
+    out = y.join(D, "node").join(spread, "node", "left").join(back, "node", "left").select("node", *[
+        (F.col(v) - F.lit(a) * F.col("d") * F.coalesce(f"_u{v}", F.lit(0.0)) - F.lit(c) * F.coalesce(f"_b{v}", F.lit(0.0))).alias(v) for v in names])
     per_stamp = F.array(*[F.struct(F.lit(s).alias("ds"), *[F.col(names[i * len(value_cols) + j]).alias(v) for j, v in enumerate(value_cols)])
                           for i, s in enumerate(stamps)])
     return out.select(F.col("node").alias(cols.id), F.explode(per_stamp).alias("_f")) \
-        .select(cols.id, F.col("_f.ds").cast(base.schema[cols.ds].dataType).alias(cols.ds), *[F.col(f"_f.{v}").alias(v) for v in value_cols])
+        .select(cols.id, F.col("_f.ds").cast(base.schema[cols.ds].dataType).alias(cols.ds), *[F.col(f"_f.{v}").alias(v) for v in value_cols]), rounds
+
+
+def mint_reconcile(base: DataFrame, residuals: DataFrame, S: DataFrame, value_cols: list[str], cols: Cols = DEFAULT,
+                   value_col: str = "resid", tolerance: float = 1e-10, max_rounds: int = 500) -> DataFrame:
+    """MinT-reconciled forecasts of every node with the shrinkage covariance.
+
+    With ``W = a D + (1 - a) X'X / (n - 1)`` (``X`` the centred residuals, ``D`` their
+    variances, ``a`` the shrinkage, floored at 1e-6 so that W is regular) and ``U``
+    the constraints "node minus the sum of its bottoms", the reconciled forecasts
+    are ``y - W U z`` with ``(U' W U) z = U' y``. The system lives on the upper nodes;
+    it is solved by conjugate gradients preconditioned with its diagonal blocks, whose
+    products are joins and grouped sums over distributed rows: the number of nodes is
+    not limited. One solve for all forecast stamps; what reaches the driver are a few
+    sums per stamp and round. Raises when ``max_rounds`` do not reach the tolerance.
+    """
+    return mint_solve(base, residuals, S, value_cols, cols, value_col, tolerance, max_rounds)[0]

@@ -512,6 +512,30 @@ def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(summarize(ev, ["Naive", "SeasonalNaive"]))
 
 
+@query
+def cv_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling-origin CV of Holt-Winters and ADIDA from the fold's state at each cutoff, no refit."""
+    from seriesspark.operators.smoothing import smoothing_cv
+    panel = _seller_y(Tables(spark, sf_dir))
+    hw, ad = (smoothing_cv(panel, H_SELLER, N_WINDOWS, m, H_SELLER, M_SELLER, SELLER) for m in ("HoltWinters", "ADIDA"))
+    return round_doubles(hw.join(ad.drop("revenue"), ["seller_id", "month", "cutoff"]))
+
+
+@query
+def cv_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling-origin CV of a linear model on the last value, folded from each cutoff's state."""
+    from seriesspark.operators.ml import linear_cross_validation
+    cv = linear_cross_validation(daily_filled(Tables(spark, sf_dir)), H_DAILY, N_WINDOWS, "D", [1])
+    return round_doubles(cv, 3)
+
+
+@query
+def cv_short_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series that cross validation leaves out, with the rows they would need."""
+    from seriesspark.operators.forecast import short_series
+    return short_series(b.daily_panel(Tables(spark, sf_dir)), H_DAILY, 76)
+
+
 @query
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """per seller the model with the lowest CV MAE, refit on all rows and forecast."""
@@ -528,6 +552,28 @@ def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(out.select("seller_id", "month", "best_model", F.col("best_value").alias("cv_mae"), "yhat"))
 
 
+def registry(h: int, freq: str, m: int, cols: Cols) -> dict:
+    """Per model name its cross validation and its forecast, each a function of the history."""
+    from seriesspark.operators.forecast import closed_form_forecast, cross_validation, to_long
+    from seriesspark.operators.smoothing import adida as ad, holt_winters as hw, smoothing_cv
+
+    def closed(name):
+        return (lambda df: cross_validation(df, h, N_WINDOWS, freq, h, (name,), m, cols),
+                lambda df: to_long(closed_form_forecast(df, h, freq, (name,), m, cols=cols), (name,), cols))
+
+    return {"Naive": closed("Naive"), "SeasonalNaive": closed("SeasonalNaive"),
+            "HoltWinters": (lambda df: smoothing_cv(df, h, N_WINDOWS, "HoltWinters", h, m, cols), lambda df: hw(df, h, freq, m, cols)),
+            "ADIDA": (lambda df: smoothing_cv(df, h, N_WINDOWS, "ADIDA", h, m, cols), lambda df: ad(df, h, freq, cols))}
+
+
+@query
+def best_model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12 over all four models: choice by CV MAE, refit and forecast in one plan."""
+    from seriesspark.operators.evaluation import choose_and_forecast
+    models = registry(H_SELLER, "MS", M_SELLER, SELLER)
+    return round_doubles(choose_and_forecast(_seller_y(Tables(spark, sf_dir)), models, "mae", SELLER), 4)
+
+
 # ------------------------------------------------------------ hierarchy
 
 H_DAILY = 7
@@ -541,7 +587,7 @@ def _hierarchy(t: Tables):
 
 @query
 def hier_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total / region / nation / supplier series from one GROUPING SETS aggregate."""
+    """Total / region / nation / supplier series as a chained rollup."""
     Y, _ = _hierarchy(Tables(spark, sf_dir))
     return Y
 
@@ -567,28 +613,30 @@ def bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bu(_bottom_naive(t), S, ["Naive"])
 
 
+def _mint(t: Tables):
+    """ADIDA forecasts of every node, their in-sample errors and the MinT-reconciled forecasts."""
+    from seriesspark.operators.hierarchy import mint_reconcile
+    from seriesspark.operators.smoothing import adida as ad, adida_fitted
+    Y, S = _hierarchy(t)
+    Y = Y.select("unique_id", "ds", "y")
+    base = ad(Y, H_DAILY, "D").select("unique_id", "ds", F.col("yhat").alias("ADIDA"))
+    resid = adida_fitted(Y).select("unique_id", "ds", (F.col("y") - F.col("ADIDA")).alias("resid"))
+    return base, mint_reconcile(base, resid, S, ["ADIDA"]), S
+
+
 @query
 def coherence_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """reconciled parents equal the sum of their children (max gap)."""
-    from seriesspark.operators.hierarchy import bottom_up as bu, coherence_gap as cg
-    t = Tables(spark, sf_dir)
-    _, S = _hierarchy(t)
-    rec = bu(_bottom_naive(t), S, ["Naive"])
-    return cg(rec, S, "Naive")
+    """largest gap between a node and the sum of its bottoms, before and after MinT."""
+    from seriesspark.operators.hierarchy import coherence_gap as cg
+    base, reconciled, S = _mint(Tables(spark, sf_dir))
+    gaps = [cg(f, S, "ADIDA").withColumn("stage", F.lit(name)) for name, f in (("base", base), ("reconciled", reconciled))]
+    return round_doubles(gaps[0].unionByName(gaps[1]), 4)
 
 
 @query
 def mint_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinT reconciliation with shrinkage covariance of naive residuals."""
-    from seriesspark.operators.forecast import closed_form_forecast
-    from seriesspark.operators.hierarchy import mint_reconcile
-    from seriesspark.operators.features import series_window
-    t = Tables(spark, sf_dir)
-    Y, S = _hierarchy(t)
-    Y = Y.select("unique_id", "ds", "y")
-    resid = Y.select("unique_id", "ds", (F.col("y") - F.lag("y", 1).over(series_window())).alias("resid"))
-    base = closed_form_forecast(Y, H_DAILY, "D", ("Naive",), 1)
-    return round_doubles(mint_reconcile(base, resid, S, ["Naive"]))
+    """MinT reconciliation of ADIDA forecasts with the shrinkage covariance of their errors."""
+    return round_doubles(_mint(Tables(spark, sf_dir))[1], 4)
 
 
 # ------------------------------------------------------------ grouped-map solvers
@@ -601,6 +649,22 @@ def holt_winters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(hw(train, H_SELLER, "MS", M_SELLER, SELLER))
 
 
+@query
+def smoothing_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """80 percent intervals of Holt-Winters and ADIDA."""
+    from seriesspark.operators.smoothing import adida as ad, holt_winters as hw
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return round_doubles(hw(train, H_SELLER, "MS", M_SELLER, SELLER, [80]).unionByName(ad(train, H_SELLER, "MS", SELLER, [80])), 4)
+
+
+@query
+def smoothing_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: fitted values of Holt-Winters and ADIDA."""
+    from seriesspark.operators.smoothing import adida_fitted, holt_winters_fitted
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return round_doubles(holt_winters_fitted(train, M_SELLER, SELLER).join(adida_fitted(train, SELLER).drop("revenue"), ["seller_id", "month"]))
+
+
 @query
 def arima(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ARIMA(1,1,1) per seller."""

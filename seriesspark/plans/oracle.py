@@ -7,6 +7,8 @@ raw tables with the same bindings as ``seriesspark.sources.bindings``.
 
 from __future__ import annotations
 
+import re
+
 ORACLES: dict[str, str] = {}
 
 # ---------------------------------------------------------------- shared CTEs
@@ -499,11 +501,6 @@ FROM g
 
 ORACLES["hier_summing"] = "WITH " + HIER + "\nSELECT * FROM S"
 ORACLES["bottom_up"] = "WITH " + HIER + "\nSELECT * FROM bu"
-ORACLES["coherence_gap"] = "WITH " + HIER + """
-SELECT max(abs(bu."Naive" - s."Naive")) AS max_gap, count(*) AS n_checked
-FROM bu JOIN (SELECT S.node AS unique_id, b.ds, sum(S.weight * b."Naive") AS "Naive"
-              FROM bu b JOIN S ON S.bottom = b.unique_id GROUP BY 1, 2) s USING (unique_id, ds)
-"""
 
 
 # ---------------------------------------------------------------- small relational operators
@@ -738,7 +735,6 @@ SELECT seller_id, count(x) AS n_values, round(greatest(0.0::DOUBLE, min(x) * 0.9
 """
 
 # Sums of naive forecasts are naive forecasts of the sums: the base is coherent, so MinT leaves it.
-ORACLES["mint_shrink"] = "WITH " + HIER + "\nSELECT unique_id, ds, round(\"Naive\", 6) AS \"Naive\" FROM bu"
 
 
 # ---------------------------------------------------------------- linear models by normal equations
@@ -782,3 +778,139 @@ steps AS (
         "list_sum(v[1:len(v) - 6]) / (len(v) - 6)", "list_sum(v[len(v) - 19:len(v) - 13]) / 7", "list_sum(v[len(v) - 42:len(v) - 29]) / 14"])} AS p
     FROM steps s, beta) WHERE k < 7)
 SELECT unique_id, ds, round(yhat, 3) AS yhat FROM steps WHERE k > 0"""
+
+
+# ---------------------------------------------------------------- smoothing: fitted values, intervals, cross validation
+
+def hw_ctes(src: str, p: str, upto: str = "len(y)") -> str:
+    """Holt-Winters on the first ``upto`` values of each seller of ``src``: ``{p}best`` (parameters, sse) and
+    ``{p}path`` (state after each of all values, and the forecast before it)."""
+    move = "t * (nl - l) + (1 - t) * b AS b, list_append(s[2:], g * (v - nl) + (1 - g) * s[1]) AS s"
+    head = "[x - m1 FOR x IN y[1:12]] AS s"
+    return f"""
+{p}y AS (SELECT *, {upto} AS upto FROM (SELECT seller_id, list(revenue ORDER BY month) AS y, list(month ORDER BY month) AS ts, max(month) AS last_ds FROM {src} GROUP BY 1)),
+{p}grid AS (SELECT a.v AS a, t.v AS t, g.v AS g, (a.i * 25 + t.i * 5 + g.i) AS i
+         FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS v, unnest(range(0, 5)) AS i) a,
+              (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS v, unnest(range(0, 5)) AS i) t,
+              (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS v, unnest(range(0, 5)) AS i) g),
+{p}0 AS (SELECT *, list_sum(y[1:12]) / 12 AS m1, list_sum(y[13:24]) / 12 AS m2 FROM {p}y WHERE upto >= 24),
+{p}fit AS (
+  SELECT seller_id, i, a, t, g, y, upto, 0 AS n, m1 AS l, (m2 - m1) / 12 AS b, {head}, 0.0::DOUBLE AS sse FROM {p}0, {p}grid
+  UNION ALL
+  SELECT seller_id, i, a, t, g, y, upto, n + 1, nl, {move}, sse + (v - (l + b + s[1])) * (v - (l + b + s[1]))
+  FROM (SELECT *, y[n + 1] AS v, a * (y[n + 1] - s[1]) + (1 - a) * (l + b) AS nl FROM {p}fit WHERE n < upto)),
+{p}best AS (SELECT * FROM {p}fit WHERE n = upto QUALIFY row_number() OVER (PARTITION BY seller_id ORDER BY sse, i) = 1),
+{p}path AS (
+  SELECT q.seller_id, a, t, g, q.y, ts, 0 AS n, m1 AS l, (m2 - m1) / 12 AS b, [x - m1 FOR x IN q.y[1:12]] AS s, NULL::DOUBLE AS fit
+  FROM {p}0 q JOIN {p}best USING (seller_id)
+  UNION ALL
+  SELECT seller_id, a, t, g, y, ts, n + 1, nl, {move}, l + b + s[1]
+  FROM (SELECT *, y[n + 1] AS v, a * (y[n + 1] - s[1]) + (1 - a) * (l + b) AS nl FROM {p}path WHERE n < len(y)))"""
+
+
+_ADIDA_FIT = """
+afit AS (SELECT r.seller_id, r.month, r.revenue, s.l / s.a AS fit, s.a, s.p
+         FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY month) AS rn, count(*) OVER (PARTITION BY seller_id) AS n FROM train) r
+         JOIN abest q ON q.k0 = r.seller_id AND q.r = 1
+         LEFT JOIN ses s ON s.k0 = q.k0 AND s.p = q.p AND s.n = floor((r.rn - 1 - r.n % q.a) / q.a) AND r.rn - 1 >= r.n % q.a)"""
+_SMOOTH = "WITH RECURSIVE " + SELLER_SPLIT.strip() + "," + hw_ctes("train", "w") + "," + adida_ctes("train", "seller_id", "month", "revenue") + "," + _ADIDA_FIT
+ORACLES["smoothing_fitted"] = _SMOOTH + """
+SELECT w.seller_id, w.ts[w.n] AS month, w.y[w.n] AS revenue, round(w.fit, 6) AS "HoltWinters", round(a.fit, 6) AS "ADIDA"
+FROM wpath w JOIN afit a ON a.seller_id = w.seller_id AND a.month = w.ts[w.n] WHERE w.n > 0"""
+ORACLES["smoothing_intervals"] = _SMOOTH + """,
+f AS (SELECT seller_id, k, 'HoltWinters' AS model, l + k * b + s[k] AS yhat,
+             sqrt(sse / len(y) * (1 + list_sum([0.0] || [(a * (1 + j * t) + CASE WHEN j % 12 = 0 THEN g * (1 - a) ELSE 0 END) ** 2 FOR j IN range(1, k)]))) AS sd
+      FROM wbest, (SELECT unnest(range(1, 4)) AS k)
+      UNION ALL
+      SELECT ad.k0, k, 'ADIDA', ad.f, sqrt(e.s2 * (1 + (ceil(k / q.a) - 1) * q.p * q.p))
+      FROM ad JOIN abest q ON q.k0 = ad.k0 AND q.r = 1
+      JOIN (SELECT seller_id, avg((revenue - fit) ** 2) AS s2 FROM afit GROUP BY 1) e ON e.seller_id = ad.k0, (SELECT unnest(range(1, 4)) AS k))
+SELECT f.seller_id, CAST(y.last_ds + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS month, model, round(yhat, 4) AS yhat,
+       round(yhat - 1.2815515655446004 * sd, 4) AS "lo-80", round(yhat + 1.2815515655446004 * sd, 4) AS "hi-80"
+FROM f JOIN wy y USING (seller_id)"""
+
+# Sellers' panels are equally long; the earliest of four cutoffs lies 12 months before the end.
+_CVS = hw_ctes("panel", "c", "len(y) - 12") + "," + adida_ctes("(SELECT * FROM rk WHERE rn <= n - 12)", "seller_id", "month", "revenue") + """,
+aon AS (
+  SELECT k0, a, p, l, y.y AS y, y.upto AS c, 0 AS n FROM (SELECT * FROM abest WHERE r = 1) q JOIN cy y ON y.seller_id = q.k0
+  UNION ALL
+  SELECT k0, a, p, p * list_sum(y[c + n * a + 1:c + (n + 1) * a]) + (1 - p) * l, y, c, n + 1 FROM aon WHERE (n + 1) * a <= 12),
+cvs AS (
+  SELECT h.seller_id, h.ts[h.n + k] AS month, h.ts[h.n] AS cutoff, h.y[h.n + k] AS revenue, h.l + k * h.b + h.s[k] AS hw,
+         coalesce(a.l / a.a, 0) AS ad
+  FROM (SELECT *, len(y) - 12 AS c0 FROM cpath) h CROSS JOIN (SELECT unnest(range(1, 4)) AS k)
+  LEFT JOIN aon a ON a.k0 = h.seller_id AND a.n = floor((h.n - h.c0) / a.a)
+  WHERE h.n >= h.c0 AND h.n < len(h.y) AND (h.n - h.c0) % 3 = 0)"""
+ORACLES["cv_smoothing"] = "WITH RECURSIVE " + SELLER_RANKED.strip() + "," + _CVS + """
+SELECT seller_id, month, cutoff, revenue, round(hw, 6) AS "HoltWinters", round(ad, 6) AS "ADIDA" FROM cvs"""
+
+ORACLES["cv_short_series"] = "WITH " + DAILY.strip() + """
+SELECT unique_id, count(*) AS n_rows, 533 AS needed FROM daily GROUP BY 1 HAVING count(*) < 533"""
+
+ORACLES["cv_linear"] = "WITH RECURSIVE " + DAILY.strip() + f""",
+rk AS (SELECT unique_id, ds, y::DOUBLE AS y, lag(y, 1) OVER ({W_ID}) AS x, row_number() OVER ({W_ID}) AS rn, count(*) OVER (PARTITION BY unique_id) AS n FROM dpanel),
+beta AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM rk WHERE rn <= n - 28 AND x IS NOT NULL),
+f AS (SELECT unique_id, ds AS cutoff, rn, 0 AS k, y AS yhat FROM rk WHERE n - rn IN (28, 21, 14, 7)
+      UNION ALL SELECT unique_id, cutoff, rn, k + 1, beta.b + beta.a * yhat FROM f, beta WHERE k < 7)
+SELECT f.unique_id, rk.ds, f.cutoff, rk.y, round(f.yhat, 3) AS linear FROM f JOIN rk ON rk.unique_id = f.unique_id AND rk.rn = f.rn + f.k WHERE f.k > 0"""
+
+_FULL_AD = adida_ctes("panel", "seller_id", "month", "revenue")
+for _name in ("ay", "ad0", "ad1", "ad2", "ses", "abest", "ad"):  # a second set of the same names
+    _FULL_AD = re.sub(rf"\b{_name}\b", f"z{_name}", _FULL_AD)
+ORACLES["best_model_registry"] = "WITH RECURSIVE " + _CV.strip() + "," + _CVS + "," + hw_ctes("panel", "w") + "," + _FULL_AD + """,
+per AS (
+  SELECT seller_id, cutoff, 'Naive' AS model, avg(abs(revenue - "Naive")) AS e FROM cv GROUP BY 1, 2
+  UNION ALL SELECT seller_id, cutoff, 'SeasonalNaive', avg(abs(revenue - "SeasonalNaive")) FROM cv GROUP BY 1, 2
+  UNION ALL SELECT seller_id, cutoff, 'HoltWinters', avg(abs(revenue - hw)) FROM cvs GROUP BY 1, 2
+  UNION ALL SELECT seller_id, cutoff, 'ADIDA', avg(abs(revenue - ad)) FROM cvs GROUP BY 1, 2),
+ch AS (SELECT seller_id, model AS best_model, e FROM (SELECT seller_id, model, avg(e) AS e FROM per GROUP BY 1, 2)
+       QUALIFY row_number() OVER (PARTITION BY seller_id ORDER BY e, model) = 1),
+out AS (SELECT w.seller_id, w.k, y.last_ds, y.y[len(y.y)] AS nv, y.y[len(y.y) - 12 + 1 + (w.k - 1) % 12] AS sv, w.v AS hv, z.f AS av
+        FROM (SELECT seller_id, k, l + k * b + s[k] AS v FROM wbest, (SELECT unnest(range(1, 4)) AS k)) w JOIN wy y USING (seller_id) JOIN zad z ON z.k0 = w.seller_id)
+SELECT o.seller_id, CAST(o.last_ds + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS month, best_model, round(e, 4) AS cv_mae,
+       round(CASE best_model WHEN 'Naive' THEN nv WHEN 'SeasonalNaive' THEN sv WHEN 'HoltWinters' THEN hv ELSE av END, 4) AS yhat
+FROM out o JOIN ch USING (seller_id)"""
+
+# ---------------------------------------------------------------- MinT: the dense system, solved by elimination
+
+_MINT = "WITH RECURSIVE " + HIER.strip() + """,
+ynode AS (SELECT S.node AS unique_id, p.ds, sum(p.y) AS y FROM dpanel p JOIN S ON S.bottom = p.unique_id GROUP BY 1, 2),""" \
+    + adida_ctes("ynode", "unique_id", "ds", "y") + """,
+res AS (SELECT r.unique_id AS node, r.ds, r.y - s.l / s.a AS r
+        FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS rn, count(*) OVER (PARTITION BY unique_id) AS n FROM ynode) r
+        JOIN abest q ON q.k0 = r.unique_id AND q.r = 1
+        JOIN ses s ON s.k0 = q.k0 AND s.p = q.p AND s.n = floor((r.rn - 1 - r.n % q.a) / q.a) AND r.rn - 1 >= r.n % q.a),
+st AS (SELECT node, avg(r) AS m, greatest(stddev_samp(r), 1e-4) AS sd FROM res GROUP BY 1),
+xz AS MATERIALIZED (SELECT node, ds, r - m AS x, (r - m) / sd AS z FROM res JOIN st USING (node)),
+nt AS (SELECT count(DISTINCT ds)::DOUBLE AS n FROM xz),
+pr AS (SELECT greatest(count(*), 2)::DOUBLE AS n, sum(a.z * b.z) AS w, sum(a.z * a.z * b.z * b.z) AS w2
+       FROM xz a JOIN xz b ON a.ds = b.ds AND a.node < b.node GROUP BY a.node, b.node),
+sh AS (SELECT greatest(1e-6, least(1, greatest(0, sum(n / (n - 1) ** 3 * (w2 - w * w / n)) / sum((w / (n - 1)) ** 2)))) AS a FROM pr),
+co AS (SELECT a, (1 - a) / (n - 1) AS c FROM sh, nt),
+dv AS (SELECT node, greatest(sum(x * x) / (any_value(n) - 1), 1e-8) AS d FROM xz, nt GROUP BY 1),
+up AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM (SELECT DISTINCT node FROM S WHERE node <> bottom)),
+A AS (SELECT * FROM S WHERE node <> bottom),
+xu AS MATERIALIZED (SELECT node, ds, sum(x) AS x FROM (SELECT xz.node, ds, x FROM xz JOIN up USING (node)
+                    UNION ALL SELECT A.node, ds, -x FROM A JOIN xz ON xz.node = A.bottom) GROUP BY 1, 2),
+k0 AS (SELECT a.node, b.node AS node2, co.c * sum(a.x * b.x) AS v FROM xu a JOIN xu b ON a.ds = b.ds, co GROUP BY 1, 2, co.c
+       UNION ALL SELECT A.node, B.node, co.a * sum(d) FROM A JOIN A B ON A.bottom = B.bottom JOIN dv ON dv.node = A.bottom, co GROUP BY 1, 2, co.a
+       UNION ALL SELECT node, node, co.a * d FROM dv JOIN up USING (node), co),
+k1 AS (SELECT p.i, q.i AS j, sum(v) AS v FROM k0 JOIN up p ON p.node = k0.node JOIN up q ON q.node = k0.node2 GROUP BY 1, 2
+       UNION ALL SELECT up.i, (SELECT count(*) + 1 FROM up), any_value(f.f) - sum(g.f)
+       FROM up JOIN ad f ON f.k0 = up.node JOIN A ON A.node = up.node JOIN ad g ON g.k0 = A.bottom GROUP BY 1),
+k2 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM k1 GROUP BY 1)),
+el AS (SELECT 1 AS c, m FROM k2 UNION ALL
+  SELECT c + 1, list_transform(m, lambda r, i: CASE WHEN i = c THEN list_transform(r, lambda v: v / r[c])
+                ELSE list_transform(r, lambda v, j: v - r[c] * m[c][j] / m[c][c]) END) FROM el WHERE c <= len(m)),
+zz AS (SELECT node, m[i][len(m) + 1] AS z FROM el, up WHERE c = len(m) + 1),
+ut AS (SELECT ds, sum(x * z) AS u FROM xu JOIN zz USING (node) GROUP BY 1),
+uz AS (SELECT node, z AS v FROM zz UNION ALL SELECT A.bottom, -sum(z) FROM A JOIN zz USING (node) GROUP BY 1),
+rec AS (SELECT ad.k0 AS node, ad.last_ds, ad.f - co.a * dv.d * uz.v - co.c * xx.s AS f
+        FROM ad JOIN dv ON dv.node = ad.k0 JOIN uz ON uz.node = ad.k0 JOIN (SELECT node, sum(x * u) AS s FROM xz JOIN ut USING (ds) GROUP BY 1) xx ON xx.node = ad.k0, co)"""
+ORACLES["mint_shrink"] = _MINT + """
+SELECT node AS unique_id, CAST(last_ds + to_days(CAST(k AS INTEGER)) AS TIMESTAMP) AS ds, round(f, 4) AS "ADIDA"
+FROM rec, (SELECT unnest(range(1, 8)) AS k)"""
+ORACLES["coherence_gap"] = _MINT + """,
+gaps AS (SELECT 'base' AS stage, f.k0 AS node, any_value(f.f) - sum(g.f) AS gap FROM ad f JOIN S ON S.node = f.k0 JOIN ad g ON g.k0 = S.bottom GROUP BY 2
+         UNION ALL SELECT 'reconciled', f.node, any_value(f.f) - sum(g.f) FROM rec f JOIN S ON S.node = f.node JOIN rec g ON g.node = S.bottom GROUP BY 2)
+SELECT stage, round(max(abs(gap)), 4) AS max_gap, 7 * count(*) AS n_checked FROM gaps GROUP BY 1"""
