@@ -168,7 +168,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are text
+        # strings that the library takes for added tokens; none holds a blank, so a piece has them whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.symbols = byte_symbols()
         self.clear()
 
@@ -178,7 +179,7 @@ class Encoder:
 
     def piece(self, raw: bytes) -> list[int]:
         text = raw.decode("utf-8", "replace")
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or any(a in text for a in self.added):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         out: list[int] = []
         for word in PRE_TOKEN.findall(text):
