@@ -8,8 +8,8 @@ range-reads and inflates single records.
 
 Of records with equal payloads the one with the smallest page id is a response
 and the others are revisits that refer to it; payloads under ``min_bytes`` are
-always responses. The smallest id per digest comes from a partial aggregate, so
-a payload that very many pages share is never gathered.
+always responses. The smallest id per digest comes from a partial aggregate and is a
+written table before pages meet it, so Spark can split the pages of one payload.
 
 Defined cases: a null html is the empty payload; a null URL leaves the target
 header out; a null page id sorts before all ids and is read back as null; rows
@@ -195,6 +195,8 @@ def mark_revisits(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
     rows = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("sha1"))
     low = F.min(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)))
     first = pages.select(key, F.sha1(body.cast("binary")).alias("_sha1")).groupBy("_sha1").agg(low.alias("first_id"))
+    # a written table: both sides of the join then have an exchange of their own, and the pages of a frequent payload can be split over tasks
+    first = materialize(first, "first-pages")
     rows = rows.join(first, rows["sha1"] == F.col("_sha1"), "left").drop("_sha1")
     own = F.coalesce("page_id", F.lit(NO_ID)) == F.col("first_id")
     return rows.withColumn("is_revisit", ~own & (F.octet_length("html") >= min_bytes))

@@ -196,6 +196,35 @@ def test_near_duplicate_chain_and_large_group(spark):
     assert got == want and len(set(got.values())) < 20
 
 
+def test_near_copies_around_an_outlier_pivot(spark):
+    """2000 copies, each near one base but not near the pivot (smallest id) or, mostly, each other: written pairs follow the members."""
+    rng = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(240)]
+
+    def edited(n):
+        words = list(base)
+        for i in rng.choice(240, n, replace=False):
+            words[i] = f"x{rng.integers(10 ** 9)}"
+        return " ".join(words)
+    texts = [edited(5) for _ in range(2000)] + [" ".join(base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    written = []
+    real = near_dup.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        written.append((name, out.count()))
+        return out
+    near_dup.materialize, keep = counted, near_dup.materialize
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, shingle=5).collect()}
+    finally:
+        near_dup.materialize = keep
+    assert set(got.values()) == {0}
+    links = {n: c for n, c in written if n in ("stars", "hub-stars", "last")}
+    assert links["stars"] < 2000 and sum(links.values()) < 6 * len(texts), written
+
+
 def test_near_duplicate_tiles_skip_a_common_label(spark, odd_docs, sf_docs, monkeypatch):
     monkeypatch.setattr(near_dup, "TILE", 10)
     # key 1: a component of 1000 and one straggler; key 2: components of 30 and 25 and 12 of 1; key 3: one component
@@ -244,10 +273,17 @@ def test_registers_and_estimate():
 def brute_tokens(rows):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return [(i, t.encode(x or "", add_special_tokens=False).ids + [0]) for i, x in rows]
 
 
+def test_token_files_of_control_strings(spark):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b <|endoftext|><|endoftext|> c\n<|endoftext|>", "<|endof text|> plain", "é<|endoftext|>ß"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in token_files.read_tokens(token_files.write_tokens(docs, queries.tokenizer_path()), digest=False).collect()}
+    want = dict(brute_tokens(list(enumerate(texts))))
+    assert got == want and 50256 in want[0]
+
+
 def test_token_files(spark, odd_docs, sf_docs):
     for docs in (odd_docs, sf_docs):
         want = brute_tokens(rows_of(docs))
