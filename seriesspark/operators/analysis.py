@@ -2,19 +2,20 @@
 (W16, D21-D27, D6, D7).
 
 Every operator is a window pass and/or an aggregate keyed by series; the
-correlation operators join each series one-to-one to a target series on the
-timestamp, never all pairs of series at a timestamp.
+correlation operators multiply tiles of series over runs of stamps, never all
+pairs of series at a timestamp.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from seriesspark.functions.contracts import DEFAULT, Cols
+from seriesspark.operators.arima import let
 from seriesspark.session import cut_lineage
 
 
@@ -111,83 +112,112 @@ def acf(df: DataFrame, nlags: int, cols: Cols = DEFAULT, block_size: int | None
                         / (F.col("_v") / F.col("_n"))).alias("acf"))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _durbin_levinson(acfs: pd.Series) -> pd.Series:
-    """PACF from an ACF array (lag 0 first): Durbin-Levinson recursion."""
-    def one(r):
-        r = np.asarray(r, dtype=float)
-        k_max = len(r) - 1
-        out = [1.0]
-        phi = np.zeros(0)
-        for k in range(1, k_max + 1):
-            if k == 1:
-                a = r[1]
-            else:
-                num = r[k] - np.dot(phi, r[1:k][::-1])
-                den = 1.0 - np.dot(phi, r[1:k])
-                a = num / den if den != 0 else float("nan")
-            phi = np.append(phi - a * phi[::-1], a)
-            out.append(float(a))
-        return out
-    return acfs.apply(one)
-
-
-def pacf(df: DataFrame, nlags: int, cols: Cols = DEFAULT) -> DataFrame:
+def _durbin_levinson(r: Column, nlags: int) -> Column:
+    """PACF array (lag 0 first) from an ACF array, by the Durbin-Levinson recursion as a fold over the lags."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+
+    def step(a: Column, k: Column) -> Column:
+        past = F.slice(r, 2, k - 1)
+        top, bottom = F.get(r, k) - dot(a["phi"], F.reverse(past)), 1 - dot(a["phi"], past)
+        # a perfectly predicted series has no partial correlations beyond that lag
+        return let(F.when(bottom != 0, top / bottom).otherwise(F.lit(float("nan"))), lambda v: F.struct(
+            F.concat(F.zip_with(a["phi"], F.reverse(a["phi"]), lambda x, y: x - v * y), F.array(v)).alias("phi"), F.concat(a["out"], F.array(v)).alias("out")))
+    start = F.struct(F.array().cast("array<double>").alias("phi"), F.array(F.lit(1.0)).alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(nlags)), start, step, lambda a: a["out"])
+
+
+def pacf(df: DataFrame, nlags: int, cols: Cols = DEFAULT, block_size: int | None = None, freq: str | None = None) -> DataFrame:
     """Partial autocorrelation per series and lag (D27), long ``(id, lag, pacf)``.
 
-    The ACF is reduced to one ``nlags+1`` array per series on the JVM; only
-    that bounded array crosses into Python for the recursion.
+    The ACF (with ``block_size`` from time blocks) is reduced to one array of
+    ``nlags + 1`` values per series, which a fold turns into the PACF.
     """
-    a = acf(df, nlags, cols)
-    arr = (a.groupBy(cols.id)
-           .agg(F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("_a"))
-           .select(cols.id, _durbin_levinson(F.col("_a.acf")).alias("_p")))
+    arr = acf(df, nlags, cols, block_size, freq).groupBy(cols.id).agg(F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("_a"))
+    arr = arr.select(cols.id, let(F.col("_a.acf"), lambda r: _durbin_levinson(r, nlags)).alias("_p"))
     return arr.select(cols.id, F.posexplode("_p").alias("lag", "pacf"))
 
 
 # ------------------------------------------------------------ correlation
 
-TILE = 64  # target series per tile: columns of one row, whatever the number of targets
-
-
-def _tiles(targets: DataFrame, cols: Cols, width: int) -> DataFrame:
-    """``(id, tile, slot)``: distinct targets numbered within hash buckets, ``width`` to a tile."""
-    buckets = max(1, -(-targets.count() // (8 * width)))
-    ids = targets.withColumn("_b", F.pmod(F.xxhash64(cols.id), F.lit(buckets)))
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy(cols.id)) - 1
-    return ids.select(cols.id, F.struct("_b", F.floor(nth / width).alias("t")).alias("_tile"), (nth % width).alias("_slot"))
+TILE = 256     # series of a tile
+STAMPS = 4096  # stamps of a run
 
 
 def corr_with_targets(df: DataFrame, targets: DataFrame | list, cols: Cols = DEFAULT) -> DataFrame:
     """Pearson correlation of every series with each target series.
 
     ``targets`` is a table with the id column, or a list of ids; any number of
-    them. Targets are laid out in tiles: one row per (timestamp, tile) with the
-    values of up to 64 target series as columns. Each panel row meets the tiles
-    of its timestamp, and one partial aggregate per (series, tile) computes
-    ``corr`` against all columns, so no timestamp emits pairs of series and no
-    list of series is gathered. Pairwise-complete observations as in pandas.
+    them. Series and targets are dealt into tiles whose values, less their series'
+    mean, are arrays of some STAMPS stamps. A group multiplies a tile of series with a
+    tile of targets over one run of stamps, a second one adds up a pair's runs: no
+    timestamp emits pairs of series, no task sees more than two tiles of one run.
+    Pairwise-complete observations as in pandas; NULL where a series does not vary.
     Output ``(target, <id>, corr)`` for targets that occur in ``df``.
     """
     if not isinstance(targets, DataFrame):
         targets = df.sparkSession.createDataFrame([(t,) for t in targets], f"`{cols.id}` {df.schema[cols.id].dataType.simpleString()}")
-    targets = targets.select(cols.id).distinct().join(df.select(cols.id).distinct(), cols.id, "left_semi")
-    return _correlations(df, cut_lineage(targets), cols)
-
-
-def _correlations(df: DataFrame, targets: DataFrame, cols: Cols) -> DataFrame:
-    """Correlations with a written table of distinct target ids."""
-    width = max(1, min(TILE, targets.count()))
-    tiles = _tiles(targets, cols, width)
-    slots = [f"_s{i}" for i in range(width)]
-    placed = df.select(cols.id, cols.ds, cols.y).join(tiles, cols.id)
-    wide = placed.groupBy(cols.ds, "_tile").agg(*[F.max(F.when(F.col("_slot") == i, F.col(cols.y))).alias(s) for i, s in enumerate(slots)])
-    agg = (df.select(cols.id, cols.ds, cols.y).join(wide, cols.ds)
-           .groupBy(cols.id, "_tile").agg(*[F.corr(cols.y, s).alias(s) for s in slots]))
-    long = agg.select(cols.id, "_tile", F.posexplode(F.array(*slots)).alias("_slot", "corr"))
-    names = tiles.select(F.col(cols.id).alias("target"), F.col("_tile").alias("_t"), F.col("_slot").alias("_n"))
-    return (long.join(names, (F.col("_tile") == F.col("_t")) & (F.col("_slot") == F.col("_n")))
-            .select("target", cols.id, "corr"))
+    panel = cut_lineage(df.select(cols.id, cols.ds, F.col(cols.y).cast("double").alias(cols.y)))
+    return _correlations(panel, targets.select(cols.id).distinct(), cols)
+
+
+def _correlations(panel: DataFrame, targets: DataFrame | None, cols: Cols) -> DataFrame:
+    """Correlations of a written panel with a table of distinct target ids, all series by default."""
+    kind = panel.schema[cols.id].dataType
+    means = panel.groupBy(cols.id).agg(F.avg(cols.y).alias("_m"))
+    k, stamps = panel.agg(F.count_distinct(cols.id), F.count_distinct(cols.ds)).first()
+    n_series = max(1, -(-k // TILE))
+    n_targets = n_series if targets is None else max(1, -(-targets.count() // TILE))
+    runs = max(1, -(-stamps // STAMPS))
+    stamp = F.xxhash64(cols.ds)
+    rows = panel.join(means, cols.id).select(F.col(cols.id).alias("name"), stamp.alias("ds"), (F.col(cols.y) - F.col("_m")).alias("v"))
+    # NULL values are sent too: a series without a single value still has its pairs
+    rows = rows.groupBy("name", F.pmod("ds", F.lit(runs)).cast("int").alias("run")).agg(F.collect_list("ds").alias("ds"), F.collect_list(F.coalesce("v", F.lit(float("nan")))).alias("v"))
+    side = lambda rows, own, other, is_target: rows.withColumn("target", F.lit(is_target)) \
+        .withColumn("own", F.pmod(F.xxhash64("name"), F.lit(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    as_target = rows if targets is None else rows.join(targets.select(F.col(cols.id).alias("name")), "name", "left_semi")
+    left = side(rows, n_series, n_targets, False).select("name", "run", "ds", "v", "target", F.col("own").alias("i"), F.col("other").alias("j"))
+    right = side(as_target, n_targets, n_series, True).select("name", "run", "ds", "v", "target", F.col("other").alias("i"), F.col("own").alias("j"))
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def products(table: pa.Table) -> pa.Table:
+        ds, values = (table.column(c).combine_chunks() for c in ("ds", "v"))
+        row = np.repeat(np.arange(len(table)), np.diff(np.asarray(ds.offsets)))
+        times, at = np.unique(ds.flatten().to_numpy(), return_inverse=True)
+        V = np.full((len(times), len(table)), np.nan)
+        V[at, row] = values.flatten().to_numpy()
+        M = (~np.isnan(V)).astype(float)
+        V = np.nan_to_num(V)
+        target = table.column("target").to_numpy()
+        X, MX, Y, MY = V[:, ~target], M[:, ~target], V[:, target], M[:, target]
+        found = {"n": MX.T @ MY, "sx": X.T @ MY, "sy": MX.T @ Y, "sxx": (X * X).T @ MY, "syy": MX.T @ (Y * Y), "sxy": X.T @ Y}
+        names = table.column("name").combine_chunks()
+        lists = {c: pa.ListArray.from_arrays([0, int(keep.sum())], names.filter(pa.array(keep))) for c, keep in (("a", ~target), ("b", target))}
+        head = table.slice(0, 1)
+        return pa.table({"i": head.column("i"), "j": head.column("j"), **lists, **{c: [x.tobytes()] for c, x in found.items()}})
+
+    def correlations(table: pa.Table) -> pa.Table:
+        lists = {c: table.column(c).combine_chunks() for c in ("a", "b")}
+        names = {c: x.flatten().unique() for c, x in lists.items()}
+        place = {c: pc.index_in(x.flatten(), value_set=names[c]).to_numpy() for c, x in lists.items()}
+        cut = {c: np.asarray(x.offsets) - np.asarray(x.offsets)[0] for c, x in lists.items()}
+        total = {c: np.zeros((len(names["a"]), len(names["b"]))) for c in sums}
+        for r in range(len(table)):  # a run lacks the series without a value in it
+            a, b = (place[c][cut[c][r]:cut[c][r + 1]] for c in ("a", "b"))
+            for c in sums:
+                total[c][np.ix_(a, b)] += np.frombuffer(table.column(c)[r].as_py()).reshape(len(a), len(b))
+        n, sx, sy, sxx, syy, sxy = (total[c] for c in sums)
+        with np.errstate(all="ignore"):
+            vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+            flat = (vx <= 1e-14 * n * sxx) | (vy <= 1e-14 * n * syy)
+            corr = (n * sxy - sx * sy) / np.sqrt(vx * vy)
+        i, j = np.divmod(np.arange(corr.size), len(names["b"]))
+        return pa.table({"target": names["b"].take(pa.array(j)), cols.id: names["a"].take(pa.array(i)),
+                         "corr": pa.array(np.clip(corr, -1, 1).reshape(-1), mask=(flat | ~np.isfinite(corr)).reshape(-1))})
+
+    text = kind.simpleString()
+    parts = left.unionByName(right).groupBy("i", "j", "run").applyInArrow(
+        products, f"i int, j int, a array<{text}>, b array<{text}>, " + ", ".join(f"{c} binary" for c in sums))
+    return parts.groupBy("i", "j").applyInArrow(correlations, f"target {text}, `{cols.id}` {text}, corr double")
 
 
 def corr_with_target(df: DataFrame, target_id, cols: Cols = DEFAULT) -> DataFrame:
@@ -198,7 +228,7 @@ def corr_with_target(df: DataFrame, target_id, cols: Cols = DEFAULT) -> DataFram
 def corr_matrix(df: DataFrame, ids: DataFrame | list | None = None, cols: Cols = DEFAULT) -> DataFrame:
     """Correlation matrix of all series, or of the listed ones."""
     if ids is None:
-        return _correlations(df, cut_lineage(df.select(cols.id).distinct()), cols)
+        return _correlations(cut_lineage(df.select(cols.id, cols.ds, F.col(cols.y).cast("double").alias(cols.y))), None, cols)
     if not isinstance(ids, DataFrame):
         ids = df.sparkSession.createDataFrame([(t,) for t in ids], f"`{cols.id}` {df.schema[cols.id].dataType.simpleString()}")
     return corr_with_targets(df.join(ids.select(cols.id).distinct(), cols.id, "left_semi"), ids, cols)

@@ -110,23 +110,13 @@ def blocked_window(df: DataFrame, cols: Cols, freq: str, block_size: int, halo:
     the next block are copied back as look-ahead context). Exact on a regular
     grid (gap-fill first).
     """
-    if halo > block_size or halo_forward > block_size:
-        raise ValueError(f"halo {halo}/{halo_forward} exceeds block size {block_size}")
     from seriesspark.functions.frequency import step_index
 
     idx = step_index(F.col(cols.ds), freq)
-    staged = df.withColumn("_blk", F.floor(idx / block_size)).withColumn("_pos", idx - F.col("_blk") * block_size)
-    own = F.struct(F.col("_blk").alias("b"), F.lit(False).alias("h"))
-    parts = [own]
-    if halo > 0:
-        parts.append(F.when(F.col("_pos") >= block_size - halo,
-                            F.struct((F.col("_blk") + 1).alias("b"), F.lit(True).alias("h"))))
-    if halo_forward > 0:
-        parts.append(F.when(F.col("_pos") < halo_forward,
-                            F.struct((F.col("_blk") - 1).alias("b"), F.lit(True).alias("h"))))
-    copies = F.filter(F.array(*parts), lambda c: c.isNotNull()) if len(parts) > 1 else F.array(own)
-    exploded = (staged.select("*", F.explode(copies).alias("_copy"))
-                .select(*df.columns, F.col("_copy.b").alias("_pblk"), F.col("_copy.h").alias("_halo")))
+    # a row belongs to its own block and to every block whose context reaches it
+    block = lambda i: F.floor(i / block_size)
+    reached = F.sequence(block(idx - halo_forward), block(idx + halo))
+    exploded = df.withColumn("_own", block(idx)).withColumn("_pblk", F.explode(reached)).withColumn("_halo", F.col("_pblk") != F.col("_own")).drop("_own")
     w = Window.partitionBy(cols.id, "_pblk").orderBy(cols.ds)
     cols_out = columns(w)
     out = exploded.select(*df.columns, "_pblk", "_halo", *[c.alias(n) for n, c in cols_out.items()])

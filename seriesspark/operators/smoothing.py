@@ -194,8 +194,7 @@ def adida(df: DataFrame, h: int, freq: str, cols: Cols = DEFAULT, level: list[in
     s = _adida_fit(_ordered(df, cols), F.col("_y"))
     s = s.withColumn("_f", F.array_repeat(F.coalesce(F.col("_b.l") / F.col("_a"), F.lit(0.0)), h))
     if level:
-        s = s.withColumn("_path", _adida_path(F.col("_y")))
-        errors = F.filter(F.transform("_y", lambda v, i: v - F.get("_path", i)), lambda e: e.isNotNull())
+        errors = _let(_adida_path(F.col("_y")), lambda path: F.filter(F.zip_with("_y", path, lambda v, f: v - f), lambda e: e.isNotNull()))
         s = s.withColumn("_s2", _let(errors, lambda e: F.when(F.size(e) > 0, _sum(F.transform(e, lambda x: x * x)) / F.size(e))))
         s = s.withColumn("_sd", F.transform(F.sequence(F.lit(1), F.lit(h)), lambda k: F.sqrt(
             F.col("_s2") * (1 + (F.ceil(k / F.col("_a")) - 1) * F.coalesce(F.col("_p") * F.col("_p"), F.lit(0.0))))))

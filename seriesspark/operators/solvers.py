@@ -1,20 +1,4 @@
-"""Per-series solvers as grouped maps (F4, F5, W17, U1). Holt-Winters and ADIDA are in ``smoothing``.
-
-These models are sequential in time, so each series is solved in one Python
-task by ``groupBy(id).applyInPandas``: history is shuffled once by series key
-(Arrow batches), the solver is a few vectorised NumPy passes, and the output
-is the long horizon frame. Definitions are fixed here (no library parity):
-
-* ARIMA(p,d,q) (F4): difference d times; long AR of order min(10, n/4) for
-  innovations (Hannan and Rissanen 1982); least squares on p lags and q
-  innovations; future innovations 0; differences undone.
-* AutoARIMA (F5): p, q in 0..2, d in 0..1, minimum AICc
-  ``n*ln(SSE/n) + 2k + 2k(k+1)/(n-k-1)``, all candidates scored on the same
-  rows of the series.
-* STL (W17): loess seasonal-trend decomposition (inner 2, outer 0); the cycle
-  subseries are extended by a cycle at both ends and the low-pass filter is two
-  moving averages of a cycle, one of 3, and a loess.
-"""
+"""A caller's own forecasting function over many series (U1), and models by name."""
 
 from __future__ import annotations
 
@@ -25,200 +9,34 @@ from pyspark.sql import functions as F
 
 from seriesspark.functions.contracts import DEFAULT, Cols
 from seriesspark.functions.frequency import step_forward
-
-# ------------------------------------------------------------ numpy solvers
-
-def _lagmat(x: np.ndarray, p: int) -> np.ndarray:
-    n = len(x)
-    return np.column_stack([x[p - i - 1:n - i - 1] for i in range(p)]) if p else np.zeros((n - p, 0))
-
-
-def _arma_fit(z: np.ndarray, p: int, q: int):
-    """Two-stage least squares; returns (coef, intercept, resid, sse, n_used)."""
-    n = len(z)
-    long_p = int(max(1, min(10, n // 4)))
-    if n <= long_p + max(p, q) + 2:
-        return None
-    X = np.column_stack([np.ones(n - long_p), _lagmat(z, long_p)])
-    beta, *_ = np.linalg.lstsq(X, z[long_p:], rcond=None)
-    eps = np.zeros(n)
-    eps[long_p:] = z[long_p:] - X @ beta
-    start = long_p + max(p, q)
-    rows = range(start, n)
-    cols = [np.ones(len(rows))]
-    cols += [z[[t - i for t in rows]] for i in range(1, p + 1)]
-    cols += [eps[[t - j for t in rows]] for j in range(1, q + 1)]
-    A = np.column_stack(cols)
-    coef, *_ = np.linalg.lstsq(A, z[start:], rcond=None)
-    resid = z[start:] - A @ coef
-    return coef, eps, float(resid @ resid), len(resid), start
-
-
-def _arma_forecast(z: np.ndarray, eps: np.ndarray, coef: np.ndarray, p: int, q: int, h: int) -> np.ndarray:
-    hist = list(z)
-    e = list(eps)
-    out = []
-    for _ in range(h):
-        v = coef[0]
-        v += sum(coef[1 + i] * hist[-1 - i] for i in range(p))
-        v += sum(coef[1 + p + j] * e[-1 - j] for j in range(q))
-        hist.append(v)
-        e.append(0.0)
-        out.append(v)
-    return np.array(out)
-
-
-def _undiff(y: np.ndarray, fc: np.ndarray, d: int) -> np.ndarray:
-    """Integrate ``d`` times, each time from the last value of that level."""
-    for k in range(d - 1, -1, -1):
-        fc = np.diff(y, n=k)[-1] + np.cumsum(fc)
-    return fc
-
-
-def arima(y: np.ndarray, order: tuple[int, int, int], h: int) -> np.ndarray:
-    p, d, q = order
-    z = np.diff(y, n=d) if d else y.astype(float)
-    fit = _arma_fit(z, p, q)
-    if fit is None:
-        return np.repeat(y[-1] if len(y) else np.nan, h)
-    coef, eps, *_ = fit
-    return _undiff(y, _arma_forecast(z, eps, coef, p, q, h), d)
-
-
-def auto_arima(y: np.ndarray, h: int, max_p: int = 2, max_q: int = 2, max_d: int = 1):
-    best = None
-    for d in range(max_d + 1):
-        z = np.diff(y, n=d) if d else y.astype(float)
-        # the same rows of the series for every candidate: max_d rows are lost to differencing at most
-        start_common = int(max(1, min(10, len(y) // 4))) + max(max_p, max_q) + max_d - d
-        for p in range(max_p + 1):
-            for q in range(max_q + 1):
-                fit = _arma_fit(z, p, q)
-                if fit is None:
-                    continue
-                coef, eps, _, _, start = fit
-                rows = range(start_common, len(z))
-                if len(rows) < 3:
-                    continue
-                pred = np.array([coef[0] + sum(coef[1 + i] * z[t - 1 - i] for i in range(p))
-                                 + sum(coef[1 + p + j] * eps[t - 1 - j] for j in range(q)) for t in rows])
-                sse = float(((z[start_common:] - pred) ** 2).sum())
-                n, k = len(rows), p + q + 1
-                if n - k - 1 <= 0 or sse <= 0:
-                    continue
-                aicc = n * np.log(sse / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-                cand = (aicc, d, p, q)
-                if best is None or cand < best:
-                    best = cand
-    if best is None:
-        return np.repeat(y[-1] if len(y) else np.nan, h), (0, 0, 0)
-    _, d, p, q = best
-    return arima(y, (p, d, q), h), (p, d, q)
-
-
-def _loess(x: np.ndarray, y: np.ndarray, span: int, x_eval: np.ndarray) -> np.ndarray:
-    n = len(x)
-    q = min(span, n)
-    out = np.empty(len(x_eval))
-    for i, x0 in enumerate(x_eval):
-        d = np.abs(x - x0)
-        idx = np.argsort(d)[:q]
-        dmax = max(d[idx].max(), 1e-12) * (1.0 if q < n else max(1.0, (span / n)))
-        w = (1 - (d[idx] / (dmax * 1.000001)) ** 3) ** 3
-        W = w.sum()
-        if W <= 0:
-            out[i] = y[idx].mean()
-            continue
-        xm = (w * x[idx]).sum() / W
-        b_den = (w * (x[idx] - xm) ** 2).sum()
-        ym = (w * y[idx]).sum() / W
-        slope = 0.0 if b_den <= 1e-12 else (w * (x[idx] - xm) * (y[idx] - ym)).sum() / b_den
-        out[i] = ym + slope * (x0 - xm)
-    return out
-
-
-def stl(y: np.ndarray, m: int, inner: int = 2, seasonal_window: int = 7):
-    """STL (Cleveland et al. 1990) without robustness iterations."""
-    n = len(y)
-    t_win = int(np.ceil(1.5 * m / (1 - 1.5 / seasonal_window)))
-    t_win += (t_win % 2 == 0)
-    low_win = m + (m % 2 == 0)
-    trend = np.zeros(n)
-    season = np.zeros(n)
-    idx = np.arange(n, dtype=float)
-    average = lambda x, k: np.convolve(x, np.ones(k) / k, mode="valid")
-    for _ in range(inner):
-        detr = y - trend
-        cycle = np.zeros(n + 2 * m)  # one cycle before and one after the series
-        for p in range(m):
-            pos = np.arange(p, n, m).astype(float)
-            at = np.concatenate([[pos[0] - m], pos, [pos[-1] + m]])
-            cycle[at.astype(int) + m] = _loess(pos, detr[p::m], seasonal_window, at)
-        low = average(average(average(cycle, m), m), 3)  # n values again
-        low = _loess(idx, low, low_win, idx)
-        season = cycle[m:m + n] - low
-        trend = _loess(idx, y - season, t_win, idx)
-    return trend, season
-
-
-# ------------------------------------------------------------ Spark wrappers
+from seriesspark.operators.arima import arima, auto_arima
 
 MODEL_NAMES = ("ARIMA", "AutoARIMA")
 
 
 def forecast_grouped(df: DataFrame, h: int, freq: str, models=MODEL_NAMES,
                      arima_order: tuple[int, int, int] = (1, 1, 1), cols: Cols = DEFAULT) -> DataFrame:
-    """Long forecasts ``(id, ds, model, yhat)`` of per-series solvers.
+    """Long forecasts ``(id, ds, model, yhat)``.
 
-    ``models`` lists names of ``MODEL_NAMES``, or is a dict from a name to a
-    caller's own ``f(y, h) -> h values`` (U1). One shuffle by series; every
-    series is solved in one task.
+    ``models`` lists names of ``MODEL_NAMES``, computed as Spark expressions, or is a
+    dict from a name to a caller's own ``f(y, h) -> h values`` (U1), which gets each
+    series as one array in a grouped map: one shuffle by series, a series per task.
     """
+    if not isinstance(models, dict):
+        named = {"ARIMA": lambda: arima(df, arima_order, h, freq, cols), "AutoARIMA": lambda: auto_arima(df, h, freq, cols).drop("order")}
+        out = None
+        for name in models:
+            out = named[name]() if out is None else out.unionByName(named[name]())
+        return out
     id_type = df.schema[cols.id].dataType.simpleString()
-    own = {"ARIMA": lambda y, h: arima(y, arima_order, h), "AutoARIMA": lambda y, h: auto_arima(y, h)[0]}
-    chosen = dict(models) if isinstance(models, dict) else {name: own[name] for name in models}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(cols.ds)
         y = pdf[cols.y].astype(float).fillna(0.0).to_numpy()
         return pd.concat([pd.DataFrame({cols.id: pdf[cols.id].iloc[0], "k": np.arange(1, h + 1), "model": name,
                                         "yhat": np.asarray(f(y, h), dtype=float), "_last_ds": pdf[cols.ds].iloc[-1]})
-                          for name, f in chosen.items()])
+                          for name, f in models.items()])
 
     schema = f"{cols.id} {id_type}, k int, model string, yhat double, _last_ds timestamp_ntz"
     res = df.select(cols.id, cols.ds, cols.y).groupBy(cols.id).applyInPandas(solve, schema)
     return res.select(cols.id, step_forward(F.col("_last_ds"), F.col("k"), freq).alias(cols.ds), "model", "yhat")
-
-
-def stl_features(df: DataFrame, season_length: int, h: int, freq: str,
-                 cols: Cols = DEFAULT) -> DataFrame:
-    """STL trend/seasonal as features for history and for ``h`` future rows.
-
-    Future trend: last level plus the mean of the last ``m`` trend steps;
-    future seasonal: the last cycle repeated. One frame ``(id, ds, trend,
-    seasonal, part)`` with ``part`` history or future, so the solver runs once.
-    """
-    id_type = df.schema[cols.id].dataType.simpleString()
-    m = season_length
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cols.ds)
-        y = pdf[cols.y].astype(float).fillna(0.0).to_numpy()
-        n = len(y)
-        if n < 2 * m:
-            return pd.DataFrame(columns=[cols.id, cols.ds, "k", "trend", "seasonal"])
-        trend, season = stl(y, m)
-        slope = (trend[-1] - trend[-1 - m]) / m if n > m else 0.0
-        hist = pd.DataFrame({cols.id: pdf[cols.id].to_numpy(), cols.ds: pdf[cols.ds].to_numpy(), "k": 0,
-                             "trend": trend, "seasonal": season})
-        fut = pd.DataFrame({cols.id: pdf[cols.id].iloc[0], cols.ds: pdf[cols.ds].iloc[-1],
-                            "k": np.arange(1, h + 1),
-                            "trend": trend[-1] + slope * np.arange(1, h + 1),
-                            "seasonal": [season[n - m + ((k - 1) % m)] for k in range(1, h + 1)]})
-        return pd.concat([hist, fut])
-
-    schema = f"{cols.id} {id_type}, {cols.ds} timestamp_ntz, k int, trend double, seasonal double"
-    res = df.select(cols.id, cols.ds, cols.y).groupBy(cols.id).applyInPandas(solve, schema)
-    ahead = step_forward(F.col(cols.ds), F.col("k"), freq)
-    return res.select(cols.id, F.when(F.col("k") == 0, F.col(cols.ds)).otherwise(ahead).alias(cols.ds), "trend", "seasonal",
-                      F.when(F.col("k") == 0, "history").otherwise("future").alias("part"))

@@ -372,7 +372,14 @@ def decompose_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial autocorrelation to lag 14 (Durbin-Levinson on the ACF array)."""
     from seriesspark.operators.analysis import pacf as pacf_
-    return pacf_(tenmin_regular(Tables(spark, sf_dir)), 14)
+    return round_doubles(pacf_(tenmin_regular(Tables(spark, sf_dir)), 14), 5)
+
+
+@query
+def pacf_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D27 from the ACF on 1-day blocks; same rows as ``pacf``."""
+    from seriesspark.operators.analysis import pacf as pacf_
+    return round_doubles(pacf_(tenmin_regular(Tables(spark, sf_dir)), 14, block_size=144, freq="10min"), 5)
 
 
 @query
@@ -639,7 +646,7 @@ def mint_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(_mint(Tables(spark, sf_dir))[1], 4)
 
 
-# ------------------------------------------------------------ grouped-map solvers
+# ------------------------------------------------------------ classical models
 
 @query
 def holt_winters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -667,18 +674,35 @@ def smoothing_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def arima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ARIMA(1,1,1) per seller."""
-    from seriesspark.operators.solvers import forecast_grouped
+    """ARIMA(1,1,1) per seller from lag moments."""
+    from seriesspark.operators.arima import arima as ar
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return round_doubles(ar(train, (1, 1, 1), H_SELLER, "MS", SELLER), 3)
+
+
+@query
+def arima_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 with lags from 24-month blocks; same rows as ``arima``."""
+    from seriesspark.operators.arima import arima as ar
     train, _ = _seller_split(Tables(spark, sf_dir))
-    return forecast_grouped(train, H_SELLER, "MS", ("ARIMA",), cols=SELLER)
+    return round_doubles(ar(train, (1, 1, 1), H_SELLER, "MS", SELLER, 24), 3)
 
 
 @query
 def auto_arima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ARIMA order chosen by AICc per seller."""
+    """ARIMA order (p, q up to 5, d up to 2) by AICc per seller, from one set of moments per d."""
+    from seriesspark.operators.arima import auto_arima as aa
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    return round_doubles(aa(train, H_SELLER, "MS", SELLER), 3)
+
+
+@query
+def own_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's own functions per seller in a grouped map."""
     from seriesspark.operators.solvers import forecast_grouped
     train, _ = _seller_split(Tables(spark, sf_dir))
-    return forecast_grouped(train, H_SELLER, "MS", ("AutoARIMA",), cols=SELLER)
+    own = {"Last": lambda y, h: [y[-1]] * h, "Drift": lambda y, h: [y[-1] + (k + 1) * (y[-1] - y[0]) / (len(y) - 1) for k in range(h)]}
+    return round_doubles(forecast_grouped(train, H_SELLER, "MS", own, cols=SELLER), 4)
 
 
 @query
@@ -705,9 +729,16 @@ def classic_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stl_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STL trend/seasonal (season 3) for history and 3 future months."""
-    from seriesspark.operators.solvers import stl_features as stl
-    return stl(_seller_y(Tables(spark, sf_dir)), 3, 3, "MS", SELLER)
+    """STL trend/seasonal (season 3) for history and 3 future months, as weighted sums."""
+    from seriesspark.operators.stl import stl_features as stl
+    return round_doubles(stl(_seller_y(Tables(spark, sf_dir)), 3, 3, "MS", SELLER), 5)
+
+
+@query
+def stl_features_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W17 on 30-month blocks; same rows as ``stl_features``."""
+    from seriesspark.operators.stl import stl_features as stl
+    return round_doubles(stl(_seller_y(Tables(spark, sf_dir)), 3, 3, "MS", SELLER, 30), 5)
 
 
 # ------------------------------------------------------------ global models

@@ -914,3 +914,53 @@ ORACLES["coherence_gap"] = _MINT + """,
 gaps AS (SELECT 'base' AS stage, f.k0 AS node, any_value(f.f) - sum(g.f) AS gap FROM ad f JOIN S ON S.node = f.k0 JOIN ad g ON g.k0 = S.bottom GROUP BY 2
          UNION ALL SELECT 'reconciled', f.node, any_value(f.f) - sum(g.f) FROM rec f JOIN S ON S.node = f.node JOIN rec g ON g.node = S.bottom GROUP BY 2)
 SELECT stage, round(max(abs(gap)), 4) AS max_gap, 7 * count(*) AS n_checked FROM gaps GROUP BY 1"""
+
+
+# ---------------------------------------------------------------- ARIMA(1,1,1) by two eliminations per seller
+
+def _elimination(name: str, src: str, x: list[str], y: str, where: str, key: str = "seller_id") -> str:
+    """CTEs ending in ``{name}`` (``key``, ``b``): least squares per ``key``."""
+    k = len(x)
+    row = lambda e: "[" + ", ".join(f"sum(({e}) * ({o}))" for o in [*x, y]) + "]"
+    return f"""
+{name}_g AS (SELECT {key}, 1 AS c, [{', '.join(row(e) for e in x)}] AS m FROM {src} WHERE {where} GROUP BY 1),
+{name}_e AS (SELECT * FROM {name}_g UNION ALL
+  SELECT {key}, c + 1, list_transform(m, lambda r, i: CASE WHEN i = c THEN list_transform(r, lambda v: v / r[c])
+         ELSE list_transform(r, lambda v, j: v - r[c] * m[c][j] / m[c][c]) END) FROM {name}_e WHERE c <= {k}),
+{name} AS (SELECT {key}, list_transform(m, lambda r: r[{k + 1}]) AS b FROM {name}_e WHERE c = {k + 1})"""
+
+
+_TEN = [f"z{i}" for i in range(1, 11)]
+ORACLES["arima"] = "WITH RECURSIVE " + SELLER_SPLIT.strip() + """,
+zr AS (SELECT *, revenue - lag(revenue, 1) OVER w AS z0, row_number() OVER w AS rn FROM train WINDOW w AS (PARTITION BY seller_id ORDER BY month)),
+zl AS (SELECT *, """ + ", ".join(f"lag(z0, {i}) OVER w AS z{i}" for i in range(1, 11)) + """ FROM zr WINDOW w AS (PARTITION BY seller_id ORDER BY month)),""" \
+    + _elimination("long", "zl", ["1.0::DOUBLE", *_TEN], "z0", "rn > 11") + """,
+ze AS (SELECT zl.*, CASE WHEN rn > 11 THEN z0 - (b[1] + """ + " + ".join(f"b[{i + 2}] * {z}" for i, z in enumerate(_TEN)) + """) ELSE 0.0 END AS e0
+       FROM zl JOIN long USING (seller_id)),
+zf AS (SELECT *, lag(e0, 1) OVER (PARTITION BY seller_id ORDER BY month) AS e1 FROM ze),""" \
+    + _elimination("short", "zf", ["1.0::DOUBLE", "z1", "e1"], "z0", "rn > 12") + """,
+fin AS (SELECT seller_id, max(month) AS last_ds, arg_max(revenue, month) AS y, arg_max(z0, month) AS z, arg_max(e0, month) AS e FROM zf GROUP BY 1),
+ahead AS (SELECT seller_id, last_ds, 0 AS k, y, z, e, b FROM fin JOIN short USING (seller_id)
+          UNION ALL SELECT seller_id, last_ds, k + 1, y + b[1] + b[2] * z + b[3] * e, b[1] + b[2] * z + b[3] * e, 0.0, b FROM ahead WHERE k < 3)
+SELECT seller_id, CAST(last_ds + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS month, 'ARIMA' AS model, round(y, 3) AS yhat FROM ahead WHERE k > 0"""
+ORACLES["arima_blocked"] = ORACLES["arima"]
+
+ORACLES["own_models"] = "WITH " + SELLER_SPLIT.strip() + """,
+ends AS (SELECT seller_id, max(month) AS last_ds, arg_max(revenue, month) AS y, arg_min(revenue, month) AS y0, count(*) AS n FROM train GROUP BY 1)
+SELECT seller_id, CAST(last_ds + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS month, model,
+       round(CASE model WHEN 'Last' THEN y ELSE y + k * (y - y0) / (n - 1) END, 4) AS yhat
+FROM ends, (SELECT unnest(range(1, 4)) AS k), (SELECT unnest(['Last', 'Drift']) AS model)"""
+
+
+# ---------------------------------------------------------------- partial autocorrelation: Durbin-Levinson over 14 lags
+
+_ACF_CTES = ORACLES["acf"][:ORACLES["acf"].index("SELECT unique_id, 0 AS lag")]
+ORACLES["pacf"] = _ACF_CTES.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+ra AS (SELECT unique_id, [""" + ", ".join(f"(p{k} / (n - {k})) / (p0 / n)" for k in range(15)) + """] AS r FROM sm),
+dl AS (SELECT unique_id, r, 0 AS k, []::DOUBLE[] AS phi, 1.0::DOUBLE AS v FROM ra
+       UNION ALL
+       SELECT unique_id, r, k + 1, list_append(list_transform(phi, lambda x, i: x - w * phi[len(phi) + 1 - i]), w), w
+       FROM (SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(phi, lambda x, i: x * r[k + 2 - i])), 0))
+                       / (1 - coalesce(list_sum(list_transform(phi, lambda x, i: x * r[i + 1])), 0)) AS w FROM dl WHERE k < 14))
+SELECT unique_id, k AS lag, round(v, 5) AS pacf FROM dl"""
+ORACLES["pacf_blocked"] = ORACLES["pacf"]

@@ -2,11 +2,11 @@ import datetime as dt
 import math
 
 import numpy as np
+from dense import arima
 from pyspark.sql import functions as F
 
 from seriesspark.operators.analysis import acf, pacf, seasonal_decompose
 from seriesspark.operators.hierarchy import bottom_up, build_hierarchy, coherence_gap, mint_reconcile, shrinkage
-from seriesspark.operators.solvers import arima
 
 D = dt.datetime
 

@@ -1,4 +1,5 @@
 import importlib
+import os
 
 ENTRY = importlib.import_module("__spark_entry__")
 
@@ -88,15 +89,23 @@ def test_facts_are_read_once_and_once_for_bounds(spark):
         assert _scans(plan, "l_")[0] == 1, name
 
 
-def test_a_grouped_map_runs_from_another_folder(tmp_path):
+def test_the_package_reaches_workers_from_another_folder(tmp_path):
+    """A driver in another folder: workers have the package from the shipped archive alone."""
     import subprocess
     import sys
     from pathlib import Path
     root = Path(ENTRY.__file__).resolve().parent
     code = ("import importlib.util as u; s = u.spec_from_file_location('e', %r); e = u.module_from_spec(s); s.loader.exec_module(e)\n"
             "from pyspark.sql import SparkSession\n"
-            "spark = SparkSession.builder.master('local-cluster[1,1,1024]').config('spark.ui.enabled', 'false')"
-            ".config('spark.checkpoint.dir', %r).config('spark.executor.memory', '1g').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
-            "print('ROWS', e.queries()['stl_features'](spark, '/root/testdata/sf0.001').count())\n") % (str(root / "__spark_entry__.py"), str(tmp_path / "ck"))
-    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+            "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+            ".config('spark.checkpoint.dir', %r).config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+            "print('ROWS', e.queries()['forecast_table_fn'](spark, '/root/testdata/sf0.001').count())\n"
+            "def where(batches):\n"
+            "    import pandas, seriesspark\n"
+            "    for _ in batches: pass\n"
+            "    yield pandas.DataFrame({'f': [seriesspark.__file__]})\n"
+            "print('FROM', spark.range(1).coalesce(1).mapInPandas(where, 'f string').first()[0])\n") % (str(root / "__spark_entry__.py"), str(tmp_path / "ck"))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env=env)
     assert "ROWS" in run.stdout, run.stderr[-2000:]
+    assert "seriesspark.zip" in run.stdout.split("FROM")[1], run.stdout

@@ -2,12 +2,13 @@ import datetime as dt
 import json
 
 import numpy as np
+from dense import arima, auto_arima, stl
 from pyspark.sql import functions as F
 
 from seriesspark.functions.contracts import Cols
 from seriesspark.operators.ml import parse_payload, scoring_payload
 from seriesspark.operators.smoothing import adida, holt_winters
-from seriesspark.operators.solvers import arima, auto_arima, forecast_grouped, stl
+from seriesspark.operators.solvers import forecast_grouped
 from seriesspark.operators.sqlfn import register_forecast_table
 
 D = dt.datetime
