@@ -13,19 +13,19 @@ stays, other texts under the same id are documents of their own; a null
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesspark.llm import decontam, mixing, near_dup, quality, token_files
 from seriesspark.llm.common import materialize, table
 from seriesspark.llm.queries import tokenizer_path
 
-ROW_KEY = "_row_key"
+ROW_KEY, CHECK = "_row_key", "_row_check"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Every row with a key made of its id and text, never null."""
-    return docs.withColumn(ROW_KEY, F.xxhash64("doc_id", "text"))
+    """Every row with two 64-bit hashes of its id and text, never null: a key, and a second one that tells rows apart whose keys clash."""
+    return docs.withColumns({ROW_KEY: F.xxhash64("doc_id", "text"), CHECK: F.xxhash64(F.lit("row"), "text", "doc_id")})
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     group = near_dup.near_duplicates(keyed, key=ROW_KEY, shingle=5, percent=80) \
         .where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(ROW_KEY), "component_id").distinct()
     ids = materialize(keyed.select(ROW_KEY, "doc_id").join(group, ROW_KEY).distinct(), "groups")
-    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW_KEY))[ROW_KEY].alias("_first"))
+    # a written table: a component of any size can then be split when its rows meet it
+    first = materialize(ids.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW_KEY))[ROW_KEY].alias("_first")), "first-rows")
     gone = ids.join(first, "component_id").where(F.col(ROW_KEY) != F.col("_first")).select(F.col(ROW_KEY).alias("_gone"))
     left = keyed.join(gone, F.col(ROW_KEY) == F.col("_gone"), "left_anti")
-    # repeated rows: one stays; rows without an id are told apart by a number
-    row = Window.partitionBy(ROW_KEY, F.when(F.col(ROW_KEY).isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(*docs.columns))
-    return left.withColumn("_nth", F.row_number().over(row)).where("_nth = 1").select(*docs.columns)
+    # repeated rows: one stays, by partial aggregates over the rows that repeat; rows without an id all stay
+    same = [ROW_KEY, CHECK]
+    often = materialize(left.where(F.col(ROW_KEY).isNotNull()).groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").select(*same), "repeated-rows")
+    once = left.join(often, same, "left_anti").select(*docs.columns)
+    one = left.join(often, same, "left_semi").groupBy(*same).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return once.unionByName(one.select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +64,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources meet their targets."""
     keyed = _keyed(docs)
-    mix = mixing.pareto_mix(keyed, mixing.word_count(F.col("text")), key=ROW_KEY)
-    copies = mix.groupBy(F.col("doc_id").alias(ROW_KEY)).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    one = keyed.dropDuplicates([ROW_KEY]).join(copies, ROW_KEY)
+    mix = mixing.pareto_mix(keyed, mixing.word_count(F.col("text")), key=ROW_KEY, carry=(CHECK,))
+    copies = mix.groupBy(F.col("doc_id").alias(ROW_KEY), CHECK).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    one = keyed.dropDuplicates([ROW_KEY, CHECK]).join(copies, [ROW_KEY, CHECK])
     return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
