@@ -824,8 +824,8 @@ def knn_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesspark.operators.ml import knn_regress
     train, test = _canon_split(Tables(spark, sf_dir))
     feats = ["lag1", "lag7", "lag14", "expanding_mean_lag7"]
-    return knn_regress(train, test.select("unique_id", "ds", "y", *feats), feats, 5, "y",
-                       ["unique_id", "ds"]).select("unique_id", "ds", "y", "knn")
+    return round_doubles(knn_regress(train, test.select("unique_id", "ds", "y", *feats), feats, 5, "y",
+                                     ["unique_id", "ds"]).select("unique_id", "ds", "y", "knn"))
 
 
 @query
@@ -857,6 +857,20 @@ def forecast_table_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
           time_col => 'ds', value_col => 'y', group_col => 'unique_id')"""))
 
 
+@query
+def forecast_table_fn_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL table function with another model and a monthly grid."""
+    from seriesspark.operators.sqlfn import register_forecast_table
+    register_forecast_table(spark)
+    train, _ = _seller_split(Tables(spark, sf_dir))
+    train.createOrReplaceTempView("seller_train_view")
+    return round_doubles(spark.sql("""
+        SELECT * FROM ts_forecast(
+          TABLE(SELECT seller_id, month, revenue FROM seller_train_view) PARTITION BY seller_id ORDER BY month,
+          horizon => '2001-12-01', frequency => 'MS', time_col => 'month', value_col => 'revenue', group_col => 'seller_id',
+          model => 'SeasonalNaive', season_length => 12)"""))
+
+
 # ------------------------------------------------------------ small relational operators
 
 @query

@@ -964,3 +964,22 @@ dl AS (SELECT unique_id, r, 0 AS k, []::DOUBLE[] AS phi, 1.0::DOUBLE AS v FROM r
                        / (1 - coalesce(list_sum(list_transform(phi, lambda x, i: x * r[i + 1])), 0)) AS w FROM dl WHERE k < 14))
 SELECT unique_id, k AS lag, round(v, 5) AS pacf FROM dl"""
 ORACLES["pacf_blocked"] = ORACLES["pacf"]
+
+
+# ---------------------------------------------------------------- nearest neighbours, all pairs
+
+_KNN = ["lag1", "lag7", "lag14", "expanding_mean_lag7"]
+ORACLES["knn_forecast"] = "WITH lf AS (" + ORACLES["lag_features"] + """),
+lab AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) <= 7 AS is_test FROM lf),
+st AS (SELECT """ + ", ".join(f"avg({f}) AS m{i}, 1.0::DOUBLE / stddev_pop({f}) AS s{i}" for i, f in enumerate(_KNN)) + """ FROM lab WHERE NOT is_test),
+z AS MATERIALIZED (SELECT unique_id, ds, y, is_test, """ + ", ".join(f"({f} - m{i}) * s{i} AS x{i}" for i, f in enumerate(_KNN)) + """ FROM lab, st),
+near AS (SELECT q.unique_id, q.ds, q.y, arg_min(t.y, {'d': round(sqrt(""" + " + ".join(f"(q.x{i} - t.x{i}) ** 2" for i in range(4)) + """), 9), 'u': t.unique_id, 't': t.ds}, 5) AS n
+         FROM (SELECT * FROM z WHERE is_test) q, (SELECT * FROM z WHERE NOT is_test) t GROUP BY 1, 2, 3)
+SELECT unique_id, ds, y, round(list_avg(n), 6) AS knn FROM near"""
+
+ORACLES["forecast_table_fn_seasonal"] = "WITH " + SELLER_SPLIT.strip() + """,
+g AS (SELECT s.*, unnest(range(1, date_diff('month', s.last_ds, TIMESTAMP '2001-12-01'))) AS k FROM summ s WHERE n >= 12)
+SELECT CAST(g.seller_id AS VARCHAR) AS grp, CAST(g.last_ds + to_months(CAST(g.k AS INTEGER)) AS TIMESTAMP) AS ds, round(tr.revenue, 6) AS forecast,
+       round(tr.revenue - 1.2815515655446004 * sqrt(s2s) * sqrt(floor((g.k - 1) / 12) + 1), 6) AS lower,
+       round(tr.revenue + 1.2815515655446004 * sqrt(s2s) * sqrt(floor((g.k - 1) / 12) + 1), 6) AS upper
+FROM g JOIN tr ON tr.seller_id = g.seller_id AND tr.rd = 12 - ((g.k - 1) % 12)"""
