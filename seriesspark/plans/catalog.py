@@ -211,7 +211,7 @@ def quantile_forecast_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = seller_panel(Tables(spark, sf_dir), 8)
     covs = ["order_count", "avg_price", "avg_freight", "avg_delivery_days", "avg_review_score"]
     train, _ = train_test(panel.select("seller_id", "month", "revenue", *covs), H_SELLER, SELLER)
-    return round_doubles(qfc(train, covs, H_SELLER, "MS", cols=SELLER))
+    return round_doubles(qfc(train, covs, H_SELLER, "MS", cols=SELLER), 2)
 
 
 # ------------------------------------------------------------ daily panel and features
@@ -1030,17 +1030,23 @@ def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+CSV_SUMS = {"orders": "o_totalprice", "lineitem": "l_extendedprice", "customer": "c_custkey", "supplier": "s_suppkey"}
+
+
 @query
 def csv_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables written as CSV, read back as a named set with schemas, profiled and sampled."""
+    """Fact and dimension tables written as CSV, read back as a named set with schemas, profiled, summed and sampled."""
     from seriesspark.sources.tables import read_csv_set, sample_rows, table_profile
     t, folder = Tables(spark, sf_dir), _run_folder(spark)
-    names = ("nation", "region")
-    for n in names:
-        t[n].write.option("header", True).csv(f"{folder}/{n}")
-    frames = read_csv_set(spark, {n: f"{folder}/{n}" for n in names}, {n: t[n].schema for n in names})
-    picked = sample_rows(frames["nation"], 5, 7, "n_nationkey").count()
-    return table_profile(frames).withColumn("sampled", F.lit(picked))
+    for n in CSV_SUMS:
+        t[n].write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/{n}")
+    frames = read_csv_set(spark, {n: f"{folder}/{n}" for n in CSV_SUMS}, {n: t[n].schema for n in CSV_SUMS})
+    sums = None
+    for n, c in CSV_SUMS.items():
+        one = frames[n].agg(F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias("total")).withColumn("table", F.lit(n))
+        sums = one if sums is None else sums.unionByName(one)
+    picked = sample_rows(frames["orders"], 5, 7, "o_orderkey").count()
+    return table_profile(frames).join(sums, "table").withColumn("sampled", F.lit(picked))
 
 
 @query

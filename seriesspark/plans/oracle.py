@@ -724,10 +724,16 @@ UNION ALL SELECT seller_id, month, revenue, 'train' FROM train
 ORACLES["metrics_log"] = "WITH m AS (" + ORACLES["approach_comparison"] + """)
 SELECT approach || '_' || metric AS metric, value, 'run-1' AS run FROM (UNPIVOT m ON COLUMNS(* EXCLUDE (approach)) INTO NAME metric VALUE value)
 """
-ORACLES["csv_set"] = """
-SELECT 'nation' AS "table", count(*) AS n_rows, 'n_nationkey, n_name, n_regionkey' AS columns, 5 AS sampled FROM nation
-UNION ALL SELECT 'region', count(*), 'r_regionkey, r_name', 5 FROM region
-"""
+_CSV = {
+    "orders": ("o_totalprice", "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"),
+    "lineitem": ("l_extendedprice", "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
+                                    "l_returnflag, l_linestatus, l_shipdate"),
+    "customer": ("c_custkey", "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"),
+    "supplier": ("s_suppkey", "s_suppkey, s_name, s_nationkey, s_acctbal"),
+}
+ORACLES["csv_set"] = "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS "table", count(*) AS n_rows, '{names}' AS columns, CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) AS total, 5 AS sampled FROM {t}"""
+    for t, (c, names) in _CSV.items())
 ORACLES["display_values"] = "WITH " + SELLER_SPLIT + """,
 l AS (SELECT seller_id, arg_max(revenue, month) AS p FROM train GROUP BY 1),
 v AS (SELECT seller_id, revenue AS x FROM test UNION ALL SELECT t.seller_id, l.p FROM test t JOIN l USING (seller_id))
@@ -739,20 +745,20 @@ SELECT seller_id, count(x) AS n_values, round(greatest(0.0::DOUBLE, min(x) * 0.9
 
 # ---------------------------------------------------------------- linear models by normal equations
 
-def normal_equations(src: str, feats: list[str], y: str) -> str:
-    """CTEs ending in ``beta`` (``b``: intercept, then the coefficients) of least squares on ``src``: the
+def normal_equations(src: str, feats: list[str], y: str, p: str = "") -> str:
+    """CTEs ending in ``{p}beta`` (``b``: intercept, then the coefficients) of least squares on ``src``: the
     moments as one list of rows, then Gauss-Jordan elimination, a recursion step per column."""
     k = len(feats) + 1
     x = ["1.0", *feats]
     row = lambda i: "[" + ", ".join(f"sum(({x[i]})::DOUBLE * ({e})::DOUBLE)" for e in [*x, y]) + "]"
     return f"""
-gram AS (SELECT [{', '.join(row(i) for i in range(k))}] AS m FROM {src}),
-elim AS (
-  SELECT 1 AS c, m FROM gram UNION ALL
+{p}gram AS (SELECT [{', '.join(row(i) for i in range(k))}] AS m FROM {src}),
+{p}elim AS (
+  SELECT 1 AS c, m FROM {p}gram UNION ALL
   SELECT c + 1, list_transform(m, lambda r, i: CASE WHEN i = c THEN list_transform(r, lambda v: v / r[c])
                 ELSE list_transform(r, lambda v, j: v - r[c] * m[c][j] / m[c][c]) END)
-  FROM elim WHERE c <= {k}),
-beta AS (SELECT list_transform(m, lambda r: r[{k + 1}]) AS b FROM elim WHERE c = {k + 1})"""
+  FROM {p}elim WHERE c <= {k}),
+{p}beta AS (SELECT list_transform(m, lambda r: r[{k + 1}]) AS b FROM {p}elim WHERE c = {k + 1})"""
 
 
 def _linear(feats: list[str]) -> str:
@@ -983,3 +989,20 @@ SELECT CAST(g.seller_id AS VARCHAR) AS grp, CAST(g.last_ds + to_months(CAST(g.k
        round(tr.revenue - 1.2815515655446004 * sqrt(s2s) * sqrt(floor((g.k - 1) / 12) + 1), 6) AS lower,
        round(tr.revenue + 1.2815515655446004 * sqrt(s2s) * sqrt(floor((g.k - 1) / 12) + 1), 6) AS upper
 FROM g JOIN tr ON tr.seller_id = g.seller_id AND tr.rd = 12 - ((g.k - 1) % 12)"""
+
+
+# ---------------------------------------------------------------- covariate quantile forecast: a least-squares fit per step, on centred features
+
+_COV = ["revenue", "order_count", "avg_price", "avg_freight", "avg_delivery_days", "avg_review_score"]
+_CEN = [f"c{i}" for i in range(len(_COV))]
+ORACLES["quantile_forecast_covariates"] = "WITH RECURSIVE " + seller_panel_ctes(8) + """,
+tc AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY seller_id ORDER BY month DESC) > 3),
+st AS (SELECT seller_id, month, """ + ", ".join(f"{f}::DOUBLE - avg({f}) OVER () AS c{i}" for i, f in enumerate(_COV)) + """,
+              """ + ", ".join(f"lead(revenue, {k}) OVER w::DOUBLE AS t{k}" for k in (1, 2, 3)) + """, lead(month) OVER w IS NULL AS is_last
+       FROM tc WINDOW w AS (PARTITION BY seller_id ORDER BY month)),""" + ",".join(
+    normal_equations(f"(SELECT * FROM st WHERE t{k} IS NOT NULL AND {' AND '.join(c + ' IS NOT NULL' for c in _CEN)})", _CEN, f"t{k}", f"k{k}") for k in (1, 2, 3)) + """,
+sc AS (""" + " UNION ALL ".join(f"SELECT seller_id, month, {k} AS k, t{k} AS t, is_last, {_linear(_CEN)} AS p FROM st, k{k}beta" for k in (1, 2, 3)) + """),
+qs AS (SELECT seller_id, k, quantile_cont(t - p, [0.1, 0.5, 0.9]) AS q FROM sc WHERE t IS NOT NULL GROUP BY 1, 2)
+SELECT sc.seller_id, CAST(month + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS month, round(p, 2) AS predictions,
+       round(p + q[1], 2) AS "0.1", round(p + q[2], 2) AS "0.5", round(p + q[3], 2) AS "0.9"
+FROM sc JOIN qs USING (seller_id, k) WHERE is_last"""
