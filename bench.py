@@ -27,10 +27,10 @@ HEADLINE = ["seller_monthly_panel", "lag_features", "window_arrays", "cv_naive",
 
 
 def _daily_windows(spark, sf_dir):
-    """Daily panel, input 104, horizon 52, a window per week."""
+    """Daily panel, input 104, horizon 52, a window per day."""
     from seriesspark.operators.windows import window_arrays
     from seriesspark.plans.catalog import daily_filled
-    return window_arrays(daily_filled(Tables(spark, sf_dir)), 104, 52, 7)
+    return window_arrays(daily_filled(Tables(spark, sf_dir)), 104, 52, 1)
 
 
 def _daily_cv(spark, sf_dir):

@@ -11,11 +11,12 @@ when ``(n-H-c) % step == 0``; the count is ``floor((n-H-L)/step)+1`` when
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesspark.functions.contracts import DEFAULT, Cols
 from seriesspark.functions.frequency import step_forward
+from seriesspark.operators.forecast import positions
 
 
 def window_count(n: int, input_size: int, h: int, step: int = 1, legacy: bool = False) -> int:
@@ -25,49 +26,47 @@ def window_count(n: int, input_size: int, h: int, step: int = 1, legacy: bool =
     return (n - h - input_size) // step + 1 if n >= input_size + h else 0
 
 
+CHUNK = 1024  # cutoffs whose values meet in one row, at least
+
+
+def _legal(input_size: int, h: int, step: int):
+    """Whether a row position is a cutoff, from ``_rn`` and ``_n``."""
+    return (F.col("_rn") >= input_size) & (F.col("_rn") <= F.col("_n") - h) & ((F.col("_n") - h - F.col("_rn")) % step == 0)
+
+
+def _chunks(rn, size: int, before: int, after: int):
+    """Chunks of ``size`` cutoffs that need row ``rn``: those of cutoffs from ``rn - after`` to ``rn + before``."""
+    last = F.floor((F.col("_n") - 1) / size)
+    return F.sequence(F.greatest(F.floor((rn - after - 1) / size), F.lit(0)), F.least(F.floor((rn + before - 1) / size), last))
+
+
 def window_arrays(df: DataFrame, input_size: int, h: int, step: int = 1,
                   cols: Cols = DEFAULT, element_type: str = "float",
                   block_size: int | None = None, freq: str | None = None) -> DataFrame:
     """``(id, cutoff, input, output)`` for every legal window.
 
-    Values are collected as structs so a NULL ``y`` keeps its slot
-    (``collect_list`` would silently shorten the window). With ``block_size``
-    and ``freq`` (regular grid) the frames are evaluated on time blocks with
-    an ``L-1`` look-back and ``H`` look-ahead halo, and row positions come
-    from the grid index, so no series is confined to one task.
+    Rows are dealt into chunks of ``block_size`` cutoffs with the ``L-1`` rows before
+    and ``H`` rows after them; a chunk is one ordered array, from which its windows are
+    sliced. So a row holds some thousand values whatever the series' length. With
+    ``freq`` (regular grid) positions come from the grid index, so that no series is
+    confined to one task; without it from a row number per series. A NULL ``y`` keeps its slot.
     """
-    y = cols.y
-
-    def frames(w):
-        return {"_in": F.collect_list(F.struct(F.col(y).alias("v"))).over(w.rowsBetween(-(input_size - 1), 0)),
-                "_out": F.collect_list(F.struct(F.col(y).alias("v"))).over(w.rowsBetween(1, h))}
-
-    if block_size:
-        from seriesspark.functions.frequency import step_index
-        from seriesspark.operators.features import blocked_window
-        idx = step_index(F.col(cols.ds), freq)
-        bounds = df.groupBy(cols.id).agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"))
-        ev = blocked_window(df.select(cols.id, cols.ds, cols.y), cols, freq, block_size, input_size - 1,
-                            frames, halo_forward=h)
-        staged = (ev.join(bounds, cols.id, "inner")
-                  .select(cols.id, cols.ds, (idx - F.col("_lo") + 1).alias("_rn"),
-                          (F.col("_hi") - F.col("_lo") + 1).alias("_n"), "_in", "_out"))
-    else:
-        # one ordered array per series; only the legal cutoffs are cut out of it
-        s = df.groupBy(cols.id).agg(F.sort_array(F.collect_list(F.struct(F.col(cols.ds).alias("t"), F.col(y).alias("v")))).alias("_s"))
-        n = F.size("_s")
-        first = F.pmod(n - h - input_size, F.lit(step)) + input_size
-        values = lambda at, k: F.transform(F.slice("_s", at, k), lambda p: p["v"]).cast(f"array<{element_type}>")
-        cuts = F.transform(F.sequence(first, n - h, F.lit(step)), lambda c: F.struct(
-            F.get("_s", c - 1)["t"].alias("cutoff"), values(c - input_size + 1, input_size).alias("input"), values(c + 1, h).alias("output")))
-        return s.where(n >= input_size + h).select(cols.id, F.inline(cuts))
-    keep = ((F.col("_rn") >= input_size) & (F.col("_rn") <= F.col("_n") - h)
-            & (((F.col("_n") - h - F.col("_rn")) % step) == 0))
-    return (staged.filter(keep)
-            .select(cols.id, F.col(cols.ds).alias("cutoff"),
-                    F.transform("_in", lambda s: s["v"]).cast(f"array<{element_type}>").alias("input"),
-                    F.transform("_out", lambda s: s["v"]).cast(f"array<{element_type}>").alias("output"))
-            .filter((F.size("input") == input_size) & (F.size("output") == h)))
+    size = block_size or max(CHUNK, 4 * (input_size + h))
+    ranked = positions(df, cols, freq, size if freq else None).where(F.col("_n") >= input_size + h)
+    rn = F.col("_rn")
+    dealt = ranked.withColumn("_chunk", F.explode(_chunks(rn, size, input_size - 1, h)))
+    s = dealt.groupBy(cols.id, "_chunk").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(
+        F.struct(rn.alias("rn"), F.col(cols.ds).alias("t"), F.col(cols.y).alias("v")))).alias("_s"))
+    s = s.withColumn("_at", F.get("_s", F.lit(0))["rn"])   # position of the chunk's first row
+    lo = F.greatest(F.col("_chunk") * size + 1, F.lit(input_size))
+    lo = lo + F.pmod(F.col("_n") - h - lo, F.lit(step))
+    hi = F.least((F.col("_chunk") + 1) * size, F.col("_n") - h)
+    values = lambda at, k: F.transform(F.slice("_s", at.cast("int"), k), lambda p: p["v"]).cast(f"array<{element_type}>")
+    place = lambda c: c - F.col("_at") + 1
+    cuts = F.transform(F.sequence(lo, hi, F.lit(step).cast("bigint")), lambda c: F.struct(
+        F.get("_s", (c - F.col("_at")).cast("int"))["t"].alias("cutoff"), values(place(c) - input_size + 1, input_size).alias("input"),
+        values(place(c) + 1, h).alias("output")))
+    return s.where(lo <= hi).select(cols.id, F.inline(cuts))
 
 
 def windows_long(arrays: DataFrame, input_size: int, freq: str, cols: Cols = DEFAULT) -> DataFrame:
@@ -87,23 +86,23 @@ def windows_long(arrays: DataFrame, input_size: int, freq: str, cols: Cols = DEF
 
 
 def windows_range_join(df: DataFrame, input_size: int, h: int, step: int = 1,
-                       cols: Cols = DEFAULT) -> DataFrame:
+                       cols: Cols = DEFAULT, freq: str | None = None) -> DataFrame:
     """Long windows by a bounded range join on ``(id, rn)``.
 
-    Each cutoff row is joined to the rows with ``rn`` in ``(c-L, c+H]`` of
-    the same series through an equality on ``(id, rn)``: every cutoff emits
-    exactly ``L+H`` join keys, so the join never pairs whole series.
+    Cutoff ``c`` is joined to the rows with ``rn`` in ``(c-L, c+H]`` of its series. Both sides
+    meet by ``(id, chunk)`` with chunks of ``L+H`` positions: a cutoff is sent once, a
+    row to the two or three chunks whose cutoffs can reach it, and a chunk tests at most three
+    pairs per result. With ``freq`` (regular grid) positions come from the grid index.
     """
-    w = Window.partitionBy(cols.id).orderBy(cols.ds)
-    n = F.count(F.lit(1)).over(Window.partitionBy(cols.id))
-    ranked = df.select(cols.id, cols.ds, cols.y, F.row_number().over(w).alias("_rn"), n.alias("_n"))
-    cut = (ranked.filter((F.col("_rn") >= input_size) & (F.col("_rn") <= F.col("_n") - h)
-                         & (((F.col("_n") - h - F.col("_rn")) % step) == 0))
-           .select(F.col(cols.id).alias("_cid"), F.col("_rn").alias("_c"), F.col(cols.ds).alias("cutoff"))
-           .withColumn("_off", F.explode(F.sequence(F.lit(-(input_size - 1)), F.lit(h)))))
-    j = cut.join(ranked, (F.col("_cid") == F.col(cols.id)) & (F.col("_rn") == F.col("_c") + F.col("_off")))
+    size = input_size + h
+    ranked = positions(df, cols, freq, size if freq else None)
+    cut = ranked.filter(_legal(input_size, h, step)).select(
+        F.col(cols.id).alias("_cid"), F.col("_rn").alias("_c"), F.col(cols.ds).alias("cutoff"), F.floor((F.col("_rn") - 1) / size).alias("_cc"))
+    rows = ranked.withColumn("_chunk", F.explode(_chunks(F.col("_rn"), size, input_size - 1, h)))
+    j = cut.join(rows, (F.col("_cid") == F.col(cols.id)) & (F.col("_cc") == F.col("_chunk"))
+                 & (F.col("_rn") > F.col("_c") - input_size) & (F.col("_rn") <= F.col("_c") + h))
     return j.select(cols.id, cols.ds, cols.y, "cutoff",
-                    F.when(F.col("_off") <= 0, "input").otherwise("output").alias("data_type"))
+                    F.when(F.col("_rn") <= F.col("_c"), "input").otherwise("output").alias("data_type"))
 
 
 def sequence_pairs(long: DataFrame, input_size: int, output_size: int,
