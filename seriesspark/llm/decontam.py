@@ -9,7 +9,8 @@ them with the offset-adjusted postings of the next rarer term until none or all
 terms are used. What is left are exact starts of the phrase. With ``slop`` a term
 may stand up to that many words away from its place (proximity matches).
 
-``vocabulary`` restricts the stored postings to the terms of a benchmark.
+The index holds the postings of all terms, so one index serves any benchmark. Items are
+cut into pieces that overlap by a window less one word, and pieces fill chunks.
 
 Defined cases: a null or wordless text has no words and no matches; a null item
 has no phrase; an item shorter than the window is one phrase; an item with a null
@@ -31,7 +32,8 @@ from . import kernel as K
 from .common import materialize, running_totals
 
 SEGMENT_BYTES = 8 << 20     # text per index segment
-CHUNK_WORDS = 500_000       # benchmark words that are broadcast at once (4 MB of hashes)
+CHUNK_WORDS = 4 << 20       # benchmark words that are broadcast at once (32 MB of hashes)
+PIECE_WORDS = 1 << 16       # words of an item's piece
 SEGMENTS = "segment string, doc_ids array<bigint>, n_words array<bigint>, firsts binary, terms binary, offsets binary, postings binary"
 MATCHES = "segment string, row int, item_id bigint, spans array<struct<start:bigint,end:bigint>>"
 
@@ -43,31 +45,21 @@ def _words(column: pa.Array, a: int, b: int):
     return K.word_hashes(data, starts, ends), first
 
 
-def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
-                vocabulary: np.ndarray | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Index segments of ``docs``; write them before matching, so their names are fixed."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
         for batch in batches:
             data_offsets = K.utf8(batch.column("text"))[1]
             for a, b in K.slices(data_offsets, segment_bytes):
                 h, first = _words(batch.column("text"), a, b)
-                if known is None:
-                    terms, code = np.unique(h, return_inverse=True)
-                    at = np.arange(len(h))
-                else:
-                    place = np.minimum(np.searchsorted(known.value, h), max(len(known.value) - 1, 0))
-                    at = np.flatnonzero(known.value[place] == h) if len(known.value) else np.zeros(0, np.int64)
-                    terms, code = np.unique(place[at], return_inverse=True)
-                    terms = known.value[terms] if len(terms) else np.zeros(0, np.uint64)
+                terms, code = np.unique(h, return_inverse=True)
                 order = np.argsort(code.astype(np.int32), kind="stable")
                 sizes = np.bincount(code, minlength=len(terms))
                 row = [uuid.uuid4().hex, batch.column("doc_id").slice(a, b - a).to_pylist(), np.diff(first).tolist(),
                        first.astype("<i8").tobytes(), terms.astype("<u8").tobytes(),
                        np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes(),
-                       at[order].astype("<u4").tobytes()]
+                       order.astype("<u4").tobytes()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], t) for x, t in zip(row, [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 4],
                                                       strict=True)],
@@ -76,22 +68,40 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(segments, SEGMENTS)
 
 
-def item_terms(items: DataFrame, *, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id, n_terms, terms`` (packed term hashes) of items that have words."""
+def item_terms(items: DataFrame, window: int, *, key: str = "item_id", text: str = "text") -> DataFrame:
+    """``item_id, n_terms, terms`` (packed term hashes) of the pieces of items that have words; every window lies in one piece."""
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, first = _words(batch.column("text"), 0, batch.num_rows)
-            n = np.diff(first)
-            packed = [h[first[i]:first[i + 1]].astype("<u8").tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
-                                             names=["item_id", "n_terms", "terms"])
+            owner, packed = [], []
+            for i in range(batch.num_rows):
+                item = h[first[i]:first[i + 1]].astype("<u8")
+                for s in range(0, max(1, len(item) - window + 1) if len(item) else 0, PIECE_WORDS):
+                    owner.append(i)
+                    packed.append(item[s:s + PIECE_WORDS + window - 1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(owner, pa.int64())), pa.array([len(x) // 8 for x in packed], pa.int64()),
+                                              pa.array(packed, pa.binary())], names=["item_id", "n_terms", "terms"])
     rows = items.select(F.col(key).cast("bigint").alias("item_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(tokens, "item_id bigint, n_terms bigint, terms binary").where("n_terms > 0")
+    return rows.mapInArrow(tokens, "item_id bigint, n_terms bigint, terms binary")
+
+
+class Phrases:
+    """The windows of a chunk's pieces: terms in one array, first term and length of each window, and its piece."""
 
+    def __init__(self, pieces: list[tuple[int | None, bytes]], window: int):
+        arrays = [np.frombuffer(t, "<u8") for _, t in pieces]
+        self.ids = [i for i, _ in pieces]
+        self.terms = np.concatenate([np.zeros(0, np.uint64), *arrays])
+        n = np.array([len(a) for a in arrays], np.int64)
+        counts = np.maximum(1, n - window + 1)
+        self.start = K.ranges(np.cumsum(n) - n, counts)
+        self.piece = np.repeat(np.arange(len(n)), counts)
+        self.length = np.minimum(n, window)[self.piece]
 
-def phrases(item: np.ndarray, window: int) -> Iterator[np.ndarray]:
-    for s in range(max(1, len(item) - window + 1)):
-        yield item[s:s + window]
+    def present(self, term_ids: np.ndarray) -> np.ndarray:
+        """Windows whose terms all occur, from the terms' ids (-1: does not)."""
+        missing = np.concatenate([[0], np.cumsum(term_ids < 0)])
+        return np.flatnonzero(missing[self.start + self.length] == missing[self.start])
 
 
 class Segment:
@@ -143,20 +153,18 @@ def match_chunk(index: DataFrame, items: list[tuple[int | None, bytes]], *, wind
     sent = index.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = [(i, np.frombuffer(t, "<u8")) for i, t in sent.value]
+        chunk = Phrases(sent.value, window)
         for batch in batches:
             for r in batch.to_pylist():
                 seg = Segment(r["firsts"], r["terms"], r["offsets"], r["postings"])
                 found: dict[tuple[int, int | None], list] = {}
-                for item_id, terms in chunk:
-                    ids = seg.lookup(terms)
-                    for s, phrase in enumerate(phrases(ids, window)):
-                        if (phrase < 0).any():
-                            continue
-                        for p in seg.starts(phrase, slop).tolist():
-                            row = int(np.searchsorted(seg.firsts, p, "right")) - 1
-                            p -= int(seg.firsts[row])
-                            found.setdefault((row, item_id), []).append((p, p + len(phrase)))
+                ids = seg.lookup(chunk.terms)
+                for w in chunk.present(ids).tolist():
+                    s, n = int(chunk.start[w]), int(chunk.length[w])
+                    for p in seg.starts(ids[s:s + n], slop).tolist():
+                        row = int(np.searchsorted(seg.firsts, p, "right")) - 1
+                        p -= int(seg.firsts[row])
+                        found.setdefault((row, chunk.ids[chunk.piece[w]]), []).append((p, p + n))
                 keys = list(found)
                 spans = [[{"start": s, "end": e} for s, e in merged(found[k])] for k in keys]
                 yield pa.RecordBatch.from_arrays(
@@ -179,19 +187,16 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                   item_text: str = "text", window: int = 10, slop: int = 0, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``doc_id, n_words, n_hit, items`` (ids as sorted strings) for every document row."""
-    items = running_totals(item_terms(benchmark, key=item_key, text=item_text), [F.col("item_id"), F.xxhash64("terms")],
+    items = running_totals(item_terms(benchmark, window, key=item_key, text=item_text), [F.col("item_id"), F.xxhash64("terms")],
                            {"before": F.col("n_terms")}, name="items")
     items = materialize(items.withColumn("chunk", F.floor(F.col("before") / chunk_words)), "chunks")
     last = items.agg(F.max("chunk")).first()[0]
     n_chunks = 0 if last is None else int(last) + 1
 
-    def read_chunk(c: int) -> list[tuple[int | None, bytes]]:  # at most chunk_words words and one item
+    def read_chunk(c: int) -> list[tuple[int | None, bytes]]:  # at most chunk_words words and one piece
         return [(r["item_id"], bytes(r["terms"])) for r in items.where(F.col("chunk") == c).select("item_id", "terms").collect()]
 
-    vocabulary = None  # a benchmark of one chunk needs the postings of its own terms only
-    if n_chunks <= 1:
-        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(t, "<u8") for _, t in read_chunk(0)]]))
-    index = materialize(build_index(docs, key=key, text=text, vocabulary=vocabulary), "index")
+    index = materialize(build_index(docs, key=key, text=text), "index")
     found = None
     for c in range(n_chunks):
         m = match_chunk(index, read_chunk(c), window=window, slop=slop)
