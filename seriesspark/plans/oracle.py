@@ -1006,3 +1006,54 @@ qs AS (SELECT seller_id, k, quantile_cont(t - p, [0.1, 0.5, 0.9]) AS q FROM sc W
 SELECT sc.seller_id, CAST(month + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS month, round(p, 2) AS predictions,
        round(p + q[1], 2) AS "0.1", round(p + q[2], 2) AS "0.5", round(p + q[3], 2) AS "0.9"
 FROM sc JOIN qs USING (seller_id, k) WHERE is_last"""
+
+
+# ---------------------------------------------------------------- STL with season 3, by tricube lines over the nearest 7 (or 3) values
+# All panels are longer than seven cycles, so every smoother has its full span.
+
+def _tricube_rows(span: int, beyond: int) -> str:
+    """Weights of ``span`` neighbours for the local line at places ``-beyond .. span - 1 + beyond`` among them, as a SQL list."""
+    rows = []
+    for x0 in range(-beyond, span + beyond):
+        top = max(abs(x0), abs(span - 1 - x0)) * 1.000001
+        w = [(1 - (abs(i - x0) / top) ** 3) ** 3 for i in range(span)]
+        mean = sum(a * i for i, a in enumerate(w)) / sum(w)
+        spread = sum(a * (i - mean) ** 2 for i, a in enumerate(w))
+        # the line through the weighted mean; flat if all weight lies on one place
+        rows.append([a / sum(w) + (a * (i - mean) * (x0 - mean) / spread if spread > 1e-12 else 0.0) for i, a in enumerate(w)])
+    return str(rows) + "::DOUBLE[][]"
+
+
+def _smoothed(x: str, span: int, beyond: int) -> str:
+    first = f"greatest(0, least(i - {span // 2}, len({x}) - {span}))"
+    return (f"[list_sum([{x}[{first} + j] * w{span}_{beyond}[i - {first} + {beyond + 1}][j] FOR j IN range(1, {span + 1})]) "
+            f"FOR i IN range({-beyond}, len({x}) + {beyond})]")
+
+
+def _stl_round(k: int) -> str:
+    ma = lambda x: f"[({x}[i] + {x}[i + 1] + {x}[i + 2]) / 3 FOR i IN range(1, len({x}) - 1)]"
+    subs = ", ".join(f"[u[{p} + 3 * j] FOR j IN range(0, (len(u) - {p}) // 3 + 1)] AS v{p}" for p in (1, 2, 3))
+    return f"""
+q{k}a AS (SELECT *, [y[i] - trend[i] FOR i IN range(1, len(y) + 1)] AS u FROM q{k}),
+q{k}b AS (SELECT *, {subs} FROM q{k}a),
+q{k}c AS (SELECT *, {', '.join(_smoothed(f"v{p}", 7, 1) + f" AS m{p}" for p in (1, 2, 3))} FROM q{k}b, weights),
+q{k}d AS (SELECT seller_id, ts, y, w3_0, w7_0, [CASE i % 3 WHEN 0 THEN m1[i // 3 + 1] WHEN 1 THEN m2[i // 3 + 1] ELSE m3[i // 3 + 1] END FOR i IN range(0, len(y) + 6)] AS c FROM q{k}c),
+q{k}e AS (SELECT *, {ma('c')} AS a1 FROM q{k}d),
+q{k}f AS (SELECT *, {ma('a1')} AS a2 FROM q{k}e),
+q{k}g AS (SELECT *, {ma('a2')} AS a3 FROM q{k}f),
+q{k}h AS (SELECT *, {_smoothed('a3', 3, 0)} AS low FROM q{k}g),
+q{k}i AS (SELECT *, [c[i + 3] - low[i] FOR i IN range(1, len(y) + 1)] AS season FROM q{k}h),
+q{k}j AS (SELECT *, [y[i] - season[i] FOR i IN range(1, len(y) + 1)] AS rest FROM q{k}i),
+q{k + 1} AS (SELECT seller_id, ts, y, season, {_smoothed('rest', 7, 0)} AS trend FROM q{k}j)"""
+
+
+ORACLES["stl_features"] = "WITH " + seller_panel_ctes(8) + f""",
+weights AS (SELECT {_tricube_rows(7, 1)} AS w7_1, {_tricube_rows(7, 0)} AS w7_0, {_tricube_rows(3, 0)} AS w3_0),
+q0 AS (SELECT seller_id, ts, y, [0.0::DOUBLE FOR v IN y] AS trend FROM (
+         SELECT seller_id, list(month ORDER BY month) AS ts, list(revenue::DOUBLE ORDER BY month) AS y FROM panel GROUP BY 1)),""" \
+    + _stl_round(0) + "," + _stl_round(1) + """
+SELECT seller_id, unnest(ts) AS month, round(unnest(trend), 5) AS trend, round(unnest(season), 5) AS seasonal, 'history' AS part FROM q2
+UNION ALL
+SELECT seller_id, CAST(ts[len(ts)] + to_months(CAST(k AS INTEGER)) AS TIMESTAMP), round(trend[len(y)] + k * (trend[len(y)] - trend[len(y) - 3]) / 3, 5),
+       round(season[len(y) - 3 + 1 + (k - 1) % 3], 5), 'future' FROM q2, (SELECT unnest(range(1, 4)) AS k)"""
+ORACLES["stl_features_blocked"] = ORACLES["stl_features"]
