@@ -1057,3 +1057,49 @@ UNION ALL
 SELECT seller_id, CAST(ts[len(ts)] + to_months(CAST(k AS INTEGER)) AS TIMESTAMP), round(trend[len(y)] + k * (trend[len(y)] - trend[len(y) - 3]) / 3, 5),
        round(season[len(y) - 3 + 1 + (k - 1) % 3], 5), 'future' FROM q2, (SELECT unnest(range(1, 4)) AS k)"""
 ORACLES["stl_features_blocked"] = ORACLES["stl_features"]
+
+
+# ---------------------------------------------------------------- ARIMA order search: every order's system out of the moments of its difference
+
+_FIVE = ["1.0::DOUBLE", *[f"z{i}" for i in range(1, 6)], *[f"e{j}" for j in range(1, 6)]]
+
+
+def _difference_ctes(d: int) -> str:
+    """CTEs ending in ``gm{d}``: per seller the moments, and the last values and innovations (newest first)."""
+    w = "WINDOW w AS (PARTITION BY seller_id ORDER BY month)"
+    z = ["revenue::DOUBLE", "revenue - lag(revenue, 1) OVER w", "revenue - 2 * lag(revenue, 1) OVER w + lag(revenue, 2) OVER w"][d]
+    every = [*_FIVE, "z0"]
+    moments = "[" + ", ".join("[" + ", ".join(f"sum(({a}) * ({b}))" for b in every) + "]" for a in every) + "]"
+    return f"""
+zr{d} AS (SELECT *, {z} AS z0, revenue - lag(revenue, 1) OVER w AS d1, row_number() OVER w AS rn FROM train {w}),
+zl{d} AS (SELECT *, {', '.join(f'lag(z0, {i}) OVER w AS z{i}' for i in range(1, 11))} FROM zr{d} {w}),""" \
+        + _elimination(f"long{d}", f"zl{d}", ["1.0::DOUBLE", *_TEN], "z0", f"rn > {d + 10}") + f""",
+ze{d} AS (SELECT zl{d}.*, CASE WHEN rn > {d + 10} THEN z0 - (b[1] + {' + '.join(f'b[{i + 2}] * {x}' for i, x in enumerate(_TEN))}) WHEN rn > {d} THEN 0.0 END AS e0
+         FROM zl{d} JOIN long{d} USING (seller_id)),
+zf{d} AS (SELECT *, {', '.join(f'lag(e0, {j}) OVER w AS e{j}' for j in range(1, 6))} FROM ze{d} {w}),
+gm{d} AS (SELECT seller_id, {d} AS d, g, zs, es, y, d1, last_ds FROM (SELECT seller_id, {moments} AS g FROM zf{d} WHERE rn > 17 GROUP BY 1)
+         JOIN (SELECT seller_id, [z0, z1, z2, z3, z4] AS zs, [e0, e1, e2, e3, e4] AS es, revenue AS y, d1, month AS last_ds FROM zf{d}
+               QUALIFY row_number() OVER (PARTITION BY seller_id ORDER BY month DESC) = 1) USING (seller_id))"""
+
+
+ORACLES["auto_arima"] = "WITH RECURSIVE " + SELLER_SPLIT.strip() + "," + ",".join(_difference_ctes(d) for d in range(3)) + """,
+gm AS (SELECT * FROM gm0 UNION ALL SELECT * FROM gm1 UNION ALL SELECT * FROM gm2),
+ca AS (SELECT p, q, [1] || [i + 1 FOR i IN range(1, p + 1)] || [j + 6 FOR j IN range(1, q + 1)] AS ix
+       FROM (SELECT unnest(range(0, 6)) AS p), (SELECT unnest(range(0, 6)) AS q)),
+se AS (SELECT seller_id, d, p, q, ix, 1 AS c, [list_append([g[i][j] FOR j IN ix], g[i][12]) FOR i IN ix] AS m FROM gm, ca
+       UNION ALL
+       SELECT seller_id, d, p, q, ix, c + 1, list_transform(m, lambda r, i: CASE WHEN i = c THEN list_transform(r, lambda v: v / r[c])
+              ELSE list_transform(r, lambda v, j: v - r[c] * m[c][j] / m[c][c]) END) FROM se WHERE c <= len(m)),
+sc AS (SELECT seller_id, d, p, q, ix, list_transform(m, lambda r: r[len(m) + 1]) AS b FROM se WHERE c = len(m) + 1),
+sd AS (SELECT sc.*, gm.* EXCLUDE (seller_id, d), g[1][1] AS n, p + q + 1 AS k, g[12][12] - list_sum([b[i] * g[ix[i]][12] FOR i IN range(1, len(b) + 1)]) AS sse
+       FROM sc JOIN gm USING (seller_id, d)),
+win AS (SELECT * FROM sd WHERE sse > 0 AND n - k - 1 > 0
+        QUALIFY row_number() OVER (PARTITION BY seller_id ORDER BY n * ln(sse / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1), d, p, q) = 1),
+fw AS (SELECT seller_id, last_ds, d, p, q, b, 0 AS h, zs, es, y, d1 FROM win
+       UNION ALL
+       SELECT seller_id, last_ds, d, p, q, b, h + 1, [v] || zs, [0.0::DOUBLE] || es,
+              CASE d WHEN 0 THEN v WHEN 1 THEN y + v ELSE y + d1 + v END, d1 + v
+       FROM (SELECT *, b[1] + coalesce(list_sum([b[1 + i] * zs[i] FOR i IN range(1, p + 1)]), 0)
+                       + coalesce(list_sum([b[1 + p + j] * es[j] FOR j IN range(1, q + 1)]), 0) AS v FROM fw WHERE h < 3))
+SELECT seller_id, CAST(last_ds + to_months(CAST(h AS INTEGER)) AS TIMESTAMP) AS month, 'AutoARIMA' AS model, format('({},{},{})', p, d, q) AS "order",
+       round(y, 3) AS yhat FROM fw WHERE h > 0"""
