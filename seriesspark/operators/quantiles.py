@@ -29,30 +29,32 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs, accuracy: in
     # Groups under 4 * accuracy rows are ranked whole (a constant bound); in
     # larger ones the margin 2n/accuracy exceeds the sketch's rank error
     # n/accuracy plus one, so both order statistics lie inside the bracket.
-    small = F.col("_n") < 4 * accuracy
-    brackets = stats.select(*keys, "_n", F.explode(F.array(*[
-        F.struct(F.lit(float(q)).alias("q"),
-                 F.when(small, F.lit(float("-inf"))).otherwise(F.col("_br")[2 * i]).alias("lo"),
-                 F.when(small, F.lit(float("inf"))).otherwise(F.col("_br")[2 * i + 1]).alias("hi"))
-        for i, q in enumerate(qs)])).alias("_b")).select(*keys, "_n", "_b.q", "_b.lo", "_b.hi")
-    tagged = clean.join(brackets, keys, "inner")
-    below = (tagged.groupBy(*keys, "q")
-             .agg(F.sum(F.when(F.col("_v") < F.col("lo"), 1).otherwise(0)).alias("_below")))
-    inside = tagged.filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-    ranked = (inside.join(below, [*keys, "q"], "inner")
-              .withColumn("_rank", F.col("_below") - 1 + F.row_number().over(
-                  Window.partitionBy(*keys, "q").orderBy("_v")))
-              .withColumn("_pos", F.col("q") * (F.col("_n") - 1)))
-    lo_r, hi_r = F.floor("_pos"), F.ceil("_pos")
-    picked = ranked.filter((F.col("_rank") == lo_r) | (F.col("_rank") == hi_r))
-    out = picked.groupBy(*keys, "q").agg(
-        F.first("_pos").alias("_pos"),
-        F.max(F.when(F.col("_rank") == F.floor("_pos"), F.col("_v"))).alias("_lv"),
-        F.max(F.when(F.col("_rank") == F.ceil("_pos"), F.col("_v"))).alias("_hv"))
-    frac = F.col("_pos") - F.floor("_pos")
-    value = F.when(frac == 0, F.col("_lv")).otherwise((1 - frac) * F.col("_lv") + frac * F.col("_hv"))
+    small, m = F.col("_n") < 4 * accuracy, len(qs)
+    bound = lambda i, far: F.when(small, F.lit(far)).otherwise(F.col("_br")[i])
+    stats = stats.select(*keys, "_n", *[bound(2 * i, float("-inf")).alias(f"_lo{i}") for i in range(m)],
+                         *[bound(2 * i + 1, float("inf")).alias(f"_hi{i}") for i in range(m)])
+    tagged = clean.join(stats, keys, "inner")
+    v = F.col("_v")
+    within = [(v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")) for i in range(m)]
+    in_any = within[0]
+    for w in within[1:]:
+        in_any = in_any | w
+    # per bracket: all rows below it, and those of them that are ranked (inside another bracket)
+    skipped = tagged.groupBy(*keys).agg(*[F.sum(F.when((v < F.col(f"_lo{i}")) & ~in_any, 1).otherwise(0)).alias(f"_skip{i}") for i in range(m)])
+    # every row of a bracket is ranked once, whatever the number of quantiles
+    ranked = tagged.filter(in_any).join(skipped, keys, "inner") \
+        .withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1)
+    position = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
+    at = lambda i, rank: F.max(F.when(within[i] & (F.col("_r") + F.col(f"_skip{i}") == rank), v))
+    out = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[x for i in range(m) for x in (
+        at(i, F.floor(position[i])).alias(f"_lv{i}"), at(i, F.ceil(position[i])).alias(f"_hv{i}"))])
+
+    def interpolated(i: int):
+        frac = position[i] - F.floor(position[i])
+        return F.when(frac == 0, F.col(f"_lv{i}")).otherwise((1 - frac) * F.col(f"_lv{i}") + frac * F.col(f"_hv{i}"))
+
     # every group and q must have both order statistics: a bracket that missed one is an error, not a gap
-    every = brackets.select(*keys, "q")
-    missed = F.raise_error(F.concat(F.lit("quantile bracket missed its rank for "), F.to_json(F.struct(*keys, "q")))).cast("double")
-    return every.join(out.select(*keys, "q", value.alias("_value")), [*keys, "q"], "left") \
-        .select(*keys, "q", F.coalesce("_value", missed).alias("quantile"))
+    missed = F.raise_error(F.concat(F.lit("quantile bracket missed its rank for "), F.to_json(F.struct(*keys, "_n")))).cast("double")
+    per_q = F.array(*[F.struct(F.lit(float(q)).alias("q"), interpolated(i).alias("value")) for i, q in enumerate(qs)])
+    return stats.select(*keys).join(out, keys, "left").withColumn("_e", F.explode(per_q)) \
+        .select(*keys, F.col("_e.q").alias("q"), F.coalesce(F.col("_e.value"), missed).alias("quantile"))
