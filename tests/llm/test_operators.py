@@ -595,3 +595,21 @@ def test_pipeline_near_dedup_keeps_other_texts_of_an_id(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, SF)
     assert kept.columns == docs.columns
     assert multiset(kept.collect()) == multiset([(1, text["a"]), (1, text["b"]), (2, text["c"]), (0, text["d"]), (None, text["d"])])
+
+
+# --- hot payload, clashing columns, very long pages ---------------------------
+
+def test_archives_of_a_hot_payload_and_long_pages(spark):
+    hot, long = "<p>same page</p>" * 20, "<p>" + "very long ü " * 60_000 + "</p>"
+    rows = [(i, f"http://h/{i}", hot if i % 3 else f"<p>{i}</p>", "x", 7, "y") for i in range(300)] + [(400, None, long, "x", 7, "y"), (401, "u", long, "x", 7, "y"), (402, "u", None, "x", 7, "y")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, payload string, record_type int, sha1 string")
+    got = {r["page_id"]: r for r in warc_zip.read_archives(warc_zip.write_archives(pages)).collect()}
+    first = {}
+    for i, _, html, *_ in sorted(rows):
+        first.setdefault(html or "", i)
+    for i, url, html, *_ in rows:
+        body, r = (html or "").encode(), got[i]
+        assert r["payload_bytes"] == len(body) and r["url"] == url
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if first[html or ""] == i else ("revisit", first[html or ""]))
+    assert len(got) == len(rows)
