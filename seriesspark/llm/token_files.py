@@ -169,7 +169,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         # strings that the library takes for added tokens; none holds a blank, so a piece has them whole
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.symbols = byte_symbols()
         self.clear()
 
@@ -179,7 +179,7 @@ class Encoder:
 
     def piece(self, raw: bytes) -> list[int]:
         text = raw.decode("utf-8", "replace")
-        if not PLAIN.fullmatch(text) or any(a in text for a in self.added):
+        if not PLAIN.fullmatch(text) or self.added.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         out: list[int] = []
         for word in PRE_TOKEN.findall(text):
