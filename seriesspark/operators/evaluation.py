@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seriesspark.functions.contracts import DEFAULT, Cols
 from seriesspark.functions.metrics import METRICS, resolve
+from seriesspark.session import cut_lineage
 
 
 def calc_metrics(test: DataFrame, pred: DataFrame, target: str, id_col: str, ts_col: str,
@@ -98,6 +99,7 @@ def choose_and_forecast(df: DataFrame, models: dict, metric: str = "mae", cols:
     series that no model could be validated on is left out (``forecast.short_series``).
     """
     from seriesspark.operators.forecast import forecast_models
+    df = cut_lineage(df)  # every model reads the history twice
     errors = None
     for name, (validate, _) in models.items():
         part = evaluate(validate(df), [name], (metric,), cols, ("cutoff",)).groupBy(cols.id).agg(F.avg(F.col(f"`{name}`")).alias("value"))
