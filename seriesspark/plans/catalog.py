@@ -218,8 +218,13 @@ def quantile_forecast_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ daily panel and features
 
 def daily_filled(t: Tables) -> DataFrame:
-    """J11 + P13: sparse daily panel on the global day grid, missing demand 0."""
-    return fill_grid(b.daily_panel(t), Cols(), "D", start="global", end="global", zero_cols=["y"])
+    """J11 + P13: sparse daily panel on the global day grid, missing demand 0.
+
+    The grid holds many rows for one of the sparse panel, so its partitions are sized by
+    the tables' rows, not by the bytes that are shuffled before it is filled.
+    """
+    panel = b.daily_panel(t)
+    return fill_grid(panel.repartition(b.daily_partitions(t), "unique_id"), Cols(), "D", start="global", end="global", zero_cols=["y"], bounds_from=panel)
 
 
 @query
@@ -255,7 +260,7 @@ def lag_features_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = daily_filled(t).join(b.static_attributes(t), "unique_id", "inner")
     return lf(panel, lags=[1, 2, 3, 7, 14, 30, 360],
               lag_transforms={7: [ExpandingMean()], 14: [RollingMean(7)], 30: [RollingMean(14)]},
-              block_size=400, freq="D")
+              block_size=400, freq="D", partitions=b.daily_partitions(t))
 
 
 @query
@@ -275,7 +280,7 @@ def differenced_features_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return lf(daily_filled(t), lags=[3, 6],
               lag_transforms={3: [ExpandingMean(), RollingMean(3)], 6: [ExpandingMean(), RollingMean(6)]},
-              date_features=["quarter", "daysinmonth"], differences=[1], block_size=100, freq="D")
+              date_features=["quarter", "daysinmonth"], differences=[1], block_size=100, freq="D", partitions=b.daily_partitions(t))
 
 
 # ------------------------------------------------------------ 10-minute panel (intro path)

@@ -80,6 +80,14 @@ def daily_panel(t) -> DataFrame:
             .agg(F.sum("l_quantity").alias("y")))
 
 
+ITEM_ROWS, SERIES = 250_000, 400  # item rows, and suppliers, of one partition of the filled daily panel
+
+
+def daily_partitions(t) -> int:
+    """Partitions of the filled daily panel: they grow with the items and the suppliers (row counts of the files)."""
+    return max(t.spark.sparkContext.defaultParallelism, -(-t.rows("lineitem") // ITEM_ROWS), -(-t.rows("supplier") // SERIES))
+
+
 def ten_minute_panel(t) -> DataFrame:
     """Sparse 10-minute panel: one series per event type.
 

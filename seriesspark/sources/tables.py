@@ -25,12 +25,19 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = {}
+        self._rows: dict[str, int] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
             self._frames[name] = read_table(self.spark, self.sf_dir, name)
         return self._frames[name]
 
+    def rows(self, name: str) -> int:
+        """Number of rows of a table, from the files' own counts."""
+        if name not in self._rows:
+            self._rows[name] = self[name].count()
+        return self._rows[name]
+
 
 def read_csv_set(spark: SparkSession, paths: dict[str, str],
                  schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
