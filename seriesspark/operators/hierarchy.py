@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seriesspark.functions.contracts import DEFAULT, Cols
-from seriesspark.session import cut_lineage
+from seriesspark.session import cut_lineage, write_once
 
 
 def _node(keys: list[str], depth: int):
@@ -90,25 +90,147 @@ def coherence_gap(values: DataFrame, S: DataFrame, value_col: str, cols: Cols =
 TILE = 256      # nodes per tile of the residual moments
 STAMPS = 4096   # stamps of a tile
 BLOCK = 256     # upper nodes of a block of the preconditioner
+PATTERNS = 256  # sets of stamps with residuals that the moments by stamps take, at most
+GRAM_NODES = 2048  # nodes that a task adds into its moments by stamps
+GRAM_BYTES = 32 << 20  # moments by stamps that meet in one group
+
+
+def _node_rows(residuals: DataFrame, cols: Cols, value_col: str) -> DataFrame:
+    """``node, t, x, sd``: a row per node with its stamps, centred residuals and their deviation, written once."""
+    value = F.col(value_col).cast("double")
+    g = residuals.where(value.isNotNull() & F.col(cols.id).isNotNull()).groupBy(F.col(cols.id).alias("node")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(cols.ds).alias("t"), value.alias("v")))).alias("s"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"))
+    return write_once(g.select("node", F.col("s.t").alias("t"), F.transform("s", lambda e: e["v"] - F.col("m")).alias("x"), F.greatest("sd", F.lit(1e-4)).alias("sd")))
 
 
 def shrinkage(residuals: DataFrame, cols: Cols = DEFAULT, value_col: str = "resid") -> float:
     """Shrinkage intensity of the residual correlations (D29, Schafer and Strimmer 2005), in [0, 1].
 
     Sum of the variances of the off-diagonal correlations over the sum of their
-    squares. A node's standardised residuals are arrays of some STAMPS stamps; nodes are
+    squares, exactly, from products of nodes or of stamps: whichever writes less
+    (``_shrinkage``). No k x k matrix exists anywhere.
+    """
+    return _shrinkage(_node_rows(residuals, cols, value_col))
+
+
+def _shrinkage(X: DataFrame) -> float:
+    """``shrinkage`` of ``_node_rows``.
+
+    Products of nodes copy every residual to each tile of nodes, which grows with the
+    square of the nodes. Products of stamps take a square of the stamps per set of
+    stamps that nodes share (a pattern), which does not grow with the nodes.
+    """
+    k, rows = X.agg(F.count(F.lit(1)), F.sum(F.size("t"))).first()
+    n = X.select(F.explode("t").alias("t")).distinct().count()
+    tiles = max(1, -(-k // TILE))
+    if tiles > 1 and n <= STAMPS:
+        patterns = X.select(F.xxhash64("t").alias("p")).distinct().count()
+        if patterns <= PATTERNS and (patterns + -(-k // GRAM_NODES)) * n * n * 4 < tiles * rows * 16:
+            var, sq = _moments_by_stamps(X, k)
+            return float(min(1.0, max(0.0, var / sq))) if sq else 0.0
+    var, sq = _moments_by_nodes(X, tiles, max(1, -(-n // STAMPS)))
+    return float(min(1.0, max(0.0, var / sq))) if sq else 0.0
+
+
+def _moments_by_stamps(X: DataFrame, k: int) -> tuple[float, float]:
+    """The sums of ``shrinkage`` from Gram matrices over stamps.
+
+    The number of stamps two nodes share depends on their patterns only, so sums over
+    pairs of nodes are sums over pairs of patterns: with ``Z_p`` (stamps x nodes) the squared products
+    add up to ``|Z_p' Z_q|^2``, which is the inner product of ``Z_p Z_p'`` and ``Z_q Z_q'``. Tasks
+    read nodes sorted by pattern and add each pattern's Gram matrix; groups of stamps
+    multiply all patterns' parts. A node with itself is taken off at the end.
+    """
+    shared = X.groupBy(F.xxhash64("t").alias("p")).agg(F.first(F.transform("t", lambda s: F.xxhash64(s))).alias("t")).orderBy("p").collect()
+    names = np.array([r["p"] for r in shared])
+    stamps = np.unique(np.concatenate([r["t"] for r in shared]))
+    places = {r["p"]: np.searchsorted(stamps, r["t"]) for r in shared}
+    n, parts = len(stamps), -(-k // GRAM_NODES)
+    height = max(1, GRAM_BYTES // (8 * n * (len(names) + parts)))  # stamps of a group
+
+    def gram(batches):
+        p, G, squares, own = None, np.zeros((0, 0)), np.zeros(0), np.zeros(2)
+
+        def close():
+            for a in range(0, n, height):  # the lower half; an entry off the diagonal counts twice
+                rows = np.zeros((min(a + height, n) - a, min(a + height, n)))
+                at = places[p]
+                i, j = (at >= a) & (at < a + height), at < a + height
+                rows[np.ix_(at[i] - a, at[j])] = G[np.ix_(i, j)]
+                if i.any():
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([a // height], pa.int32()), "p": [p], "g": [rows.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "p": [p], "g": [np.concatenate([squares, own]).tobytes()]})
+
+        for batch in batches:
+            keys = batch.column("p").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if keys[a] != p:
+                    if p is not None:
+                        yield from close()
+                    p = int(keys[a])
+                    G, squares, own = np.zeros((len(places[p]), len(places[p]))), np.zeros(len(places[p])), np.zeros(2)
+                part = batch.slice(a, b - a)
+                Z = part.column("x").flatten().to_numpy().reshape(b - a, -1) / part.column("sd").to_numpy()[:, None]
+                G += Z.T @ Z
+                squares += (Z * Z).sum(axis=0)
+                own += (Z * Z).sum(axis=1) @ (Z * Z).sum(axis=1), (Z ** 4).sum()
+        if p is not None:
+            yield from close()
+
+    def products(table: pa.Table) -> pa.Table:
+        """Inner products of all patterns' Gram matrices over one group of stamps."""
+        block = table.column("block")[0].as_py()
+        a = block * height
+        b = min(a + height, n)
+        twice = np.tril(np.full((b - a, b), 2.0), a - 1) + np.eye(b - a, b, a)
+        sums: dict[int, np.ndarray] = {}
+        for p, g in zip(table.column("p").to_pylist(), table.column("g")):
+            part = np.frombuffer(g.as_buffer()).reshape(b - a, b)
+            sums[p] = sums[p] + part if p in sums else part
+        keys = sorted(sums)
+        flat = np.stack([sums[p].reshape(-1) for p in keys])
+        f = (flat * twice.reshape(-1)) @ flat.T
+        return pa.table({"p": np.repeat(keys, len(keys)), "q": np.tile(keys, len(keys)), "f": f.reshape(-1)})
+
+    # null-free rows, nodes of a pattern side by side, as many in each task
+    nodes = X.select(F.xxhash64("t").alias("p"), "x", "sd").repartitionByRange(parts, "p", F.xxhash64("node")).sortWithinPartitions("p")
+    grams = write_once(nodes.mapInArrow(gram, "block int, p bigint, g binary"))
+    s, own = np.zeros((len(names), n)), np.zeros((len(names), 2))
+    for r in grams.where("block = -1").collect():  # one vector over stamps per pattern and task
+        v, i = np.frombuffer(r["g"]), np.searchsorted(names, r["p"])
+        s[i, places[r["p"]]] += v[:-2]
+        own[i] += v[-2:]
+    F_pq = np.zeros((len(names), len(names)))
+    inner = grams.where("block >= 0").groupBy("block").applyInArrow(products, "p bigint, q bigint, f double")
+    for r in inner.groupBy("p", "q").agg(F.sum("f").alias("f")).collect():
+        F_pq[np.searchsorted(names, r["p"]), np.searchsorted(names, r["q"])] = r["f"]
+    present = np.zeros((len(names), n))
+    for i, p in enumerate(names):
+        present[i, places[p]] = 1.0
+    sums = lambda w2, ww, n: (float((n / (n - 1) ** 3 * (w2 - ww / n)).sum()), float((ww / (n - 1) ** 2).sum()))
+    all_var, all_sq = sums(s @ s.T, F_pq, np.maximum(present @ present.T, 2))
+    own_var, own_sq = sums(own[:, 1], own[:, 0], np.maximum(present.sum(axis=1), 2))
+    return all_var - own_var, all_sq - own_sq
+
+
+def _moments_by_nodes(X: DataFrame, tiles: int, runs: int) -> tuple[float, float]:
+    """The sums of ``shrinkage`` from products of nodes.
+
+    A node's standardised residuals are arrays of some STAMPS stamps; nodes are
     dealt into tiles. A group multiplies two tiles over one run of stamps, a second
     one adds up a pair's runs and returns two numbers, so no task sees more than two
-    tiles of one run and no k x k matrix exists anywhere.
+    tiles of one run.
     """
-    r = residuals.where(F.col(value_col).isNotNull())
-    stats = r.groupBy(cols.id).agg(F.avg(value_col).alias("_m"), F.greatest(F.stddev_samp(value_col), F.lit(1e-4)).alias("_sd"))
-    k, n = stats.count(), r.select(cols.ds).distinct().count()
-    tiles, runs = max(1, -(-k // TILE)), max(1, -(-n // STAMPS))
-    z = r.join(stats, cols.id).select(
-        F.pmod(F.xxhash64(cols.id), F.lit(tiles)).cast("int").alias("t"), F.col(cols.id).alias("node"), F.xxhash64(cols.ds).alias("ds"),
-        ((F.col(value_col) - F.col("_m")) / F.coalesce("_sd", F.lit(1.0))).alias("z"))
-    z = z.groupBy("t", "node", F.pmod("ds", F.lit(runs)).cast("int").alias("run")).agg(F.collect_list("ds").alias("ds"), F.collect_list("z").alias("z"))
+    z = X.select(F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int").alias("t"), "node", F.transform("t", lambda s: F.xxhash64(s)).alias("ds"),
+                 F.transform("x", lambda v: v / F.col("sd")).alias("z"))
+    if runs == 1:
+        z = z.withColumn("run", F.lit(0))
+    else:
+        z = z.select("t", "node", F.explode(F.arrays_zip("ds", "z")).alias("e")).select("t", "node", "e.ds", "e.z")
+        z = z.groupBy("t", "node", F.pmod("ds", F.lit(runs)).cast("int").alias("run")).agg(F.collect_list("ds").alias("ds"), F.collect_list("z").alias("z"))
     z = z.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     z = z.select(F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "node", "run", "ds", "z")
 
@@ -146,7 +268,12 @@ def shrinkage(residuals: DataFrame, cols: Cols = DEFAULT, value_col: str = "resi
 
     parts = z.groupBy("i", "j", "run").applyInArrow(products, "i int, j int, a array<string>, b array<string>, n binary, w binary, w2 binary")
     var, sq = parts.groupBy("i", "j").applyInArrow(moments, "var double, sq double").agg(F.sum("var"), F.sum("sq")).first()
-    return float(min(1.0, max(0.0, var / sq))) if sq else 0.0
+    return var or 0.0, sq or 0.0
+
+
+def _entries() -> list:
+    """The stamps ``t`` and residuals ``x`` of ``_node_rows``, a row each."""
+    return [F.inline(F.arrays_zip("t", "x")).alias("t", "x")]
 
 
 class _Constraints:
@@ -170,8 +297,11 @@ class _Constraints:
         shared = below.join(other, F.col("b") == F.col("b2")).groupBy("a", "a2").agg(F.sum(F.col("weight") * F.col("w2") * F.col("d")).alias("v"))
         own = upper.join(D, F.col("a") == F.col("node")).select("a", F.col("a").alias("a2"), F.col("d").alias("v"))
         self.M = cut_lineage(shared.unionByName(own).groupBy("a", "a2").agg(F.sum("v").alias("v")))
-        part = X.join(upper, F.col("node") == F.col("a")).select("a", "t", "x")
-        sums = A.join(X, A["b"] == X["node"]).groupBy("a", "t").agg((-F.sum(F.col("weight") * F.col("x"))).alias("x"))
+        part = X.join(upper, F.col("node") == F.col("a")).select("a", *_entries())
+        # all upper nodes of a bottom meet its row at once, so that the join sends it once
+        above = A.groupBy("b").agg(F.collect_list(F.struct("a", "weight")).alias("up"))
+        sums = X.join(above, X["node"] == above["b"]).select("up", *_entries()).select("t", "x", F.explode("up").alias("u")) \
+            .groupBy("u.a", "t").agg((-F.sum(F.col("u.weight") * F.col("x"))).alias("x"))
         self.XU = cut_lineage(part.unionByName(sums).groupBy("a", "t").agg(F.sum("x").alias("x")))
         self.diagonal = cut_lineage(self._diagonal_blocks())
 
@@ -263,15 +393,12 @@ def mint_solve(base: DataFrame, residuals: DataFrame, S: DataFrame, value_cols:
         F.coalesce(F.max(F.when(F.col(cols.ds) == F.lit(s), F.col(v).cast("double"))), F.lit(0.0)).alias(names[i * len(value_cols) + j])
         for i, s in enumerate(stamps) for j, v in enumerate(value_cols)]))
     A = cut_lineage(S.where(F.col("node") != F.col("bottom")).select(F.col("node").alias("a"), F.col("bottom").alias("b"), "weight"))
-    residuals = cut_lineage(residuals.where(F.col(value_col).isNotNull()).select(cols.id, cols.ds, value_col))
-    r = residuals.select(F.col(cols.id).alias("node"), F.col(cols.ds).alias("t"), F.col(value_col).cast("double").alias("r"))
-    mean = r.groupBy("node").agg(F.avg("r").alias("m"))
-    X = cut_lineage(r.join(mean, "node").select("node", "t", (F.col("r") - F.col("m")).alias("x")))
-    n = X.select("t").distinct().count()
-    a = max(1e-6, shrinkage(residuals, cols, value_col))
+    X = _node_rows(residuals, cols, value_col)
+    n = X.select(F.explode("t").alias("t")).distinct().count()
+    a = max(1e-6, _shrinkage(X))
     c = (1 - a) / max(n - 1, 1)
-    D = cut_lineage(y.select("node").join(X.groupBy("node").agg((F.sum(F.col("x") * F.col("x")) / max(n - 1, 1)).alias("d")), "node", "left")
-                    .select("node", F.greatest(F.coalesce("d", F.lit(0.0)), F.lit(1e-8)).alias("d")))
+    squares = X.select("node", (F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x) / max(n - 1, 1)).alias("d"))
+    D = cut_lineage(y.select("node").join(squares, "node", "left").select("node", F.greatest(F.coalesce("d", F.lit(0.0)), F.lit(1e-8)).alias("d")))
     system = _Constraints(A, D, X, a, c, names)
     below = A.join(y, A["b"] == y["node"]).groupBy("a").agg(*[F.sum(F.col("weight") * F.col(v)).alias(f"_s{v}") for v in names])
     rhs = y.join(below, y["node"] == below["a"]).select("a", *[(F.col(v) - F.col(f"_s{v}")).alias(v) for v in names])
@@ -280,7 +407,8 @@ def mint_solve(base: DataFrame, residuals: DataFrame, S: DataFrame, value_cols:
     # y - W U z: U z by node, X U z by stamp
     down = A.join(z, "a").groupBy(F.col("b").alias("node")).agg(*[(-F.sum(F.col("weight") * F.col(v))).alias(v) for v in names])
     spread = z.withColumnRenamed("a", "node").unionByName(down).toDF("node", *[f"_u{v}" for v in names])
-    back = X.join(system.per_stamp(z, ""), "t").groupBy("node").agg(*[F.sum(F.col("x") * F.col(v)).alias(f"_b{v}") for v in names])
+    # a row per stamp goes to every task: the residuals stay where they are
+    back = X.select("node", *_entries()).join(F.broadcast(system.per_stamp(z, "")), "t").groupBy("node").agg(*[F.sum(F.col("x") * F.col(v)).alias(f"_b{v}") for v in names])
     out = y.join(D, "node").join(spread, "node", "left").join(back, "node", "left").select("node", *[
         (F.col(v) - F.lit(a) * F.col("d") * F.coalesce(f"_u{v}", F.lit(0.0)) - F.lit(c) * F.coalesce(f"_b{v}", F.lit(0.0))).alias(v) for v in names])
     per_stamp = F.array(*[F.struct(F.lit(s).alias("ds"), *[F.col(names[i * len(value_cols) + j]).alias(v) for j, v in enumerate(value_cols)])

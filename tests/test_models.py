@@ -288,3 +288,24 @@ def test_coherent_forecasts_stay(spark):
     got, want = by_series(out), by_series(coherent)
     assert rounds == 0 and all(np.allclose(got[k], want[k]) for k in want)
     assert DEFAULT.id == "unique_id"
+
+
+def test_shrinkage_of_many_nodes_copies_no_residual(spark, monkeypatch):
+    """More nodes than stamps: moments come from products of stamps, exactly, whatever stamps the nodes share."""
+    monkeypatch.setattr(hierarchy, "TILE", 5)
+    monkeypatch.setattr(hierarchy, "GRAM_NODES", 7)
+    monkeypatch.setattr(hierarchy, "GRAM_BYTES", 5000)  # several groups of stamps
+    monkeypatch.setattr(hierarchy, "_moments_by_nodes", None)
+    rng = np.random.default_rng(9)
+    resid = rng.normal(size=(20, 40)) + rng.normal(size=(20, 1))
+    resid[:3, ::3] = np.nan    # late starts
+    resid[[5, 11], 1::6] = np.nan    # holes
+    resid[:, 39] = 2.0    # no spread
+    rows = [(f"n{j}", START + dt.timedelta(days=t), float(resid[t, j])) for t in range(20) for j in range(40) if not np.isnan(resid[t, j])]
+    M = ~np.isnan(resid)
+    Z = np.where(M, resid - np.nanmean(resid, axis=0), 0.0) / np.maximum(np.nanstd(resid, axis=0, ddof=1), 1e-4)
+    n = np.maximum(M.T.astype(float) @ M, 2)
+    w, w2, off = Z.T @ Z, (Z * Z).T @ (Z * Z), ~np.eye(40, dtype=bool)
+    want = (n / (n - 1) ** 3 * (w2 - w ** 2 / n))[off].sum() / ((w / (n - 1)) ** 2)[off].sum()
+    assert 0 < want < 1
+    assert hierarchy.shrinkage(spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, resid double")) == pytest.approx(want, rel=1e-9)
