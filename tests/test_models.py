@@ -309,3 +309,29 @@ def test_shrinkage_of_many_nodes_copies_no_residual(spark, monkeypatch):
     want = (n / (n - 1) ** 3 * (w2 - w ** 2 / n))[off].sum() / ((w / (n - 1)) ** 2)[off].sum()
     assert 0 < want < 1
     assert hierarchy.shrinkage(spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, resid double")) == pytest.approx(want, rel=1e-9)
+
+
+def test_linear_fit_reads_its_rows_once(spark):
+    """The rows pass one job, and the model is that of least squares over all of them."""
+    rng = np.random.default_rng(4)
+    X = np.column_stack([rng.normal(5, 2, 500), rng.exponential(1e3, 500), rng.integers(0, 2, 500), np.zeros(500)])
+    y = X @ [1.5, -0.01, 4.0, 0.0] + 7 + rng.normal(size=500)
+    rows = [(*map(float, x), float(v)) for x, v in zip(X, y)] + [(None, 1.0, 1.0, 0.0, 1e9)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    frame = spark.createDataFrame(rows, "a double, b double, c double, z double, y double")
+    model = ml.fit(frame.mapInArrow(counted, frame.schema), ["a", "b", "c"], "linear")
+    assert seen.value == len(rows)
+    want = np.linalg.lstsq(np.column_stack([X[:, :3], np.ones(500)]), y, rcond=None)[0]
+    terms, intercept = ml.linear_terms(model)
+    assert np.allclose([*terms.values(), intercept], want, rtol=1e-9)
+    terms, intercept = ml.linear_terms(ml.fit(frame, ["a", "b", "c", "z"], "linear"))  # MLlib iterates if a feature has no spread
+    assert np.allclose([terms["a"], terms["b"], terms["c"], intercept], want, rtol=1e-5) and terms["z"] == 0
+    with pytest.raises(ValueError, match="no row"):
+        ml.fit(frame.where("a is null"), ["a", "b"], "linear")
+    with pytest.raises(ValueError, match="finite"):
+        ml.fit(frame.where("a is not null").withColumn("y", F.lit(None).cast("double")), ["a", "b"], "linear")
