@@ -98,8 +98,9 @@ GRAM_BYTES = 32 << 20  # moments by stamps that meet in one group
 def _node_rows(residuals: DataFrame, cols: Cols, value_col: str) -> DataFrame:
     """``node, t, x, sd``: a row per node with its stamps, centred residuals and their deviation, written once."""
     value = F.col(value_col).cast("double")
-    g = residuals.where(value.isNotNull() & F.col(cols.id).isNotNull()).groupBy(F.col(cols.id).alias("node")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(cols.ds).alias("t"), value.alias("v")))).alias("s"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"))
+    rows = residuals.where(value.isNotNull() & F.col(cols.id).isNotNull()).withColumn("_at", F.monotonically_increasing_id())  # repeated stamps keep their order
+    g = rows.groupBy(F.col(cols.id).alias("node")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(cols.ds).alias("t"), "_at", value.alias("v")))).alias("s"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"))
     return write_once(g.select("node", F.col("s.t").alias("t"), F.transform("s", lambda e: e["v"] - F.col("m")).alias("x"), F.greatest("sd", F.lit(1e-4)).alias("sd")))
 
 
@@ -144,7 +145,10 @@ def _moments_by_stamps(X: DataFrame, k: int) -> tuple[float, float]:
     shared = X.groupBy(F.xxhash64("t").alias("p")).agg(F.first(F.transform("t", lambda s: F.xxhash64(s))).alias("t")).orderBy("p").collect()
     names = np.array([r["p"] for r in shared])
     stamps = np.unique(np.concatenate([r["t"] for r in shared]))
-    places = {r["p"]: np.searchsorted(stamps, r["t"]) for r in shared}
+    places, last = {}, {}  # of a stamp that repeats the last value counts
+    for r in shared:
+        t, behind = np.unique(r["t"][::-1], return_index=True)
+        places[r["p"]], last[r["p"]] = np.searchsorted(stamps, t), len(r["t"]) - 1 - behind
     n, parts = len(stamps), -(-k // GRAM_NODES)
     height = max(1, GRAM_BYTES // (8 * n * (len(names) + parts)))  # stamps of a group
 
@@ -173,7 +177,7 @@ def _moments_by_stamps(X: DataFrame, k: int) -> tuple[float, float]:
                     p = int(keys[a])
                     G, squares, own = np.zeros((len(places[p]), len(places[p]))), np.zeros(len(places[p])), np.zeros(2)
                 part = batch.slice(a, b - a)
-                Z = part.column("x").flatten().to_numpy().reshape(b - a, -1) / part.column("sd").to_numpy()[:, None]
+                Z = part.column("x").flatten().to_numpy().reshape(b - a, -1)[:, last[p]] / part.column("sd").to_numpy()[:, None]
                 G += Z.T @ Z
                 squares += (Z * Z).sum(axis=0)
                 own += (Z * Z).sum(axis=1) @ (Z * Z).sum(axis=1), (Z ** 4).sum()
