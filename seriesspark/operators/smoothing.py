@@ -160,7 +160,7 @@ def _hw_fit(s: DataFrame, m: int, y: Column) -> DataFrame:
     mean1, mean2 = _sum(F.slice(y, 1, m)) / m, _sum(F.slice(y, m + 1, m)) / m
     start = F.struct(mean1.alias("l"), ((mean2 - mean1) / m).alias("b"), F.transform(F.slice(y, 1, m), lambda v: v - mean1).alias("s"))
     whole = F.size(y) >= 2 * m if m >= 2 else F.lit(False)
-    s = s.withColumn("_start", F.when(whole, start)).withColumn("_b", _hw_grid_fit(m)(y) if m >= 2 else F.lit(None).cast(HW_FIT))
+    s = s.withColumn("_start", F.when(whole, start)).withColumn("_b", F.when(whole, _hw_grid_fit(m)(y)) if m >= 2 else F.lit(None).cast(HW_FIT))
     return s.withColumn("_p", F.get(_grid(HW_GRID, "atg"), F.col("_b.i")))
 
 
