@@ -34,15 +34,31 @@ from .common import materialize, running_totals
 SEGMENT_BYTES = 8 << 20     # text per index segment
 CHUNK_WORDS = 4 << 20       # benchmark words that are broadcast at once (32 MB of hashes)
 PIECE_WORDS = 1 << 16       # words of an item's piece
+HASH_BYTES = 1 << 20        # text whose words are found at once
 SEGMENTS = "segment string, doc_ids array<bigint>, n_words array<bigint>, firsts binary, terms binary, offsets binary, postings binary"
 MATCHES = "segment string, row int, item_id bigint, spans array<struct<start:bigint,end:bigint>>"
 
 
 def _words(column: pa.Array, a: int, b: int):
-    data, offsets = K.utf8(column.slice(a, b - a))
-    data = K.LOWER[data]
-    starts, ends, first = K.words(data, offsets, K.ALNUM)
-    return K.word_hashes(data, starts, ends), first
+    """Word hashes of documents ``a`` to ``b`` and the word range of each, from runs of few bytes."""
+    hashes, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for s, e in K.slices(K.utf8(column.slice(a, b - a))[1], HASH_BYTES):
+        data, offsets = K.utf8(column.slice(a + s, e - s))
+        data = K.LOWER[data]
+        starts, ends, own = K.words(data, offsets, K.ALNUM)
+        hashes.append(K.word_hashes(data, starts, ends))
+        first.append(own[1:] + first[-1][-1])
+    return np.concatenate(hashes), np.concatenate(first)
+
+
+def postings(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct terms, where each one's positions begin and end, and the positions, ascending for a term."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    at = np.flatnonzero(new)
+    return h[at], np.append(at, len(h)), order
 
 
 def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -53,12 +69,10 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seg
             data_offsets = K.utf8(batch.column("text"))[1]
             for a, b in K.slices(data_offsets, segment_bytes):
                 h, first = _words(batch.column("text"), a, b)
-                terms, code = np.unique(h, return_inverse=True)
-                order = np.argsort(code.astype(np.int32), kind="stable")
-                sizes = np.bincount(code, minlength=len(terms))
+                terms, limits, order = postings(h)
                 row = [uuid.uuid4().hex, batch.column("doc_id").slice(a, b - a).to_pylist(), np.diff(first).tolist(),
                        first.astype("<i8").tobytes(), terms.astype("<u8").tobytes(),
-                       np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes(),
+                       limits.astype("<i8").tobytes(),
                        order.astype("<u4").tobytes()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], t) for x, t in zip(row, [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 4],
@@ -107,7 +121,7 @@ class Phrases:
 class Segment:
     """One index row opened for lookups."""
 
-    def __init__(self, firsts: bytes, terms: bytes, offsets: bytes, postings: bytes):
+    def __init__(self, firsts: bytes | pa.Buffer, terms: bytes | pa.Buffer, offsets: bytes | pa.Buffer, postings: bytes | pa.Buffer):
         self.firsts = np.frombuffer(firsts, "<i8")
         self.terms, self.offsets = np.frombuffer(terms, "<u8"), np.frombuffer(offsets, "<i8")
         self.postings = np.frombuffer(postings, "<u4").astype(np.int64)
@@ -155,8 +169,9 @@ def match_chunk(index: DataFrame, items: list[tuple[int | None, bytes]], *, wind
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Phrases(sent.value, window)
         for batch in batches:
-            for r in batch.to_pylist():
-                seg = Segment(r["firsts"], r["terms"], r["offsets"], r["postings"])
+            for i in range(batch.num_rows):  # views of the batch, one segment at a time
+                name = batch.column("segment")[i].as_py()
+                seg = Segment(*[batch.column(c)[i].as_buffer() for c in ("firsts", "terms", "offsets", "postings")])
                 found: dict[tuple[int, int | None], list] = {}
                 ids = seg.lookup(chunk.terms)
                 for w in chunk.present(ids).tolist():
@@ -168,7 +183,7 @@ def match_chunk(index: DataFrame, items: list[tuple[int | None, bytes]], *, wind
                 keys = list(found)
                 spans = [[{"start": s, "end": e} for s, e in merged(found[k])] for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["segment"]] * len(keys), pa.string()), pa.array([k[0] for k in keys], pa.int32()),
+                    [pa.array([name] * len(keys), pa.string()), pa.array([k[0] for k in keys], pa.int32()),
                      pa.array([k[1] for k in keys], pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                     names=["segment", "row", "item_id", "spans"])

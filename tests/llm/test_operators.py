@@ -613,3 +613,29 @@ def test_archives_of_a_hot_payload_and_long_pages(spark):
         assert r["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first[html or ""] == i else ("revisit", first[html or ""]))
     assert len(got) == len(rows)
+
+
+def test_segment_hashes_in_bounded_memory():
+    """Words of a segment are hashed in runs of few bytes: temporaries follow the words, not a multiple of the text."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    texts = [" ".join(map(str, rng.integers(0, 50_000, 1000))) for _ in range(1400)] + [None, "", "A-b a b"]
+    column, size = pa.array(texts), sum(len(t or "") for t in texts)
+    tracemalloc.start()
+    try:
+        h, first = decontam._words(column, 0, len(column))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 6 * size
+    assert np.diff(first).tolist() == [1000] * 1400 + [0, 0, 4]
+    assert h[-4] == h[-2] and h[-3] == h[-1] and len(np.unique(h)) <= 50_002
+
+
+def test_postings_are_ascending_positions():
+    h = np.array([7, 3, 7, 9, 3, 7], np.uint64)
+    terms, limits, at = decontam.postings(h)
+    assert terms.tolist() == [3, 7, 9] and limits.tolist() == [0, 2, 5, 6] and at.tolist() == [1, 4, 0, 2, 5, 3]
+    assert [x.tolist() for x in decontam.postings(h[:0])] == [[], [0], []]
