@@ -156,50 +156,83 @@ def byte_symbols() -> dict[int, str]:
     return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
+LETTER = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")  # one pre-token
+
+# Byte classes that ``Encoder.starts`` cuts by.
+SOLID = np.zeros(256, bool)   # printable ASCII but the blank
+SOLID[0x21:0x7F] = True
+ALPHA = np.zeros(256, bool)   # ASCII letters
+ALPHA[0x41:0x5B] = ALPHA[0x61:0x7B] = True
+
+
 class Encoder:
     """Tokenizes whole texts; a piece of text that came before is looked up.
 
-    A text is cut before each space that follows a byte known not to be white
-    space. The pre-tokenizer always cuts there, so the ids of the pieces are the
-    ids of the text. Pieces are found by a 64-bit hash and their length; the
-    tables are emptied when they reach their limits.
+    A text is cut only where the pre-tokenizer always cuts (see ``starts``), so the ids
+    of the pieces are the ids of the text. Most pieces are one pre-token. They are found
+    by a 64-bit hash and their length; the tables are emptied when they reach their limits.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        # strings that the library takes for added tokens; none holds a blank, so a piece has them whole
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.symbols = byte_symbols()
+        # strings that the library takes for added tokens; none holds a blank, so a piece cut at blanks has them whole
+        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)"
+        self.added, self.added_bytes = re.compile(added), re.compile(added.encode())
+        self.symbols, self.tokenize = byte_symbols(), self.tokenizer.model.tokenize
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.offsets, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.words = np.zeros(0, np.uint32), {}
 
+    def word(self, raw: bytes) -> list[int]:
+        return [t.id for t in self.tokenize(raw.decode("latin-1").translate(self.symbols))]
+
     def piece(self, raw: bytes) -> list[int]:
         text = raw.decode("utf-8", "replace")
-        if not PLAIN.fullmatch(text) or self.added.search(text):
+        if self.added.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if LETTER.fullmatch(text):
+            return self.word(raw)
+        if not PLAIN.fullmatch(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         out: list[int] = []
         for word in PRE_TOKEN.findall(text):
             ids = self.words.get(word)
             if ids is None:
-                symbols = word.encode().decode("latin-1").translate(self.symbols)
-                ids = [t.id for t in self.tokenizer.model.tokenize(symbols)]
+                ids = self.word(word.encode())
                 if len(self.words) >= CACHE_WORDS:
                     self.words.clear()
                 self.words[word] = ids
             out += ids
         return out
 
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Ascending starts of the pieces of all documents.
+
+        Cuts stand before a blank after a byte known not to be white space. Where no added
+        token occurs, which they could divide, also before other ASCII after an ASCII letter,
+        before a line feed after printable ASCII, and after such a line feed if it stands alone.
+        """
+        cut = np.zeros(len(data) + 1, bool)
+        here, last = data[1:], data[:-1]
+        solid = SOLID[last]
+        latin = data[:-2] == 0xC3  # two bytes before the place: a Latin-1 letter or sign ends there
+        blank = here == 0x20
+        cut[1:-1] = blank & solid
+        cut[2:-1] |= blank[1:] & latin & (last[1:] >= 0x80)
+        if not self.added_bytes.search(data):
+            cut[1:-1] |= ALPHA[last] & (here < 0x80) & ~ALPHA[here]
+            feed = (here == 0x0A) & solid
+            cut[1:-1] |= feed
+            cut[2:-1] |= feed[:-1] & (SOLID[here[1:]] | (here[1:] == 0xC3))
+        cut[offsets[:-1]] = True
+        return np.flatnonzero(cut[:-1])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents and the number of ids of each."""
-        space = np.flatnonzero(data[1:] == 0x20) + 1
-        before = data[space - 1]
-        solid = (before > 0x20) & (before < 0x7F)
-        solid |= (before >= 0x80) & (space > 1) & (data[np.maximum(space - 2, 0)] == 0xC3)
-        starts = np.union1d(space[solid], offsets[:-1][offsets[1:] > offsets[:-1]])
+        starts = self.starts(data, offsets)
         ends = np.append(starts[1:], len(data))[:len(starts)]
         h = K.mix(K.word_hashes(data, starts, ends) + (ends - starts).astype(np.uint64))
         code, unique = _factorize(h)
@@ -214,10 +247,14 @@ class Encoder:
             new = np.flatnonzero(~known)
             sample = np.zeros(len(unique), np.int64)
             sample[code[::-1]] = np.arange(len(code))[::-1]
-            made = [self.piece(data[starts[i]:ends[i]].tobytes()) for i in sample[new]]
-            lengths = np.fromiter(map(len, made), np.int64, len(made))
+            made, lengths = [], np.zeros(len(new), np.int64)
+            at = sample[new]
+            for j, (s, e) in enumerate(zip(starts[at].tolist(), ends[at].tolist())):
+                ids = self.piece(data[s:e].tobytes())
+                made += ids
+                lengths[j] = len(ids)
             offs = len(self.pool) + np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-            self.pool = np.concatenate([self.pool, np.fromiter((x for ids in made for x in ids), np.uint32, int(lengths.sum()))])
+            self.pool = np.concatenate([self.pool, np.array(made, np.uint32)])
             keys = np.concatenate([self.keys, unique[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.offsets, self.lengths = keys[order], np.concatenate([self.offsets, offs])[order], np.concatenate([self.lengths, lengths])[order]

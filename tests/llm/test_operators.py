@@ -639,3 +639,26 @@ def test_postings_are_ascending_positions():
     terms, limits, at = decontam.postings(h)
     assert terms.tolist() == [3, 7, 9] and limits.tolist() == [0, 2, 5, 6] and at.tolist() == [1, 4, 0, 2, 5, 3]
     assert [x.tolist() for x in decontam.postings(h[:0])] == [[], [0], []]
+
+
+def test_encoder_makes_each_pre_token_once():
+    """Pieces are pre-tokens, so words that meet other signs and lines are not tokenized again; ids are the library's."""
+    import pyarrow as pa
+
+    from seriesspark.llm import kernel as K
+    enc = token_files.Encoder(queries.tokenizer_path())
+    words = ["ab" + chr(97 + i) + chr(97 + j) for i in range(10) for j in range(10)]
+    texts = [f"{a}.\n{b}, {b}\n{a}!" for a in words for b in words[::7]]
+    odd = ["don't a\r\n\n b\n c\n\nd", "x<|endoftext|>y.\nz", "é\nÉ ×÷ 1a2\tb", "a\n \nb  c\n", "\n", None, "", "中\nß. áb c\x1cd"]
+    asked, real = [], enc.piece
+    enc.piece = lambda raw: asked.append(raw) or real(raw)
+
+    def ids_of(column):
+        got, n = enc.encode(*K.utf8(pa.array(column, pa.string())))
+        cuts = [0, *np.cumsum(n).tolist()]
+        return [got[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+
+    want = [[enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in ts] for ts in (texts, odd, odd[2:])]
+    assert ids_of(texts) == want[0]
+    assert len(asked) <= 2 * len(words) + 4  # a word with and without its blank, and the signs
+    assert ids_of(odd) == want[1] and ids_of(odd[2:]) == want[2]
