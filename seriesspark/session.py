@@ -97,6 +97,14 @@ def ship_package(spark: SparkSession) -> None:
     sc._seriesspark_shipped = True
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Number of partitions that the session deals a shuffle into when none is named."""
+    conf = spark.conf
+    adaptive = all(conf.get(k).lower() == "true" for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled"))
+    initial = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) if adaptive else None
+    return int(initial or conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
